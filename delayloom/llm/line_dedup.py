@@ -61,19 +61,19 @@ def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> Da
     lines = scratch.save(line_blocks(documents, min_words), "lines")
     ids = _ranks(lines, ["id1", "id2"], scratch, "ids")
     at = scratch.save(lines.join(ids, ["id1", "id2"]).select(*PLACE, "at", "ahead", "back", "rank").distinct(), "level-0")
-    spans, level = [], 0
+    back = at.filter("back is not null").select("doc", "body", (F.col("pos") + 1 - F.col("back")).alias("pos"), F.col("back").alias("len"))
+    runs = scratch.save(at.filter("ahead is not null").select("doc", "body", "pos", F.col("ahead").alias("len")).union(back).distinct(), "runs")
+    spans, level, longest = [], 0, runs.agg(F.max("len")).first()[0] or 0
     while True:
         width = 2**level
-        runs = at.select("doc", "body", "pos", F.col("ahead").alias("len")).union(at.select("doc", "body", (F.col("pos") + 1 - F.col("back")).alias("pos"), F.col("back").alias("len")))
-        runs = runs.filter(f"len >= {width} and len < {2 * width}").distinct()
         rank = at.select(*PLACE, F.col("rank").alias("head"))
         tail = at.select("doc", "body", (F.col("pos")).alias("last"), F.col("rank").alias("tail"))
-        keyed = scratch.save(runs.join(rank, PLACE).withColumn("last", F.col("pos") + F.col("len") - width).join(tail, ["doc", "body", "last"]).select(*PLACE, "len", "head", "tail"), f"runs-{level}")
+        keyed = scratch.save(runs.filter(f"len >= {width} and len < {2 * width}").join(rank, PLACE).withColumn("last", F.col("pos") + F.col("len") - width).join(tail, ["doc", "body", "last"]).select(*PLACE, "len", "head", "tail"), f"runs-{level}")
         first = scratch.save(keyed.groupBy("len", "head", "tail").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1").drop("n"), f"first-{level}")
         later = keyed.join(first, ["len", "head", "tail"]).filter(F.struct(*PLACE) > F.col("first"))
         spans.append(scratch.save(later.select("doc", "body", "pos", "len"), f"later-{level}"))
         scratch.drop(f"runs-{level}", f"first-{level}")
-        if not at.filter(f"ahead >= {2 * width} or back >= {2 * width}").limit(1).count():
+        if longest < 2 * width:
             break
         ahead = Window.partitionBy("doc", "body").orderBy("pos").rangeBetween(width, width)
         pairs = scratch.save(at.withColumn("next", F.max("rank").over(ahead)).filter("next is not null"), f"pairs-{level}")
@@ -81,7 +81,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> Da
         old = f"level-{level}"
         level += 1
         longer = named.select(F.col("head").alias("rank"), F.col("tail").alias("next"), F.col("rank").alias("new"))
-        at = scratch.save(pairs.join(longer, ["rank", "next"]).select(*PLACE, "at", "ahead", "back", F.col("new").alias("rank")), f"level-{level}")
+        at = scratch.save(pairs.join(longer, ["rank", "next"]).select(*PLACE, F.col("new").alias("rank")), f"level-{level}")
         scratch.drop(old, f"pairs-{level - 1}", f"names-{level - 1}", f"names-{level - 1}-spread")
     every = spans[0]
     for s in spans[1:]:
