@@ -14,6 +14,8 @@ from .scratch import Scratch
 COORDINATES = 64
 #: Equal coordinates that make a candidate. A pair of similarity 0.75 has 48 on average; fewer than 28 has a chance below 1e-7.
 MATCHES = 28
+#: Hash classes in which common shingles are counted to bound what a pair can share.
+CLASSES = 64
 _U = np.uint64
 _RNG = np.random.default_rng(77)
 _MULTIPLY = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
@@ -78,6 +80,13 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
 
+def _common(batches):
+    count = lambda x: np.bincount(x.values.to_numpy().view(np.uint64) % _U(CLASSES), minlength=CLASSES) if x.is_valid else 0
+    for b in batches:
+        rows = [(count(all_) - count(own)).astype(np.int32) for all_, own in zip(b.column(1), b.column(2), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "common"])
+
+
 def _linked(percent: int):
     def local(batches):
         for b in batches:
@@ -92,25 +101,37 @@ def _linked(percent: int):
 
 
 class _Search:
-    """Candidate pairs among representatives, and their links on full sets."""
+    """Links among candidate documents: equal coordinates first, then full sets, each made once for all rounds."""
+
+    def __init__(self, documents: DataFrame, heads: DataFrame, candidates: DataFrame, scratch: Scratch, percent: int):
+        self.scratch, self.percent, self.round = scratch, percent, 0
+        ids = candidates.select("doc_id").distinct()
+        self.sig = scratch.save(heads.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
+        self.sets = scratch.save(documents.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+
+    def common_shingles(self, rest: DataFrame) -> DataFrame:
+        """``doc_id, common``: per hash class, how many of a document's shingles another document of ``rest`` has too.
 
-    def __init__(self, documents: DataFrame, heads: DataFrame, scratch: Scratch, percent: int):
-        self.documents, self.heads, self.scratch, self.percent, self.round = documents, heads, scratch, percent, 0
+        Two documents have at most the sum of the classes' smaller counts in common.
+        """
+        sets = self.scratch.save(self.sets.join(rest.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "rest-sets")
+        seen = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+        own = seen.filter("n = 1").groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
+        return sets.join(own, "doc_id", "left").mapInArrow(_common, "doc_id long, common array<int>")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that have enough equal coordinates and then are linked on their full sets."""
         self.round += 1
-        k, sig = self.round, self.heads.select("doc_id", "n_shingles", "sig")
-        left = sig.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-        right = sig.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+        k = self.round
+        left = self.sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
+        right = self.sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        sized = (F.col("na") * 100 >= F.col("nb") * self.percent) & (F.col("nb") * 100 >= F.col("na") * self.percent)
-        close = self.scratch.save(pairs.join(left, "a").join(right, "b").filter(sized).filter(equal >= MATCHES).select("a", "b"), f"close-{k}")
-        used = close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct()
-        sets = self.scratch.save(self.documents.join(used, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), f"sets-{k}")
-        full = close.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+        close = self.scratch.save(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(equal >= MATCHES).select("a", "b"), f"close-{k}")
+        x = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge")
+        y = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge")
+        full = close.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         linked = self.scratch.save(full.mapInArrow(_linked(self.percent), "a long, b long, linked boolean").filter("linked").select("a", "b"), f"linked-{k}")
-        self.scratch.drop(f"sets-{k}", f"close-{k}")
+        self.scratch.drop(f"close-{k}")
         return linked
 
 
@@ -124,10 +145,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     value of its signature. Lists with one entry are skipped; of the others a
     pair with ``MATCHES`` equal coordinates must meet in the rarest few of
     each side (prefix), so the long lists are not merged but looked up in the
-    signatures. In a list all entries are first held against the list's
-    smallest id; linked entries become one component. Only entries of lists
-    that still hold several components are paired. Every pair is confirmed on
-    full sets. Texts without words have empty sets and no links; null ids
+    signatures. In a list all entries are first held against the entry whose
+    coordinates are shared most, as a source is by its edited copies; linked entries become one component. Only entries of lists
+    that still hold several components are paired, and of those no pair whose
+    sizes ask for more common shingles than the two can have, by counts of
+    shingles that aren't a document's own. Every pair is confirmed on full sets. Texts without words have empty sets and no links; null ids
     have no links and a null component.
     """
     scratch = Scratch(documents.sparkSession, "near-dedup")
@@ -140,21 +162,26 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     often = scratch.save(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     shared = posts.join(often, "key")
     mine = Window.partitionBy("doc_id")
-    ranked = shared.withColumn("m", F.count("*").over(mine)).filter(F.col("m") >= MATCHES).withColumn("r", F.row_number().over(mine.orderBy("n", "key")))
-    prefix = scratch.save(ranked.filter(F.col("r") <= F.col("m") - MATCHES + 1).select("key", "doc_id", "n_shingles"), "prefix")
+    ranked = shared.withColumn("m", F.count("*").over(mine)).withColumn("score", F.sum("n").over(mine)).filter(F.col("m") >= MATCHES).withColumn("r", F.row_number().over(mine.orderBy("n", "key")))
+    prefix = scratch.save(ranked.filter(F.col("r") <= F.col("m") - MATCHES + 1).select("key", "doc_id", "n_shingles", "score"), "prefix")
     scratch.drop("often")
-    search = _Search(text.filter("doc_id is not null"), heads, scratch, percent)
-    leaders = scratch.save(prefix.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a"), "leaders")
-    star = scratch.save(prefix.join(leaders, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "star")
+    search = _Search(text.filter("doc_id is not null"), heads, prefix, scratch, percent)
+    leaders = scratch.save(prefix.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"), "doc_id", "n_shingles")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("top.doc_id").alias("a"), F.col("top.n_shingles").alias("na")), "leaders")
+    sized = f"100 * n_shingles >= {percent} * na and 100 * na >= {percent} * n_shingles"
+    star = scratch.save(prefix.join(leaders, "key").filter(f"a <> doc_id and {sized}").select("a", F.col("doc_id").alias("b")).distinct(), "star")
     links = search.verify(star)
     labels = connected_components(links, scratch, "first")
     tagged = scratch.save(prefix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "tagged")
     mixed = scratch.save(tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
     rest = scratch.save(tagged.join(mixed, "key"), "rest")
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    near = F.expr(f"doc_id < b and component <> cb and 100 * n_shingles >= {percent} * nb and 100 * nb >= {percent} * n_shingles")
+    total = F.aggregate("common", F.lit(0), lambda s, x: s + x).alias("sum_a")
+    rest = scratch.save(rest.join(search.common_shingles(rest).select("*", total), "doc_id"), "bounded")
+    other = rest.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"))
+    most = "aggregate(zip_with(common, ob, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    near = F.expr(f"""doc_id < b and component <> cb and 100 * n_shingles >= {percent} * nb and 100 * nb >= {percent} * n_shingles
+        and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + nb) and {most} * {100 + percent} >= {percent} * (n_shingles + nb)""")
     pairs = rest.join(other, "key").filter(near).select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = scratch.save(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    pairs = scratch.save(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = search.verify(pairs)
     if more.limit(1).count():
         labels = connected_components(links.union(more), scratch, "second")
