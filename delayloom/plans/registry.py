@@ -1,9 +1,11 @@
 """All queries by name."""
 
+from . import readings
+
 
 def queries():
-    return {}
+    return dict(readings.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(readings.SQL)
