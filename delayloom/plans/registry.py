@@ -1,11 +1,11 @@
 """All queries by name."""
 
-from . import readings
+from . import journeys, readings
 
 
 def queries():
-    return dict(readings.QUERIES)
+    return readings.QUERIES | journeys.QUERIES
 
 
 def oracle_sql():
-    return dict(readings.SQL)
+    return readings.SQL | journeys.SQL
