@@ -87,7 +87,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> Da
     for s in spans[1:]:
         every = every.union(s)
     covered = every.select("doc", "body", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
-    return covered.join(lines.select(*PLACE, "at"), PLACE).groupBy("doc", "body").agg(F.collect_list("at").alias("gone"))
+    return covered.join(lines.select(*PLACE, "at"), PLACE).groupBy("doc", "body").agg(F.collect_set("at").alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 30) -> DataFrame:
