@@ -107,7 +107,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 30) -> DataFrame:
     keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("body"))
     gone = scratch.save(repeated_lines(keyed.select("doc", "body", F.col("row.text").alias("text")).filter("text is not null"), scratch, min_words), "gone")
     scratch.drop("lines")
-    joined = keyed.join(gone, ["doc", "body"], "left")
+    joined = keyed.join(gone.hint("merge"), ["doc", "body"], "left")
     text = F.col("row.text")
     cut = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
