@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id. Rows without an id stay."""
     ship(spark)
     groups = Scratch(spark, "pipeline-near").save(near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(groups.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     report = mixing.mix_sources(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
     turns = report.filter("2 * taken >= size").groupBy("doc_id").agg(F.count("*").alias("turns"))
     turns = Scratch(spark, "pipeline-mix").save(turns, "turns")
-    joined = docs.select(F.col("doc_id"), _row(docs).alias("row")).join(turns, "doc_id")
+    joined = docs.select(F.col("doc_id"), _row(docs).alias("row")).join(turns.hint("merge"), "doc_id")
     return joined.select(F.explode(F.array_repeat("row", F.col("turns").cast("int"))).alias("row")).select("row.*")
 
 
