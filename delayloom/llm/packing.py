@@ -6,6 +6,7 @@ import base64
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,12 @@ class Encoder:
         return ids
 
 
+@lru_cache(maxsize=2)
+def _encoder(rank_file: str, pattern: str) -> Encoder:
+    """One encoder per worker process, so that later tasks find its words."""
+    return Encoder(rank_file, pattern)
+
+
 def cut(n: int, capacity: int, fine: int) -> list[tuple[int, int]]:
     """(length, pieces per bin) of a document of ``n`` ids.
 
@@ -86,7 +93,7 @@ def document_pieces(documents: DataFrame, rank_file: str, pattern: str, end_id:
     """Pieces of ``documents(doc_id, text)`` with their class: how many of them fill one bin."""
 
     def local(batches):
-        encode, end = Encoder(rank_file, pattern), array("I", [end_id]).tobytes()
+        encode, end = _encoder(rank_file, pattern), array("I", [end_id]).tobytes()
         for b in batches:
             cols = [array("q") for _ in range(5)]
             ids_of = []
