@@ -15,52 +15,65 @@ class CollisionIndex:
     of the block one norm. Each projection is kept as one sorted array; a row
     collides with a query where it lies in the query's window. Widening all
     windows by the same factor is virtual rehashing: nothing is hashed anew.
+    The first width is the one at which a few of the block's own rows are about
+    to find ``enough`` others.
     """
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, projections: int, seed: int = 5):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, projections: int, threshold: float, enough: int, seed: int = 5, first: float = 0.08, factor: float = 1.35, probes: int = 16):
         norm = np.sqrt((x * x).sum(1))
         top = norm.max()
         lifted = np.hstack([x, np.sqrt(np.maximum(top**2 - norm**2, 0))[:, None]]) / top
         self.axes = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
         p = lifted @ self.axes
-        self.order = np.argsort(p, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(p, self.order.T.astype(np.int64), 0).T
+        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(p, self.order.T, 0).T
         self.x, self.ids = x, ids
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, threshold: float, enough: int, first: float = 0.08, factor: float = 1.35):
-        """Per query the best ``k`` verified rows of the block: (query row, ids, scores)."""
-        n, m = len(self.ids), len(self.order)
-        need = int(np.ceil(threshold * m))
+        self.need, self.enough, self.factor, self.first = int(np.ceil(threshold * projections)), enough, factor, first
+        if len(ids) > enough:
+            ends = [r for _, _, r in self.candidates(p[:: max(1, len(ids) // probes)])]
+            self.first = max(first, min(ends) / factor)
+
+    def candidates(self, at: np.ndarray):
+        """(query row, rows of the block over the collision threshold, last width) per projected query."""
+        n, count = len(self.ids), np.zeros((len(at), len(self.ids)), np.int32)
+        low = np.stack([np.searchsorted(s, v) for s, v in zip(self.sorted, at.T, strict=True)], 1)
+        high, busy, r = low.copy(), np.arange(len(at)), self.first
+        while len(busy):
+            a = np.stack([np.searchsorted(s, v) for s, v in zip(self.sorted, at[busy].T - r, strict=True)], 1)
+            b = np.stack([np.searchsorted(s, v, side="right") for s, v in zip(self.sorted, at[busy].T + r, strict=True)], 1)
+            open_ = []
+            for i, lo, hi in zip(busy, a.tolist(), b.tolist(), strict=True):
+                if sum(hi) - sum(lo) >= self.enough * self.need:
+                    new = [o[x:y] for o, l, h, u, v in zip(self.order, lo, hi, low[i].tolist(), high[i].tolist(), strict=True) for x, y in ((l, u), (v, h)) if y > x]
+                    if new:
+                        count[i] += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
+                    low[i], high[i] = lo, hi
+                    found = np.flatnonzero(count[i] >= self.need)
+                    if len(found) >= self.enough or len(found) == n:
+                        yield i, found, r
+                        continue
+                open_.append(i)
+            busy, r = np.array(open_, np.int64), r * self.factor
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, together: int = 64):
+        """Per query the best ``k`` verified rows of the block: (query row, ids, scores); ``together`` bounds the counters held at once."""
+        n = len(self.ids)
         norm = np.sqrt((queries * queries).sum(1))[:, None]
         at = np.hstack([queries / norm, np.zeros((len(queries), 1))]) @ self.axes
-        for i, (q, qid, p) in enumerate(zip(queries, query_ids, at, strict=True)):
-            if n <= enough:
-                found = np.arange(n)
-            else:
-                count, r = np.zeros(n, np.int64), first
-                a = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, p, strict=True)])
-                b = a.copy()
-                while True:
-                    low = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, p - r, strict=True)])
-                    high = np.array([np.searchsorted(s, v, side="right") for s, v in zip(self.sorted, p + r, strict=True)])
-                    new = [o[x:y] for o, lo, hi, u, v in zip(self.order, low, high, a, b, strict=True) for x, y in ((lo, u), (v, hi)) if y > x]
-                    if new:
-                        count += np.bincount(np.concatenate(new), minlength=n)
-                    a, b = low, high
-                    found = np.flatnonzero(count >= need)
-                    if len(found) >= enough or len(found) == n:
-                        break
-                    r *= factor
-            score = self.x[found] @ q
-            own = self.ids[found] != qid
-            found, score = found[own], score[own]
-            if len(score) > k:
-                floor = np.partition(score, -k)[-k]
-                few = score >= floor - 1e-9
-                found, score = found[few], score[few]
-            score = np.array([_dot(self.x[j], q) for j in found])
-            best = np.lexsort((self.ids[found], -score))[:k]
-            yield i, self.ids[found][best], score[best]
+        for start in range(0, len(at), together):
+            part = at[start : start + together]
+            for i, found, _ in self.candidates(part) if n > self.enough else ((i, np.arange(n), 0.0) for i in range(len(part))):
+                q = queries[start + i]
+                score = self.x[found] @ q
+                own = self.ids[found] != query_ids[start + i]
+                found, score = found[own], score[own]
+                if len(score) > k:
+                    floor = np.partition(score, -k)[-k]
+                    few = score >= floor - 1e-9
+                    found = found[few]
+                score = np.array([_dot(self.x[j], q) for j in found])
+                best = np.lexsort((self.ids[found], -score))[:k]
+                yield start + i, self.ids[found][best], score[best]
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> float:
@@ -75,7 +88,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, chunk: int = 2048, projections: int = 48, threshold: float = 0.6, share: float = 0.08) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 8192, chunk: int = 2048, projections: int = 48, threshold: float = 0.6, share: float = 0.1) -> DataFrame:
     """query_id, rank, vec_id, score: about the ``k`` rows of ``vectors`` with largest inner product per query.
 
     Every row is indexed, in blocks of about ``block`` rows; queries go in
@@ -97,15 +110,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, bloc
     right = usable(queries).select(dim, deal("vec_id", chunks, "chunk").alias("c"), every(blocks).alias("b"), "vec_id", "embedding")
 
     def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [[np.array([], np.int64)], [np.array([], np.int64)], [np.array([], float)]]
         if len(rows) and len(asked):
-            rows, asked = rows.sort_values("vec_id", kind="stable"), asked.drop_duplicates("vec_id")
-            index = CollisionIndex(np.stack(rows["embedding"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy(), projections)
-            q = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-            enough = max(8 * k, int(share * len(rows)))
-            for i, ids, score in index.search(q, asked["vec_id"].to_numpy(), k, threshold, enough):
-                out.append(pd.DataFrame({"query_id": asked["vec_id"].iloc[i], "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})
+            rows, asked = rows.sort_values("vec_id", kind="stable"), asked.drop_duplicates("vec_id").sort_values("vec_id")
+            x, q, q_ids = np.stack(rows["embedding"].to_numpy()).astype(np.float64), np.stack(asked["embedding"].to_numpy()).astype(np.float64), asked["vec_id"].to_numpy()
+            index = CollisionIndex(x, rows["vec_id"].to_numpy(), projections, threshold, max(8 * k, int(share * len(rows))))
+            for i, ids, score in index.search(q, q_ids, k):
+                for to, v in zip(out, (np.full(len(ids), q_ids[i]), ids, score), strict=True):
+                    to.append(v)
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     found = left.groupBy("dim", "b", "c").cogroup(right.groupBy("dim", "b", "c")).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
