@@ -46,7 +46,14 @@ query("next_trains", NEXT + "SELECT req_id, train_id, service_day, dep, arr, pla
 query("covering_lines", LEGS + "SELECT DISTINCT origin, destination, line, direction FROM pairs JOIN legs USING (origin, destination)")(lambda s, d: journeys.covering_lines(journeys.pairs_of(A.requests(s, d)), *_t(s, d)))
 query("missing_direction", LEGS + "SELECT DISTINCT p.origin, p.destination, l.line FROM pairs p JOIN legs l ON l.origin = p.destination AND l.destination = p.origin WHERE NOT EXISTS (SELECT 1 FROM legs x WHERE x.origin = p.origin AND x.destination = p.destination AND x.line = l.line)")(lambda s, d: journeys.missing_direction(journeys.pairs_of(A.requests(s, d)), *_t(s, d)))
 query("interchanges", LEGS + "SELECT DISTINCT p.origin, p.destination, c1.code AS change FROM pairs p JOIN places a ON a.code = p.origin JOIN places b ON b.code = p.destination AND a.line <> b.line JOIN places c1 ON c1.line = a.line JOIN places c2 ON c2.code = c1.code AND c2.line = b.line WHERE c1.code NOT IN (p.origin, p.destination)")(lambda s, d: journeys.interchanges(journeys.pairs_of(A.requests(s, d)), A.places(s, d)))
-query("one_change")(lambda s, d: journeys.one_change(A.requests(s, d), *_t(s, d), A.places(s, d)))
+query("one_change", LEGS + f""", inter AS (SELECT DISTINCT p.origin, p.destination, c1.code AS change FROM pairs p JOIN places a ON a.code = p.origin JOIN places b ON b.code = p.destination AND a.line <> b.line JOIN places c1 ON c1.line = a.line JOIN places c2 ON c2.code = c1.code AND c2.line = b.line WHERE c1.code NOT IN (p.origin, p.destination)),
+common AS (SELECT * FROM legs WHERE NOT is_ladies_special),
+via AS (SELECT r.req_id, r.origin, r.destination AS goal, i.change, (floor(epoch(r.at_))::BIGINT + 19800) // 60 AS now FROM requests r JOIN inter i USING (origin, destination)),
+one0 AS (SELECT v.req_id, v.change, v.goal, v.now, l.*, DATE '1970-01-01' + (v.now // 1440 + off)::INTEGER AS service_day, (v.now // 1440 + off) * 1440 + run_start_min + o_min AS dep, (v.now // 1440 + off) * 1440 + run_start_min + d_min AS arr FROM via v JOIN common l ON l.origin = v.origin AND l.destination = v.change CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
+one AS (SELECT req_id, change, goal, train_id AS train_1, line AS line_1, dep AS dep_1, arr AS arr_1, arr + 5 AS now FROM (SELECT *, row_number() OVER (PARTITION BY req_id, change ORDER BY dep, arr, train_id) AS place FROM one0 WHERE dep >= now AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 6),
+two0 AS (SELECT a.*, l.train_id AS train_2, l.line, l.days, DATE '1970-01-01' + (a.now // 1440 + off)::INTEGER AS service_day, (a.now // 1440 + off) * 1440 + run_start_min + o_min AS dep, (a.now // 1440 + off) * 1440 + run_start_min + d_min AS arr FROM one a JOIN common l ON l.origin = a.change AND l.destination = a.goal CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id, change, train_1, dep_1 ORDER BY dep, arr, train_2) AS place FROM two0 WHERE dep >= now AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 3 AND dep <= arr_1 + 60 AND line <> line_1)
+SELECT req_id, arr, dep_1 AS dep, change, train_1, train_2 FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY arr, dep_1 DESC, change, train_1, train_2) AS r FROM two) WHERE r = 1""")(lambda s, d: journeys.one_change(A.requests(s, d), *_t(s, d), A.places(s, d)))
 query("no_train_reason", LEGS + """SELECT origin, destination, CASE WHEN EXISTS (SELECT 1 FROM legs l WHERE l.origin = p.origin AND l.destination = p.destination) THEN 'served' WHEN EXISTS (SELECT 1 FROM legs l WHERE l.origin = p.destination AND l.destination = p.origin) THEN 'direction_missing'
  WHEN NOT EXISTS (SELECT 1 FROM places a JOIN places b USING (line) WHERE a.code = p.origin AND b.code = p.destination) THEN 'different_lines' ELSE 'no_single_train' END AS reason FROM pairs p""")(lambda s, d: journeys.no_train_reason(journeys.pairs_of(A.requests(s, d)), *_t(s, d), A.places(s, d)))
 MATCH = BASE + f""", said AS (SELECT id, reported_at, substr(train_description, 1, 2)::INTEGER * 60 + substr(train_description, 4, 2)::INTEGER AS m, CASE WHEN contains(train_description, 'fast') THEN 'fast' ELSE 'slow' END AS said_type, right(train_description, 3) AS station_code, crowd_level, (floor(epoch(reported_at))::BIGINT + 19800) // 60 AS logged FROM crowd_reports),
@@ -112,7 +119,15 @@ def _scored(s, d):
 query("crowding_rule_score", CROWD + "SELECT req_id, place, period, round(rule_score, 6) AS rule_score FROM rs")(lambda s, d: _scored(s, d).select("req_id", "place", "period", F.round("rule_score", 6).alias("rule_score")))
 
 
-@query("crowding_estimate")
+@query("crowding_estimate", CROWD + MATCH.removeprefix(BASE) + """, best AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id ORDER BY score DESC, dep, train_id)),
+matched AS (SELECT id, train_id FROM best WHERE r = 1 AND round_even(score - coalesce(second, 0) / 2, 3) >= 0.6),
+said_of AS (SELECT w.station_code, t.line, w.train_type, m.train_id, w.wanted % 1440 AS minute, DATE '1970-01-01' + (w.wanted // 1440)::INTEGER AS day, w.crowd_level FROM wanted w JOIN matched m USING (id) JOIN trains t ON t.train_id = m.train_id),
+alike AS (SELECT x.req_id, x.place, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin AND s.line = x.line AND s.train_type = x.train_type AND s.train_id <> x.train_id
+ AND least(abs(x.dep % 1440 - s.minute), 1440 - abs(x.dep % 1440 - s.minute)) <= 30 AND date_diff('day', s.day, x.service_day) BETWEEN 0 AND 90 GROUP BY ALL),
+own AS (SELECT x.req_id, x.place, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin AND s.train_id = x.train_id AND date_diff('day', s.day, x.service_day) BETWEEN 0 AND 90 GROUP BY ALL),
+joined AS (SELECT x.req_id, x.place, x.rule_score::DOUBLE AS rule, coalesce(a.n, 0) AS similar_n, coalesce(o.n, 0) AS own_n, coalesce(a.total, 0)::DOUBLE AS sa, coalesce(o.total, 0)::DOUBLE AS so, CASE WHEN o.n > 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS w FROM rs x LEFT JOIN alike a USING (req_id, place) LEFT JOIN own o USING (req_id, place)),
+blend AS (SELECT *, own_n + w * similar_n AS n FROM joined)
+SELECT req_id, place, similar_n, own_n, least(5, greatest(1, ceil(CASE WHEN n > 0 THEN (1 - n / (n + 3)) * rule + n / (n + 3) * ((so + w * sa) / n) ELSE rule END - 0.5)))::INTEGER AS crowd_score FROM blend""")
 def crowding_estimate(s, d):
     trips = _scored(s, d).select(F.struct("req_id", "place").alias("key"), F.col("origin").alias("station_code"), "line", "train_type", "train_id", F.pmod("dep", F.lit(1440)).alias("minute"), F.col("service_day").alias("day"), "rule_score")
     m = matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d))).filter("train_id IS NOT NULL").select("id", "train_id")
@@ -131,8 +146,21 @@ SELECT * FROM (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay
 )
 query("cancelled_trains", BASE + "SELECT DISTINCT req_id, train_id FROM requests r JOIN observations o ON o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR")(lambda s, d: recommend.cancelled_trains(A.requests(s, d), A.observations(s, d)))
 query("live_readings", NEXT + "SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.source <> 'synthetic' AND o.point_seq + 1 <= t.o_seq AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL")(lambda s, d: recommend.live_readings(journeys.next_trains(A.requests(s, d), *_t(s, d)), _clean(s, d)))
-query("recommend_options")(lambda s, d: _options(s, d).select("req_id", "train_id", "dep", "arr", "delay", "cancelled", "expected_arr", "crowd_score"))
-query("choose")(lambda s, d: recommend.choose(_options(s, d)))
+OPTIONS = NEXT + """, past AS (SELECT * FROM (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.5) AS past_delay, count(*) AS n FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL) WHERE n >= 5),
+live AS (SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.source <> 'synthetic' AND o.point_seq + 1 <= t.o_seq AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL),
+gone AS (SELECT DISTINCT req_id, train_id, true AS gone FROM requests r JOIN observations o ON o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR),
+late AS (SELECT t.*, coalesce(gone, false) AS cancelled, CASE WHEN live_delay > 0 THEN greatest(live_delay, coalesce(past_delay, 0)) ELSE coalesce(past_delay, 0) END::DOUBLE AS delay FROM trips t LEFT JOIN past USING (req_id, train_id, service_day) LEFT JOIN live USING (req_id, train_id, service_day) LEFT JOIN gone USING (req_id, train_id)),
+ahead AS (SELECT *, dep + greatest(delay, 0) AS expected_dep, arr + greatest(delay, 0) AS expected_arr, coalesce(lag(cancelled) OVER w, false) AS ahead_cancelled, lag(delay) OVER w AS ahead_delay FROM late WINDOW w AS (PARTITION BY req_id, line ORDER BY dep, arr, train_id)),
+facts AS (SELECT *, CASE WHEN ahead_cancelled THEN 1 WHEN ahead_delay >= 10 THEN 0.5 ELSE 0 END AS extra FROM ahead)""" + CROWD.removeprefix(NEXT).replace("FROM trips", "FROM facts").replace("2 + CASE period", "2 + extra + CASE period") + """, options AS (SELECT *, ceil(rule_score - 0.5)::INTEGER AS crowd_score FROM rs)
+"""
+CHOOSE = OPTIONS + """, running AS (SELECT *, delay >= 15 AS very_late, row_number() OVER (PARTITION BY req_id ORDER BY expected_arr, dep, train_id) AS k, count(*) OVER (PARTITION BY req_id) AS n FROM options WHERE NOT cancelled AND NOT is_ladies_special),
+steady AS (SELECT r.req_id, min(r.k) AS k FROM running r JOIN running f ON f.req_id = r.req_id AND f.k = 1 AND f.very_late AND NOT r.very_late AND r.expected_arr <= f.expected_arr + 10 GROUP BY r.req_id),
+base AS (SELECT r.req_id, r.k, r.expected_arr, r.crowd_score, s.k IS NOT NULL AS swapped FROM running r LEFT JOIN steady s ON s.req_id = r.req_id WHERE r.k = coalesce(s.k, 1)),
+emptier AS (SELECT r.req_id, arg_min(r.k, (r.crowd_score, r.k)) AS k FROM running r JOIN base b ON b.req_id = r.req_id AND r.k <> b.k AND r.expected_arr <= b.expected_arr + 5 AND r.crowd_score <= b.crowd_score - 1 AND NOT r.very_late GROUP BY r.req_id),
+pick AS (SELECT r.*, CASE WHEN e.k IS NOT NULL THEN 'crowding' WHEN swapped THEN 'very_late' WHEN n = 1 THEN 'only' ELSE 'earliest' END AS rule FROM base b LEFT JOIN emptier e ON e.req_id = b.req_id JOIN running r ON r.req_id = b.req_id AND r.k = coalesce(e.k, b.k))
+SELECT req_id, train_id, dep, expected_arr, crowd_score, EXISTS (SELECT 1 FROM running x WHERE x.req_id = p.req_id AND x.k <> p.k AND x.expected_dep < p.expected_dep) AS wait, rule FROM pick p"""
+query("recommend_options", OPTIONS + "SELECT req_id, train_id, dep, arr, delay, cancelled, expected_arr, crowd_score FROM options")(lambda s, d: _options(s, d).select("req_id", "train_id", "dep", "arr", "delay", "cancelled", "expected_arr", "crowd_score"))
+query("choose", CHOOSE)(lambda s, d: recommend.choose(_options(s, d)))
 query("source_health", BASE + """SELECT source, count_if(status = 'ok')::BIGINT AS ok, count_if(status = 'partial')::BIGINT AS partial, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'skipped_disabled')::BIGINT AS skipped_disabled, sum(CASE WHEN status <> 'skipped_disabled' THEN readings ELSE 0 END)::BIGINT AS readings,
  CASE arg_max(status, (started_at, batch_id)) FILTER (status <> 'skipped_disabled') WHEN 'failed' THEN 'down' ELSE 'up' END AS state FROM collector_runs GROUP BY source""")(lambda s, d: health.source_health(A.collector_runs(s, d)))
 query("outages", BASE + """, i AS (SELECT *, sum((status <> 'failed')::INTEGER) OVER (PARTITION BY source ORDER BY started_at, batch_id) AS island FROM collector_runs WHERE status <> 'skipped_disabled')
