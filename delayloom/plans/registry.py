@@ -1,11 +1,11 @@
 """All queries by name."""
 
-from . import journeys, readings
+from . import commute, journeys, readings
 
 
 def queries():
-    return readings.QUERIES | journeys.QUERIES
+    return readings.QUERIES | journeys.QUERIES | commute.QUERIES
 
 
 def oracle_sql():
-    return readings.SQL | journeys.SQL
+    return readings.SQL | journeys.SQL | commute.SQL

@@ -102,3 +102,12 @@ def collector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls: one per batch and source seen in the readings."""
     o = observations(spark, sf_dir).groupBy("batch_id", "source").agg(F.count("*").alias("readings"), F.min("observed_at").alias("started_at"))
     return o.selectExpr("batch_id", "source", "started_at", "readings", "CASE WHEN CAST(substr(batch_id, 10, 4) AS INT) % 7 = 0 THEN 'failed' WHEN readings % 5 = 0 THEN 'partial' WHEN CAST(substr(batch_id, 10, 4) AS INT) % 11 = 0 THEN 'skipped_disabled' ELSE 'ok' END AS status")
+
+
+def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Favourite routes: one per customer whose ends differ, and the way back for every third."""
+    c = _read(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "'S' || lpad(CAST(c_custkey % 25 AS STRING), 2, '0') AS a", "'S' || lpad(CAST((c_custkey * 3 + 5) % 25 AS STRING), 2, '0') AS b").filter("a <> b")
+    same = ["CASE WHEN k % 4 = 0 THEN 'YYYYYYY' ELSE 'YYYYYNN' END AS weekdays", "k % 5 <> 0 AS notify", "k % 7 <> 0 AS nudge"]
+    out = c.selectExpr("k AS user_id", "'home' AS name", "a AS from_station", "b AS to_station", "CASE WHEN k % 11 <> 0 THEN (k * 37) % 1440 END AS usual", "k % 2 = 0 AS is_default", *same)
+    back = c.filter("k % 3 = 0").selectExpr("k AS user_id", "'return' AS name", "b AS from_station", "a AS to_station", "CASE WHEN k % 11 <> 0 THEN (k * 37 + 540) % 1440 END AS usual", "k % 2 <> 0 AS is_default", *same)
+    return out.unionByName(back)
