@@ -1,11 +1,11 @@
 """All queries by name."""
 
-from . import commute, journeys, readings
+from . import boards, commute, journeys, readings
 
 
 def queries():
-    return readings.QUERIES | journeys.QUERIES | commute.QUERIES
+    return readings.QUERIES | journeys.QUERIES | commute.QUERIES | boards.QUERIES
 
 
 def oracle_sql():
-    return readings.SQL | journeys.SQL | commute.SQL
+    return readings.SQL | journeys.SQL | commute.SQL | boards.SQL
