@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,131 @@ def allowed_moves(sizes: list[int], wanted: dict[tuple[int, int], int], capacity
     return {}
 
 
+def _fill(groups: list[tuple[int, int, int]], quota: list[int], rule: str, large: str) -> tuple[int, list[tuple[int, int, int, int]], list[tuple[int, int, dict[int, int]]]]:
+    """One order of filling shards; see ``group_places``."""
+    room, at, whole, loose, failed = list(quota), {}, [], [], 0
+
+    def put(home: int, size: int, k: int, count: int) -> None:
+        room[k] -= size * count
+        whole.append((home, size, count, k))
+
+    def part(rows: int, into: dict[int, int]) -> None:
+        while rows:
+            k = max(range(len(room)), key=lambda k: (room[k], -k))
+            n = min(rows, room[k])
+            into[k], room[k], rows = into.get(k, 0) + n, room[k] - n, rows - n
+
+    queue = defaultdict(list)
+    for home, size, count in groups:
+        if size <= max(quota):
+            queue[size].append((home, count, None))
+            continue
+        for _ in range(count):
+            rest, into = size, {}
+            while large != "last" and (free := [k for k in range(len(room)) if 0 < room[k] == quota[k] <= rest]):
+                k = home if home in free else free[0]
+                into[k], room[k], rest = room[k], 0, rest - room[k]
+            loose.append((home, size, into))
+            if large == "first" and 0 < rest:
+                queue[rest].append((home, 1, into))
+            else:
+                at[id(into)] = rest
+    for size in sorted(queue, reverse=True):
+        left = []
+        for home, count, into in sorted(queue[size], key=lambda x: (x[2] is not None, x[0])):
+            n = min(count, room[home] // size) if rule == "home" and into is None else 0
+            if n:
+                put(home, size, home, n)
+            left.append((home, count - n, into))
+        for home, count, into in left:
+            while count:
+                fits = [k for k in range(len(room)) if room[k] >= size]
+                if not fits:
+                    break
+                if into is not None:
+                    k = min(fits, key=lambda k: (room[k], k))
+                    into[k], room[k], count = into.get(k, 0) + size, room[k] - size, 0
+                elif rule == "tight":
+                    k = min(fits, key=lambda k: (room[k], k))
+                    n = min(count, room[k] // size)
+                    put(home, size, k, n)
+                    count -= n
+                else:
+                    k, *others = sorted(fits, key=lambda k: (-room[k], k))
+                    n = min(count, room[k] // size, max(1, count // len(room), (room[k] - room[others[0]]) // size if others else count))
+                    put(home, size, k, n)
+                    count -= n
+            if into is not None:
+                at[id(into)] = size * count
+            else:
+                failed += count
+                for _ in range(count):
+                    loose.append((home, size, {}))
+                    at[id(loose[-1][2])] = size
+    for _, _, into in loose:
+        part(at.get(id(into), 0), into)
+    return failed, whole, loose
+
+
+def group_places(groups: list[tuple[int, int, int]], quota: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, dict[int, int]]]]:
+    """Shards for ``groups`` (home shard, rows, how many such groups), so that none gets more than its quota.
+
+    Returns whole groups (home, rows, how many, shard) and parted ones (home,
+    rows, rows by shard). Largest first, a group stays at home or goes to the
+    shard with most room; single rows come after all groups, so their room is
+    free for any. Only groups above the largest quota must be parted; another
+    one is parted where no shard has that much room left, when less than its
+    size times the number of shards is still to be placed. As that depends on
+    the order, other orders are tried too (tightest shard first; rests of the
+    large groups, or all their rows, last), and the one with fewest such groups is taken.
+    """
+    groups = sorted(groups, key=lambda g: (-g[1], g[0]))
+    best = None
+    for rule in ("home", "tight", "wide"):
+        for large in ("first", "rest last", "last"):
+            tried = _fill(groups, quota, rule, large)
+            if best is None or tried[0] < best[0]:
+                best = tried
+            if not best[0]:
+                return best[1:]
+    return best[1:]
+
+
+def _settled(state: DataFrame, names: list[str], quota: list[int], scratch: Scratch) -> DataFrame:
+    """``state`` with every group of ``link`` in one shard as far as groups fit; ``grouped_`` tells its rows from single ones.
+
+    The driver gets groups counted by home and size: sizes differ, so there are
+    at most about n_shards * sqrt(2 * rows) such counts.
+    """
+    spark, n_shards = state.sparkSession, len(quota)
+    cells = scratch.save(state.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n")), "cells")
+    home = F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("at")))["at"]
+    groups = cells.groupBy("link").agg(home.alias("home"), F.sum("n").alias("n")).filter("n > 1")
+    groups = scratch.save(groups.select("link", "home", "n", (F.col("n") * n_shards + F.col("home")).alias("class_")), "groups")
+    whole, parted = group_places([tuple(r) for r in groups.groupBy("home", "n").count().collect()], quota)
+    places, pieces, used = [], [], defaultdict(int)
+    for k, (at, size, count, to) in enumerate([*whole, *((at, size, 1, None) for at, size, _ in parted)]):
+        c = size * n_shards + at
+        places.append((c, used[c], used[c] + count, -1 - (k - len(whole)) if to is None else to))
+        used[c] += count
+    for k, (_, _, into) in enumerate(parted):
+        low = 0
+        for to, n in sorted(into.items()):
+            pieces.append((-1 - k, low, low + n, to))
+            low += n
+    table = lambda rows, names: F.broadcast(spark.createDataFrame(rows, names))
+    ranked = running(groups, scratch, "classes", "class_", [F.col("link")]).join(table(places, "class_ long, low_ long, high_ long, to_ int"), "class_")
+    to = ranked.filter("rank_ >= low_ and rank_ < high_").select("link", "to_")
+    to = scratch.save(cells.select("link", "shard").join(to, "link"), "to")
+    placed = state.join(to, ["link", "shard"], "left").select(*names, F.coalesce("to_", "shard").alias("shard"), F.col("to_").isNotNull().cast("int").alias("grouped_"))
+    if not parted:
+        return placed
+    placed = scratch.save(placed, "placed")
+    rows = running(placed.filter("shard < 0"), scratch, "parted", "shard", [F.col("link"), F.col("doc_id")])
+    rows = rows.join(table(pieces, "shard int, low_ long, high_ long, to_ int"), "shard").filter("rank_ >= low_ and rank_ < high_")
+    return placed.filter("shard >= 0").unionByName(rows.select(*names, F.col("to_").alias("shard"), "grouped_"))
+
+
 def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, max_rounds: int = 6) -> DataFrame:
     """``rows(doc_id, link, ...)`` with ``shard`` and ``slot``; shard counts differ by one at most.
 
@@ -40,9 +167,11 @@ def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, max
     shard counts; documents prefer the shard with most neighbours (ties: by a
     hash, so that they spread) and move there in order of gain, as far as the
     quotas between pairs of shards allow: no shard may pass its mean by more
-    than ``slack`` and the scatter of the start. A last step moves the least attached rows
-    from shards above their quota to shards below it, so that only documents
-    whose neighbours exceed a whole shard are ever parted.
+    than ``slack`` and the scatter of the start. What the rounds leave parted,
+    for want of room at its goal, then gets a shard that has room
+    (``group_places``), and single rows move from shards above their final
+    size to shards below it. So neighbours are parted only where they exceed
+    a whole shard, or where no order tried leaves them room at the exact final sizes.
 
     Neighbour counts are aggregated per (link, shard), never as pairs. Null
     ids, repeated rows and empty tables are placed like any other row.
@@ -72,16 +201,17 @@ def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, max
         moved = ranked.select(*names, F.when(F.col("rank_") < F.coalesce(quota[F.col("way")], F.lit(0)), F.col("goal")).otherwise(F.col("shard")).alias("shard"))
         state = scratch.save(joined.filter("goal is null").select(*names, "shard").unionByName(moved), f"state-{step}")
         scratch.drop(f"state-{step - 1}", f"wishes-{step}", f"joined-{step}", f"asked-{step}")
-    linked = scratch.save(state.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("near_")).filter("near_ > 1"), "near")
-    held = scratch.save(state.join(linked, ["link", "shard"], "left").select(*names, "shard", F.coalesce("near_", F.lit(1)).alias("near_")), "held")
-    counts = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    counts = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     size = [counts.get(k, 0) for k in range(n_shards)]
     quota = [total // n_shards] * n_shards
     for k in sorted(range(n_shards), key=lambda k: (-size[k], k))[: total % n_shards]:
         quota[k] += 1
+    held = scratch.save(_settled(state, names, quota, scratch), "held")
+    counts = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    size = [counts.get(k, 0) for k in range(n_shards)]
     give = [max(0, s - q) for s, q in zip(size, quota, strict=True)]
     given = np.concatenate([[0], np.cumsum(give)])
-    out = running(held, scratch, "slots", "shard", [F.col("near_"), *tie])
+    out = running(held, scratch, "slots", "shard", [F.col("grouped_"), *tie])
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("shard") + 1)
     out = out.withColumn("spare_", F.when(F.col("rank_") < pick(give), F.col("rank_") + pick(given[:-1])))
     to, slot, low = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
