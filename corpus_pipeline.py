@@ -30,19 +30,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id. Rows without an id stay."""
+    """One document of each near-duplicate group stays: the one with the smallest id, and once if it is repeated. Rows without an id stay."""
     ship(spark)
     groups = Scratch(spark, "pipeline-near").save(near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(groups.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(groups.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    key = [F.col("doc_id"), F.xxhash64("text").alias("body_")]
+    again = docs.filter("doc_id is not null").groupBy(*key).agg(F.count("*").alias("n_")).filter("n_ > 1").select("doc_id", "body_")
+    again = Scratch(spark, "pipeline-again").save(again, "again")
+    if not again.limit(1).count():
+        return left
+    keyed = left.withColumn("body_", key[1])
+    first = keyed.join(again, ["doc_id", "body_"], "left_semi").select("doc_id", "text", _row(docs).alias("row")).groupBy("doc_id", "text").agg(F.min("row").alias("row"))
+    return keyed.join(again, ["doc_id", "body_"], "left_anti").select(*docs.columns).unionByName(first.select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document appears once per turn of its queue that takes at least half of its words."""
+    """The mix of sources: a row appears once per turn of its queue that takes at least half of its words.
+
+    Rows are told apart by a number that is written once, so null and repeated ids count like any other.
+    """
     ship(spark)
-    report = mixing.mix_sources(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
-    turns = report.filter("2 * taken >= size").groupBy("doc_id").agg(F.count("*").alias("turns"))
-    turns = Scratch(spark, "pipeline-mix").save(turns, "turns")
-    joined = docs.select(F.col("doc_id"), _row(docs).alias("row")).join(turns.hint("merge"), "doc_id")
+    scratch = Scratch(spark, "pipeline-mix")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row_"), _row(docs).alias("row")), "rows")
+    report = mixing.mix_sources(rows.select("row_", "row.doc_id", "row.source", mixing.word_count(F.col("row.text")).alias("size")))
+    turns = report.filter("2 * taken >= size").groupBy("row_").agg(F.count("*").alias("turns"))
+    turns = scratch.save(turns, "turns")
+    joined = rows.join(turns.hint("merge"), "row_")
     return joined.select(F.explode(F.array_repeat("row", F.col("turns").cast("int"))).alias("row")).select("row.*")
 
 

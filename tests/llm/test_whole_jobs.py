@@ -7,6 +7,8 @@ import pytest
 pytest.importorskip("delayloom.llm")
 from delayloom.llm import sharding  # noqa: E402
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_sharding_parts_no_group_that_fits(spark):
     texts = ["common"] * 2000 + [f"pair {i // 2}" for i in range(2400)] + [f"five {i // 5}" for i in range(1000)] + [f"own {i}" for i in range(600)]
@@ -31,3 +33,29 @@ def test_group_places_keep_quotas():
             assert sum(into.values()) == size
             used.update(into)
         assert sum(used.values()) == sum(sizes) and all(used[k] <= q for k, q in enumerate(quota)) and {s for _, s, _ in rest} == parted
+
+
+def test_pipeline_keeps_rows_without_id_and_mixes_repeated_rows_once(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    good = corpus_pipeline.quality(spark, docs, SF).orderBy("doc_id").limit(60).collect()
+    tagged = [{**r.asDict(), "text": f"{r['text']} unique{k} ending{k} of{k} row{k}"} for k, r in enumerate(good)]
+    null_ids, repeated = [{**x, "doc_id": None, "text": f"{x['text']} without{k}"} for k, x in enumerate(tagged[:12])], [tagged[20]] * 25
+    table = spark.createDataFrame(tagged + null_ids + repeated, docs.schema).repartition(4).localCheckpoint()
+    kept = corpus_pipeline.quality(spark, table, SF).localCheckpoint()
+    judged = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert judged[tagged[20]["doc_id"], tagged[20]["text"]] == 26 and sum(i is None for i, _ in judged.elements()) == 12
+    near = corpus_pipeline.near(spark, kept, SF).localCheckpoint()
+    after = Counter((r["doc_id"], r["text"]) for r in near.collect())
+    assert set(after.values()) == {1} and sum(i is None for i, _ in after) == 12
+    # The mix by itself, with rows that near() would have made one.
+    for rows in (near, kept):
+        words = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(corpus_pipeline.mixing.word_count(F.col("text"))).alias("n")).collect()}
+        before, mixed = words(rows), corpus_pipeline.mix(spark, rows, SF).localCheckpoint()
+        levels = corpus_pipeline.mixing.water_levels(spark.createDataFrame(list(before.items()), "source string, source_size long"))
+        copies, largest = Counter((r["doc_id"], r["text"]) for r in mixed.collect()), max(len(t.split()) for _, t in judged)
+        was = Counter((r["doc_id"], r["text"]) for r in rows.collect())
+        assert all(n <= 3 * was[k] for k, n in copies.items())
+        assert all(abs(words(mixed).get(r["source"], 0) - r["target"]) <= largest for r in levels.collect())
