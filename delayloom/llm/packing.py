@@ -6,7 +6,7 @@ import base64
 import re
 import zlib
 from array import array
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from .scratch import Scratch
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, per_bin long"
 #: White space at which words can't be told apart by single spaces and line ends alone.
 ODD_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]$")
+#: The vocabulary's one added token: it has its own id wherever it stands in a text, and no rank.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 
 
 class Encoder:
@@ -27,8 +29,8 @@ class Encoder:
 
     The vocabulary's pattern never joins letters across a single space or line
     end, so a text of such words is the concatenation of its words' ids. Any
-    other white space sends the whole text to the tokenizer. At most
-    ``remember`` words are held, then the store starts anew.
+    other white space, or the added token, sends the whole text to the
+    tokenizer. At most ``remember`` words are held, then the store starts anew.
     """
 
     def __init__(self, rank_file: str, pattern: str, remember: int = 400_000):
@@ -36,12 +38,13 @@ class Encoder:
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokenizer = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={ADDED: ADDED_ID})
+        self.ordinary, self.encode = tokenizer.encode_ordinary, partial(tokenizer.encode, allowed_special={ADDED})
         self.remember, self.spaced, self.bare = remember, {}, {}
         self.line_end = self.plain("\n")
 
     def plain(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
+        return array("I", (self.encode if ADDED in text else self.ordinary)(text)).tobytes()
 
     def _line(self, line: str) -> bytes:
         head, *rest = line.split(" ")
@@ -59,7 +62,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
+        if ADDED in text or ODD_SPACE.search(text):
             return self.plain(text)
         ids = self.line_end.join([self._line(x) for x in text.split("\n")])
         if len(self.spaced) + len(self.bare) > self.remember:

@@ -2,10 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("delayloom.llm")
-from delayloom.llm import sharding  # noqa: E402
+from delayloom.llm import packing, sharding  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +36,23 @@ def test_group_places_keep_quotas():
         assert sum(used.values()) == sum(sizes) and all(used[k] <= q for k, q in enumerate(quota)) and {s for _, s, _ in rest} == parted
 
 
+def test_packing_ids_of_the_added_token(spark):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>", "one two<|endoftext|><|endoftext|>three\nfour", "<|endoftext|", "a b\n <|endoftext|>\n c", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in enumerate(texts)}
+    assert {r["doc_id"] for r in rows} == set(want)
+    for r in rows:
+        ids = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+
+
 def test_pipeline_keeps_rows_without_id_and_mixes_repeated_rows_once(spark):
     import corpus_pipeline
     from pyspark.sql import functions as F
