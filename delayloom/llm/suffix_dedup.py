@@ -135,7 +135,7 @@ def _parts(n: float, each: int) -> int:
 
 
 def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_rows: int, sample_docs: int) -> DataFrame:
-    """``doc, a, b``: byte ranges of ``documents(doc, text)`` covered by strings of ``size`` bytes that start earlier too.
+    """``doc, body, a, b``: byte ranges of ``documents(doc, body, text)`` covered by strings of ``size`` bytes that start earlier too.
 
     1. Every document is cut into runs of strings with a common anchor, about
        one per 26 bytes. Sampled splitters deal the runs by anchor; a bucket
@@ -146,21 +146,22 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
        sorted by multikey quicksort. A suffix equal to its predecessor in
        ``size`` bytes starts later, so it is covered; the first suffix of a
        bucket is held against the last one of the bucket before.
-    Documents and places are part of every splitter, so that no number of
+    ``doc`` and ``body`` together name a document and order it. Documents and
+    places are part of every splitter, so that no number of
     equal strings can fill one bucket.
     """
     spark = documents.sparkSession
-    run_names, run_keys = ["bucket", "anchor", "context", "doc", "start", "count"], ["anchor", "context", "doc", "start"]
+    run_names, run_keys = ["bucket", "anchor", "context", "doc", "body", "start", "count"], ["anchor", "context", "doc", "body", "start"]
 
     def runs_of(splitters):
         def local(batches):
             for b in batches:
-                cols = [[] for _ in range(5)]
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cols = [[] for _ in range(6)]
+                for doc, body, text in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
                     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                     if len(raw) >= size:
                         a, c, first, count = anchors(raw, size)
-                        for to, v in zip(cols, (a.view(np.int64), c.view(np.int64), np.full(len(a), doc, np.int64), first, count), strict=True):
+                        for to, v in zip(cols, (a.view(np.int64), c.view(np.int64), np.full(len(a), doc, np.int64), np.full(len(a), body, np.int64), first, count), strict=True):
                             to.append(v)
                 if cols[0]:
                     cols = [np.concatenate(c) for c in cols]
@@ -168,11 +169,11 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
 
         return local
 
-    schema = "bucket int, anchor long, context long, doc long, start long, count long"
+    schema = "bucket int, anchor long, context long, doc long, body long, start long, count long"
     n_docs, n_bytes = documents.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = _parts(n_bytes / 26, bucket_rows)
     every = max(1, n_docs // sample_docs)
-    sample = documents.filter(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(every)) == 0).mapInArrow(runs_of([]), schema)
+    sample = documents.filter(F.pmod(F.xxhash64("doc", "body", F.lit("sample")), F.lit(every)) == 0).mapInArrow(runs_of([]), schema)
     thin = max(1, int(min(n_docs, sample_docs) * n_bytes / max(n_docs, 1) / 26 / (100 * parts)))
     split = _splitters(sample.filter(F.pmod(F.xxhash64(*run_keys), F.lit(thin)) == 0), run_keys, parts)
     lead = {s[0] for s in split}
@@ -181,75 +182,75 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
         cols = _whole(batches)
         if not cols:
             return
-        _, anchor, context, doc, start, count = cols
-        order = multikey_order([anchor, context, doc, start])
-        anchor, context, doc, start, count = _distinct([c[order] for c in (anchor, context, doc, start, count)])
+        _, anchor, context, doc, body, start, count = cols
+        order = multikey_order([anchor, context, doc, body, start])
+        anchor, context, doc, body, start, count = _distinct([c[order] for c in (anchor, context, doc, body, start, count)])
         new_a = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = new_a | np.concatenate([[True], context[1:] != context[:-1]])
         group = np.cumsum(new_a) - 1
         several = np.bincount(group, new)[group] > 1
         several |= np.isin(anchor, np.array(sorted(lead), np.int64))
         keep = ~new | several
-        yield _batch(["doc", "start", "count", "open"], [doc[keep], start[keep], count[keep], new[keep]])
+        yield _batch(["doc", "body", "start", "count", "open"], [doc[keep], body[keep], start[keep], count[keep], new[keep]])
 
-    found = _deal(documents.mapInArrow(runs_of(split), schema), run_keys, split).mapInArrow(sort_runs, "doc long, start long, count long, open boolean")
+    found = _deal(documents.mapInArrow(runs_of(split), schema), run_keys, split).mapInArrow(sort_runs, "doc long, body long, start long, count long, open boolean")
     found = scratch.save(found, "runs")
-    whole = found.filter("not open").select("doc", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + size).alias("b"))
-    open_runs = scratch.save(found.filter("open").groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs")).join(documents, "doc").select("doc", "text", "runs"), "open")
-    suffix_names, suffix_keys = ["bucket", "lead", "all", "doc", "start"], ["lead", "all", "doc", "start"]
+    whole = found.filter("not open").select("doc", "body", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + size).alias("b"))
+    open_runs = scratch.save(found.filter("open").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "count")).alias("runs")).join(documents, ["doc", "body"]).select("doc", "body", "text", "runs"), "open")
+    suffix_names, suffix_keys = ["bucket", "lead", "all", "doc", "body", "start"], ["lead", "all", "doc", "body", "start"]
 
     def suffixes_of(splitters):
         def local(batches):
             for b in batches:
-                for doc, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for doc, body, text, runs in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
                     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                     prefix = prefix_hashes(raw)
                     at = np.concatenate([np.arange(r["start"], r["start"] + r["count"]) for r in runs])
                     eight = np.lib.stride_tricks.sliding_window_view(raw, 8)[at]
-                    cols = [np.ascontiguousarray(eight).view(">i8").ravel().astype(np.int64), substring_hashes(prefix, at, at + size).view(np.int64), np.full(len(at), doc, np.int64), at]
+                    cols = [np.ascontiguousarray(eight).view(">i8").ravel().astype(np.int64), substring_hashes(prefix, at, at + size).view(np.int64), np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), at]
                     yield _batch(suffix_names, [_bucket(cols, splitters), *cols])
 
         return local
 
-    schema = "bucket int, lead long, all long, doc long, start long"
+    schema = "bucket int, lead long, all long, doc long, body long, start long"
     n_suffixes = found.filter("open").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     n_open = open_runs.count()
     parts = _parts(n_suffixes, bucket_rows)
     every = max(1, n_open // sample_docs)
     thin = max(1, int(n_suffixes / every / (100 * parts)))
-    sample = open_runs.filter(F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(every)) == 0).mapInArrow(suffixes_of([]), schema)
+    sample = open_runs.filter(F.pmod(F.xxhash64("doc", "body", F.lit("sample")), F.lit(every)) == 0).mapInArrow(suffixes_of([]), schema)
     split2 = _splitters(sample.filter(F.pmod(F.xxhash64(*suffix_keys), F.lit(thin)) == 0), suffix_keys, parts)
 
     def sort_suffixes(batches):
         cols = _whole(batches)
         if not cols:
             return
-        _, lead_, all_, doc, start = cols
-        order = multikey_order([lead_, all_, doc, start])
-        lead_, all_, doc, start = _distinct([c[order] for c in (lead_, all_, doc, start)])
+        _, lead_, all_, doc, body, start = cols
+        order = multikey_order([lead_, all_, doc, body, start])
+        lead_, all_, doc, body, start = _distinct([c[order] for c in (lead_, all_, doc, body, start)])
         same = np.flatnonzero((lead_[1:] == lead_[:-1]) & (all_[1:] == all_[:-1])) + 1
         edge = np.array([0, len(doc) - 1])
         rows = np.concatenate([same, edge])
         part = TaskContext.get().partitionId()
         kind = np.concatenate([np.zeros(len(same), np.int32), [1, 2]]).astype(np.int32)
-        yield _batch(["part", "kind", "lead", "all", "doc", "start"], [np.full(len(rows), part, np.int32), kind, lead_[rows], all_[rows], doc[rows], start[rows]])
+        yield _batch(["part", "kind", *suffix_keys], [np.full(len(rows), part, np.int32), kind, lead_[rows], all_[rows], doc[rows], body[rows], start[rows]])
 
-    hit = _deal(open_runs.mapInArrow(suffixes_of(split2), schema), suffix_keys, split2).mapInArrow(sort_suffixes, "part int, kind int, lead long, all long, doc long, start long")
+    hit = _deal(open_runs.mapInArrow(suffixes_of(split2), schema), suffix_keys, split2).mapInArrow(sort_suffixes, "part int, kind int, lead long, all long, doc long, body long, start long")
     hit = scratch.save(hit, "suffixes")
     scratch.drop("open")
     edges: dict[int, dict[int, tuple]] = defaultdict(dict)
     for r in hit.filter("kind > 0").collect():  # two rows per bucket
-        edges[r["part"]][r["kind"]] = (r["lead"], r["all"], r["doc"], r["start"])
+        edges[r["part"]][r["kind"]] = tuple(r[c] for c in suffix_keys)
     across, last = [], None
     for part in sorted(edges):
         head = edges[part][1]
         if last and head[:2] == last[:2]:
-            across.append((head[2], head[3]))
+            across.append(head[2:])
         last = edges[part][2]
-    strings = hit.filter("kind = 0").select("doc", "start")
+    strings = hit.filter("kind = 0").select("doc", "body", "start")
     if across:
-        strings = strings.union(spark.createDataFrame(across, "doc long, start long"))
-    return whole.union(strings.select("doc", F.col("start").alias("a"), (F.col("start") + size).alias("b")))
+        strings = strings.union(spark.createDataFrame(across, "doc long, body long, start long"))
+    return whole.union(strings.select("doc", "body", F.col("start").alias("a"), (F.col("start") + size).alias("b")))
 
 
 def keep_unrepeated(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
@@ -265,19 +266,20 @@ def keep_unrepeated(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, in
 def dedup_suffixes(documents: DataFrame, size: int = 100, bucket_rows: int = 400_000, sample_docs: int = 2000) -> DataFrame:
     """Take out of every text the bytes covered by a ``size``-byte string that also starts earlier.
 
-    Earlier: smaller doc_id, or same document and smaller start; strings are
-    judged on the input. Returns doc_id, n_bytes, n_removed, n_spans and kept
+    Earlier: smaller doc_id (among different texts under one id: smaller hash
+    of the text), or same document and smaller start; strings are judged on the input. Returns doc_id, n_bytes, n_removed, n_spans and kept
     (binary: the remaining bytes; a cut may split a character).
 
-    Null texts are empty; null ids come before all others; rows that share an
-    id are one document and fare alike. Extra columns are left behind.
+    Null texts are empty; null ids come before all others; rows that share id
+    and text are one document and fare alike, rows that share an id but not a
+    text are several. Extra columns are left behind.
     """
     scratch = Scratch(documents.sparkSession, "suffix-dedup")
-    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(rows.select("doc", "text"), scratch, size, bucket_rows, sample_docs)
-    spans = scratch.save(spans.groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
+    spans = repeated_spans(rows.select("doc", "body", "text"), scratch, size, bucket_rows, sample_docs)
+    spans = scratch.save(spans.groupBy("doc", "body").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
     scratch.drop("runs", "suffixes")
-    joined = rows.join(spans, "doc", "left").select("doc_id", "text", "a", "b")
+    joined = rows.join(spans, ["doc", "body"], "left").select("doc_id", "text", "a", "b")
 
     def local(batches):
         for batch in batches:

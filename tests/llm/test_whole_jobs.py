@@ -1,12 +1,13 @@
 """Cases in which corpus operators once did less than the whole job."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 pytest.importorskip("delayloom.llm")
-from delayloom.llm import packing, sharding  # noqa: E402
+from delayloom.llm import packing, sharding, suffix_dedup  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +78,24 @@ def test_pipeline_keeps_rows_without_id_and_mixes_repeated_rows_once(spark):
         was = Counter((r["doc_id"], r["text"]) for r in rows.collect())
         assert all(n <= 3 * was[k] for k, n in copies.items())
         assert all(abs(words(mixed).get(r["source"], 0) - r["target"]) <= largest for r in levels.collect())
+
+
+def test_suffix_dedup_tells_rows_without_id_apart(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = letters(130)
+    rows = [(None, letters(400) + passage + letters(300)), (None, letters(150)), (None, passage + letters(20)), (None, letters(900)), (None, letters(1200) + passage), (7, letters(600) + passage + letters(50)), (7, letters(130)), (8, passage)]
+    rows += [rows[2], rows[7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    body = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    key = lambda i, t: (-(2**63) if i is None else i, body[t])
+    seen, want = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: key(*r)):
+        gone, raw = set(), t.encode()
+        for s in range(len(raw) - 99):
+            if seen.setdefault(raw[s : s + 100], (key(i, t), s)) < (key(i, t), s):
+                gone.update(range(s, s + 100))
+        want[i, t] = bytes(b for k, b in enumerate(raw) if k not in gone)
+    for bucket_rows in (50, 400_000):
+        got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.dedup_suffixes(docs, 100, bucket_rows=bucket_rows).collect())
+        assert got == Counter((i, len(t), want[i, t]) for i, t in rows)
