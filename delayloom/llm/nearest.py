@@ -76,6 +76,24 @@ class CollisionIndex:
                 yield start + i, self.ids[found][best], score[best]
 
 
+def norm_layers(x: np.ndarray, enough: int, ratio: float = 1.05) -> list[np.ndarray]:
+    """Rows of a block by norm, longest first: norms of a layer are within ``ratio``, or it has at most ``enough`` rows.
+
+    Lifted to the largest norm of all, rows that are shorter look alike to the
+    projections; inside such a layer the lift is small, and a layer of
+    ``enough`` rows is verified in full.
+    """
+    norm = np.sqrt((x * x).sum(1))
+    order, low, out = np.argsort(-norm, kind="stable"), 0, []
+    falling = -norm[order]
+    while low < len(order):
+        high = int(np.searchsorted(falling, falling[low] / ratio, side="right"))
+        high = max(high, min(low + enough, len(order)))
+        out.append(np.sort(order[low:high]))
+        low = high
+    return out
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> float:
     """The same sum in the same order wherever the pair meets, so that equal vectors tie."""
     return float(np.add.reduce(a * b))
@@ -93,8 +111,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, bloc
 
     Every row is indexed, in blocks of about ``block`` rows; queries go in
     chunks of about ``chunk`` and each (block, chunk) pair is one group, so
-    memory is bounded by the two sizes. In a block at least ``share`` of the
-    rows (never fewer than 8 k) reach the collision threshold and are verified
+    memory is bounded by the two sizes. A block is searched in layers of about
+    equal norm. In a layer at least ``share`` of the rows (never fewer than 8 k) reach the collision threshold and are verified
     exactly. Vectors that are null, zero or hold null or non-finite components
     take no part; vectors of another length than the query's are no
     candidates; ties go to the smaller id; repeated ids are never their own
@@ -114,10 +132,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, bloc
         if len(rows) and len(asked):
             rows, asked = rows.sort_values("vec_id", kind="stable"), asked.drop_duplicates("vec_id").sort_values("vec_id")
             x, q, q_ids = np.stack(rows["embedding"].to_numpy()).astype(np.float64), np.stack(asked["embedding"].to_numpy()).astype(np.float64), asked["vec_id"].to_numpy()
-            index = CollisionIndex(x, rows["vec_id"].to_numpy(), projections, threshold, max(8 * k, int(share * len(rows))))
-            for i, ids, score in index.search(q, q_ids, k):
-                for to, v in zip(out, (np.full(len(ids), q_ids[i]), ids, score), strict=True):
-                    to.append(v)
+            for layer in norm_layers(x, 8 * k):
+                index = CollisionIndex(x[layer], rows["vec_id"].to_numpy()[layer], projections, threshold, max(8 * k, int(share * len(layer))))
+                for i, ids, score in index.search(q, q_ids, k):
+                    for to, v in zip(out, (np.full(len(ids), q_ids[i]), ids, score), strict=True):
+                        to.append(v)
         return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     found = left.groupBy("dim", "b", "c").cogroup(right.groupBy("dim", "b", "c")).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("delayloom.llm")
-from delayloom.llm import packing, sharding, suffix_dedup  # noqa: E402
+from delayloom.llm import nearest, packing, sharding, suffix_dedup  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +99,20 @@ def test_suffix_dedup_tells_rows_without_id_apart(spark):
     for bucket_rows in (50, 400_000):
         got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.dedup_suffixes(docs, 100, bucket_rows=bucket_rows).collect())
         assert got == Counter((i, len(t), want[i, t]) for i, t in rows)
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "one long", "few long"])
+def test_neighbours_recall_on_unequal_norms(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 64))
+    if kind != "gaussian":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x[: 1 if kind == "one long" else 14] *= 5
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in nearest.nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 50"), 20).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    score = x[50::100] @ x.T
+    score[np.arange(60), np.arange(50, 6000, 100)] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(b.tolist())) / 20 for q, b in zip(range(50, 6000, 100), best, strict=True)]) >= 0.9
