@@ -10,16 +10,24 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def hash_below(hashed: Column, share: float) -> Column:
+    """True for ``share`` of all values of a 64-bit hash, however small the share."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(-(2**63) + share * 2**64))
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests) a temporary folder."""
+    """``spark.checkpoint.dir``; only where it is unset and Spark runs in one process (tests) a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="delayloom-")
         spark.sparkContext.setCheckpointDir(root)

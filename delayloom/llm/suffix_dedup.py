@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .ranking import running
+from .scratch import Scratch, hash_below
 
 #: Bytes of an anchor string; every 100-byte string holds one that its own bytes decide.
 ANCHOR = 50
@@ -91,20 +90,38 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _splitters(sample: DataFrame, keys: list[str], parts: int) -> list[tuple]:
-    """``parts - 1`` evenly spaced rows of a bounded sample, in order."""
-    rows = sorted(tuple(r) for r in sample.select(*keys).collect())
-    return [rows[i * len(rows) // parts] for i in range(1, parts)] if len(rows) >= parts else []
+def _splitters(sample: DataFrame, keys: list[str], parts: int, scratch: Scratch, name: str) -> list[tuple]:
+    """At most ``parts - 1`` evenly spaced rows of a sample, in order.
+
+    The sample is ranked by Spark; only the splitters themselves reach the
+    driver, as every task that deals rows needs them. A sample of fewer rows
+    than buckets gives all its rows.
+    """
+    if parts < 2:
+        return []
+    ranked = scratch.save(running(sample.select(F.lit(0).alias("all_"), *keys), scratch, f"{name}-sample", "all_", [F.col(c) for c in keys]), name)
+    n = ranked.count()
+    cut = F.floor(F.col("rank_") * parts / n) > F.floor((F.col("rank_") - 1) * parts / n)
+    rows = ranked.filter(F.col("rank_") > 0).filter(cut).select(*keys).distinct().collect()
+    scratch.drop(name, f"{name}-sample")
+    return sorted(tuple(r) for r in rows)
 
 
 def _bucket(cols: list[np.ndarray], splitters: list[tuple]) -> np.ndarray:
     """How many splitters are at or below each row."""
-    lead = np.array([s[0] for s in splitters], np.int64)
-    low, high = np.searchsorted(lead, cols[0], side="left"), np.searchsorted(lead, cols[0], side="right")
-    for i in np.flatnonzero(low < high):
-        row = tuple(int(c[i]) for c in cols)
-        while low[i] < high[i] and splitters[low[i]] <= row:
-            low[i] += 1
+    table = np.array(splitters, np.int64).reshape(-1, len(cols))
+    low, high = np.searchsorted(table[:, 0], cols[0], side="left"), np.searchsorted(table[:, 0], cols[0], side="right")
+    open_ = np.flatnonzero(low < high)
+    while len(open_):  # binary search among splitters with the row's first word
+        middle = (low[open_] + high[open_]) // 2
+        below, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        for k, c in enumerate(cols):
+            split, row = table[middle, k], c[open_]
+            below |= equal & (split < row)
+            equal &= split == row
+        below |= equal
+        low[open_[below]], high[open_[~below]] = middle[below] + 1, middle[~below]
+        open_ = open_[low[open_] < high[open_]]
     return low.astype(np.int32)
 
 
@@ -126,8 +143,8 @@ def _distinct(cols: list[np.ndarray]) -> list[np.ndarray]:
     return [c[new] for c in cols]
 
 
-def _deal(rows: DataFrame, keys: list[str], splitters: list[tuple]) -> DataFrame:
-    return rows.repartitionById(len(splitters) + 1, F.col("bucket")) if splitters else rows.coalesce(1)
+def _deal(rows: DataFrame, splitters: list[tuple]) -> DataFrame:
+    return rows.repartitionById(len(splitters) + 1, F.col("bucket"))
 
 
 def _parts(n: float, each: int) -> int:
@@ -142,15 +159,20 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
        sorts locally. A run whose bytes all occur earlier is covered; the first
        of several different runs with one anchor may hold repeats in part.
     2. Only the strings of those runs become suffixes: they are dealt by their
-       leading bytes (then by the hash of all ``size`` bytes and by place) and
-       sorted by multikey quicksort. A suffix equal to its predecessor in
-       ``size`` bytes starts later, so it is covered; the first suffix of a
-       bucket is held against the last one of the bucket before.
-    ``doc`` and ``body`` together name a document and order it. Documents and
-    places are part of every splitter, so that no number of
-    equal strings can fill one bucket.
+       16 leading bytes (two words, then the hash of all ``size`` bytes, then
+       the place) and sorted by multikey quicksort. A suffix equal to its
+       predecessor in ``size`` bytes starts later, so it is covered; the first
+       suffix of a bucket is held against the last ones of other buckets.
+
+    Equality is that of bytes only for the first 16 of a suffix. The rest, and
+    the whole of a run, is compared by 64-bit hashes (a run by two: its
+    anchor's and its own), as shipping ``size`` bytes with each suffix would
+    move many times the input. ``doc`` and ``body`` together name a document
+    and order it. Documents and places are part of every splitter, so that no
+    number of equal strings can fill one bucket. Buckets hold about
+    ``bucket_rows`` rows at every size: the sample takes at least 400 rows per
+    bucket, and ``sample_docs`` documents, before it is thinned to 100.
     """
-    spark = documents.sparkSession
     run_names, run_keys = ["bucket", "anchor", "context", "doc", "body", "start", "count"], ["anchor", "context", "doc", "body", "start"]
 
     def runs_of(splitters):
@@ -165,17 +187,20 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
                             to.append(v)
                 if cols[0]:
                     cols = [np.concatenate(c) for c in cols]
-                    yield _batch(run_names, [_bucket(cols, splitters), *cols])
+                    yield _batch(run_names, [_bucket(cols[:5], splitters), *cols])
 
         return local
 
     schema = "bucket int, anchor long, context long, doc long, body long, start long, count long"
     n_docs, n_bytes = documents.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = _parts(n_bytes / 26, bucket_rows)
-    every = max(1, n_docs // sample_docs)
-    sample = documents.filter(F.pmod(F.xxhash64("doc", "body", F.lit("sample")), F.lit(every)) == 0).mapInArrow(runs_of([]), schema)
-    thin = max(1, int(min(n_docs, sample_docs) * n_bytes / max(n_docs, 1) / 26 / (100 * parts)))
-    split = _splitters(sample.filter(F.pmod(F.xxhash64(*run_keys), F.lit(thin)) == 0), run_keys, parts)
+    share = min(1.0, max(sample_docs / max(n_docs, 1), 400 / bucket_rows))
+
+    def sampled(rows: DataFrame, make, n: float, keys: list[str], name: str) -> list[tuple]:
+        parts = _parts(n, bucket_rows)
+        some = rows.filter(hash_below(F.xxhash64("doc", "body", F.lit("sample")), share)).mapInArrow(make, schema)
+        return _splitters(some.filter(hash_below(F.xxhash64(*keys), min(1.0, 100 * parts / max(n * share, 1)))), keys, parts, scratch, name)
+
+    split = sampled(documents, runs_of([]), n_bytes / 26, run_keys, "run-splitters")
     lead = {s[0] for s in split}
 
     def sort_runs(batches):
@@ -193,11 +218,13 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
         keep = ~new | several
         yield _batch(["doc", "body", "start", "count", "open"], [doc[keep], body[keep], start[keep], count[keep], new[keep]])
 
-    found = _deal(documents.mapInArrow(runs_of(split), schema), run_keys, split).mapInArrow(sort_runs, "doc long, body long, start long, count long, open boolean")
+    found = _deal(documents.mapInArrow(runs_of(split), schema), split).mapInArrow(sort_runs, "doc long, body long, start long, count long, open boolean")
     found = scratch.save(found, "runs")
     whole = found.filter("not open").select("doc", "body", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + size).alias("b"))
     open_runs = scratch.save(found.filter("open").groupBy("doc", "body").agg(F.collect_list(F.struct("start", "count")).alias("runs")).join(documents, ["doc", "body"]).select("doc", "body", "text", "runs"), "open")
-    suffix_names, suffix_keys = ["bucket", "lead", "all", "doc", "body", "start"], ["lead", "all", "doc", "body", "start"]
+    string = ["lead", "next", "all"]
+    suffix_keys = [*string, "doc", "body", "start"]
+    suffix_names = ["bucket", *suffix_keys]
 
     def suffixes_of(splitters):
         def local(batches):
@@ -206,50 +233,39 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, size: int, bucket_row
                     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                     prefix = prefix_hashes(raw)
                     at = np.concatenate([np.arange(r["start"], r["start"] + r["count"]) for r in runs])
-                    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)[at]
-                    cols = [np.ascontiguousarray(eight).view(">i8").ravel().astype(np.int64), substring_hashes(prefix, at, at + size).view(np.int64), np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), at]
+                    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 16)[at]).view(">u8").astype(np.uint64)
+                    words = (words ^ _U(2**63)).view(np.int64)  # signed words in the order of their bytes
+                    cols = [words[:, 0].copy(), words[:, 1].copy(), substring_hashes(prefix, at, at + size).view(np.int64), np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64), at]
                     yield _batch(suffix_names, [_bucket(cols, splitters), *cols])
 
         return local
 
-    schema = "bucket int, lead long, all long, doc long, body long, start long"
+    schema = "bucket int, lead long, next long, all long, doc long, body long, start long"
     n_suffixes = found.filter("open").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    n_open = open_runs.count()
-    parts = _parts(n_suffixes, bucket_rows)
-    every = max(1, n_open // sample_docs)
-    thin = max(1, int(n_suffixes / every / (100 * parts)))
-    sample = open_runs.filter(F.pmod(F.xxhash64("doc", "body", F.lit("sample")), F.lit(every)) == 0).mapInArrow(suffixes_of([]), schema)
-    split2 = _splitters(sample.filter(F.pmod(F.xxhash64(*suffix_keys), F.lit(thin)) == 0), suffix_keys, parts)
+    n_docs = open_runs.count()
+    share = min(1.0, max(sample_docs / max(n_docs, 1), 400 / bucket_rows))
+    split2 = sampled(open_runs, suffixes_of([]), n_suffixes, suffix_keys, "suffix-splitters")
 
     def sort_suffixes(batches):
         cols = _whole(batches)
         if not cols:
             return
-        _, lead_, all_, doc, body, start = cols
-        order = multikey_order([lead_, all_, doc, body, start])
-        lead_, all_, doc, body, start = _distinct([c[order] for c in (lead_, all_, doc, body, start)])
-        same = np.flatnonzero((lead_[1:] == lead_[:-1]) & (all_[1:] == all_[:-1])) + 1
-        edge = np.array([0, len(doc) - 1])
-        rows = np.concatenate([same, edge])
-        part = TaskContext.get().partitionId()
-        kind = np.concatenate([np.zeros(len(same), np.int32), [1, 2]]).astype(np.int32)
-        yield _batch(["part", "kind", *suffix_keys], [np.full(len(rows), part, np.int32), kind, lead_[rows], all_[rows], doc[rows], body[rows], start[rows]])
-
-    hit = _deal(open_runs.mapInArrow(suffixes_of(split2), schema), suffix_keys, split2).mapInArrow(sort_suffixes, "part int, kind int, lead long, all long, doc long, body long, start long")
+        cols = cols[1:]
+        order = multikey_order(cols)
+        cols = _distinct([c[order] for c in cols])
+        same = np.flatnonzero(np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:3]])) + 1
+        rows = np.concatenate([same, [0, len(cols[0]) - 1]])
+        kind = np.concatenate([np.zeros(len(same)), [1, 2]]).astype(np.int32)
+        part = np.full(len(rows), TaskContext.get().partitionId(), np.int32)
+        yield _batch(["part", "kind", *suffix_keys], [part, kind, *[c[rows] for c in cols]])
+
+    hit = _deal(open_runs.mapInArrow(suffixes_of(split2), schema), split2).mapInArrow(sort_suffixes, f"part int, kind int, {', '.join(f'{c} long' for c in suffix_keys)}")
     hit = scratch.save(hit, "suffixes")
     scratch.drop("open")
-    edges: dict[int, dict[int, tuple]] = defaultdict(dict)
-    for r in hit.filter("kind > 0").collect():  # two rows per bucket
-        edges[r["part"]][r["kind"]] = tuple(r[c] for c in suffix_keys)
-    across, last = [], None
-    for part in sorted(edges):
-        head = edges[part][1]
-        if last and head[:2] == last[:2]:
-            across.append(head[2:])
-        last = edges[part][2]
-    strings = hit.filter("kind = 0").select("doc", "body", "start")
-    if across:
-        strings = strings.union(spark.createDataFrame(across, "doc long, body long, start long"))
+    # A bucket's first suffix repeats one before it if an earlier bucket ends with the same string.
+    last = hit.filter("kind = 2").groupBy(*string).agg(F.min("part").alias("ended"))
+    first = hit.filter("kind = 1").join(last, string).filter("ended < part")
+    strings = hit.filter("kind = 0").select("doc", "body", "start").union(first.select("doc", "body", "start"))
     return whole.union(strings.select("doc", "body", F.col("start").alias("a"), (F.col("start") + size).alias("b")))
 
 
