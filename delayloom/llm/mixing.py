@@ -11,6 +11,8 @@ from .scratch import Scratch
 #: Bytes that part words: space and the five ASCII control spaces.
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_REPEATS = 3
+#: Words of a packet, the unit in which the queues are served.
+PACKET = 64
 
 
 def word_count(text):
@@ -40,45 +42,54 @@ def water_levels(sources: DataFrame, cap: int = MAX_REPEATS) -> DataFrame:
     return w.select("source", "source_size", "place", "weight", F.coalesce(share, F.col("most").cast("double")).alias("target"))
 
 
-def mix_sources(rows: DataFrame, seed: str = "mix") -> DataFrame:
-    """The queue of ``rows(doc_id, source, size, ...)``: one row per document and turn that the mix takes from.
+def mix_sources(rows: DataFrame, packet: int = PACKET, seed: str = "mix") -> DataFrame:
+    """The mix of ``rows(doc_id, source, size, ...)``: one row per row and turn that it takes words of.
 
-    Documents of a source queue in shuffled order (a hash of id and seed), and
-    the whole queue may come round three times. An entry's virtual finish time
-    is the source's cumulative words, this entry included, over its target;
-    entries are sorted by it over all sources and the mix ends when the total
-    budget is spent, which is at virtual time one: what an entry in service
-    has sent by then counts, the rest is cut off. Adds source_size, target,
-    turn, finish, taken and mix_offset (words before the entry).
+    Rows of a source queue in shuffled order (a hash of id and seed), and the
+    whole queue may come round three times. A row enters as packets of at most
+    ``packet`` words. A packet's virtual finish time is the source's cumulative
+    words, this packet included, over its target. All packets are sorted by it
+    over all sources, and the mix is cut where their running sum reaches the
+    total of all sizes; the packet at the cut is taken in part. So the budget
+    is met to the word, and a source misses its target by less than a packet
+    and rounding. Adds source_size, target, turn, finish (of the last packet
+    taken), taken and mix_offset (words before the first packet).
 
     Null ids and sources queue like values (null source: last place); rows of
-    size zero never enter. Ties in finish time go by source place, turn and
-    shuffle order. An empty table gives an empty queue.
+    size zero never enter; repeated rows count one by one. Ties in finish time
+    go by source place, then place in the queue. Input columns with names of
+    added ones are replaced. An empty table gives an empty mix.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "mixing")
-    names = [c for c in rows.columns if c not in ("place", "target", "source_size")]
-    rows = scratch.save(rows.select(*names), "rows")
+    names = [c for c in rows.columns if c not in ("row_", "source_size", "target", "turn", "finish", "taken", "mix_offset")]
+    rows = scratch.save(rows.select(*names, F.monotonically_increasing_id().alias("row_")), "rows")
     levels = scratch.save(water_levels(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "levels")
+    budget = levels.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     shuffle = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    tagged = rows.filter("size > 0").join(levels, rows["source"].eqNullSafe(levels["source"])).select(*[rows[c] for c in names], "source_size", "target", "place", shuffle.alias("shuffle_"))
+    tagged = rows.filter("size > 0").join(levels, rows["source"].eqNullSafe(levels["source"])).select("row_", "doc_id", "size", "source_size", "target", "place", shuffle.alias("shuffle_"))
     queued = running(tagged, scratch, "queue", "place", [F.col("shuffle_"), F.col("doc_id"), F.col("size")], "size")
-    turns = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))))
-    start = F.col("turn") * F.col("source_size") + F.col("before_")
-    entries = turns.withColumn("start_", start).withColumn("finish", (start + F.col("size")) / F.col("target"))
-    served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("start_"))).cast("long")
-    entries = entries.withColumn("taken", served).filter("taken > 0").withColumn("all_", F.lit(0))
-    mixed = running(entries.select(*names, "source_size", "target", "place", "turn", "finish", "taken", "shuffle_", "all_"), scratch, "mixed", "all_", [F.col("finish"), F.col("place"), F.col("turn"), F.col("shuffle_"), F.col("doc_id")], "taken")
-    return mixed.select(*names, "source_size", "target", "turn", "finish", "taken", F.col("before_").alias("mix_offset"))
+    turns = queued.select("row_", "place", "size", "source_size", "target", "before_", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("turn"))
+    packets = turns.withColumn("at_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
+    packets = packets.withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("at_"))).withColumn("start_", F.col("turn") * F.col("source_size") + F.col("before_") + F.col("at_"))
+    packets = packets.select("row_", "place", "turn", "start_", "words", ((F.col("start_") + F.col("words")) / F.col("target")).alias("finish"), F.lit(0).alias("all_"))
+    sent = running(packets, scratch, "packets", "all_", [F.col("finish"), F.col("place"), F.col("start_")], "words").filter(F.col("before_") < budget)
+    taken = F.least(F.col("words"), budget - F.col("before_"))
+    kept = scratch.save(sent.groupBy("row_", "turn").agg(F.max("finish").alias("finish"), F.sum(taken).alias("taken"), F.min("before_").alias("mix_offset")), "kept")
+    scratch.drop("queue", "packets")
+    full = rows.join(kept, "row_").join(levels.select("source", "source_size", "target"), rows["source"].eqNullSafe(levels["source"]))
+    return full.select(*[rows[c] for c in names], "source_size", "target", "turn", "finish", "taken", "mix_offset")
 
 
 def mix_report(documents: DataFrame) -> DataFrame:
-    """Per document of ``documents(doc_id, text, source)`` what the mix takes of it, all turns together."""
-    sized = Scratch(documents.sparkSession, "mix-report").save(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    kept = mix_sources(sized).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"))
+    """Per row of ``documents(doc_id, text, source)`` what the mix takes of it, all turns together.
+
+    Null texts have size zero; null ids and repeated rows are rows like any
+    other; extra columns are left behind; an empty table gives no row.
+    """
+    scratch = Scratch(documents.sparkSession, "mix-report")
+    sized = scratch.save(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("key")), "sized")
+    kept = mix_sources(sized).groupBy("key").agg(F.sum("taken").alias("taken"))
     levels = water_levels(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    copies = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
-    per = copies.join(kept, copies["doc_id"].eqNullSafe(kept["doc_id"]) & copies["source"].eqNullSafe(kept["source"]) & (copies["size"] == kept["size"]), "left").select(copies["doc_id"], copies["source"], copies["size"], "copies", "taken")
-    full = per.join(levels, per["source"].eqNullSafe(levels["source"])).select("doc_id", "size", "source_size", "target", "copies", F.coalesce("taken", F.lit(0)).alias("taken"))
-    share = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return full.withColumn("copy_", share).select("doc_id", "size", "source_size", "target", (F.floor(F.col("taken") * F.col("copy_") / F.col("copies")) - F.floor(F.col("taken") * (F.col("copy_") - 1) / F.col("copies"))).cast("long").alias("taken"))
+    full = sized.join(kept, "key", "left").join(levels, sized["source"].eqNullSafe(levels["source"]))
+    return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

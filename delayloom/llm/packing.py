@@ -6,7 +6,7 @@ import base64
 import re
 import zlib
 from array import array
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,49 +20,58 @@ from .scratch import Scratch
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, per_bin long"
 #: White space at which words can't be told apart by single spaces and line ends alone.
 ODD_SPACE = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]$")
-#: The vocabulary's one added token: it has its own id wherever it stands in a text, and no rank.
-ADDED, ADDED_ID = "<|endoftext|>", 50256
 
 
 class Encoder:
     """Byte-level BPE ids of texts as little-endian 32-bit bytes, with words kept between texts.
 
-    The vocabulary's pattern never joins letters across a single space or line
-    end, so a text of such words is the concatenation of its words' ids. Any
-    other white space, or the added token, sends the whole text to the
-    tokenizer. At most ``remember`` words are held, then the store starts anew.
+    ``tokenizer_file`` says what the ids are. A text that holds one of its
+    added tokens goes through that tokenizer as a whole. All others are encoded
+    from the same vocabulary's rank file, which gives the same ids in less
+    time: the vocabulary's pattern never joins letters across a single space or
+    line end, so a text of such words is the concatenation of its words' ids.
+    Any other white space sends the text to the rank encoder as a whole. At
+    most ``remember`` words are held, then the store starts anew.
     """
 
-    def __init__(self, rank_file: str, pattern: str, remember: int = 400_000):
+    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, remember: int = 400_000):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        tokenizer = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={ADDED: ADDED_ID})
-        self.ordinary, self.encode = tokenizer.encode_ordinary, partial(tokenizer.encode, allowed_special={ADDED})
+        self.ordinary = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.remember, self.spaced, self.bare = remember, {}, {}
         self.line_end = self.plain("\n")
 
     def plain(self, text: str) -> bytes:
-        return array("I", (self.encode if ADDED in text else self.ordinary)(text)).tobytes()
+        if self.added.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._rank(text)
+
+    def _rank(self, text: str) -> bytes:
+        return array("I", self.ordinary(text)).tobytes()
 
     def _line(self, line: str) -> bytes:
         head, *rest = line.split(" ")
         bare, spaced = self.bare, self.spaced
         if (first := bare.get(head)) is None:
-            first = bare[head] = self.plain(head)
+            first = bare[head] = self._rank(head)
         try:
             return first + b"".join([spaced[w] for w in rest])
         except KeyError:
             for w in rest:
                 if w not in spaced:
-                    spaced[w] = self.plain(f" {w}")
+                    spaced[w] = self._rank(f" {w}")
             return first + b"".join([spaced[w] for w in rest])
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if ADDED in text or ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or self.added.search(text):
             return self.plain(text)
         ids = self.line_end.join([self._line(x) for x in text.split("\n")])
         if len(self.spaced) + len(self.bare) > self.remember:
@@ -71,9 +80,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(rank_file: str, pattern: str) -> Encoder:
+def _encoder(tokenizer_file: str, rank_file: str, pattern: str) -> Encoder:
     """One encoder per worker process, so that later tasks find its words."""
-    return Encoder(rank_file, pattern)
+    return Encoder(tokenizer_file, rank_file, pattern)
 
 
 def cut(n: int, capacity: int, fine: int) -> list[tuple[int, int]]:
@@ -92,11 +101,11 @@ def cut(n: int, capacity: int, fine: int) -> list[tuple[int, int]]:
     return [*out, (n, capacity // n)] if n else out
 
 
-def document_pieces(documents: DataFrame, rank_file: str, pattern: str, end_id: int, capacity: int = 2048, fine: int = 16) -> DataFrame:
+def document_pieces(documents: DataFrame, tokenizer_file: str, rank_file: str, pattern: str, end_id: int, capacity: int = 2048, fine: int = 16) -> DataFrame:
     """Pieces of ``documents(doc_id, text)`` with their class: how many of them fill one bin."""
 
     def local(batches):
-        encode, end = _encoder(rank_file, pattern), array("I", [end_id]).tobytes()
+        encode, end = _encoder(tokenizer_file, rank_file, pattern), array("I", [end_id]).tobytes()
         for b in batches:
             cols = [array("q") for _ in range(5)]
             ids_of = []
@@ -157,14 +166,16 @@ def harmonic_bins(pieces: DataFrame, scratch: Scratch, capacity: int = 2048) ->
     return whole.select(*names, "sequence_id", "offset").unionByName(left.select(*names, "sequence_id", "offset"))
 
 
-def pack_documents(documents: DataFrame, rank_file: str, pattern: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer_file: str, rank_file: str, pattern: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
     """Pack ``documents(doc_id, text)`` into sequences of at most ``capacity`` ids.
 
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. A null or empty text is its end id alone; repeated
+    sequence_id, offset. The ids are those of ``tokenizer_file`` without added
+    special tokens (those that stand in a text count); ``rank_file`` holds the
+    same vocabulary's ranks. A null or empty text is its end id alone; repeated
     rows are packed as often as they occur; extra columns are left behind; an
     empty table gives no piece.
     """
     scratch = Scratch(documents.sparkSession, "packing")
-    pieces = scratch.save(document_pieces(documents, rank_file, pattern, end_id, capacity), "pieces")
+    pieces = scratch.save(document_pieces(documents, tokenizer_file, rank_file, pattern, end_id, capacity), "pieces")
     return harmonic_bins(pieces, scratch, capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

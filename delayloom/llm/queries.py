@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from . import line_dedup, mixing, near_dedup, nearest, packing, quality_model, quality_rules, sharding, suffix_dedup, token_counts
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str, str]:
+    """Tokenizer file, rank file and pattern of the byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +37,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, pattern = _vocabulary()
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), ranks, pattern)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary()[0])
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary()[1])
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +84,15 @@ w AS (SELECT *, (place % 3 + 1)::BIGINT AS weight, source_size * 3 AS most FROM
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
         / (sum(weight) OVER (ORDER BY most::DOUBLE / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 v AS (SELECT level FROM l WHERE level <= most::DOUBLE / weight ORDER BY most::DOUBLE / weight, place LIMIT 1),
-t AS (SELECT source, source_size, least(most::DOUBLE, (SELECT level FROM v) * weight) AS target FROM w),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, place, least(most::DOUBLE, (SELECT level FROM v) * weight) AS target FROM w),
+q AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.place,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix|' || d.doc_id), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT q.*, greatest(0, least(size, floor(target)::BIGINT - (turn * source_size + ahead))) AS part FROM q CROSS JOIN (VALUES (0), (1), (2)) AS turns(turn))
-SELECT doc_id, size, source_size, target, sum(part)::BIGINT AS taken FROM e GROUP BY ALL""",
+p AS (SELECT q.doc_id, place, target, turn * source_size + ahead + part AS start_, least({mixing.PACKET}, size - part) AS words
+      FROM q CROSS JOIN (VALUES (0), (1), (2)) AS turns(turn), unnest(range(0, size, {mixing.PACKET})) AS parts(part)),
+o AS (SELECT doc_id, words, coalesce(sum(words) OVER (ORDER BY (start_ + words)::DOUBLE / target, place, start_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_ FROM p),
+k AS (SELECT doc_id, sum(greatest(0, least(words, (SELECT sum(source_size) FROM s)::BIGINT - before_))) AS taken FROM o GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0)::BIGINT AS taken FROM q LEFT JOIN k ON k.doc_id = q.doc_id""",
     "op3_line_dedup": r"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
 n AS (SELECT doc_id, line_no, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw),
