@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,17 +63,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _sketches(batches):
     hashes = _WordHashes()
     for b in batches:
-        n, one, two, sig = [], [], [], []
+        n, digest, sig = [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, hashes)
             n.append(len(s))
-            one.append(int(np.bitwise_xor.reduce(s) if len(s) else 0))
-            two.append(int((s * (s >> _U(7) | _U(1))).sum()) if len(s) else 0)
+            digest.append(hashlib.sha256(s.tobytes()).digest())
             sig.append(signature(s).view(np.int32).tolist() if len(s) else None)
             if len(hashes) > 400_000:
                 hashes.clear()
-        ints = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (one, two)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *ints, pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "xor", "sum", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "sig"])
 
 
 def _sets(batches):
@@ -100,6 +101,27 @@ def _linked(percent: int):
     return local
 
 
+def _close_pairs(rest: DataFrame, scratch: Scratch, percent: int, block: int = 500) -> DataFrame:
+    """Pairs ``(a, b)`` of one list of ``rest(key, doc_id, n_shingles, component, common, sum_a)`` that can be linked.
+
+    Sizes of linked sets differ by a factor of 100 / percent at most: a list
+    falls into bands of that width, and an entry meets those of its band and
+    the next one that aren't smaller. A band's entries come in blocks of about
+    ``block``, each a key of its own, so no list is one task's; of its pairs
+    only those are written whose counts of common shingles allow a link.
+    """
+    band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent) + 1e-9).alias("band") if percent < 100 else F.col("n_shingles").alias("band")
+    banded = scratch.save(rest.select("*", band), "banded")
+    blocks = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    low = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
+    high = banded.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.col("band").alias("meets"))
+    high = high.withColumn("band", F.explode(F.array("meets", F.col("meets") - 1))).join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    most = "aggregate(zip_with(common, ob, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
+    near = F.expr(f"""(n_shingles < nb or n_shingles = nb and doc_id < b) and component <> cb and 100 * n_shingles >= {percent} * nb
+        and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + nb) and {most} * {100 + percent} >= {percent} * (n_shingles + nb)""")
+    return low.join(high, ["key", "band", "block", "meets"]).filter(near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+
+
 class _Search:
     """Links among candidate documents: equal coordinates first, then full sets, each made once for all rounds."""
 
@@ -141,22 +163,27 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     Documents are linked where 100 * intersection >= percent * union of their
     sets of five-word shingles; component_id is the smallest id reachable.
 
-    Equal sets are one representative. It is posted under each coordinate and
+    Equal sets (by the SHA-256 of all their shingles) are one representative. It is posted under each coordinate and
     value of its signature. Lists with one entry are skipped; of the others a
     pair with ``MATCHES`` equal coordinates must meet in the rarest few of
     each side (prefix), so the long lists are not merged but looked up in the
     signatures. In a list all entries are first held against the entry whose
-    coordinates are shared most, as a source is by its edited copies; linked entries become one component. Only entries of lists
-    that still hold several components are paired, and of those no pair whose
-    sizes ask for more common shingles than the two can have, by counts of
-    shingles that aren't a document's own. Every pair is confirmed on full sets. Texts without words have empty sets and no links; null ids
-    have no links and a null component.
+    coordinates are shared most, as a source is by its edited copies; linked
+    entries become one component. Only entries of lists that still hold several
+    components are paired, none that has too many shingles of its own to be
+    linked at all, and no pair whose sizes ask for more common shingles than
+    the two can have (``_close_pairs``). Every pair is confirmed on full sets.
+
+    Texts without words have empty sets and no links; null ids have no links
+    and a null component. Repeated rows fare alike, rows that share an id but
+    not a text are one node that has all their links. Extra columns are left
+    behind; an empty table gives no row.
     """
     scratch = Scratch(documents.sparkSession, "near-dedup")
     text = documents.select(F.col("doc_id").cast("long"), "text")
-    every = scratch.save(text.mapInArrow(_sketches, "doc_id long, n_shingles long, xor long, sum long, sig array<int>"), "sketches")
+    every = scratch.save(text.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sig array<int>"), "sketches")
     named = every.filter("doc_id is not null and n_shingles > 0")
-    same = scratch.save(named.groupBy("n_shingles", "xor", "sum").agg(F.min("doc_id").alias("head")), "same")
+    same = scratch.save(named.groupBy("digest").agg(F.min("doc_id").alias("head")), "same")
     heads = scratch.save(named.join(same.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
     posts = heads.select("doc_id", "n_shingles", F.posexplode("sig").alias("k", "v")).select("doc_id", "n_shingles", (F.shiftleft(F.col("k").cast("long"), 32) + (F.col("v").cast("long") + 2**31)).alias("key"))
     often = scratch.save(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "often")
@@ -176,15 +203,11 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     rest = scratch.save(tagged.join(mixed, "key"), "rest")
     total = F.aggregate("common", F.lit(0), lambda s, x: s + x).alias("sum_a")
     rest = scratch.save(rest.join(search.common_shingles(rest).select("*", total), "doc_id"), "bounded")
-    other = rest.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"))
-    most = "aggregate(zip_with(common, ob, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-    near = F.expr(f"""doc_id < b and component <> cb and 100 * n_shingles >= {percent} * nb and 100 * nb >= {percent} * n_shingles
-        and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + nb) and {most} * {100 + percent} >= {percent} * (n_shingles + nb)""")
-    pairs = rest.join(other, "key").filter(near).select(F.col("doc_id").alias("a"), "b").distinct()
+    pairs = _close_pairs(rest.filter(f"100 * sum_a >= {percent} * n_shingles"), scratch, percent).distinct()
     pairs = scratch.save(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = search.verify(pairs)
     if more.limit(1).count():
         labels = connected_components(links.union(more), scratch, "second")
-    whole = every.join(same, ["n_shingles", "xor", "sum"], "left").join(labels.withColumnRenamed("node", "head"), "head", "left")
+    whole = every.join(same, "digest", "left").join(labels.withColumnRenamed("node", "head"), "head", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return whole.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "head")).alias("component_id"))
