@@ -158,7 +158,7 @@ def _settled(state: DataFrame, names: list[str], quota: list[int], scratch: Scra
     return placed.filter("shard >= 0").unionByName(rows.select(*names, F.col("to_").alias("shard"), "grouped_"))
 
 
-def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, max_rounds: int = 6) -> DataFrame:
+def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, least_gain: float = 0.1) -> DataFrame:
     """``rows(doc_id, link, ...)`` with ``shard`` and ``slot``; shard counts differ by one at most.
 
     ``link`` (long, null for none) joins documents to a common neighbour: all
@@ -167,14 +167,15 @@ def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, max
     shard counts; documents prefer the shard with most neighbours (ties: by a
     hash, so that they spread) and move there in order of gain, as far as the
     quotas between pairs of shards allow: no shard may pass its mean by more
-    than ``slack`` and the scatter of the start. What the rounds leave parted,
+    than ``slack`` and the scatter of the start. Rounds go on as long as each
+    leaves at least the share ``least_gain`` fewer rows apart from their goal. What they leave parted,
     for want of room at its goal, then gets a shard that has room
     (``group_places``), and single rows move from shards above their final
     size to shards below it. So neighbours are parted only where they exceed
     a whole shard, or where no order tried leaves them room at the exact final sizes.
 
     Neighbour counts are aggregated per (link, shard), never as pairs. Null
-    ids, repeated rows and empty tables are placed like any other row.
+    and repeated ids are placed like any others; an empty table stays empty.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -185,14 +186,17 @@ def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, max
     mean = total / n_shards
     capacity = int(np.ceil(mean * (1 + slack) + 4 * np.sqrt(mean)))
     tie = [F.col("link"), F.col("doc_id")]
-    for step in range(1, max_rounds + 1):
+    step, parted = 0, None
+    while True:
+        step += 1
         cells = state.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n"))
         best = cells.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("at"))).alias("best"), F.count("*").alias("shards")).filter("shards > 1")
         wishes = scratch.save(cells.join(best, "link").select("link", "shard", F.col("best.at").alias("goal"), (F.col("best.n") - F.col("n") + 1).alias("gain"), "n").filter("shard <> goal"), f"wishes-{step}")
         wanted = {(r["shard"], r["goal"]): r["m"] for r in wishes.groupBy("shard", "goal").agg(F.sum("n").alias("m")).collect()}
         sizes = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         moves = allowed_moves([sizes.get(k, 0) for k in range(n_shards)], wanted, capacity)
-        if not moves:
+        before, parted = parted, sum(wanted.values())
+        if not moves or before is not None and parted > (1 - least_gain) * before:
             break
         joined = scratch.save(state.join(wishes.select("link", "shard", "goal", "gain"), ["link", "shard"], "left").select(*names, "shard", "goal", "gain"), f"joined-{step}")
         asked = joined.filter("goal is not null").withColumn("way", F.col("shard") * n_shards + F.col("goal"))
@@ -229,9 +233,16 @@ def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
     """Shards of ``documents(doc_id, text)`` in which equal texts stay together.
 
     Returns doc_id, size (UTF-8 bytes plus one; null text: one), text_crc32
-    (null text: that of the empty text), shard and slot. Extra columns of the
-    input are left behind.
+    (null text: that of the empty text), shard and slot. Null texts count as
+    empty ones and are one group with them. Extra columns of the input are
+    left behind.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("link"))
+    rows = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("link"))
     return balanced_shards(rows, n_shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def cut_groups(placed: DataFrame) -> DataFrame:
+    """One row about ``placed(link, shard)``: groups of two rows or more, how many of them lie in several shards, and their rows."""
+    groups = placed.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n")).groupBy("link").agg(F.sum("n").alias("n"), F.count("*").alias("shards")).filter("n > 1")
+    return groups.agg(F.count("*").alias("groups"), F.count_if("shards > 1").alias("parted"), F.coalesce(F.sum(F.when(F.col("shards") > 1, F.col("n"))), F.lit(0)).alias("rows_of_parted"))
