@@ -89,7 +89,12 @@ def fit_quality_model(documents: DataFrame, labels: DataFrame, limit: int = 15_0
 
 
 def score_documents(documents: DataFrame, model: Boosted) -> DataFrame:
-    """doc_id and score (0 to 1) for every row of ``documents(doc_id, text)``; null and empty texts are scored like any other."""
+    """doc_id and score (0 to 1) for every row of ``documents(doc_id, text)``.
+
+    Null and empty texts have zero statistics and are scored like any other;
+    ids may be null or repeated, a row's score is that of its text alone. Extra
+    columns are left behind; an empty table gives no row.
+    """
 
     def local(batches):
         for b in batches:
