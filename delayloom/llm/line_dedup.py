@@ -109,7 +109,9 @@ def dedup_lines(documents: DataFrame, min_words: int = 30) -> DataFrame:
     scratch.drop("lines")
     joined = keyed.join(gone.hint("merge"), ["doc", "body"], "left")
     text = F.col("row.text")
-    cut = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    stay = lambda n: F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))
+    # The one-element array binds the split text to a name, so that it is split once and not per line.
+    cut = F.transform(F.array(F.split(text, "\n", -1)), lambda x: F.array_join(F.transform(stay(F.size(x)), lambda i: F.get(x, i)), "\n"))[0]
     n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = {"text": F.when(F.col("gone").isNull(), text).otherwise(cut)}
     return joined.select(*[out.get(c, F.col("row")[c]).alias(c) for c in names], n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
