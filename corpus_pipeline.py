@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delayloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from delayloom.llm.queries import vocabulary
 from delayloom.llm.scratch import Scratch
 from delayloom.session import ship
 
@@ -47,24 +48,25 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row appears once per turn of its queue that takes at least half of its words.
 
-    Rows are told apart by a number that is written once, so null and repeated ids count like any other.
+    Documents stay whole, so a source misses its target by at most half of its
+    largest document and a packet. Rows are told apart by a number that is
+    written once: null and repeated ids count like any other. Null and empty
+    texts have no words and never enter.
     """
     ship(spark)
     scratch = Scratch(spark, "pipeline-mix")
-    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row_"), _row(docs).alias("row")), "rows")
-    report = mixing.mix_sources(rows.select("row_", "row.doc_id", "row.source", mixing.word_count(F.col("row.text")).alias("size")))
-    turns = report.filter("2 * taken >= size").groupBy("row_").agg(F.count("*").alias("turns"))
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("key"), _row(docs).alias("row")), "rows")
+    report = mixing.mix_sources(rows.select("key", "row.doc_id", "row.source", mixing.word_count(F.col("row.text")).alias("size")))
+    turns = report.filter("2 * taken >= size").groupBy("key").agg(F.count("*").alias("turns"))
     turns = scratch.save(turns, "turns")
-    joined = rows.join(turns.hint("merge"), "row_")
+    joined = rows.join(turns.hint("merge"), "key")
     return joined.select(F.explode(F.array_repeat("row", F.col("turns").cast("int"))).alias("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences of 2048 tokens."""
-    import public_tokenizers
-
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, *vocabulary())
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mix), ("packing", pack)]
