@@ -245,4 +245,4 @@ def shard_documents(documents: DataFrame, n_shards: int = 8) -> DataFrame:
 def cut_groups(placed: DataFrame) -> DataFrame:
     """One row about ``placed(link, shard)``: groups of two rows or more, how many of them lie in several shards, and their rows."""
     groups = placed.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n")).groupBy("link").agg(F.sum("n").alias("n"), F.count("*").alias("shards")).filter("n > 1")
-    return groups.agg(F.count("*").alias("groups"), F.count_if("shards > 1").alias("parted"), F.coalesce(F.sum(F.when(F.col("shards") > 1, F.col("n"))), F.lit(0)).alias("rows_of_parted"))
+    return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("shards") > 1).alias("parted"), F.coalesce(F.sum(F.when(F.col("shards") > 1, F.col("n"))), F.lit(0)).alias("rows_of_parted"))

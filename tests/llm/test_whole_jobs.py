@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("delayloom.llm")
-from delayloom.llm import nearest, packing, sharding, suffix_dedup  # noqa: E402
+from delayloom.llm import near_dedup, nearest, packing, queries, sharding, suffix_dedup  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,13 +40,12 @@ def test_group_places_keep_quotas():
 def test_packing_ids_of_the_added_token(spark):
     import zlib
 
-    import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(queries.vocabulary()[0])
     texts = ["<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>", "one two<|endoftext|><|endoftext|>three\nfour", "<|endoftext|", "a b\n <|endoftext|>\n c", "plain text"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    rows = packing.pack_documents(docs, *queries.vocabulary()).collect()
     want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in enumerate(texts)}
     assert {r["doc_id"] for r in rows} == set(want)
     for r in rows:
@@ -62,17 +61,17 @@ def test_pipeline_keeps_rows_without_id_and_mixes_repeated_rows_once(spark):
     good = corpus_pipeline.quality(spark, docs, SF).orderBy("doc_id").limit(60).collect()
     tagged = [{**r.asDict(), "text": f"{r['text']} unique{k} ending{k} of{k} row{k}"} for k, r in enumerate(good)]
     null_ids, repeated = [{**x, "doc_id": None, "text": f"{x['text']} without{k}"} for k, x in enumerate(tagged[:12])], [tagged[20]] * 25
-    table = spark.createDataFrame(tagged + null_ids + repeated, docs.schema).repartition(4).localCheckpoint()
-    kept = corpus_pipeline.quality(spark, table, SF).localCheckpoint()
+    table = spark.createDataFrame(tagged + null_ids + repeated, docs.schema).repartition(4).cache()
+    kept = corpus_pipeline.quality(spark, table, SF).cache()
     judged = Counter((r["doc_id"], r["text"]) for r in kept.collect())
     assert judged[tagged[20]["doc_id"], tagged[20]["text"]] == 26 and sum(i is None for i, _ in judged.elements()) == 12
-    near = corpus_pipeline.near(spark, kept, SF).localCheckpoint()
+    near = corpus_pipeline.near(spark, kept, SF).cache()
     after = Counter((r["doc_id"], r["text"]) for r in near.collect())
     assert set(after.values()) == {1} and sum(i is None for i, _ in after) == 12
     # The mix by itself, with rows that near() would have made one.
     for rows in (near, kept):
         words = lambda df: {r["source"]: r["n"] for r in df.groupBy("source").agg(F.sum(corpus_pipeline.mixing.word_count(F.col("text"))).alias("n")).collect()}
-        before, mixed = words(rows), corpus_pipeline.mix(spark, rows, SF).localCheckpoint()
+        before, mixed = words(rows), corpus_pipeline.mix(spark, rows, SF).cache()
         levels = corpus_pipeline.mixing.water_levels(spark.createDataFrame(list(before.items()), "source string, source_size long"))
         copies, largest = Counter((r["doc_id"], r["text"]) for r in mixed.collect()), max(len(t.split()) for _, t in judged)
         was = Counter((r["doc_id"], r["text"]) for r in rows.collect())
@@ -116,3 +115,74 @@ def test_neighbours_recall_on_unequal_norms(spark, kind):
     score[np.arange(60), np.arange(50, 6000, 100)] = -np.inf
     best = np.argsort(-score, axis=1)[:, :20]
     assert np.mean([len(found[q] & set(b.tolist())) / 20 for q, b in zip(range(50, 6000, 100), best, strict=True)]) >= 0.9
+
+
+def test_suffix_buckets_are_many_with_few_sampled_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefgh ") for _ in range(1000))) for i in range(60)], "doc_id long, text string")
+    seen, deal = [], suffix_dedup._deal
+    monkeypatch.setattr(suffix_dedup, "_deal", lambda rows, split: seen.append((rows.select("bucket").distinct().count(), len(split) + 1)) or deal(rows, split))
+    assert suffix_dedup.dedup_suffixes(docs, 100, bucket_rows=10, sample_docs=2).filter("n_removed > 0").count() == 0
+    assert seen[0][0] == seen[0][1] > 200
+    scratch = suffix_dedup.Scratch(spark, "buckets")
+    some = spark.range(300).selectExpr("id AS a", "id % 7 AS b")
+    split = suffix_dedup._splitters(some, ["a", "b"], 1000, scratch, "few")
+    assert split == [(i, i % 7) for i in range(1, 300)]  # fewer rows than buckets: all of them
+    split = suffix_dedup._splitters(some, ["a", "b"], 100, scratch, "enough")
+    assert len(split) == 99 and split == sorted(split)
+    dealt = suffix_dedup._bucket([np.arange(300), np.arange(300) % 7], split)
+    assert set(np.bincount(dealt)) == {3} and len(set(dealt)) == 100
+    ties = [(5, i) for i in range(50)]
+    assert suffix_dedup._bucket([np.full(50, 5), np.arange(50)], ties).tolist() == list(range(1, 51))
+
+
+def test_long_lists_give_all_pairs_that_can_be_linked(spark):
+    """Documents with a large common part and own parts: pairs in one list, linked or not, against brute force."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(240):
+        own = rng.choice([2, 8, 14, 20, 26, 60])
+        at = rng.randrange(0, 100)
+        rows.append((i, " ".join([*base[:at], *[word() for _ in range(own)], *base[at : 120 - rng.randrange(0, 12)]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in range(len(sets)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == label and 1 < len(set(label.values())) < 240
+
+
+def test_close_pairs_equal_all_pairs(spark):
+    rng = random.Random(10)
+    rest = []
+    for i in range(300):
+        n = rng.randrange(5, 200)
+        common = [rng.randrange(0, 1 + n // 3) for _ in range(4)]
+        rest.append((rng.randrange(3), i, n, rng.randrange(5) * 1000, common, sum(common)))
+    df = spark.createDataFrame(rest, "key long, doc_id long, n_shingles long, component long, common array<int>, sum_a int")
+    want = set()
+    for x in rest:
+        for y in rest:
+            if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and 100 * min(x[2], y[2]) >= 75 * max(x[2], y[2]):
+                if 175 * sum(map(min, x[4], y[4])) >= 75 * (x[2] + y[2]):
+                    want.add((x[1], y[1]))
+    for block in (7, 500):
+        got = [(r["a"], r["b"]) for r in near_dedup._close_pairs(df, suffix_dedup.Scratch(spark, "pairs"), 75, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shards_of_null_and_empty_texts(spark):
+    rows = [(i, None if i % 2 else "") for i in range(20)] + [(100 + i, f"text {i}") for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(docs, 8).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 100}) == 1 and set(Counter(r["shard"] for r in got).values()) == {20}
+    placed = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (2, 1), (3, 4)], "link long, shard int")
+    assert sharding.cut_groups(placed).first().asDict() == {"groups": 2, "parted": 1, "rows_of_parted": 3}
