@@ -35,10 +35,14 @@ def sunday_schedule(day: Column, movable: Column | None = None) -> Column:
     return listed if movable is None else listed | F.coalesce(movable, F.lit(False))
 
 
+def mask_index(day: Column) -> Column:
+    """Place in a Monday..Sunday mask that says whether a service runs on ``day``."""
+    return F.when(sunday_schedule(day), F.lit(6)).otherwise(F.weekday(day))
+
+
 def runs_on(mask: Column, day: Column) -> Column:
     """Whether a Monday..Sunday Y/N mask has the service on ``day``."""
-    at = F.when(sunday_schedule(day), F.lit(6)).otherwise(F.weekday(day))
-    return F.substr(mask, at + 1, F.lit(1)) == "Y"
+    return F.substr(mask, mask_index(day) + 1, F.lit(1)) == "Y"
 
 
 def service_day(clock: Column, run_start_minute: Column) -> Column:

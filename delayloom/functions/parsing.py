@@ -61,16 +61,6 @@ def train_description(text: Column) -> Column:
     return F.struct(clock_seconds(part(1)).alias("seconds"), F.nullif(F.lower(part(2)), F.lit("train")).alias("train_type"), F.upper(part(3)).alias("station_code"))
 
 
-def status_text(text: Column) -> Column:
-    """A running-status sentence as event, station and signed delay; event is "unknown" where nothing matches."""
-    low = F.lower(text)
-    event = F.when(low.contains("cancel"), "cancelled").when(low.contains("arriv"), "arrival").when(low.contains("depart"), "departure").when(low.contains("between"), "between").otherwise("unknown")
-    station = F.nullif(F.regexp_extract(text, r"(?i)(?:at|from|from:)\s+(S\d{2})", 1), F.lit(""))
-    size = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*min", 1).try_cast("double")
-    delay = F.when(low.contains("on time"), 0.0).when(low.contains("early") | low.contains("before"), -size).otherwise(size)
-    return F.struct(event.alias("event"), station.alias("station_code"), F.when(event != "cancelled", delay).alias("delay_minutes"))
-
-
 def short_error(text: Column, width: int = 200) -> Column:
     """Error text without query strings and runs of blanks, clipped."""
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"\?\S*", ""), r"\s+", " ")), 1, width)

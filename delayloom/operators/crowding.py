@@ -45,19 +45,28 @@ def similar_reports(trips: DataFrame, reports: DataFrame) -> DataFrame:
 
     ``trips`` has key, station_code, line, train_type, train_id, minute and day;
     ``reports`` station_code, line, train_type, train_id, minute, day and crowd_level.
+    Reports are counted per train, minute and day first, and trips that ask the
+    same ask once; both meet in half-hour slots of the day. What meets is
+    bounded by stations, minutes and days, not by reports or trips.
     """
-    r = reports.select("station_code", "line", "train_type", F.col("train_id").alias("other"), F.col("minute").alias("r_minute"), F.col("day").alias("r_day"), "crowd_level")
+    place, slots = ["station_code", "line", "train_type"], 1440 // REPORT_WINDOW
+    slot = F.floor(F.col("minute") / REPORT_WINDOW)
+    counted = reports.groupBy(*place, F.col("train_id").alias("other"), F.col("minute").alias("r_minute"), F.col("day").alias("r_day"), slot.alias("slot")).agg(F.count("*").alias("n"), F.sum("crowd_level").alias("s"))
+    asks = ["train_id", "minute", "day"]
+    asked = trips.select(*place, *asks).distinct().withColumn("slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(slot + d, F.lit(slots)))))
     gap = F.abs(F.pmod(F.col("minute") - F.col("r_minute") + 720, F.lit(1440)) - 720)
-    met = trips.select("key", "station_code", "line", "train_type", "train_id", "minute", "day").join(r, ["station_code", "line", "train_type"])
-    met = met.filter((gap <= REPORT_WINDOW) & ~F.col("other").eqNullSafe(F.col("train_id")) & F.datediff("day", "r_day").between(0, REPORT_DAYS))
-    return met.groupBy("key").agg(F.count("*").alias("similar_n"), F.sum("crowd_level").alias("similar_sum"))
+    met = asked.join(counted, [*place, "slot"]).filter((gap <= REPORT_WINDOW) & ~F.col("other").eqNullSafe(F.col("train_id")) & F.datediff("day", "r_day").between(0, REPORT_DAYS))
+    found = met.groupBy(*place, *asks).agg(F.sum("n").alias("similar_n"), F.sum("s").alias("similar_sum"))
+    return trips.select("key", *place, *asks).join(found, [*place, *asks]).select("key", "similar_n", "similar_sum")
 
 
 def train_reports(trips: DataFrame, reports: DataFrame) -> DataFrame:
     """Per trip the number and sum of levels of reports of this very train at its station, not too old."""
-    r = reports.select("station_code", "train_id", F.col("day").alias("r_day"), "crowd_level")
-    met = trips.select("key", "station_code", "train_id", "day").join(r, ["station_code", "train_id"]).filter(F.datediff("day", "r_day").between(0, REPORT_DAYS))
-    return met.groupBy("key").agg(F.count("*").alias("own_n"), F.sum("crowd_level").alias("own_sum"))
+    of = ["station_code", "train_id"]
+    r = reports.groupBy(*of, F.col("day").alias("r_day")).agg(F.count("*").alias("n"), F.sum("crowd_level").alias("s"))
+    met = trips.select(*of, "day").distinct().join(r, of).filter(F.datediff("day", "r_day").between(0, REPORT_DAYS))
+    found = met.groupBy(*of, "day").agg(F.sum("n").alias("own_n"), F.sum("s").alias("own_sum"))
+    return trips.select("key", *of, "day").join(found, [*of, "day"]).select("key", "own_n", "own_sum")
 
 
 def crowding_estimate(scored: DataFrame, similar: DataFrame, own: DataFrame) -> DataFrame:

@@ -69,14 +69,29 @@ def update_registry(registry: DataFrame, entry: DataFrame) -> DataFrame:
     return old.join(entry.select("version"), "version", "left_anti").unionByName(entry)
 
 
-def encode_categories(rows: DataFrame, train: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Category codes by order of the training values; values it hasn't seen are -1."""
+def encode_categories(rows: DataFrame, train: DataFrame, columns: tuple[str, ...], most: int = 100_000) -> DataFrame:
+    """Category codes by order of the training values; values it hasn't seen are -1. A column with more than ``most`` values is no category."""
     for c in columns:
-        dim = train.select(c).distinct().withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
-        rows = rows.join(F.broadcast(dim), c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+        values = train.select(c).distinct()
+        if values.limit(most + 1).count() > most:
+            raise ValueError(f"{c} has more than {most} values")
+        dim = values.withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
+        rows = rows.join(dim, c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
     return rows
 
 
+def evaluate_segments(predictions: DataFrame, model: str, segments: tuple[str, ...]) -> DataFrame:
+    """Error of one forecast over all rows and within each value of each segment column, in one pass: segment, value, rows, mae, within_2, within_5, bias.
+
+    Segments are columns such as station, direction, or whether a live reading
+    of the run was known; a null value counts as a value of its own.
+    """
+    parts = [F.struct(F.lit("all").alias("segment"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("segment"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value")) for c in segments]]
+    long = predictions.select("label", F.col(model).alias("p"), F.explode(F.array(*parts)).alias("x"))
+    off = F.abs(F.col("label") - F.bround("p", 0))
+    return long.groupBy("x.segment", "x.value").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("label") - F.col("p"))).alias("mae"), F.avg((off <= 2).cast("double")).alias("within_2"), F.avg((off <= 5).cast("double")).alias("within_5"), F.avg(F.col("label") - F.col("p")).alias("bias"))
+
+
 def train_delay_model(train: DataFrame, features: list[str], label: str = "label", iterations: int = 20, seed: int = 3):
     """Gradient-boosted trees with absolute loss, and the spread of residuals as the forecast's range: (model, low, high)."""
     from pyspark.ml import Pipeline
@@ -91,3 +106,21 @@ def train_delay_model(train: DataFrame, features: list[str], label: str = "label
 
 def predict_delay(model, low: float, high: float, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("low", F.col("prediction") + low).withColumn("high", F.col("prediction") + high).drop("features")
+
+
+def predict_targets(model, low: float, high: float, asked: DataFrame, features: DataFrame) -> DataFrame:
+    """``asked(target_id, ...)`` with delay, low and high; nulls where the train doesn't serve the station, so that it has no features."""
+    p = predict_delay(model, low, high, features).select(F.col("id").alias("target_id"), F.col("prediction").alias("delay"), "low", "high")
+    return asked.join(p, "target_id", "left")
+
+
+def ablate_features(train: DataFrame, test: DataFrame, features: list[str], extra: list[str], iterations: int = 20) -> DataFrame:
+    """Test metrics of a model without and with the inputs ``extra``, trained on the same rows: one row each. One split is no finding."""
+    out = None
+    for name, used in (("without", features), ("with", [*features, *extra])):
+        model, low, high = train_delay_model(train, used, iterations=iterations)
+        p = predict_delay(model, low, high, test)
+        errors = p.agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae"), F.avg((F.abs(F.col("label") - F.bround("prediction", 0)) <= 2).cast("double")).alias("within_2"))
+        row = range_metrics(p).crossJoin(errors).select(F.lit(name).alias("inputs"), "rows", "mae", "within_2", "coverage", "width")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import local_time, service_day, sunday_schedule
+from .runs import earlier_values
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, columns: list[str], tie: str) -> DataFrame:
@@ -26,13 +27,13 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
 def route_points(stops: DataFrame, trains: DataFrame, places: DataFrame) -> DataFrame:
     """All places a train passes: its stops, and between two stops the skipped places with interpolated times."""
     order = Window.partitionBy("train_id").orderBy("stop_seq")
-    s = stops.join(F.broadcast(trains.select("train_id", "line")), "train_id").withColumn("next_seq", F.lead("station_seq").over(order)).withColumn("next_minutes", F.lead("minutes").over(order))
+    s = stops.join(trains.select("train_id", "line"), "train_id").withColumn("next_seq", F.lead("station_seq").over(order)).withColumn("next_minutes", F.lead("minutes").over(order))
     step = F.when(F.col("next_seq") > F.col("station_seq"), 1).otherwise(-1)
     s = s.withColumn("passed", F.when(F.abs(F.coalesce("next_seq", "station_seq") - F.col("station_seq")) > 1, F.sequence(F.col("station_seq") + step, F.col("next_seq") - step)).otherwise(F.array().cast("array<int>")))
     share = (F.col("seq") - F.col("station_seq")) / (F.col("next_seq") - F.col("station_seq"))
     between = s.withColumn("seq", F.explode("passed")).select("train_id", "line", "seq", (F.col("minutes") + share * (F.col("next_minutes") - F.col("minutes"))).alias("minutes"), F.lit(False).alias("is_stop"))
     points = s.select("train_id", "line", F.col("station_seq").alias("seq"), F.col("minutes").cast("double").alias("minutes"), F.lit(True).alias("is_stop")).unionByName(between)
-    points = points.join(F.broadcast(places.select("line", "seq", F.col("code").alias("station_code"))), ["line", "seq"])
+    points = points.join(places.select("line", "seq", F.col("code").alias("station_code")), ["line", "seq"])
     along = Window.partitionBy("train_id")
     return points.select("train_id", "station_code", (F.row_number().over(along.orderBy("minutes")) - 1).alias("point_seq"), F.col("seq").alias("station_seq"), "minutes", "is_stop", F.coalesce(F.try_divide("minutes", F.max("minutes").over(along)), F.lit(0.0)).alias("progress"))
 
@@ -75,10 +76,14 @@ def training_targets(clean: DataFrame, cold_minutes: int = 10) -> DataFrame:
 
 def history_delay(clean: DataFrame) -> DataFrame:
     """Median and count of a train's delays at a station on days before each of its days there."""
-    day = F.datediff("service_day", F.lit("1970-01-01").cast("date"))
-    before = Window.partitionBy("train_id", "station_code").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    out = clean.withColumn("day", day).withColumn("hist_delay", F.percentile("delay_minutes", 0.5).over(before)).withColumn("hist_count", F.count("*").over(before))
-    return out.groupBy("train_id", "station_code", "service_day").agg(F.first("hist_delay").alias("hist_delay"), F.first("hist_count").alias("hist_count")).filter("hist_count > 0")
+    out = earlier_values(clean, clean, "service_day", "delay_minutes", [0.5])
+    return out.select("train_id", "station_code", "service_day", F.col("q")[0].alias("hist_delay"), F.col("n").alias("hist_count"))
+
+
+def prediction_targets(asked: DataFrame) -> DataFrame:
+    """Targets without labels for ``asked(target_id, train_id, service_day, station_code, cutoff)``; cutoffs are local times."""
+    none = F.lit(None)
+    return asked.select(F.col("target_id").cast("long").alias("id"), F.lit(-1).cast("long").alias("cutoff_id"), "train_id", "service_day", "station_code", "cutoff", none.cast("double").alias("label"), none.cast("timestamp").alias("label_time"))
 
 
 def batch_state(targets: DataFrame, polls: DataFrame, max_age: int = 20) -> DataFrame:
@@ -108,7 +113,7 @@ def block_spans(blocks: DataFrame, places: DataFrame, default_start: int = 600,
     at = lambda side: places.select("line", F.col("code").alias(f"{side}_station"), F.col("seq").alias(f"{side}_seq"))
     none = F.col("start_min").isNull() & F.col("end_min").isNull()
     part = F.col("start_min").isNull() | F.col("end_min").isNull()
-    b = blocks.join(F.broadcast(at("from")), ["line", "from_station"], "left").join(F.broadcast(at("to")), ["line", "to_station"], "left")
+    b = blocks.join(at("from"), ["line", "from_station"], "left").join(at("to"), ["line", "to_station"], "left")
     return b.select("block_no", "block_date", "line", "tracks", "from_seq", "to_seq", F.when(none, default_start).when(~part, F.col("start_min")).alias("start_min"), F.when(none, default_end).when(~part, F.col("end_min")).alias("end_min"))
 
 
@@ -127,7 +132,7 @@ def flag01(c: Column) -> Column:
 
 def feature_rows(targets: DataFrame, clean: DataFrame, obs: DataFrame, trains: DataFrame, stops: DataFrame, places: DataFrame, blocks: DataFrame) -> DataFrame:
     """All features of each target at its cutoff."""
-    info = F.broadcast(trains.select("train_id", "run_start_min", "direction", "train_type", "line", "is_ac", "car_count"))
+    info = trains.select("train_id", "run_start_min", "direction", "train_type", "line", "is_ac", "car_count")
     point = stops.select("train_id", "station_code", (F.col("stop_seq") - 1).alias("point_seq"), "station_seq", F.col("minutes").alias("sched_minutes"))
     origin = stops.filter("stop_seq = 1").select("train_id", F.col("station_seq").alias("origin_seq"))
     last = stops.groupBy("train_id").agg(F.max("minutes").alias("trip_minutes"))

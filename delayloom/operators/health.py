@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def build_run_log(polls: DataFrame, results: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per poll and known source: what the source answered, or that it was skipped."""
-    every = polls.crossJoin(F.broadcast(sources)).join(results, ["batch_id", "source"], "left")
+    """One row per poll and known source: what the source answered, or that it was skipped. Sources are a handful of settings rows."""
+    every = polls.crossJoin(sources).join(results, ["batch_id", "source"], "left")
     status = F.when(~F.col("enabled"), "skipped_disabled").when(F.col("readings").isNull(), "failed").when(F.col("error").isNotNull(), "partial").otherwise("ok")
     return every.withColumn("status", status).withColumn("readings", F.coalesce("readings", F.lit(0)))
 

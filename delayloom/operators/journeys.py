@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import runs_on
+from ..functions.calendar import mask_index
+
+DAY_LIST = ["origin", "destination", "today", "yesterday"]
 
 
 def local_minute(instant: Column) -> Column:
@@ -21,19 +23,55 @@ def legs(stops: DataFrame, trains: DataFrame) -> DataFrame:
     return a.join(b, "train_id").filter("o_seq < d_seq").join(info, "train_id")
 
 
+def day_lists(asked: DataFrame, stops: DataFrame, trains: DataFrame) -> DataFrame:
+    """Departures of one calendar day for each ``asked(origin, destination, today, yesterday)``, numbered by departure, arrival and id.
+
+    ``today`` and ``yesterday`` are places in the running mask: runs that
+    started on the day itself and, after midnight, those of the day before.
+    -1 stands for a day whose runs don't count. There are as many lists as
+    pairs of stations and kinds of neighbouring days, however many requests.
+    """
+    start = F.col("run_start_min") + F.col("o_min")
+    on = lambda c: F.substr("days", F.col(c) + 1, F.lit(1)) == "Y"
+    t = legs(stops, trains).withColumn("minute", F.pmod(start, F.lit(1440))).withColumn("nights", F.floor(start / 1440))
+    met = asked.select("origin", "destination", "today", "yesterday").distinct().join(t, ["origin", "destination"])
+    met = met.filter(((F.col("nights") == 0) & (F.col("today") >= 0) & on("today")) | ((F.col("nights") == 1) & (F.col("yesterday") >= 0) & on("yesterday")))
+    order = Window.partitionBy(*DAY_LIST).orderBy("minute", F.col("d_min") - F.col("o_min"), "train_id")
+    return met.drop("days").withColumn("rank", F.row_number().over(order))
+
+
 def next_trains(requests: DataFrame, stops: DataFrame, trains: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` trains of each ``requests(req_id, origin, destination, at)``, by departure, arrival and id.
 
     The run may have started on the day before, of or after the request. Only
     runs whose mask has the service day count.
+
+    A request looks into the departures of its day from its minute on, of the
+    next day, and of the small hours after. Where a list starts for a minute is
+    found once per list and minute; then a request meets exactly the entries it
+    takes, so work grows with requests times ``n``.
     """
-    now = local_minute(F.col("at"))
-    day = F.floor(F.col("now") / 1440) + F.col("off")
-    trips = requests.withColumn("now", now).join(legs(stops, trains), ["origin", "destination"]).withColumn("off", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("day_no", day.cast("int"))
-    trips = trips.withColumn("service_day", F.date_from_unix_date("day_no")).withColumn("dep", F.col("day_no").cast("long") * 1440 + F.col("run_start_min") + F.col("o_min"))
-    trips = trips.withColumn("arr", F.col("dep") + F.col("d_min") - F.col("o_min")).filter((F.col("dep") >= F.col("now")) & runs_on(F.col("days"), F.col("service_day")))
-    first = Window.partitionBy("req_id").orderBy("dep", "arr", "train_id")
-    return trips.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= n).drop("off", "day_no", "days", "now")
+    now, date = F.col("now_"), lambda k: F.date_from_unix_date((F.floor(F.col("now_") / 1440) + k).cast("int"))
+    none = F.lit(-1)
+    looks = [F.struct(F.lit(k).alias("k"), today.alias("today"), yesterday.alias("yesterday"), since.cast("long").alias("since")) for k, today, yesterday, since in (
+        (0, mask_index(date(0)), mask_index(date(-1)), F.pmod(now, F.lit(1440))), (1, mask_index(date(1)), mask_index(date(0)), F.lit(0)), (2, none, mask_index(date(1)), F.lit(0)))]
+    row = F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row_")
+    asked = requests.withColumn("now_", local_minute(F.col("at"))).select("req_id", "origin", "destination", row, F.floor(now / 1440).alias("day_"), F.explode(F.array(*looks)).alias("x")).select("*", "x.*").drop("x")
+    lists = day_lists(asked, stops, trains)
+    length = lists.groupBy(*DAY_LIST).agg(F.count("*").alias("length"))
+    moments = asked.filter("since > 0").select(*DAY_LIST, "since").distinct()
+    both = lists.select(*DAY_LIST, F.col("minute").alias("since"), F.lit(1).alias("train_")).unionByName(moments.withColumn("train_", F.lit(0)))
+    ahead = Window.partitionBy(*DAY_LIST).orderBy("since", "train_").rowsBetween(Window.unboundedPreceding, -1)
+    gone = both.withColumn("gone", F.coalesce(F.sum("train_").over(ahead), F.lit(0))).filter("train_ = 0").select(*DAY_LIST, "since", "gone")
+    found = asked.join(length, DAY_LIST).join(gone, [*DAY_LIST, "since"], "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    earlier = Window.partitionBy("req_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("left_", F.col("length") - F.col("gone")).withColumn("have", F.coalesce(F.sum("left_").over(earlier), F.lit(0)))
+    found = found.withColumn("take", F.least("left_", F.lit(n) - F.col("have"))).filter("take > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))))
+    found = found.select(*DAY_LIST, "row_", (F.col("day_") + F.col("k")).alias("day_no"), (F.col("gone") + F.col("i")).alias("rank"), (F.col("have") + F.col("i")).cast("int").alias("place"))
+    trips = found.join(lists, [*DAY_LIST, "rank"]).withColumn("dep", F.col("day_no") * 1440 + F.col("minute"))
+    other = [c for c in requests.columns if c not in ("origin", "destination")]
+    leg = [c for c in lists.columns if c not in (*DAY_LIST, "minute", "nights", "rank")]
+    return trips.select("origin", "destination", *[F.col("row_")[c].alias(c) for c in other], *leg, F.date_from_unix_date((F.col("day_no") - F.col("nights")).cast("int")).alias("service_day"), "dep", (F.col("dep") + F.col("d_min") - F.col("o_min")).alias("arr"), "place")
 
 
 def pairs_of(requests: DataFrame) -> DataFrame:

@@ -46,12 +46,15 @@ def flag_delay_jump(obs: DataFrame, window: float = 60, slack: float = 15) -> Da
 
 
 def with_schedule(obs: DataFrame, stops: DataFrame) -> DataFrame:
-    """Readings of arrivals and departures with the minute of day they were due by timetable, and what delay that implies."""
+    """Uncancelled readings of timetable trains at their stops with the minute of day they were due, what delay that implies, and how far off they were read.
+
+    Departures are due at the departure, all other events at the arrival.
+    """
     due = stops.select("train_id", "station_code", (F.coalesce("departure_s", "arrival_s") / 60).cast("int").alias("dep"), (F.coalesce("arrival_s", "departure_s") / 60).cast("int").alias("arr"))
-    o = obs.filter("event IN ('arrival', 'departure') AND NOT cancelled").join(due, ["train_id", "station_code"])
-    o = o.withColumn("due", F.when(F.col("event") == "arrival", F.col("arr")).otherwise(F.col("dep")))
+    o = obs.filter("NOT coalesce(cancelled, false)").join(due, ["train_id", "station_code"])
+    o = o.withColumn("due", F.when(F.col("event") == "departure", F.col("dep")).otherwise(F.col("arr")))
     implied = wrap_minutes(day_minute(local_time(F.col("actual_or_expected_time"))) - F.col("due"))
-    away = wrap_minutes(day_minute(local_time(F.col("observed_at"))) - F.col("due") - F.coalesce(F.rint("delay_minutes"), F.lit(0)).cast("int"))
+    away = wrap_minutes(day_minute(local_time(F.col("observed_at"))) - F.col("due") - F.round(F.coalesce("delay_minutes", F.lit(0.0))).cast("int"))
     return o.withColumn("implied", implied).withColumn("away", away)
 
 
@@ -73,8 +76,9 @@ def flag_batch_time_mismatch(obs: DataFrame, tolerance: float = 90) -> DataFrame
     return obs.withColumn("off", _gap(F.col("observed_at"), at)).filter(F.abs("off") > tolerance).select("id", "off")
 
 
-def find_flags(obs: DataFrame, trains: DataFrame, stops: DataFrame, now: Column) -> DataFrame:
-    """``id, flag`` of all eight rules, one row per reading and flag."""
+def find_flags(obs: DataFrame, trains: DataFrame, stops: DataFrame, now: Column, include_synthetic: bool = False) -> DataFrame:
+    """``id, flag`` of all eight rules, one row per reading and flag; synthetic readings aren't looked at unless asked for."""
+    obs = obs if include_synthetic else obs.filter("source <> 'synthetic'")
     scheduled = with_schedule(obs, stops)
     found = {
         "exact_duplicate": flag_exact_duplicate(obs), "near_duplicate": flag_near_duplicate(obs), "implausible_delay": flag_implausible_delay(obs, trains), "delay_jump": flag_delay_jump(obs),
@@ -107,7 +111,7 @@ def source_rates(obs: DataFrame) -> DataFrame:
 
 def unmatched_trains(obs: DataFrame, trains: DataFrame) -> DataFrame:
     """Train numbers without a train in the timetable, by readings."""
-    kind = F.when(F.col("train_number").rlike("^9[0-9]{4}$"), "suburban").otherwise("other")
+    kind = F.when(F.col("train_number").rlike("^9[5-9][0-9]{3}$"), "suburban").otherwise("other")
     return obs.join(trains.select("train_id"), "train_id", "left_anti").groupBy("train_number").agg(F.count("*").alias("rows")).withColumn("kind", kind)
 
 

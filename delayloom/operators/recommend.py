@@ -8,23 +8,43 @@ from pyspark.sql import functions as F
 from ..functions.calendar import runs_ac, sunday_schedule
 from .crowding import rule_score
 from .journeys import local_minute, next_trains
+from .runs import earlier_values
 
 
 def baseline_predictions(targets: DataFrame, clean: DataFrame, least: int = 5) -> DataFrame:
     """``targets(key, train_id, station_code, service_day)`` with the earlier days' median and spread, if readings suffice."""
-    past = clean.select("train_id", "station_code", F.col("service_day").alias("past"), "delay_minutes")
-    met = targets.join(past, ["train_id", "station_code"]).filter("past < service_day")
-    q = F.percentile("delay_minutes", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return met.groupBy("key").agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least).select("key", F.col("q")[0].alias("low"), F.col("q")[1].alias("delay"), F.col("q")[2].alias("high"), "n")
+    q = earlier_values(targets, clean, "service_day", "delay_minutes", [0.1, 0.5, 0.9]).filter(F.col("n") >= least)
+    return targets.join(q, ["train_id", "station_code", "service_day"]).select("key", F.col("q")[0].alias("low"), F.col("q")[1].alias("delay"), F.col("q")[2].alias("high"), "n")
 
 
-def cancelled_trains(requests: DataFrame, obs: DataFrame, hours: int = 4) -> DataFrame:
-    """Trains read as cancelled in the hours before each request; requests and readings meet in slots of that length."""
+def cancelled_trains(trips: DataFrame, obs: DataFrame, hours: int = 4) -> DataFrame:
+    """``req_id, train_id`` of ``trips(req_id, train_id, at)`` whose train was read as cancelled in the hours before; both meet on train and slot of that length."""
     width = hours * 3600
     slot = lambda c: F.floor(F.unix_seconds(c) / width)
     c = obs.filter("cancelled AND source <> 'synthetic'").select("train_id", "observed_at", F.explode(F.array(slot(F.col("observed_at")), slot(F.col("observed_at")) + 1)).alias("slot"))
-    r = requests.select("req_id", "at", slot(F.col("at")).alias("slot"))
-    return r.join(c, "slot").filter(f"observed_at <= at AND observed_at >= at - INTERVAL {hours} HOURS").select("req_id", "train_id").distinct()
+    r = trips.select("req_id", "train_id", "at", slot(F.col("at")).alias("slot"))
+    return r.join(c, ["train_id", "slot"]).filter(f"observed_at <= at AND observed_at >= at - INTERVAL {hours} HOURS").select("req_id", "train_id").distinct()
+
+
+def delay_levels(targets: DataFrame, model: DataFrame, baseline: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Per target the best delay there is, and where it comes from: model, baseline or timetable.
+
+    ``targets(key, station_code, ...)``; ``model`` and ``baseline`` have key,
+    delay, low and high. With ``covered(station_code)`` the model is used only
+    at the stations it was trained on; elsewhere the baseline stands in.
+    """
+    side = lambda df, p: df.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("delay", "low", "high")], F.lit(True).alias(f"has_{p}"))
+    t = targets if covered is None else targets.join(covered.select("station_code", F.lit(True).alias("covered_")), "station_code", "left")
+    inside = F.lit(True) if covered is None else F.coalesce("covered_", F.lit(False))
+    t = t.join(side(model, "m"), "key", "left").join(side(baseline, "b"), "key", "left")
+    by_model, by_past = F.coalesce("has_m", F.lit(False)) & inside, F.coalesce("has_b", F.lit(False))
+    pick = lambda c: F.when(by_model, F.col(f"m_{c}")).when(by_past, F.col(f"b_{c}"))
+    return t.select(*targets.columns, F.when(by_model, "model").when(by_past, "baseline").otherwise("timetable").alias("level"), F.coalesce(pick("delay"), F.lit(0.0)).alias("delay"), pick("low").alias("low"), pick("high").alias("high"))
+
+
+def usable_model(registry: DataFrame, allow_synthetic: bool = False) -> DataFrame:
+    """The promoted version of ``registry(version, status, is_synthetic)``, if it may be used: one trained on synthetic data only where allowed."""
+    return registry.filter((F.col("status") == "promoted") & (F.lit(allow_synthetic) | ~F.coalesce("is_synthetic", F.lit(False))))
 
 
 def live_readings(options: DataFrame, clean: DataFrame, max_age: int = 30) -> DataFrame:
@@ -45,7 +65,7 @@ def options_for(requests: DataFrame, stops: DataFrame, trains: DataFrame, clean:
     trips = next_trains(requests, stops, trains, candidates)
     key = F.struct("req_id", "train_id", "service_day")
     past = baseline_predictions(trips.select(key.alias("key"), "train_id", F.col("origin").alias("station_code"), "service_day"), clean).select("key.*", F.col("delay").alias("past_delay"))
-    gone = cancelled_trains(requests, obs).withColumn("cancelled", F.lit(True))
+    gone = cancelled_trains(trips, obs).withColumn("cancelled", F.lit(True))
     run = ["req_id", "train_id", "service_day"]
     t = trips.join(past, run, "left").join(live_readings(trips, clean), run, "left").join(gone, ["req_id", "train_id"], "left").withColumn("cancelled", F.coalesce("cancelled", F.lit(False)))
     expected = F.coalesce("past_delay", F.lit(0.0))

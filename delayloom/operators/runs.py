@@ -40,7 +40,7 @@ def drift_table(pairs: DataFrame) -> DataFrame:
 
 def run_facts(final: DataFrame, trains: DataFrame) -> DataFrame:
     """Final runs with direction, type, local hour, band and kind of day."""
-    r = final.join(F.broadcast(trains.select("train_id", "direction", "train_type", "line")), "train_id")
+    r = final.join(trains.select("train_id", "direction", "train_type", "line"), "train_id")
     r = r.withColumn("hour", F.hour(local_time(F.col("scheduled")))).withColumn("kind", day_kind(F.col("run_key")))
     return r.withColumn("band", day_band(F.col("hour")))
 
@@ -71,7 +71,7 @@ def line_state_backtest(readings: DataFrame, final: DataFrame, trains: DataFrame
     window before the cutoff. Readings are matched by line, direction and
     half-hour slot, so the range join never meets a whole day.
     """
-    t = F.broadcast(trains.select("train_id", "line", "direction"))
+    t = trains.select("train_id", "line", "direction")
     slot = lambda c: F.floor(F.unix_seconds(c) / (window * 60))
     cut = final.join(t, "train_id").withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("cutoff", F.col("scheduled") - F.make_dt_interval(mins=F.col("lead")))
     cut = cut.select(*RUN, "line", "direction", "lead", "cutoff", "d_final")
@@ -85,15 +85,25 @@ def line_state_backtest(readings: DataFrame, final: DataFrame, trains: DataFrame
     return out.rollup("lead", "direction").agg(F.grouping("lead").alias("all_leads"), F.grouping("direction").alias("all_directions"), F.count("*").alias("runs"), miss(F.lit(0.0)).alias("mae_zero"), miss(F.col("own")).alias("mae_own"), miss(F.col("line_delay")).alias("mae_line"), miss(F.col("best")).alias("mae_max"), F.avg(F.col("line_delay").isNotNull().cast("double")).alias("line_known"))
 
 
-def baseline_check(readings: DataFrame, final: DataFrame, trains: DataFrame) -> DataFrame:
-    """Earlier days' median of all readings against that of final delays, as forecasts of a final delay."""
-    days = lambda df, v: df.groupBy("train_id", "station_code", "run_key").agg(F.collect_list(v).alias("v"))
+def earlier_values(asked: DataFrame, values: DataFrame, day: str, value: str, shares: list[float]) -> DataFrame:
+    """Per train, station and day of ``asked`` the percentiles ``q`` of ``value`` on earlier days, and their number ``n``.
+
+    Days without earlier values are left out. Values are counted per day first
+    and days are asked for once, however many rows ask; one window then carries
+    the counts forward, so no day is joined to all days before it.
+    """
+    place = ["train_id", "station_code"]
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*place, day, F.col(value).alias("v_")).agg(F.count("*").alias("n_")).withColumn("asks_", F.lit(False))
+    days = asked.select(*place, day).distinct().select("*", F.lit(None).cast(values.schema[value].dataType).alias("v_"), F.lit(0).cast("long").alias("n_"), F.lit(True).alias("asks_"))
+    before = Window.partitionBy(*place).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
+    both = counts.unionByName(days).select(*place, day, "asks_", F.percentile("v_", F.array(*map(F.lit, shares)), F.col("n_")).over(before).alias("q"), F.sum("n_").over(before).alias("n"))
+    return both.filter("asks_ AND n > 0").drop("asks_")
 
-    def earlier(df: DataFrame, name: str) -> DataFrame:
-        past = df.select("train_id", "station_code", F.col("run_key").alias("past"), F.explode("v").alias("v"))
-        return final.select(*RUN).join(past, ["train_id", "station_code"]).filter("past < run_key").groupBy(*RUN).agg(F.median("v").alias(name))
 
-    both = final.join(earlier(days(readings, "delay_minutes"), "by_reading"), RUN).join(earlier(days(final, "d_final"), "by_run"), RUN).join(F.broadcast(trains.select("train_id", "direction")), "train_id")
+def baseline_check(readings: DataFrame, final: DataFrame, trains: DataFrame) -> DataFrame:
+    """Earlier days' median of all readings against that of final delays, as forecasts of a final delay."""
+    earlier = lambda df, v, name: earlier_values(final, df, "run_key", v, [0.5]).select(*RUN, F.col("q")[0].alias(name))
+    both = final.join(earlier(readings, "delay_minutes", "by_reading"), RUN).join(earlier(final, "d_final", "by_run"), RUN).join(trains.select("train_id", "direction"), "train_id")
     miss = lambda c: F.col("d_final") - F.col(c)
     return both.rollup("direction").agg(F.grouping("direction").alias("all_directions"), F.count("*").alias("runs"), F.avg(F.abs(miss("by_reading"))).alias("mae_reading"), F.avg(miss("by_reading")).alias("bias_reading"), F.avg(F.abs(miss("by_run"))).alias("mae_run"), F.avg(miss("by_run")).alias("bias_run"))
 

@@ -68,7 +68,7 @@ def station_order(pairs: DataFrame) -> DataFrame:
         out: list[str] = []
         while before:
             free = sorted(s for s, need in before.items() if not need)
-            if not free:  # a cycle: the rest can't be ordered
+            if not free:  # a cycle: its stations get no place; see order_cycles
                 break
             follow = [s for s in free if out and s in after[out[-1]]]
             s = (follow or free)[0]
@@ -81,6 +81,12 @@ def station_order(pairs: DataFrame) -> DataFrame:
     return pairs.filter("against = 0 OR trains > against").groupBy("line").applyInPandas(sort, "line string, code string, seq int")
 
 
+def order_cycles(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """Stations of a line that ``station_order`` gave no place, since each comes after another of them."""
+    named = pairs.select("line", F.explode(F.array("a", "b")).alias("code")).distinct()
+    return named.join(order.select("line", "code"), ["line", "code"], "left_anti")
+
+
 def upsert_timetable(current: DataFrame, incoming: DataFrame, replace_line: str | None = None) -> DataFrame:
     """Trains of ``incoming`` replace those of the same id; with ``replace_line`` the line's absent trains go too."""
     kept = current.join(incoming.select("train_id").distinct(), "train_id", "left_anti")
@@ -89,6 +95,31 @@ def upsert_timetable(current: DataFrame, incoming: DataFrame, replace_line: str
     return kept.unionByName(incoming)
 
 
+def upsert_stops(stops: DataFrame, current: DataFrame, incoming_stops: DataFrame, incoming: DataFrame, replace_line: str | None = None) -> DataFrame:
+    """Stops after the trains were replaced: an incoming train's stops are its only ones, and trains that went take theirs along."""
+    kept = upsert_timetable(current, incoming, replace_line).join(incoming.select("train_id"), "train_id", "left_anti").select("train_id")
+    return stops.join(kept, "train_id", "left_semi").unionByName(incoming_stops)
+
+
+def upsert_stations(stations: DataFrame, incoming: DataFrame, order: DataFrame, main: str = "central") -> DataFrame:
+    """``code, name, line, seq`` after a load of ``incoming(code, name, line)``, with ``order(line, code, seq)`` of all lines.
+
+    A station's home line is the main line where it is on it, else the first by
+    name; its name is its home line's, so another line never renames it.
+    """
+    home = order.groupBy("code").agg(F.min_by(F.struct("line", "seq"), F.struct(F.col("line") != main, "line")).alias("home"))
+    old = stations.select("code", F.col("name").alias("old_name"), F.col("line").alias("old_line"))
+    new = incoming.groupBy("code").agg(F.max_by(F.struct("name", "line"), F.struct("line", "name")).alias("new"))
+    both = old.join(new, "code", "full").join(home, "code", "left")
+    name = F.when(F.col("old_name").isNull() | (F.col("new.line") == F.col("old_line")), F.coalesce("new.name", "old_name")).otherwise(F.col("old_name"))
+    return both.select("code", name.alias("name"), F.coalesce("home.line", "old_line", "new.line").alias("line"), F.coalesce("home.seq", F.lit(0)).cast("int").alias("seq"))
+
+
+def order_conflicts(pairs: DataFrame) -> DataFrame:
+    """Neighbouring stations that trains of one line call at both ways round as often, so that neither order holds."""
+    return pairs.filter("against > 0 AND trains <= against AND (trains < against OR a < b)").select("line", "a", "b", "trains", "against")
+
+
 def reconcile_listings(listings: DataFrame) -> DataFrame:
     """Trains listed several times: kept once if all listings agree, else rejected. ``listings`` has number and detail columns."""
     detail = F.sha2(F.to_json(F.struct(*[c for c in listings.columns if c not in ("number", "page")])), 256)
@@ -109,12 +140,75 @@ def apply_supplement(trains: DataFrame, supplement: DataFrame) -> DataFrame:
     return t.select("number", *[(F.coalesce(f"new_{c}", c) if c in given else F.col(c)).alias(c) for c in attributes], change.alias("change"))
 
 
-def apply_overrides(stops: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Hand-made corrections ``(train_id, station_code, action, arrival_s, departure_s)``: times set, stops removed; the rest unchanged."""
-    o = overrides.select("train_id", "station_code", "action", F.col("arrival_s").alias("a_"), F.col("departure_s").alias("d_"))
-    j = stops.join(o, ["train_id", "station_code"], "left").filter("action IS NULL OR action <> 'remove'")
-    put = F.col("action") == "set"
-    return j.withColumn("arrival_s", F.when(put, F.coalesce("a_", "arrival_s")).otherwise(F.col("arrival_s"))).withColumn("departure_s", F.when(put, F.coalesce("d_", "departure_s")).otherwise(F.col("departure_s"))).select(*stops.columns)
+def override_problems(trains: DataFrame, stops: DataFrame, overrides: DataFrame, changes: DataFrame) -> DataFrame:
+    """``number, problem`` of everything in the corrections that can't be applied; see ``apply_overrides``.
+
+    The resulting stops are checked as in ``validate_runs``, and no station may
+    come twice in a train.
+    """
+    o = overrides.join(trains.select("number", F.lit(True).alias("known")), "number", "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    listed = changes.filter("kind = 'stop'").groupBy("number").agg(F.count("*").alias("listed"))
+    o = o.join(listed, "number", "left")
+    rules = [
+        F.when(blank("reason"), "no reason"), F.when(~F.col("action").isin("set", "add", "remove"), "unknown action"), F.when((F.col("action") == "add") & F.col("known"), "the train already exists"),
+        F.when(F.col("action").isin("set", "remove") & F.col("known").isNull(), "no such train"), F.when((F.col("action") == "add") & (blank("direction") | blank("train_type") | F.col("listed").isNull()), "direction, type and stops are needed"),
+    ]
+    alone = o.select("number", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("problem"))
+    gone = changes.filter("kind = 'remove_stop'").join(stops.join(trains.select("train_id", "number"), "train_id").select("number", "station_code"), ["number", "station_code"], "left_anti")
+    gone = gone.join(overrides.filter("action = 'set'").select("number"), "number", "left_semi").select("number", F.concat(F.lit("no stop to remove at "), "station_code").alias("problem"))
+    after = _stops_after(trains, stops, overrides, changes)
+    touched = after.join(overrides.filter("action <> 'remove'").select("number"), "number", "left_semi")
+    twice = touched.groupBy("number", "station_code").agg(F.count("*").alias("n")).filter("n > 1").select("number", F.lit("a station appears twice").alias("problem")).distinct()
+    runs = validate_runs(touched.withColumn("train_id", F.col("number"))).select(F.col("train_id").alias("number"), F.col("message").alias("problem"))
+    return alone.unionByName(gone).unionByName(twice).unionByName(runs).distinct()
+
+
+def _stops_after(trains: DataFrame, stops: DataFrame, overrides: DataFrame, changes: DataFrame) -> DataFrame:
+    """All trains' stops by number once the corrections are in force, in route order."""
+    columns = ["number", "station_code", "station_seq", "arrival_s", "departure_s", "at_"]
+    old = stops.join(trains.select("train_id", "number"), "train_id").withColumn("at_", F.col("stop_seq"))
+    old = old.join(overrides.filter("action = 'remove'").select("number"), "number", "left_anti")
+    whole = changes.filter("kind = 'stop'").withColumn("at_", F.col("stop_seq"))
+    old = old.join(whole.select("number").distinct(), "number", "left_anti")
+    old = old.join(changes.filter("kind = 'remove_stop'").select("number", "station_code"), ["number", "station_code"], "left_anti")
+    timed = changes.filter("kind = 'stop_time'").withColumn("at_", F.lit(None).cast("int"))
+    old = old.select(*columns).join(timed.select("number", "station_code"), ["number", "station_code"], "left_anti").unionByName(timed.select(*columns)).unionByName(whole.select(*columns))
+    way = trains.select("number", "direction").unionByName(overrides.filter("action = 'add'").select("number", "direction"))
+    resorted = timed.select("number").distinct().withColumn("resort_", F.lit(True))
+    old = old.join(way, "number").join(resorted, "number", "left")
+    along = F.when(F.col("resort_"), F.when(F.col("direction") == "down", F.col("station_seq")).otherwise(-F.col("station_seq"))).otherwise(F.col("at_"))
+    order = Window.partitionBy("number").orderBy(along, "station_code")
+    return old.withColumn("stop_seq", F.row_number().over(order)).select("number", "station_code", "station_seq", "stop_seq", "arrival_s", "departure_s")
+
+
+def apply_overrides(trains: DataFrame, stops: DataFrame, overrides: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hand-made corrections, applied all or none: (trains, stops by number, report).
+
+    ``overrides(number, action, reason, direction, train_type, days, is_ac,
+    car_count)``: one entry per train; action "set" changes the attributes it
+    states, "add" brings a new train, "remove" drops one. ``changes(number,
+    kind, station_code, station_seq, stop_seq, arrival_s, departure_s)``: kind
+    "stop" rows are a train's whole new list, "stop_time" changes or adds one
+    stop (the train is then sorted along the line), "remove_stop" drops one.
+    Any problem (``override_problems``) raises, with all of them named. The
+    report says what each entry did, "no change" included.
+    """
+    problems = override_problems(trains, stops, overrides, changes).orderBy("number", "problem").limit(1000).collect()
+    if problems:
+        raise ValueError("; ".join(f"{r['number']}: {r['problem']}" for r in problems))
+    stated = ["train_type", "days", "is_ac", "car_count"]
+    o = overrides.select("number", "action", F.col("direction").alias("new_direction"), *[F.col(c).alias(f"new_{c}") for c in stated])
+    both = trains.join(o, "number", "full").filter("action IS NULL OR action <> 'remove'")
+    value = {c: F.coalesce(f"new_{c}", c) for c in stated} | {"direction": F.when(F.col("action") == "add", F.col("new_direction")).otherwise(F.col("direction"))}
+    new_trains = both.withColumn("days", F.coalesce("days", F.lit("YYYYYYY"))).select(*[value.get(c, F.col(c)).alias(c) for c in trains.columns])
+    new_stops = _stops_after(trains, stops, overrides, changes)
+    state = lambda t, s: t.select("number", F.struct(*stated).alias("attributes")).join(s.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("stop_seq", "station_code", "arrival_s", "departure_s"))).alias("stops")), "number", "left")
+    was = state(trains, stops.join(trains.select("train_id", "number"), "train_id")).select("number", F.sha2(F.to_json(F.struct("attributes", "stops")), 256).alias("was"))
+    now = state(new_trains, new_stops).select("number", F.sha2(F.to_json(F.struct("attributes", "stops")), 256).alias("now"))
+    outcome = F.when(F.col("action") == "add", "added").when(F.col("action") == "remove", "removed").when(F.col("was") == F.col("now"), "no change").otherwise("changed")
+    report = overrides.select("number", "action", "reason").join(was, "number", "left").join(now, "number", "left").select("number", outcome.alias("outcome"), "reason")
+    return new_trains, new_stops, report
 
 
 def timetable_summary(trains: DataFrame, stops: DataFrame) -> DataFrame:
@@ -126,4 +220,4 @@ def timetable_summary(trains: DataFrame, stops: DataFrame) -> DataFrame:
 def rematch_trains(obs: DataFrame, trains: DataFrame) -> DataFrame:
     """Readings under a raw number get the train's id where exactly one train has the number."""
     one = trains.groupBy("number").agg(F.count("*").alias("n"), F.first("train_id").alias("found")).filter("n = 1").select(F.col("number").alias("train_number"), "found")
-    return obs.join(F.broadcast(one), "train_number", "left").withColumn("train_id", F.coalesce("found", "train_id")).drop("found")
+    return obs.join(one, "train_number", "left").withColumn("train_id", F.coalesce("found", "train_id")).drop("found")

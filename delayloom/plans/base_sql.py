@@ -29,7 +29,8 @@ observations AS (
   strftime(make_timestamp((epoch_us(ts) // 900000000) * 900000000), '%Y%m%dT%H%M%SZ') || '-00000' || (event_id % 2)::VARCHAR AS batch_id FROM obs0),
 observations_dup AS (
  SELECT * FROM observations UNION ALL SELECT * REPLACE (id + 10000000 AS id) FROM observations WHERE id % 50 = 0
- UNION ALL SELECT * REPLACE (id + 20000000 AS id, observed_at + INTERVAL 2 MINUTE AS observed_at, '20240101T000000Z-late00' AS batch_id) FROM observations WHERE id % 53 = 0),
+ UNION ALL SELECT * REPLACE (id + 20000000 AS id, observed_at + INTERVAL 2 MINUTE AS observed_at, '20240101T000000Z-late00' AS batch_id) FROM observations WHERE id % 53 = 0
+ UNION ALL SELECT * REPLACE (id + 30000000 AS id, ((id + 30000000) % 7 - 2) * 100::DOUBLE AS delay_minutes, observed_at + INTERVAL 1 MINUTE AS observed_at) FROM observations WHERE id % 61 = 0),
 rep0 AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes((o_orderkey * 37) % 43200) AS at_ FROM orders),
 crowd_reports AS (
  SELECT o_orderkey AS id, at_ AS reported_at, {STATION.format('o_custkey % 25')} AS station_code,

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import calendar, parsing
 from ..operators import crowding, evaluation, features, health, journeys, matching, recommend, runs, timetable
+from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources import files
 from ..streaming import streams
@@ -40,9 +39,15 @@ pairs AS (SELECT DISTINCT origin, destination FROM requests)
 """
 NEXT = LEGS + f""", trips0 AS (SELECT r.req_id, r.at_, (floor(epoch(r.at_))::BIGINT + 19800) // 60 AS now, off, l.* FROM requests r JOIN legs l ON l.origin = r.origin AND l.destination = r.destination CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
 trips1 AS (SELECT *, DATE '1970-01-01' + (now // 1440 + off)::INTEGER AS service_day, (now // 1440 + off) * 1440 + run_start_min + o_min AS dep, (now // 1440 + off) * 1440 + run_start_min + d_min AS arr FROM trips0),
-trips AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY dep, arr, train_id)::INTEGER AS place FROM trips1 WHERE dep >= now AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 5)
+trips AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY dep, arr, train_id)::INTEGER AS place FROM trips1 WHERE dep >= now AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 5)
 """
 query("next_trains", NEXT + "SELECT req_id, train_id, service_day, dep, arr, place FROM trips")(lambda s, d: journeys.next_trains(A.requests(s, d), *_t(s, d)).select("req_id", "train_id", "service_day", "dep", "arr", "place"))
+
+
+def next_trips(s, d):
+    return journeys.next_trains(A.requests(s, d), *_t(s, d))
+
+
 query("covering_lines", LEGS + "SELECT DISTINCT origin, destination, line, direction FROM pairs JOIN legs USING (origin, destination)")(lambda s, d: journeys.covering_lines(journeys.pairs_of(A.requests(s, d)), *_t(s, d)))
 query("missing_direction", LEGS + "SELECT DISTINCT p.origin, p.destination, l.line FROM pairs p JOIN legs l ON l.origin = p.destination AND l.destination = p.origin WHERE NOT EXISTS (SELECT 1 FROM legs x WHERE x.origin = p.origin AND x.destination = p.destination AND x.line = l.line)")(lambda s, d: journeys.missing_direction(journeys.pairs_of(A.requests(s, d)), *_t(s, d)))
 query("interchanges", LEGS + "SELECT DISTINCT p.origin, p.destination, c1.code AS change FROM pairs p JOIN places a ON a.code = p.origin JOIN places b ON b.code = p.destination AND a.line <> b.line JOIN places c1 ON c1.line = a.line JOIN places c2 ON c2.code = c1.code AND c2.line = b.line WHERE c1.code NOT IN (p.origin, p.destination)")(lambda s, d: journeys.interchanges(journeys.pairs_of(A.requests(s, d)), A.places(s, d)))
@@ -57,15 +62,17 @@ SELECT req_id, arr, dep_1 AS dep, change, train_1, train_2 FROM (SELECT *, row_n
 query("no_train_reason", LEGS + """SELECT origin, destination, CASE WHEN EXISTS (SELECT 1 FROM legs l WHERE l.origin = p.origin AND l.destination = p.destination) THEN 'served' WHEN EXISTS (SELECT 1 FROM legs l WHERE l.origin = p.destination AND l.destination = p.origin) THEN 'direction_missing'
  WHEN NOT EXISTS (SELECT 1 FROM places a JOIN places b USING (line) WHERE a.code = p.origin AND b.code = p.destination) THEN 'different_lines' ELSE 'no_single_train' END AS reason FROM pairs p""")(lambda s, d: journeys.no_train_reason(journeys.pairs_of(A.requests(s, d)), *_t(s, d), A.places(s, d)))
 MATCH = BASE + f""", said AS (SELECT id, reported_at, substr(train_description, 1, 2)::INTEGER * 60 + substr(train_description, 4, 2)::INTEGER AS m, CASE WHEN contains(train_description, 'fast') THEN 'fast' ELSE 'slow' END AS said_type, right(train_description, 3) AS station_code, crowd_level, (floor(epoch(reported_at))::BIGINT + 19800) // 60 AS logged FROM crowd_reports),
-wanted AS (SELECT id, station_code, said_type AS train_type, crowd_level, max((logged // 1440 + o) * 1440 + m) AS wanted FROM said CROSS JOIN (VALUES (-1), (0), (1)) AS x(o) WHERE (logged // 1440 + o) * 1440 + m <= logged + 60 GROUP BY ALL),
-cand0 AS (SELECT w.id, s.train_id, (wanted // 1440 + o) * 1440 + t.run_start_min + s.minutes AS dep, DATE '1970-01-01' + (wanted // 1440 + o)::INTEGER AS day, wanted, s.days FROM wanted w JOIN scheduled_stops s ON s.station_code = w.station_code AND s.departure_s IS NOT NULL JOIN trains t ON t.train_id = s.train_id AND t.train_type = w.train_type CROSS JOIN (VALUES (-1), (0), (1)) AS x(o)),
-cand AS (SELECT id, train_id, dep, abs(dep - wanted) AS gap, greatest(0, 1 - abs(dep - wanted) / 10) AS score FROM cand0 WHERE abs(dep - wanted) <= 20 AND {RUNS_ON.format(m='days', d='day')})
+wanted AS (SELECT id, station_code, said_type AS train_type, crowd_level, CASE WHEN id % 4 = 0 THEN 'S' || lpad((id % 25)::VARCHAR, 2, '0') END AS destination_code, CASE id % 6 WHEN 0 THEN true WHEN 1 THEN false END AS said_ac, CASE id % 7 WHEN 0 THEN 15 WHEN 1 THEN 12 END::INTEGER AS said_cars, CASE WHEN id % 9 = 0 THEN true END AS said_ladies, CASE WHEN id % 11 = 0 THEN 'harbour' END AS line, max((logged // 1440 + o) * 1440 + m) AS wanted FROM said CROSS JOIN (VALUES (-1), (0), (1)) AS x(o) WHERE (logged // 1440 + o) * 1440 + m <= logged + 60 GROUP BY ALL),
+cand0 AS (SELECT w.id, s.train_id, (wanted // 1440 + o) * 1440 + t.run_start_min + s.minutes AS dep, DATE '1970-01-01' + (wanted // 1440 + o)::INTEGER AS day, wanted, s.days, said_ac, t.is_ac, t.ac_weekdays_only
+ FROM wanted w JOIN scheduled_stops s ON s.station_code = w.station_code AND s.departure_s IS NOT NULL JOIN trains t ON t.train_id = s.train_id AND t.train_type = w.train_type AND t.line = coalesce(w.line, 'central') CROSS JOIN (VALUES (-1), (0), (1)) AS x(o)
+ WHERE (destination_code IS NULL OR EXISTS (SELECT 1 FROM scheduled_stops z WHERE z.train_id = s.train_id AND z.station_code = w.destination_code AND z.stop_seq > s.stop_seq)) AND (said_cars IS NULL OR (said_cars = 15) = (t.car_count = 15)) AND coalesce(said_ladies, false) = t.is_ladies_special),
+cand AS MATERIALIZED (SELECT id, train_id, dep, abs(dep - wanted) AS gap, greatest(0, 1 - abs(dep - wanted) / 10) AS score FROM cand0 WHERE abs(dep - wanted) <= 20 AND {RUNS_ON.format(m='days', d='day')} AND (said_ac IS NULL OR said_ac = (is_ac AND NOT (ac_weekdays_only AND (isodow(day) >= 6 OR strftime(day, '%m-%d') IN {HOLIDAYS})))))
 """
-_wanted = lambda s, d: matching.report_wanted(A.crowd_reports(s, d))
+_wanted = lambda s, d: matching.report_wanted(A.told_reports(s, d))
 query("report_wanted", MATCH + "SELECT * FROM wanted")(_wanted)
-query("report_candidates", MATCH + "SELECT * FROM cand")(lambda s, d: matching.report_candidates(_wanted(s, d), *_t(s, d)))
-query("match_reports", MATCH + """, b AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id ORDER BY score DESC, dep, train_id)), c AS (SELECT *, round_even(score - coalesce(second, 0) / 2, 3) AS confidence FROM b WHERE r = 1)
-SELECT id, CASE WHEN confidence >= 0.6 THEN train_id END AS train_id, confidence, CASE WHEN confidence >= 0.6 THEN 'matched' WHEN second IS NULL THEN 'far' ELSE 'ambiguous' END AS reason FROM c""")(lambda s, d: matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d))))
+query("report_candidates", MATCH + "SELECT * FROM cand")(lambda s, d: matching.report_candidates(_wanted(s, d), *_t(s, d), A.places(s, d)))
+query("match_reports", MATCH + """, b AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id ORDER BY score DESC, gap, dep, train_id)), c AS (SELECT *, round_even(score - coalesce(second, 0) / 2, 3) AS confidence FROM b WHERE r = 1)
+SELECT id, CASE WHEN confidence >= 0.6 THEN train_id END AS train_id, confidence, CASE WHEN confidence >= 0.6 THEN 'matched' WHEN coalesce(second, 0) > 0 THEN 'ambiguous' ELSE 'far' END AS reason FROM c""")(lambda s, d: matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d), A.places(s, d))))
 EVAL = BASE + """, rows_ AS (SELECT id, train_id, station_code, service_day, direction, hour(local_ts) AS hour, isodow(service_day) - 1 AS weekday, delay_minutes AS label FROM clean_obs),
 split AS (SELECT *, CASE WHEN date_diff('day', service_day, (SELECT max(service_day) FROM rows_)) < 7 THEN 'test' WHEN date_diff('day', service_day, (SELECT max(service_day) FROM rows_)) < 14 THEN 'valid' ELSE 'train' END AS split FROM rows_),
 m0 AS (SELECT quantile_cont(label, 0.5) AS m FROM split WHERE split = 'train'), m1 AS (SELECT train_id, station_code, quantile_cont(label, 0.5) AS m FROM split WHERE split = 'train' GROUP BY ALL), m2 AS (SELECT hour, weekday, direction, quantile_cont(label, 0.5) AS m FROM split WHERE split = 'train' GROUP BY ALL),
@@ -95,17 +102,10 @@ SELECT o.mae AS model_mae, b.model AS best_baseline, b.mae AS baseline_mae, CASE
 query("encode_categories", EVAL + ", c AS (SELECT station_code, row_number() OVER (ORDER BY station_code) - 1 AS k FROM (SELECT DISTINCT station_code FROM split WHERE split = 'train')) SELECT id, coalesce(k, -1)::INTEGER AS station_code_code FROM split LEFT JOIN c USING (station_code)")(lambda s, d: evaluation.encode_categories(_split(s, d), _split(s, d).filter("split = 'train'"), ("station_code",)).select("id", "station_code_code"))
 
 
-@query("delay_model")
-def delay_model(s, d):
-    rows = _split(s, d).withColumn("up", (F.col("direction") == "up").cast("int"))
-    model, low, high = evaluation.train_delay_model(rows.filter("split <> 'test'"), ["hour", "weekday", "up"], iterations=5)
-    return evaluation.range_metrics(evaluation.predict_delay(model, low, high, rows.filter("split = 'test'")))
-
-
 CROWD = NEXT + """, scored AS (SELECT *, CASE WHEN direction = 'up' THEN 8 ELSE 17.5 END AS a, CASE WHEN direction = 'up' THEN 11 ELSE 21 END AS b, CASE WHEN direction = 'up' THEN 17.5 ELSE 8 END AS oa, CASE WHEN direction = 'up' THEN 21 ELSE 11 END AS ob, (dep % 1440) / 60 AS h,
  isodow(service_day) = 7 OR strftime(service_day, '%m-%d') IN """ + HOLIDAYS + """ AS sunday, o_seq = 1 AS starts_here, is_ac AND NOT (ac_weekdays_only AND isodow(service_day) >= 6) AS ac FROM trips),
 ruled AS (SELECT *, CASE WHEN h BETWEEN a AND b THEN 'peak' WHEN h BETWEEN a - 1 AND b + 1 THEN 'shoulder' WHEN h BETWEEN oa AND ob THEN 'counter' WHEN h >= 23 OR h <= 5 THEN 'night' ELSE 'off_peak' END AS period FROM scored),
-rs AS (SELECT *, least(5::DOUBLE, greatest(1::DOUBLE, 2 + CASE period WHEN 'peak' THEN 2 * (CASE WHEN sunday THEN 0.4 ELSE 1 END) WHEN 'shoulder' THEN (CASE WHEN sunday THEN 0.4 ELSE 1 END) WHEN 'counter' THEN 0.5 * (CASE WHEN sunday THEN 0.4 ELSE 1 END) WHEN 'night' THEN -0.5 ELSE 0 END
+rs AS MATERIALIZED (SELECT *, least(5::DOUBLE, greatest(1::DOUBLE, 2 + CASE period WHEN 'peak' THEN 2 * (CASE WHEN sunday THEN 0.4 ELSE 1 END) WHEN 'shoulder' THEN (CASE WHEN sunday THEN 0.4 ELSE 1 END) WHEN 'counter' THEN 0.5 * (CASE WHEN sunday THEN 0.4 ELSE 1 END) WHEN 'night' THEN -0.5 ELSE 0 END
  + CASE WHEN period = 'peak' AND train_type = 'fast' THEN 0.5 ELSE 0 END + CASE WHEN starts_here THEN -1 ELSE 0 END + CASE WHEN car_count = 15 THEN -0.5 ELSE 0 END + CASE WHEN ac THEN -1 ELSE 0 END + CASE WHEN is_ladies_special THEN -0.5 ELSE 0 END)) AS rule_score FROM ruled)
 """
 
@@ -119,9 +119,9 @@ def _scored(s, d):
 query("crowding_rule_score", CROWD + "SELECT req_id, place, period, round(rule_score, 6) AS rule_score FROM rs")(lambda s, d: _scored(s, d).select("req_id", "place", "period", F.round("rule_score", 6).alias("rule_score")))
 
 
-@query("crowding_estimate", CROWD + MATCH.removeprefix(BASE) + """, best AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id ORDER BY score DESC, dep, train_id)),
+@query("crowding_estimate", CROWD + MATCH.removeprefix(BASE) + """, best AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id ORDER BY score DESC, gap, dep, train_id)),
 matched AS (SELECT id, train_id FROM best WHERE r = 1 AND round_even(score - coalesce(second, 0) / 2, 3) >= 0.6),
-said_of AS (SELECT w.station_code, t.line, w.train_type, m.train_id, w.wanted % 1440 AS minute, DATE '1970-01-01' + (w.wanted // 1440)::INTEGER AS day, w.crowd_level FROM wanted w JOIN matched m USING (id) JOIN trains t ON t.train_id = m.train_id),
+said_of AS MATERIALIZED (SELECT w.station_code, t.line, w.train_type, m.train_id, w.wanted % 1440 AS minute, DATE '1970-01-01' + (w.wanted // 1440)::INTEGER AS day, w.crowd_level FROM wanted w JOIN matched m USING (id) JOIN trains t ON t.train_id = m.train_id),
 alike AS (SELECT x.req_id, x.place, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin AND s.line = x.line AND s.train_type = x.train_type AND s.train_id <> x.train_id
  AND least(abs(x.dep % 1440 - s.minute), 1440 - abs(x.dep % 1440 - s.minute)) <= 30 AND date_diff('day', s.day, x.service_day) BETWEEN 0 AND 90 GROUP BY ALL),
 own AS (SELECT x.req_id, x.place, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin AND s.train_id = x.train_id AND date_diff('day', s.day, x.service_day) BETWEEN 0 AND 90 GROUP BY ALL),
@@ -130,8 +130,8 @@ blend AS (SELECT *, own_n + w * similar_n AS n FROM joined)
 SELECT req_id, place, similar_n, own_n, least(5, greatest(1, ceil(CASE WHEN n > 0 THEN (1 - n / (n + 3)) * rule + n / (n + 3) * ((so + w * sa) / n) ELSE rule END - 0.5)))::INTEGER AS crowd_score FROM blend""")
 def crowding_estimate(s, d):
     trips = _scored(s, d).select(F.struct("req_id", "place").alias("key"), F.col("origin").alias("station_code"), "line", "train_type", "train_id", F.pmod("dep", F.lit(1440)).alias("minute"), F.col("service_day").alias("day"), "rule_score")
-    m = matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d))).filter("train_id IS NOT NULL").select("id", "train_id")
-    r = _wanted(s, d).join(m, "id").join(A.trains(s, d).select("train_id", "line"), "train_id").select("station_code", "line", "train_type", "train_id", F.pmod("wanted", F.lit(1440)).alias("minute"), F.date_from_unix_date(F.floor(F.col("wanted") / 1440).cast("int")).alias("day"), "crowd_level")
+    m = matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d), A.places(s, d))).filter("train_id IS NOT NULL").select("id", "train_id")
+    r = _wanted(s, d).join(m, "id").drop("line").join(A.trains(s, d).select("train_id", "line"), "train_id").select("station_code", "line", "train_type", "train_id", F.pmod("wanted", F.lit(1440)).alias("minute"), F.date_from_unix_date(F.floor(F.col("wanted") / 1440).cast("int")).alias("day"), "crowd_level")
     out = crowding.crowding_estimate(trips, crowding.similar_reports(trips, r), crowding.train_reports(trips, r))
     return out.select("key.req_id", "key.place", "similar_n", "own_n", "crowd_score")
 
@@ -144,11 +144,11 @@ query("baseline_predictions", NEXT + """, t AS (SELECT DISTINCT req_id, train_id
 SELECT * FROM (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.1) AS low, quantile_cont(o.delay_minutes, 0.5) AS delay, quantile_cont(o.delay_minutes, 0.9) AS high, count(*) AS n FROM t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL) WHERE n >= 5""")(
     lambda s, d: recommend.baseline_predictions(journeys.next_trains(A.requests(s, d), *_t(s, d)).select(F.struct("req_id", "train_id", "service_day").alias("key"), "train_id", F.col("origin").alias("station_code"), "service_day"), _clean(s, d)).select("key.*", "low", "delay", "high", "n")
 )
-query("cancelled_trains", BASE + "SELECT DISTINCT req_id, train_id FROM requests r JOIN observations o ON o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR")(lambda s, d: recommend.cancelled_trains(A.requests(s, d), A.observations(s, d)))
+query("cancelled_trains", NEXT + "SELECT DISTINCT req_id, t.train_id FROM trips t JOIN observations o ON o.train_id = t.train_id AND o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR")(lambda s, d: recommend.cancelled_trains(next_trips(s, d), A.observations(s, d)))
 query("live_readings", NEXT + "SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.source <> 'synthetic' AND o.point_seq + 1 <= t.o_seq AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL")(lambda s, d: recommend.live_readings(journeys.next_trains(A.requests(s, d), *_t(s, d)), _clean(s, d)))
 OPTIONS = NEXT + """, past AS (SELECT * FROM (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.5) AS past_delay, count(*) AS n FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL) WHERE n >= 5),
 live AS (SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.source <> 'synthetic' AND o.point_seq + 1 <= t.o_seq AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL),
-gone AS (SELECT DISTINCT req_id, train_id, true AS gone FROM requests r JOIN observations o ON o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR),
+gone AS (SELECT DISTINCT req_id, t.train_id, true AS gone FROM trips t JOIN observations o ON o.train_id = t.train_id AND o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR),
 late AS (SELECT t.*, coalesce(gone, false) AS cancelled, CASE WHEN live_delay > 0 THEN greatest(live_delay, coalesce(past_delay, 0)) ELSE coalesce(past_delay, 0) END::DOUBLE AS delay FROM trips t LEFT JOIN past USING (req_id, train_id, service_day) LEFT JOIN live USING (req_id, train_id, service_day) LEFT JOIN gone USING (req_id, train_id)),
 ahead AS (SELECT *, dep + greatest(delay, 0) AS expected_dep, arr + greatest(delay, 0) AS expected_arr, coalesce(lag(cancelled) OVER w, false) AS ahead_cancelled, lag(delay) OVER w AS ahead_delay FROM late WINDOW w AS (PARTITION BY req_id, line ORDER BY dep, arr, train_id)),
 facts AS (SELECT *, CASE WHEN ahead_cancelled THEN 1 WHEN ahead_delay >= 10 THEN 0.5 ELSE 0 END AS extra FROM ahead)""" + CROWD.removeprefix(NEXT).replace("FROM trips", "FROM facts").replace("2 + CASE period", "2 + extra + CASE period") + """, options AS (SELECT *, ceil(rule_score - 0.5)::INTEGER AS crowd_score FROM rs)
@@ -180,7 +180,6 @@ m AS (SELECT source, avg(readings) AS mean FROM (SELECT *, row_number() OVER (PA
 s AS (SELECT * FROM b LEFT JOIN m USING (source))
 SELECT source, 'quiet' AS alert, streak, mean FROM s WHERE coalesce(1706140800 - floor(epoch(success)) > 10800, true) UNION ALL SELECT source, 'failing', streak, mean FROM s WHERE streak >= 3 UNION ALL SELECT source, 'thin', streak, mean FROM s WHERE mean < 10""")(lambda s, d: health.evaluate_alerts(A.collector_runs(s, d), now()))
 query("last_collected", BASE + "SELECT floor(epoch(greatest((SELECT max(observed_at) FROM observations WHERE source <> 'synthetic'), (SELECT max(started_at) FROM collector_runs))))::BIGINT AS last_s")(lambda s, d: health.last_collected(A.observations(s, d), A.collector_runs(s, d)))
-query("validate_runs", BASE + "SELECT train_id, 'fewer than two stops' AS message FROM scheduled_stops GROUP BY train_id HAVING count(*) < 2")(lambda s, d: timetable.validate_runs(A.scheduled_stops(s, d)))
 query("station_pairs", BASE + """, n AS (SELECT t.line, t.direction, s.station_code, lead(s.station_code) OVER (PARTITION BY s.train_id ORDER BY stop_seq) AS nx FROM scheduled_stops s JOIN trains t USING (train_id)),
 p AS (SELECT line, CASE WHEN direction = 'down' THEN station_code ELSE nx END AS a, CASE WHEN direction = 'down' THEN nx ELSE station_code END AS b, count(*) AS trains FROM n WHERE nx IS NOT NULL GROUP BY ALL)
 SELECT p.line, p.a, p.b, p.trains, coalesce(q.trains, 0) AS against FROM p LEFT JOIN p q ON q.line = p.line AND q.a = p.b AND q.b = p.a""")(lambda s, d: timetable.station_pairs(*_t(s, d)))
@@ -193,24 +192,15 @@ query("calendar_days", BASE + """SELECT id, isodow(day) - 1 AS weekday, isodow(d
  CASE WHEN hour(l) >= 21 OR hour(l) < 4 THEN 'night' WHEN hour(l) >= 16 THEN 'pm_peak' WHEN hour(l) >= 11 THEN 'midday' WHEN hour(l) >= 7 THEN 'am_peak' ELSE 'early' END AS band FROM (SELECT id, observed_at + INTERVAL 330 MINUTE AS l, (observed_at + INTERVAL 330 MINUTE)::DATE AS day FROM observations)""")(
     lambda s, d: A.observations(s, d).withColumn("l", calendar.local_time(F.col("observed_at"))).withColumn("day", F.to_date("l")).select("id", F.weekday("day").alias("weekday"), calendar.sunday_schedule(F.col("day")).alias("sunday"), calendar.day_kind(F.col("day")).alias("kind"), calendar.run_key(F.col("l")).alias("run_key"), calendar.day_band(F.hour("l")).alias("band"))
 )
-STATUS = "CASE event WHEN 'cancelled' THEN 'Cancelled' WHEN 'unknown' THEN 'No news' ELSE concat(CASE event WHEN 'arrival' THEN 'Arrived at ' WHEN 'departure' THEN 'Departed from ' ELSE 'Between, last at ' END, station_code, CASE WHEN delay_minutes = 0 THEN ', on time' WHEN delay_minutes < 0 THEN concat(', ', CAST(CAST(-delay_minutes AS INT) AS STRING), ' min early') ELSE concat(', ', CAST(CAST(delay_minutes AS INT) AS STRING), ' min late') END) END"
-query("parse_status", BASE + "SELECT id, event, CASE WHEN event NOT IN ('cancelled', 'unknown') THEN station_code END AS station_code, CASE WHEN event NOT IN ('cancelled', 'unknown') THEN trunc(delay_minutes) END AS delay_minutes FROM observations")(
-    lambda s, d: A.observations(s, d).withColumn("said", parsing.status_text(F.expr(STATUS))).select("id", "said.*")
-)
 query("parse_delay", BASE + "SELECT id, CASE WHEN delay_minutes >= 0 THEN trunc(delay_minutes) END AS minutes FROM observations")(
     lambda s, d: A.observations(s, d).select("id", parsing.delay_from_text(F.expr("CASE WHEN delay_minutes >= 120 THEN format_string('%02d:%02d Hrs.', CAST(delay_minutes AS INT) div 60, CAST(delay_minutes AS INT) % 60) WHEN delay_minutes >= 1 THEN CAST(CAST(delay_minutes AS INT) AS STRING) || ' Mins.' WHEN delay_minutes >= 0 THEN 'On Time' ELSE 'early' END")).alias("minutes"))
 )
 query("nearest_clock", BASE + "SELECT id, floor(epoch(date_trunc('minute', actual_or_expected_time)))::BIGINT AS at_s FROM observations")(lambda s, d: A.observations(s, d).select("id", F.unix_seconds(parsing.nearest_clock(F.date_format(calendar.local_time(F.col("actual_or_expected_time")), "HH:mm"), F.col("observed_at"))).alias("at_s")))
 
 
-def _shared(s, name):
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.sparkContext.getCheckpointDir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("monthly_export", BASE + "SELECT strftime(observed_at, '%Y-%m') AS month, count(*) AS rows FROM (SELECT DISTINCT * EXCLUDE (id) FROM observations_dup WHERE source <> 'synthetic') GROUP BY 1")
 def monthly_export(s, d):
-    path = _shared(s, "export")
+    path = shared_folder(s, "export")
     files.export_monthly(A.repeated_observations(s, d), path)
     return s.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("rows"))
 
@@ -222,20 +212,22 @@ query("same_rows", BASE + "SELECT 0::BIGINT AS only_a, (SELECT count(*) FROM obs
 
 def _stream(s, d, build, mode):
     """Write the readings as files, run a stream over them to the end, and read what it wrote."""
-    source, out = _shared(s, "stream-in"), _shared(s, "stream-out")
+    source, out = shared_folder(s, "stream-in"), shared_folder(s, "stream-out")
     A.repeated_observations(s, d).withColumn("time_kind", F.lit(None).cast("string")).repartitionByRange(4, "observed_at").write.parquet(source)
-    q = build(streams.read_stream(s, source)).writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", _shared(s, "stream-checkpoint")).trigger(availableNow=True).start()
+    q = build(streams.read_stream(s, source)).writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", shared_folder(s, "stream-checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.parquet(out)
 
 
 query("stream_dedup", BASE + "SELECT count(*) AS rows, sum(delay_minutes) AS delay FROM (SELECT DISTINCT source, train_number, station_code, event, observed_at, delay_minutes, cancelled FROM observations_dup)")(lambda s, d: _stream(s, d, lambda df: streams.stream_dedup(df, "60 days"), "append").agg(F.count("*").alias("rows"), F.sum("delay_minutes").alias("delay")))
-query("stream_line_state")(lambda s, d: _stream(s, d, lambda df: streams.stream_line_state(df, A.trains(s, d)), "append"))
+query("stream_line_state", BASE + """, k AS (SELECT o.*, t.line, t.direction FROM (SELECT * FROM observations_dup WHERE delay_minutes IS NOT NULL AND NOT cancelled) o JOIN trains t USING (train_id)), w AS (SELECT max(observed_at) - INTERVAL 20 MINUTE AS mark FROM observations_dup WHERE delay_minutes IS NOT NULL AND NOT cancelled),
+g AS (SELECT epoch_us(observed_at) // 900000000 * 900 AS start_s, line, direction, count(*) AS readings, avg(delay_minutes) AS mean_delay, quantile_disc(delay_minutes, 0.5) AS median_delay FROM k GROUP BY ALL)
+SELECT * FROM g WHERE (start_s + 900) * 1000000 <= (SELECT epoch_us(mark) FROM w)""")(lambda s, d: _stream(s, d, lambda df: streams.stream_line_state(df, A.trains(s, d)), "append").select(F.unix_seconds("start").alias("start_s"), "line", "direction", "readings", "mean_delay", "median_delay"))
 
 
 @query("stream_batches", BASE + "SELECT count(*) AS rows, count(DISTINCT batch_id) AS batches FROM observations_dup")
 def stream_batches(s, d):
-    source, out, mark = _shared(s, "load-in"), _shared(s, "load-out"), _shared(s, "load-checkpoint")
+    source, out, mark = shared_folder(s, "load-in"), shared_folder(s, "load-out"), shared_folder(s, "load-checkpoint")
     rows = A.repeated_observations(s, d).withColumn("time_kind", F.lit(None).cast("string"))
     rows.write.parquet(source)
     for _ in range(2):  # the second run finds nothing new

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features, quality, runs
+from ..session import kept
 from ..sources import adapters as A
 from .base_sql import BASE
 
@@ -18,9 +19,9 @@ READINGS = BASE + """, readings AS (SELECT o.*, actual_or_expected_time - to_min
  FROM observations o SEMI JOIN trains USING (train_id) WHERE source <> 'synthetic' AND event IN ('arrival', 'departure') AND NOT cancelled AND delay_minutes IS NOT NULL)
 """
 DQ = BASE + """, o AS (SELECT *, epoch_us(observed_at) AS us FROM observations_dup),
-sched AS (SELECT *, ((hour(t) * 60 + minute(t) - due + 720) % 1440 + 1440) % 1440 - 720 AS implied, ((hour(l) * 60 + minute(l) - due - coalesce(round_even(delay_minutes, 0), 0)::INTEGER + 720) % 1440 + 1440) % 1440 - 720 AS away
- FROM (SELECT o.*, CASE WHEN event = 'arrival' THEN coalesce(arrival_s, departure_s) ELSE coalesce(departure_s, arrival_s) END // 60 AS due, actual_or_expected_time + INTERVAL 330 MINUTE AS t, observed_at + INTERVAL 330 MINUTE AS l
-  FROM o JOIN scheduled_stops s ON s.train_id = o.train_id AND s.station_code = o.station_code WHERE event IN ('arrival', 'departure') AND NOT cancelled)),
+sched AS (SELECT *, ((hour(t) * 60 + minute(t) - due + 720) % 1440 + 1440) % 1440 - 720 AS implied, ((hour(l) * 60 + minute(l) - due - round(coalesce(delay_minutes, 0))::INTEGER + 720) % 1440 + 1440) % 1440 - 720 AS away
+ FROM (SELECT o.*, CASE WHEN event = 'departure' THEN coalesce(departure_s, arrival_s) ELSE coalesce(arrival_s, departure_s) END // 60 AS due, actual_or_expected_time + INTERVAL 330 MINUTE AS t, observed_at + INTERVAL 330 MINUTE AS l
+  FROM o JOIN scheduled_stops s ON s.train_id = o.train_id AND s.station_code = o.station_code WHERE NOT cancelled)),
 lagged AS (SELECT *, (us - lag(us) OVER w) / 60000000 AS gap, lag(batch_id) OVER w AS prev_batch FROM o WINDOW w AS (PARTITION BY source, train_number, station_code, event ORDER BY us, id)),
 jumps AS (SELECT *, (us - lag(us) OVER w) / 60000000 AS gap, lag(delay_minutes) OVER w AS prev_delay FROM o WHERE delay_minutes IS NOT NULL AND NOT cancelled WINDOW w AS (PARTITION BY source, train_number, station_code, event ORDER BY us, id)),
 exact AS (SELECT id, first_id FROM (SELECT id, first_value(id) OVER (PARTITION BY source, train_number, station_code, event, us, actual_or_expected_time, delay_minutes, cancelled ORDER BY id) AS first_id FROM o) WHERE id <> first_id),
@@ -87,6 +88,12 @@ def seconds(df, *columns):
     return df.withColumns({c: F.unix_seconds(c) for c in columns})
 
 
+def _feature_rows(spark, d, targets):
+    """Features of ``targets(clean)``; readings, stops and targets are written once, as many joins need them."""
+    clean, stops = kept(_clean(spark, d), "clean"), kept(A.scheduled_stops(spark, d), "stops")
+    return features.feature_rows(kept(targets(clean), "targets"), clean, A.observations(spark, d), A.trains(spark, d), stops, A.places(spark, d), A.blocks(spark, d))
+
+
 query("trains", BASE + "SELECT * FROM trains")(A.trains)
 query("scheduled_stops", BASE + "SELECT * FROM scheduled_stops")(A.scheduled_stops)
 query("observations", BASE + "SELECT * REPLACE (floor(epoch(observed_at))::BIGINT AS observed_at, floor(epoch(actual_or_expected_time))::BIGINT AS actual_or_expected_time) FROM observations")(lambda s, d: seconds(A.observations(s, d), "observed_at", "actual_or_expected_time"))
@@ -104,11 +111,12 @@ def _flags(s, d):
     return quality.find_flags(A.repeated_observations(s, d), A.trains(s, d), A.scheduled_stops(s, d), F.lit(NOW).cast("timestamp"))
 
 
-query("find_flags", DQ + "SELECT * FROM flags")(_flags)
-query("flag_summary", DQ + """, j AS (SELECT f.*, o.us, row_number() OVER (PARTITION BY flag ORDER BY o.us DESC, f.id DESC) AS r FROM flags f JOIN o USING (id))
-SELECT flag, count(*) AS rows, count(*) / (SELECT count(*) FROM o) AS share, array_to_string(list(id ORDER BY id) FILTER (r <= 5), ',') AS examples FROM j GROUP BY flag""")(lambda s, d: quality.flag_summary(A.repeated_observations(s, d), _flags(s, d)))
+REAL = DQ.replace("FROM observations_dup)", "FROM observations_dup WHERE source <> 'synthetic')", 1)
+query("find_flags", REAL + "SELECT * FROM flags")(_flags)
+query("flag_summary", REAL + """, j AS (SELECT f.*, o.us, row_number() OVER (PARTITION BY flag ORDER BY o.us DESC, f.id DESC) AS r FROM flags f JOIN o USING (id))
+SELECT flag, count(*) AS rows, count(*) / (SELECT count(*) FROM observations_dup) AS share, array_to_string(list(id ORDER BY id) FILTER (r <= 5), ',') AS examples FROM j GROUP BY flag""")(lambda s, d: quality.flag_summary(A.repeated_observations(s, d), _flags(s, d)))
 query("source_rates", BASE + "SELECT source, count(*) AS rows, count_if(cancelled)::BIGINT AS cancelled, count_if(less_accurate)::BIGINT AS less_accurate, (count(*) - count(delay_minutes))::BIGINT AS no_delay FROM observations GROUP BY source")(lambda s, d: quality.source_rates(A.observations(s, d)))
-query("unmatched_trains", BASE + "SELECT train_number, count(*) AS rows, CASE WHEN regexp_matches(train_number, '^9[0-9]{4}$') THEN 'suburban' ELSE 'other' END AS kind FROM observations ANTI JOIN trains USING (train_id) GROUP BY train_number")(lambda s, d: quality.unmatched_trains(*_base(s, d)))
+query("unmatched_trains", BASE + "SELECT train_number, count(*) AS rows, CASE WHEN regexp_matches(train_number, '^9[5-9][0-9]{3}$') THEN 'suburban' ELSE 'other' END AS kind FROM observations ANTI JOIN trains USING (train_id) GROUP BY train_number")(lambda s, d: quality.unmatched_trains(*_base(s, d)))
 query("unmatched_stations", BASE + "SELECT station_code, count(*) AS rows, count(DISTINCT train_id) AS trains FROM observations o SEMI JOIN trains USING (train_id) WHERE NOT EXISTS (SELECT 1 FROM scheduled_stops s WHERE s.train_id = o.train_id AND s.station_code = o.station_code) GROUP BY 1")(lambda s, d: quality.unmatched_stations(A.observations(s, d), A.scheduled_stops(s, d)))
 query("schedule_drift", DQ + "SELECT train_id, station_code, quantile_cont(implied - delay_minutes, 0.5) AS drift, count(*) AS rows FROM sched WHERE delay_minutes IS NOT NULL GROUP BY ALL HAVING abs(quantile_cont(implied - delay_minutes, 0.5)) BETWEEN 2 AND 20")(lambda s, d: quality.schedule_drift(_sched(s, d)))
 query("final_runs", BASE + "SELECT train_id, station_code, run_key, d_final, floor(epoch(last_seen))::BIGINT AS last_seen, floor(epoch(scheduled))::BIGINT AS scheduled, floor(epoch(due))::BIGINT AS due FROM final_runs")(lambda s, d: seconds(runs.final_runs(_readings(s, d)), "last_seen", "scheduled", "due"))
@@ -165,5 +173,5 @@ SELECT g.id, g.cutoff_id, g.train_id, g.station_code, g.service_day, g.label, g.
  EXISTS (SELECT 1 FROM spans k WHERE k.block_date = g.service_day AND k.line = g.line AND (k.tracks IS NULL OR k.tracks = 'both' OR k.tracks = g.train_type) AND (from_seq IS NULL OR to_seq IS NULL OR g.station_seq BETWEEN least(from_seq, to_seq) AND greatest(from_seq, to_seq))
   AND (s IS NULL OR e IS NULL OR CASE WHEN s <= e THEN hour(sched_time) * 60 + minute(sched_time) BETWEEN s AND e ELSE hour(sched_time) * 60 + minute(sched_time) >= s OR hour(sched_time) * 60 + minute(sched_time) <= e END))::INTEGER AS megablock
 FROM g LEFT JOIN batch_line l ON l.batch_id = g.state_batch AND l.line = g.line AND l.direction = g.direction LEFT JOIN ahead a ON a.id = g.id AND a.cutoff_id = g.cutoff_id LEFT JOIN batch_far f ON f.batch_id = g.state_batch LEFT JOIN history h ON h.train_id = g.train_id AND h.station_code = g.station_code AND h.service_day = g.service_day""")(
-    lambda s, d: features.feature_rows(features.training_targets(_clean(s, d)), _clean(s, d), A.observations(s, d), A.trains(s, d), A.scheduled_stops(s, d), A.places(s, d), A.blocks(s, d))
+    lambda s, d: _feature_rows(s, d, features.training_targets)
 )

@@ -1,11 +1,13 @@
 """All queries by name."""
 
-from . import boards, commute, journeys, readings
+from . import boards, commute, journeys, readings, texts, upkeep
+
+PARTS = (readings, journeys, commute, boards, texts, upkeep)
 
 
 def queries():
-    return readings.QUERIES | journeys.QUERIES | commute.QUERIES | boards.QUERIES
+    return {name: query for part in PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return readings.SQL | journeys.SQL | commute.SQL | boards.SQL
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Published columns of a reading, in order.
@@ -31,11 +31,21 @@ def read_raw_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).json(path)
 
 
+def _published(obs: DataFrame) -> DataFrame:
+    """Real readings by month, published columns only, exact repeats dropped."""
+    keep = [c.split(" ")[0] for c in OBSERVATION.split(", ") if c.split(" ")[0] in obs.columns]
+    return obs.filter("source <> 'synthetic'").select(*keep).distinct().withColumn("month", F.date_format("observed_at", "yyyy-MM"))
+
+
+def _write_months(rows: DataFrame, path: str) -> None:
+    """Months as folders in a fixed order of rows; months that aren't in ``rows`` stay."""
+    order = ["month", *[c for c in ("observed_at", "source", "train_number", "station_code", "event", "batch_id", "time_kind") if c in rows.columns]]
+    rows.repartition("month").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").option("compression", "zstd").parquet(path)
+
+
 def export_monthly(obs: DataFrame, path: str) -> None:
     """One folder per UTC month of real readings, exact repeats dropped, sorted, zstd."""
-    keep = [c.split(" ")[0] for c in OBSERVATION.split(", ") if c.split(" ")[0] in obs.columns]
-    out = obs.filter("source <> 'synthetic'").select(*keep).distinct().withColumn("month", F.date_format("observed_at", "yyyy-MM"))
-    out.repartition("month").sortWithinPartitions("month", "observed_at", "train_id", "station_code", "event", "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").option("compression", "zstd").parquet(path)
+    _write_months(_published(obs), path)
 
 
 def monthly_counts(obs: DataFrame) -> DataFrame:
@@ -46,10 +56,33 @@ def monthly_counts(obs: DataFrame) -> DataFrame:
     return real.groupBy(month).agg(F.count("*").alias("all_rows")).join(real.select(*keep).distinct().groupBy(month).agg(F.count("*").alias("rows")), "month").select("month", "rows", (F.col("all_rows") - F.col("rows")).alias("duplicates"))
 
 
-def compact_batches(spark: SparkSession, source: str, target: str, current_month: str) -> None:
-    """Fold finished months' batch files into the monthly layout; late files join what is there."""
-    done = read_observation_batches(spark, source).withColumn("month", F.date_format("observed_at", "yyyy-MM")).filter(F.col("month") < current_month)
-    export_monthly(done.drop("month"), target)
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def compact_batches(spark: SparkSession, source: str, target: str, staging: str, current_month: str) -> DataFrame:
+    """Fold finished months' batch files of ``source`` into the monthly layout of ``target``; late files join what is there.
+
+    Months with new files are merged with what ``target`` holds of them and
+    written to the fresh folder ``staging``. Only when that reads back with the
+    same rows are they copied over the target's months, so a lost job leaves
+    the old months or the staged ones. Returns month, rows and added.
+    """
+    new = _published(read_observation_batches(spark, source)).filter(F.col("month") < current_month)
+    names = [c for c in new.columns if c != "month"]
+    held = spark.read.schema(OBSERVATION + ", month string").parquet(target) if _exists(spark, target) else spark.createDataFrame([], OBSERVATION + ", month string")
+    touched = held.join(new.select("month").distinct(), "month", "left_semi").select(*names, "month")
+    merged = touched.unionByName(new).distinct()
+    _write_months(merged, staging)
+    written = spark.read.schema(OBSERVATION + ", month string").parquet(staging).select(*names, "month")
+    check = same_rows(merged, written).first()
+    if not check["same"]:
+        raise RuntimeError(f"{staging} did not read back with the rows written to it: {check}")
+    before = touched.groupBy("month").agg(F.count("*").alias("before")).collect()  # one row per month
+    _write_months(written, target)
+    known = spark.createDataFrame(before, "month string, before long")
+    return written.groupBy("month").agg(F.count("*").alias("rows")).join(known, "month", "left").select("month", "rows", (F.col("rows") - F.coalesce("before", F.lit(0))).alias("added"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,19 +94,28 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks from files of one JSON array each."""
     return spark.read.schema(BLOCK).option("multiLine", True).json(path)
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    blocks.coalesce(1).write.mode("overwrite").json(path)
+    """Blocks as one JSON array. They are typed in by people, a few a week, so one file holds them."""
+    names = [c.split(" ")[0] for c in BLOCK.split(", ")]
+    rows = F.sort_array(F.collect_list(F.struct("block_date", *[c for c in names if c != "block_date"])))
+    blocks.agg(F.to_json(rows).alias("value")).write.mode("overwrite").text(path)
 
 
 def save_blocks(blocks: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Blocks by id, newer over older; where a day and line have a block with times, those without go."""
-    from pyspark.sql import Window
-
+    """Blocks by id, stored ones first; where a day and line have a block that says where or when, those that don't go."""
     both = blocks.withColumn("new_", F.lit(0)).unionByName(incoming.withColumn("new_", F.lit(1)))
-    newest = Window.partitionBy("block_id").orderBy(F.col("new_").desc())
-    one = both.withColumn("r_", F.row_number().over(newest)).filter("r_ = 1")
-    detailed = F.max(F.col("start_s").isNotNull()).over(Window.partitionBy("block_date", "line"))
-    return one.withColumn("d_", detailed).filter("NOT d_ OR start_s IS NOT NULL").drop("new_", "r_", "d_")
+    first = Window.partitionBy("block_id").orderBy("new_")
+    one = both.withColumn("r_", F.row_number().over(first)).filter("r_ = 1")
+    told = F.coalesce("from_station", "to_station", F.col("start_s").cast("string"), F.col("end_s").cast("string")).isNotNull()
+    detailed = F.max("told_").over(Window.partitionBy("block_date", "line"))
+    return one.withColumn("told_", told).withColumn("d_", detailed).filter("told_ OR NOT d_").select(*blocks.columns)
+
+
+def list_blocks(blocks: DataFrame, from_date: str | None = None) -> DataFrame:
+    """Stored blocks, from a day on if one is given, by day, line and start."""
+    kept = blocks if from_date is None else blocks.filter(F.col("block_date") >= F.lit(from_date).cast("date"))
+    return kept.orderBy("block_date", "line", "start_s", "block_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,16 +18,22 @@ def read_stream(spark: SparkSession, path: str, schema: str = OBSERVATION) -> Da
 
 
 def stream_batches(spark: SparkSession, source: str, target: str, checkpoint: str):
-    """Append new batch files to ``target``, late ones included, none twice even if a file is delivered again."""
+    """Append new batch files to ``target``, late ones included, none twice even if a file is delivered again.
+
+    The target has a folder per UTC day of the batch id; only the days of the
+    files at hand are looked through for batches that are loaded already.
+    """
 
     def load(batch: DataFrame, _: int) -> None:
-        fresh = batch
+        dated = batch.withColumn("batch_day", F.substring("batch_id", 1, 8))
+        days = [r["batch_day"] for r in dated.select("batch_day").distinct().collect()]  # days of one micro-batch
         try:
-            fresh = batch.join(spark.read.parquet(target).select("batch_id").distinct(), "batch_id", "left_anti").select(*batch.columns)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
+            loaded = spark.read.option("basePath", target).parquet(target).filter(F.col("batch_day").cast("string").isin(days))
+            dated = dated.join(loaded.select("batch_id").distinct(), "batch_id", "left_anti").select(*dated.columns)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        fresh.write.mode("append").parquet(target)
+        dated.write.mode("append").partitionBy("batch_day").parquet(target)
 
     return read_stream(spark, source).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,14 +45,16 @@ def stream_dedup(obs: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def stream_line_state(obs: DataFrame, trains: DataFrame, window: str = "15 minutes", lateness: str = "20 minutes") -> DataFrame:
     """Readings, mean and approximate median delay per window, line and direction; a window closes when later ones are ``lateness`` on."""
-    known = obs.filter("delay_minutes IS NOT NULL AND NOT cancelled").withWatermark("observed_at", lateness).join(F.broadcast(trains.select("train_id", "line", "direction")), "train_id")
+    known = obs.filter("delay_minutes IS NOT NULL AND NOT cancelled").withWatermark("observed_at", lateness).join(trains.select("train_id", "line", "direction"), "train_id")
     out = known.groupBy(F.window("observed_at", window), "line", "direction").agg(F.count("*").alias("readings"), F.avg("delay_minutes").alias("mean_delay"), F.percentile_approx("delay_minutes", 0.5, 1000).alias("median_delay"))
     return out.select(F.col("window.start").alias("start"), "line", "direction", "readings", "mean_delay", "median_delay")
 
 
-def stream_latest_reading(obs: DataFrame) -> DataFrame:
-    """Newest reading of each train, for update mode."""
-    return obs.groupBy("train_id").agg(F.max_by(F.struct("station_code", "delay_minutes", "observed_at"), "observed_at").alias("last")).select("train_id", "last.*")
+def stream_latest_reading(obs: DataFrame, lateness: str = "20 minutes") -> DataFrame:
+    """Newest reading of each train and UTC day; a day's state goes when later readings are ``lateness`` past its end."""
+    seen = obs.withWatermark("observed_at", lateness).groupBy(F.window("observed_at", "1 day"), "train_id")
+    last = F.max_by(F.struct("station_code", "delay_minutes", "observed_at", "batch_id"), F.struct("observed_at", "batch_id", "station_code", "delay_minutes")).alias("last")
+    return seen.agg(last).select("train_id", F.to_date("window.start").alias("day"), "last.*")
 
 
 def stream_alerts(runs: DataFrame, streak: int = 3, repeat_hours: int = 12) -> DataFrame:
