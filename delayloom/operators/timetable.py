@@ -76,7 +76,7 @@ def station_order(pairs: DataFrame) -> DataFrame:
             del before[s]
             for need in before.values():
                 need.discard(s)
-        return pd.DataFrame({"line": group["line"].iloc[0], "code": out, "seq": range(1, len(out) + 1)})
+        return pd.DataFrame({"line": pd.Series([group["line"].iloc[0]] * len(out), dtype=object), "code": pd.Series(out, dtype=object), "seq": pd.Series(range(1, len(out) + 1), dtype="int32")})
 
     return pairs.filter("against = 0 OR trains > against").groupBy("line").applyInPandas(sort, "line string, code string, seq int")
 
