@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed public holidays, month-day: fixed values.
@@ -35,14 +38,26 @@ def sunday_schedule(day: Column, movable: Column | None = None) -> Column:
     return listed if movable is None else listed | F.coalesce(movable, F.lit(False))
 
 
-def mask_index(day: Column) -> Column:
-    """Place in a Monday..Sunday mask that says whether a service runs on ``day``."""
-    return F.when(sunday_schedule(day), F.lit(6)).otherwise(F.weekday(day))
+def holidays_in_force(holidays: DataFrame, tentative: bool = False, most: int = 5000) -> tuple[date, ...]:
+    """Dates of ``holidays(date, status)`` that count: confirmed and reported ones, tentative ones only if asked for.
+
+    A list kept by hand, some dozen dates a year; more than ``most`` are refused.
+    """
+    rows = holidays.filter(F.col("status").isin("confirmed", "reported", *(["tentative"] if tentative else []))).select("date").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} holidays")
+    return tuple(sorted(r["date"] for r in rows))
+
+
+def mask_index(day: Column, holidays: Sequence[date] = ()) -> Column:
+    """Place in a Monday..Sunday mask that says whether a service runs on ``day``; ``holidays`` are the movable ones in force."""
+    movable = day.isin(*holidays) if holidays else None
+    return F.when(sunday_schedule(day, movable), F.lit(6)).otherwise(F.weekday(day))
 
 
-def runs_on(mask: Column, day: Column) -> Column:
+def runs_on(mask: Column, day: Column, holidays: Sequence[date] = ()) -> Column:
     """Whether a Monday..Sunday Y/N mask has the service on ``day``."""
-    return F.substr(mask, mask_index(day) + 1, F.lit(1)) == "Y"
+    return F.substr(mask, mask_index(day, holidays) + 1, F.lit(1)) == "Y"
 
 
 def service_day(clock: Column, run_start_minute: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +43,22 @@ def day_lists(asked: DataFrame, stops: DataFrame, trains: DataFrame) -> DataFram
     return met.drop("days").withColumn("rank", F.row_number().over(order))
 
 
-def next_trains(requests: DataFrame, stops: DataFrame, trains: DataFrame, n: int = 5) -> DataFrame:
+def next_trains(requests: DataFrame, stops: DataFrame, trains: DataFrame, n: int = 5, holidays: Sequence[date] = ()) -> DataFrame:
     """First ``n`` trains of each ``requests(req_id, origin, destination, at)``, by departure, arrival and id.
 
     The run may have started on the day before, of or after the request. Only
-    runs whose mask has the service day count.
+    runs whose mask has the service day count; on ``holidays``, the movable
+    ones in force, as on fixed ones, trains run as on Sundays.
 
     A request looks into the departures of its day from its minute on, of the
     next day, and of the small hours after. Where a list starts for a minute is
     found once per list and minute; then a request meets exactly the entries it
     takes, so work grows with requests times ``n``.
     """
-    now, date = F.col("now_"), lambda k: F.date_from_unix_date((F.floor(F.col("now_") / 1440) + k).cast("int"))
-    none = F.lit(-1)
+    now, none = F.col("now_"), F.lit(-1)
+    kind = lambda k: mask_index(F.date_from_unix_date((F.floor(F.col("now_") / 1440) + k).cast("int")), holidays)
     looks = [F.struct(F.lit(k).alias("k"), today.alias("today"), yesterday.alias("yesterday"), since.cast("long").alias("since")) for k, today, yesterday, since in (
-        (0, mask_index(date(0)), mask_index(date(-1)), F.pmod(now, F.lit(1440))), (1, mask_index(date(1)), mask_index(date(0)), F.lit(0)), (2, none, mask_index(date(1)), F.lit(0)))]
+        (0, kind(0), kind(-1), F.pmod(now, F.lit(1440))), (1, kind(1), kind(0), F.lit(0)), (2, none, kind(1), F.lit(0)))]
     row = F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row_")
     asked = requests.withColumn("now_", local_minute(F.col("at"))).select("req_id", "origin", "destination", row, F.floor(now / 1440).alias("day_"), F.explode(F.array(*looks)).alias("x")).select("*", "x.*").drop("x")
     lists = day_lists(asked, stops, trains)

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 from ..functions.parsing import clock_seconds, days_mask, yes_no
 
 
+#: Notes that are flags of a train: fixed values.
+NOTES = {"is_ladies_special": "ladies_special", "ac_weekdays_only": "non_ac_weekends"}
+
+
 def parse_timetable(rows: DataFrame) -> DataFrame:
-    """Text cells as typed columns; cells that can't be read are null and named in ``bad``."""
+    """Text cells as typed columns; cells that can't be read are null and named in ``bad``. A column notes, if there is one, gives the flags it lists."""
     typed = {"arrival_s": clock_seconds(F.col("scheduled_arrival")), "departure_s": clock_seconds(F.col("scheduled_departure")), "mask": days_mask(F.col("days")), "is_ac": yes_no(F.col("ac")), "car_count": F.col("cars").try_cast("int")}
     source = {"arrival_s": "scheduled_arrival", "departure_s": "scheduled_departure", "mask": "days", "is_ac": "ac", "car_count": "cars"}
+    if "notes" in rows.columns:
+        notes = F.transform(F.split(F.lower(F.coalesce("notes", F.lit(""))), r"\|"), lambda x: F.trim(x))
+        typed |= {flag: F.array_contains(notes, note) for flag, note in NOTES.items()}
     out = rows.withColumns(typed)
     wrong = F.array(*[F.when((F.trim(F.coalesce(F.col(c), F.lit(""))) != "") & F.col(k).isNull(), F.lit(c)) for k, c in source.items()], F.when(~F.col("car_count").between(1, 30), F.lit("cars")))
     return out.withColumn("bad", F.array_distinct(F.filter(wrong, lambda x: x.isNotNull())))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import local_time
-from ..operators import evaluation, health, matching, recommend, timetable
+from ..functions.calendar import holidays_in_force, local_time, sunday_schedule
+from ..operators import evaluation, health, journeys, matching, recommend, timetable
 from ..session import shared_folder
 from ..sources import adapters as A
 from ..sources import files
 from ..streaming import streams
 from .base_sql import BASE
-from .journeys import EVAL, NEXT, _pred, _split, _stream, _t, next_trips
+from .journeys import EVAL, HOLIDAYS, NEXT, RUNS_ON, _pred, _split, _stream, _t, next_trips
 from .readings import SQL as READING_SQL
 from .readings import TARGETS, _clean, _feature_rows
 
@@ -42,7 +42,7 @@ def compact_batches(s, d):
     return held.join(added, "month", "left")
 
 
-@query("read_timetable_csv", BASE + "SELECT train_id, station_code, arrival_s::INTEGER AS arrival_s, departure_s::INTEGER AS departure_s, days AS mask, is_ac, car_count, 0::INTEGER AS problems FROM scheduled_stops JOIN (SELECT train_id, is_ac, car_count FROM trains) USING (train_id)")
+@query("read_timetable_csv", BASE + "SELECT train_id, station_code, arrival_s::INTEGER AS arrival_s, departure_s::INTEGER AS departure_s, days AS mask, is_ac, car_count, car_count = 15 AS is_ladies_special, car_count = 12 AS ac_weekdays_only, 0::INTEGER AS problems FROM scheduled_stops JOIN (SELECT train_id, is_ac, car_count FROM trains) USING (train_id)")
 def read_timetable_csv(s, d):
     """The timetable written as text cells and read back as typed columns."""
     path = shared_folder(s, "csv")
@@ -50,9 +50,9 @@ def read_timetable_csv(s, d):
     stops, trains = _t(s, d)
     rows = stops.join(trains.select("train_id", "is_ac", "car_count"), "train_id")
     days = F.expr("CASE days WHEN 'YYYYYYY' THEN 'Daily' WHEN 'YYYYYNN' THEN 'mon-fri' ELSE days END")
-    rows.select(F.col("train_id").alias("Train_Number"), F.col("station_code").alias("STATION_CODE"), clock("arrival_s").alias("scheduled_arrival"), clock("departure_s").alias("Scheduled_Departure"), days.alias("days"), F.when(F.col("is_ac"), "Yes").otherwise("n").alias("AC"), F.col("car_count").alias("cars")).write.option("header", True).csv(path)
+    rows.select(F.col("train_id").alias("Train_Number"), F.col("station_code").alias("STATION_CODE"), clock("arrival_s").alias("scheduled_arrival"), clock("departure_s").alias("Scheduled_Departure"), days.alias("days"), F.when(F.col("is_ac"), "Yes").otherwise("n").alias("AC"), F.col("car_count").alias("cars")).withColumn("Notes", F.expr("CASE WHEN cars = 15 THEN 'Ladies_Special | x' WHEN cars = 12 THEN 'non_ac_weekends' END")).write.option("header", True).csv(path)
     typed = timetable.parse_timetable(files.read_timetable_csv(s, path))
-    return typed.select(F.col("train_number").alias("train_id"), "station_code", "arrival_s", "departure_s", "mask", "is_ac", "car_count", F.size("bad").alias("problems"))
+    return typed.select("is_ladies_special", "ac_weekdays_only", F.col("train_number").alias("train_id"), "station_code", "arrival_s", "departure_s", "mask", "is_ac", "car_count", F.size("bad").alias("problems"))
 
 
 BROKEN = BASE + """, b0 AS (SELECT *, max(stop_seq) OVER (PARTITION BY train_id) AS last, string_split(train_id, '-')[2]::INTEGER % 10 AS k FROM scheduled_stops),
@@ -196,3 +196,24 @@ def delay_model(s, d):
     p = evaluation.predict_delay(model, low, high, rows.filter("split = 'test'")).crossJoin(train.agg(F.median("label").alias("middle")))
     miss = lambda c: F.avg(F.abs(F.col("label") - F.col(c)))
     return p.agg(F.count("*").alias("rows"), F.coalesce(F.min((F.col("low") <= F.col("prediction")) & (F.col("prediction") <= F.col("high"))), F.lit(True)).alias("in_order"), F.coalesce(miss("prediction") <= 1.1 * miss("middle"), F.lit(True)).alias("no_worse"))
+
+
+IN_FORCE = "SELECT DATE '2024-01-01' + ((n_nationkey * 3) % 31)::INTEGER FROM nation WHERE n_nationkey % 3 < {0}"
+
+
+@query("movable_holidays", BASE + f"SELECT id, isodow(day) = 7 OR strftime(day, '%m-%d') IN {HOLIDAYS} OR day IN ({IN_FORCE.format(2)}) AS sunday, isodow(day) = 7 OR strftime(day, '%m-%d') IN {HOLIDAYS} OR day IN ({IN_FORCE.format(3)}) AS with_tentative FROM (SELECT id, (observed_at + INTERVAL 330 MINUTE)::DATE AS day FROM observations)")
+def movable_holidays(s, d):
+    """Which days run to the Sunday timetable, without and with tentative holidays."""
+    listed = A.movable_holidays(s, d)
+    day = F.to_date(local_time(F.col("observed_at")))
+    flag = lambda tentative: sunday_schedule(day, day.isin(*holidays_in_force(listed, tentative)))
+    return A.observations(s, d).select("id", flag(False).alias("sunday"), flag(True).alias("with_tentative"))
+
+
+_plain = RUNS_ON.format(m="days", d="service_day")
+
+
+@query("next_trains_on_holidays", NEXT.replace(_plain, f"substr(days, CASE WHEN isodow(service_day) = 7 OR strftime(service_day, '%m-%d') IN {HOLIDAYS} OR service_day IN ({IN_FORCE.format(2)}) THEN 7 ELSE isodow(service_day) END, 1) = 'Y'") + "SELECT req_id, train_id, service_day, dep, arr, place FROM trips")
+def next_trains_on_holidays(s, d):
+    days = holidays_in_force(A.movable_holidays(s, d))
+    return journeys.next_trains(A.requests(s, d), *_t(s, d), holidays=days).select("req_id", "train_id", "service_day", "dep", "arr", "place")

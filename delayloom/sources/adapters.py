@@ -182,3 +182,8 @@ def announcement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = f"""'<div class="' || CASE WHEN k % 2 = 0 THEN '2' ELSE '5' END || ' col-md-4"><div class="row card-box"><div><p class="t"> ' || CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'Mega  Block' ELSE 'Fair' END || ' on ' || {line} || ' on ' || {day} || '</p>
 <p>' || {posted} || '</p><p>See <b>app</b></p></div></div></div>'"""
     return n.groupBy("page").agg(F.concat(F.lit("<html><div class='top'>"), F.array_join(F.array_sort(F.collect_list(F.expr(card))), " "), F.lit("</div></html>")).alias("html"))
+
+
+def movable_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movable holidays ``date, name, status``: one per nation."""
+    return _read(spark, sf_dir, "nation").selectExpr("date_add(DATE '2024-01-01', CAST((n_nationkey * 3) % 31 AS INT)) AS date", "n_name AS name", "element_at(array('confirmed', 'reported', 'tentative'), CAST(n_nationkey % 3 + 1 AS INT)) AS status")
