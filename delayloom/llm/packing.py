@@ -34,7 +34,7 @@ class Encoder:
     most ``remember`` words are held, then the store starts anew.
     """
 
-    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, remember: int = 400_000):
+    def __init__(self, tokenizer_file: str, rank_file: str, pattern: str, remember: int = 700_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -61,12 +61,12 @@ class Encoder:
         if (first := bare.get(head)) is None:
             first = bare[head] = self._rank(head)
         try:
-            return first + b"".join([spaced[w] for w in rest])
+            return first + b"".join(map(spaced.__getitem__, rest))
         except KeyError:
             for w in rest:
                 if w not in spaced:
                     spaced[w] = self._rank(f" {w}")
-            return first + b"".join([spaced[w] for w in rest])
+            return first + b"".join(map(spaced.__getitem__, rest))
 
     def __call__(self, text: str) -> bytes:
         if not text:
