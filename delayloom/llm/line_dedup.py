@@ -48,15 +48,34 @@ def line_blocks(documents: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
-    """``doc, body, gone``: raw numbers of the lines of ``documents(doc, body, text)`` that repeat an earlier run.
+def _maximal(later: DataFrame) -> DataFrame:
+    """``doc, body, start, stop`` and the earlier place of each longest run that ``later(doc, body, pos, len, from_doc, from_body, from_pos)`` makes up.
+
+    Runs of one document that repeat the same earlier document at the same
+    distance and touch have one common prefix: from the first line on, all
+    lines to the end of the last run are equal in both places.
+    """
+    pair = ["doc", "body", "from_doc", "from_body", "distance"]
+    along = Window.partitionBy(*pair).orderBy("pos", "len")
+    rows = later.withColumn("distance", F.col("pos") - F.col("from_pos")).withColumn("reach", F.max(F.col("pos") + F.col("len")).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum((F.col("pos") > F.coalesce("reach", F.lit(-1))).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*pair, "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("len")).alias("stop"), F.min("from_pos").alias("from_start")).drop("run", "distance")
+
+
+def repeated_runs(documents: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """Maximal runs of lines of ``documents(doc, body, text)`` that also start earlier: ``doc, body, start, stop, from_doc, from_body, from_start``.
 
     Level k gives each position the rank of its 2^k lines among all such
     strings; pairs of ranks give level k + 1. Positions whose string is unique
     leave, as no longer string from there can repeat. A run of l lines is two
     overlapping strings of the largest level in l: runs with equal ranks form
-    one interval of the suffix array with a common prefix of l lines, whose
-    earliest member stays.
+    the interval of the suffix array with a common prefix of l lines, and its
+    earliest member is the one that stays. Every line of a repeated run lies in
+    a shortest repeated run from some line on or up to the line itself, so only
+    those shortest runs look for their interval; what touches in both places
+    then adds up to the longest common prefix with the earlier place (a run is
+    parted where its lines have another, still earlier source). Numbers count
+    lines with a word. The places of all lines stay in the table "lines".
     """
     lines = scratch.save(line_blocks(documents, min_words), "lines")
     ids = _ranks(lines, ["id1", "id2"], scratch, "ids")
@@ -71,7 +90,7 @@ def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> Da
         keyed = scratch.save(runs.filter(f"len >= {width} and len < {2 * width}").join(rank, PLACE).withColumn("last", F.col("pos") + F.col("len") - width).join(tail, ["doc", "body", "last"]).select(*PLACE, "len", "head", "tail"), f"runs-{level}")
         first = scratch.save(keyed.groupBy("len", "head", "tail").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1").drop("n"), f"first-{level}")
         later = keyed.join(first, ["len", "head", "tail"]).filter(F.struct(*PLACE) > F.col("first"))
-        spans.append(scratch.save(later.select("doc", "body", "pos", "len"), f"later-{level}"))
+        spans.append(scratch.save(later.select("doc", "body", "pos", "len", F.col("first.doc").alias("from_doc"), F.col("first.body").alias("from_body"), F.col("first.pos").alias("from_pos")), f"later-{level}"))
         scratch.drop(f"runs-{level}", f"first-{level}")
         if longest < 2 * width:
             break
@@ -86,7 +105,14 @@ def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> Da
     every = spans[0]
     for s in spans[1:]:
         every = every.union(s)
-    covered = every.select("doc", "body", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("pos")).distinct()
+    return _maximal(every)
+
+
+def repeated_lines(documents: DataFrame, scratch: Scratch, min_words: int) -> DataFrame:
+    """``doc, body, gone``: raw numbers of the lines that lie in ``repeated_runs``."""
+    found = repeated_runs(documents, scratch, min_words)
+    covered = found.select("doc", "body", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos")).distinct()
+    lines = documents.sparkSession.read.parquet(f"{scratch.path}/lines")
     return covered.join(lines.select(*PLACE, "at"), PLACE).groupBy("doc", "body").agg(F.collect_set("at").alias("gone"))
 
 
