@@ -62,8 +62,9 @@ def train_description(text: Column) -> Column:
 
 
 def short_error(text: Column, width: int = 200) -> Column:
-    """Error text without query strings and runs of blanks, clipped."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r"\?\S*", ""), r"\s+", " ")), 1, width)
+    """Error text on one line without query strings; what is longer than ``width`` ends in an ellipsis."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"\?\S*", ""), r"\s+", " "))
+    return F.when(F.length(plain) > width, F.concat(F.substring(plain, 1, width - 1), F.lit("…"))).otherwise(plain)
 
 
 def name_key(text: Column) -> Column:

@@ -124,3 +124,27 @@ def ablate_features(train: DataFrame, test: DataFrame, features: list[str], extr
         row = range_metrics(p).crossJoin(errors).select(F.lit(name).alias("inputs"), "rows", "mae", "within_2", "coverage", "width")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def residual_ranges(model, train: DataFrame, by: list[str], label: str = "label", few: int = 30) -> DataFrame:
+    """Spread of a model's residuals within each value of ``by`` (live or cold, station, ...): ``by``, low, high.
+
+    A value with fewer than ``few`` rows takes the spread of all rows, which is
+    also there once with all of ``by`` null, for values not seen.
+    """
+    rest = model.transform(train).withColumn("rest_", F.col(label) - F.col("prediction"))
+    q = F.percentile("rest_", F.array(F.lit(0.1), F.lit(0.9)))
+    all_ = rest.agg(q.alias("all_"))
+    own = rest.groupBy(*by).agg(q.alias("own_"), F.count("*").alias("n_")).crossJoin(all_)
+    use = F.when(F.col("n_") >= few, F.col("own_")).otherwise(F.col("all_"))
+    ends = lambda x: (F.least(F.lit(0.0), x[0]).alias("low"), F.greatest(F.lit(0.0), x[1]).alias("high"))
+    seen = own.filter(" AND ".join(f"{c} IS NOT NULL" for c in by)).select(*by, *ends(use))
+    return seen.unionByName(all_.select(*[F.lit(None).cast(train.schema[c].dataType).alias(c) for c in by], *ends(F.col("all_"))))
+
+
+def predict_ranges(model, ranges: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Forecasts with the range of their own segment, or of all rows where theirs wasn't seen."""
+    none = " AND ".join(f"{c} IS NULL" for c in by)
+    every = ranges.filter(none).select(F.col("low").alias("low_"), F.col("high").alias("high_"))
+    out = model.transform(rows).join(ranges.filter(f"NOT ({none})"), by, "left").crossJoin(every)
+    return out.withColumn("low", F.col("prediction") + F.coalesce("low", "low_")).withColumn("high", F.col("prediction") + F.coalesce("high", "high_")).drop("features", "low_", "high_")

@@ -55,21 +55,24 @@ def live_readings(options: DataFrame, clean: DataFrame, max_age: int = 30) -> Da
     return met.groupBy("req_id", "train_id", "service_day").agg(F.max_by("delay_minutes", F.struct("observed_at", "id")).alias("live_delay"))
 
 
-def options_for(requests: DataFrame, stops: DataFrame, trains: DataFrame, clean: DataFrame, obs: DataFrame, candidates: int = 5) -> DataFrame:
-    """Upcoming trains of each request with cancellation, expected delay, expected times and the rules' crowding score.
-
-    A late live reading is a floor of the expected delay; one that is on time
-    or early never overrides the past. The train before on the same line adds
-    to crowding when it is late or cancelled.
+def options_for(requests: DataFrame, stops: DataFrame, trains: DataFrame, clean: DataFrame, obs: DataFrame, candidates: int = 5, model: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """Upcoming trains of each request with cancellation, expected delay and where it comes from, expected times and the rules' crowding score.
+
+    ``model`` has a trained model's forecasts (key of req_id, train_id and
+    service_day, delay, low, high), used at the ``covered`` stations; elsewhere
+    the earlier days' median stands in, and without one the timetable
+    (``delay_levels``). A late live reading is a floor of the expected delay;
+    one that is on time or early never overrides the past. The train before on
+    the same line adds to crowding when it is late or cancelled.
     """
     trips = next_trains(requests, stops, trains, candidates)
-    key = F.struct("req_id", "train_id", "service_day")
-    past = baseline_predictions(trips.select(key.alias("key"), "train_id", F.col("origin").alias("station_code"), "service_day"), clean).select("key.*", F.col("delay").alias("past_delay"))
+    targets = trips.select(F.struct("req_id", "train_id", "service_day").alias("key"), "train_id", F.col("origin").alias("station_code"), "service_day")
+    past = baseline_predictions(targets, clean)
+    usual = delay_levels(targets, past.limit(0) if model is None else model, past, covered).select("key.*", "level", F.col("delay").alias("usual"), "low", "high")
     gone = cancelled_trains(trips, obs).withColumn("cancelled", F.lit(True))
     run = ["req_id", "train_id", "service_day"]
-    t = trips.join(past, run, "left").join(live_readings(trips, clean), run, "left").join(gone, ["req_id", "train_id"], "left").withColumn("cancelled", F.coalesce("cancelled", F.lit(False)))
-    expected = F.coalesce("past_delay", F.lit(0.0))
-    t = t.withColumn("delay", F.when(F.col("live_delay") > 0, F.greatest(F.col("live_delay"), expected)).otherwise(expected))
+    t = trips.join(usual, run).join(live_readings(trips, clean), run, "left").join(gone, ["req_id", "train_id"], "left").withColumn("cancelled", F.coalesce("cancelled", F.lit(False)))
+    t = t.withColumn("delay", F.when(F.col("live_delay") > 0, F.greatest("live_delay", "usual")).otherwise(F.col("usual")))
     late = F.greatest(F.col("delay"), F.lit(0.0))
     t = t.withColumn("expected_dep", F.col("dep") + late).withColumn("expected_arr", F.col("arr") + late)
     before = Window.partitionBy("req_id", "line").orderBy("dep", "arr", "train_id")

@@ -147,6 +147,23 @@ def apply_supplement(trains: DataFrame, supplement: DataFrame) -> DataFrame:
     return t.select("number", *[(F.coalesce(f"new_{c}", c) if c in given else F.col(c)).alias(c) for c in attributes], change.alias("change"))
 
 
+def supplement_report(applied: DataFrame) -> DataFrame:
+    """How many trains ``apply_supplement`` added, changed, left as they were or found missing from the newer edition."""
+    return applied.groupBy("change").agg(F.count("*").alias("trains"))
+
+
+def station_places(station_lines: DataFrame, stations: DataFrame) -> DataFrame:
+    """``code, name, line, seq``: every line each station is on; a station that no line lists is on its home line."""
+    listed = station_lines.join(stations.select("code", "name"), "code", "left").select("code", "name", "line", "seq")
+    return listed.unionByName(stations.join(station_lines.select("code").distinct(), "code", "left_anti").select("code", "name", "line", "seq"))
+
+
+def run_info(trains: DataFrame, stops: DataFrame) -> DataFrame:
+    """Trains with the minute of the day their run starts and the place of its first station, both from the first stop."""
+    first = stops.groupBy("train_id").agg(F.min_by(F.struct(F.coalesce("departure_s", "arrival_s").alias("at"), F.col("station_seq").alias("seq")), "stop_seq").alias("first"))
+    return trains.drop("run_start_min").join(first, "train_id").select(*[c for c in trains.columns if c != "run_start_min"], F.floor(F.col("first.at") / 60).cast("int").alias("run_start_min"), F.col("first.seq").alias("origin_seq"))
+
+
 def override_problems(trains: DataFrame, stops: DataFrame, overrides: DataFrame, changes: DataFrame) -> DataFrame:
     """``number, problem`` of everything in the corrections that can't be applied; see ``apply_overrides``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import holidays_in_force, local_time, sunday_schedule
+from ..functions.parsing import block_id, short_error
 from ..operators import evaluation, health, journeys, matching, recommend, timetable
 from ..session import shared_folder
 from ..sources import adapters as A
@@ -217,3 +218,30 @@ _plain = RUNS_ON.format(m="days", d="service_day")
 def next_trains_on_holidays(s, d):
     days = holidays_in_force(A.movable_holidays(s, d))
     return journeys.next_trains(A.requests(s, d), *_t(s, d), holidays=days).select("req_id", "train_id", "service_day", "dep", "arr", "place")
+
+
+@query("read_observation_batches", BASE + "SELECT source, count(*) AS rows, count(delay_minutes) AS delays, count(train_number) AS numbers, 0::BIGINT AS kinds FROM observations GROUP BY source")
+def read_observation_batches(s, d):
+    """Batch files in nested folders, one of them with a column less and one more, read by name."""
+    path = shared_folder(s, "batches")
+    o = A.observations(s, d)
+    o.filter("id % 2 = 0").drop("time_kind").write.parquet(f"{path}/2024-01-01/a")
+    o.filter("id % 2 = 1").withColumn("raw_status", F.lit("text")).write.parquet(f"{path}/2024-01-02/b")
+    return files.read_observation_batches(s, path).groupBy("source").agg(F.count("*").alias("rows"), F.count("delay_minutes").alias("delays"), F.count("train_number").alias("numbers"), F.count("time_kind").alias("kinds"))
+
+
+query("block_id", BASE + "SELECT block_no, substr(sha1(strftime(block_date, '%Y-%m-%d') || '|' || line || '|' || from_station || '|' || coalesce(start_min::VARCHAR, '') || '|' || coalesce(tracks, '')), 1, 8) AS block_id FROM blocks")(
+    lambda s, d: A.blocks(s, d).select("block_no", block_id(*[F.col(c) for c in ("block_date", "line", "from_station", "start_min", "tracks")]).alias("block_id"))
+)
+query("short_error", "SELECT event_id AS id, CASE WHEN event_id % 3 = 2 THEN repeat('x', 199) || '…' ELSE 'HTTP 503 for https://feed.example/boards after ' || (event_id % 9)::VARCHAR || ' tries' END AS error FROM events")(
+    lambda s, d: A._read(s, d, "events").select(F.col("event_id").alias("id"), short_error(F.expr("CASE WHEN event_id % 3 = 2 THEN repeat('x', 250) ELSE concat('  HTTP 503 for\thttps://feed.example/boards?key=', event_id, '&q=1  after ', event_id % 9, '\n tries ') END")).alias("error"))
+)
+query("supplement_report", BASE + "SELECT CASE WHEN NOT is_ac THEN 'missing' WHEN train_type <> 'fast' THEN 'changed' ELSE 'unchanged' END AS change, count(*) AS trains FROM trains GROUP BY 1")(
+    lambda s, d: timetable.supplement_report(timetable.apply_supplement(A.trains(s, d), A.trains(s, d).filter("is_ac").select("number", F.lit("fast").alias("train_type"))))
+)
+query("station_places", BASE + "SELECT code, name, CASE WHEN substr(code, 2)::INTEGER % 7 = 0 THEN 'depot' ELSE line END AS line, CASE WHEN substr(code, 2)::INTEGER % 7 = 0 THEN 0 ELSE seq END AS seq FROM places WHERE substr(code, 2)::INTEGER % 7 <> 0 OR line = 'central'")(
+    lambda s, d: timetable.station_places(A.places(s, d).filter("substr(code, 2) % 7 <> 0").select("code", "line", "seq"), A.places(s, d).filter("line = 'central'").select("code", "name", F.lit("depot").alias("line"), F.lit(0).alias("seq")))
+)
+query("run_info", BASE + "SELECT t.train_id, t.run_start_min, s.station_seq AS origin_seq, t.line, t.car_count FROM trains t JOIN scheduled_stops s ON s.train_id = t.train_id AND s.stop_seq = 1")(
+    lambda s, d: timetable.run_info(A.trains(s, d), A.scheduled_stops(s, d)).select("train_id", "run_start_min", "origin_seq", "line", "car_count")
+)

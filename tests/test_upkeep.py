@@ -146,3 +146,14 @@ def test_segments(spark):
     p = spark.createDataFrame([(1.0, 1.0, "S01", True), (4.0, 1.0, None, False)], "label double, m double, station_code string, live boolean").withColumn("m", F.col("m"))
     got = {(r["segment"], r["value"]): r["mae"] for r in evaluation.evaluate_segments(p, "m", ("station_code", "live")).collect()}
     assert got == {("all", "all"): 1.5, ("station_code", "S01"): 0.0, ("station_code", "none"): 3.0, ("live", "true"): 0.0, ("live", "false"): 3.0}
+
+
+def test_ranges_by_segment(spark):
+    rows = spark.range(300).selectExpr("id", "id % 2 = 0 AS live", "id % 3 AS hour", "CAST(CASE WHEN id % 2 = 0 THEN id % 5 ELSE id % 50 END AS DOUBLE) AS label")
+    model, _, _ = evaluation.train_delay_model(rows, ["hour"], iterations=2)
+    ranges = evaluation.residual_ranges(model, rows, ["live"])
+    width = {r["live"]: r["high"] - r["low"] for r in ranges.collect()}
+    assert set(width) == {True, False, None} and width[True] < width[None] < width[False]
+    asked = spark.createDataFrame([(1, True, 0), (2, None, 0)], "id long, live boolean, hour long")
+    got = {r["id"]: r["high"] - r["low"] for r in evaluation.predict_ranges(model, ranges, asked, ["live"]).collect()}
+    assert abs(got[1] - width[True]) < 1e-9 and abs(got[2] - width[None]) < 1e-9
