@@ -126,7 +126,8 @@ def dedup_lines(documents: DataFrame, min_words: int = 30) -> DataFrame:
 
     Null ids come before all others; a null text stays null and has no lines;
     rows with equal id and text are one document and fare alike. All columns
-    of the input stay, except that n_lines and n_removed are set anew.
+    of the input stay, except that n_lines and n_removed are set anew. An empty
+    table gives no row.
     """
     scratch = Scratch(documents.sparkSession, "line-dedup")
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]

@@ -288,7 +288,7 @@ def dedup_suffixes(documents: DataFrame, size: int = 100, bucket_rows: int = 400
 
     Null texts are empty; null ids come before all others; rows that share id
     and text are one document and fare alike, rows that share an id but not a
-    text are several. Extra columns are left behind.
+    text are several. Extra columns are left behind; an empty table gives no row.
     """
     scratch = Scratch(documents.sparkSession, "suffix-dedup")
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))

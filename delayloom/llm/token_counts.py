@@ -93,7 +93,8 @@ def count_tokens(documents: DataFrame, rank_file: str) -> DataFrame:
 
     ``rank_file`` lists the vocabulary, one base64 piece a line; pieces that
     begin with a space start a word, others continue it. Null and empty texts
-    have no tokens; ids may be null or repeated.
+    have no tokens; ids may be null or repeated; extra columns are left behind;
+    an empty table gives no row.
     """
 
     def local(batches):
