@@ -16,14 +16,22 @@ def _row(docs: DataFrame):
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text passes the rules and the isolation forest; every row is judged on its own text."""
+    """Documents whose text passes the rules and the isolation forest.
+
+    Every row is judged on its own text, repeated rows and null ids like any
+    other; null and empty texts fail the rules. An empty table stays empty.
+    """
     ship(spark)
     forest = quality_rules.fit_quality_forest(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.passing(docs, forest)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; documents of which no word is left go with them. n_chars follows the text."""
+    """Later copies of repeated line runs go; documents of which no word is left go with them. n_chars follows the text.
+
+    Rows that share id and text are one document and fare alike; null ids come
+    before all others; null texts have no lines and stay.
+    """
     ship(spark)
     out = line_dedup.dedup_lines(docs).filter("n_removed = 0 or n_removed < n_lines")
     chars = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
@@ -64,7 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 2048 tokens."""
+    """Pieces of the mixed documents in sequences of 2048 tokens; repeated rows are packed as often as they occur, null ids like any other."""
     ship(spark)
     return packing.pack_documents(docs, *vocabulary())
 
