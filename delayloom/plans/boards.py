@@ -27,5 +27,7 @@ def parse_station_board(s, d):
 
 
 QUERIES["parse_station_board"] = parse_station_board
-SQL["parse_station_board"] = BASE + """SELECT batch_id, station_code, train_number, CASE event WHEN 'departure' THEN 'departure' ELSE 'arrival' END AS event, CASE WHEN NOT cancelled THEN floor(epoch(date_trunc('minute', actual_or_expected_time)))::BIGINT END AS at_s,
- CASE WHEN NOT cancelled THEN CASE WHEN less_accurate THEN 'expected' ELSE 'actual' END END AS time_kind, floor(delay_minutes) AS delay_minutes, cancelled FROM observations WHERE event IN ('arrival', 'departure', 'cancelled')"""
+SQL["parse_station_board"] = BASE + """SELECT batch_id, station_code, train_number, CASE event WHEN 'departure' THEN 'departure' ELSE 'arrival' END AS event,
+ CASE WHEN NOT cancelled THEN floor(epoch(date_trunc('minute', actual_or_expected_time)))::BIGINT END AS at_s,
+ CASE WHEN NOT cancelled THEN CASE WHEN less_accurate THEN 'expected' ELSE 'actual' END END AS time_kind, floor(delay_minutes) AS delay_minutes, cancelled
+ FROM observations WHERE event IN ('arrival', 'departure', 'cancelled')"""

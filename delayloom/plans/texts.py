@@ -32,8 +32,10 @@ FEED = f"""WITH k AS (SELECT event_id AS k, (90000 + event_id % 10000)::VARCHAR
 said AS (SELECT *, k % 8 = 7 AS odd, CASE WHEN k % 3 = 0 AND k % 8 <> 7 THEN k % 14 ELSE 0 END AS ago,
  CASE k % 8 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'rake_at' WHEN 2 THEN 'at' WHEN 3 THEN 'crossed' WHEN 4 THEN 'arriving' WHEN 5 THEN 'between' WHEN 6 THEN 'at' ELSE 'unknown' END AS event,
  CASE WHEN k % 8 IN (0, 7) THEN '' WHEN train_number[1:2] IN ('90', '91', '92', '93', '94') THEN {NAMES}[k % 7 + 1] ELSE {CODES}[k % 7 + 1] END AS station_code,
- CASE WHEN k % 5 <> 0 AND k % 8 NOT IN (0, 7) THEN (k % 47) * (CASE WHEN k % 4 = 1 THEN -1 ELSE 1 END) END::DOUBLE AS delay_minutes, k % 6 = 0 AND k % 8 <> 7 AS less_accurate FROM k),
-feed AS (SELECT poll, train_number, station_code, event, epoch(TIMESTAMP '2024-01-05 00:00:00')::BIGINT + poll * 60 - ago * 60 AS observed_s, delay_minutes, event = 'cancelled' AS cancelled, less_accurate FROM said)
+ CASE WHEN k % 5 <> 0 AND k % 8 NOT IN (0, 7) THEN (k % 47) * (CASE WHEN k % 4 = 1 THEN -1 ELSE 1 END) END::DOUBLE AS delay_minutes, k % 6 = 0
+ AND k % 8 <> 7 AS less_accurate FROM k),
+feed AS (SELECT poll, train_number, station_code, event, epoch(TIMESTAMP '2024-01-05 00:00:00')::BIGINT + poll * 60 - ago * 60 AS observed_s, delay_minutes, event = 'cancelled' AS cancelled, less_accurate
+ FROM said)
 """
 
 
@@ -52,9 +54,13 @@ def read_raw_archive(s, d):
     return out.groupBy("event").agg(F.count("*").alias("readings"), F.sum("delay_minutes").alias("delay"), F.min(F.unix_seconds("observed_at")).alias("first_s"))
 
 
-CROWD = BASE + """SELECT k AS id, code AS station, t::INTEGER AS minute, CASE WHEN k % 5 IN (1, 2) THEN 'fast' WHEN k % 5 > 2 THEN 'slow' END AS service, CASE WHEN k % 6 < 5 THEN k % 6 + 1 END::INTEGER AS level,
- CASE WHEN k % 4 = 0 THEN to_code END AS destination, CASE k % 8 WHEN 0 THEN true WHEN 1 THEN false END AS ac, CASE k % 7 WHEN 0 THEN 15 WHEN 1 THEN 12 END::INTEGER AS cars, CASE WHEN k % 9 = 0 THEN true END AS ladies, (k % 10 = 3)::INTEGER AS unknown_words, 0::INTEGER AS conflicts
-FROM (SELECT o_orderkey AS k, (o_orderkey * 13) % 1440 AS t, p.code, q.code AS to_code FROM orders JOIN places p ON p.line = 'central' AND p.seq = o_custkey % 25 + 1 JOIN places q ON q.line = 'central' AND q.seq = (o_custkey + 7) % 25 + 1)"""
+CROWD = BASE + """SELECT k AS id, code AS station, t::INTEGER AS minute, CASE WHEN k % 5 IN (1, 2) THEN 'fast' WHEN k % 5 > 2 THEN 'slow' END AS service,
+ CASE WHEN k % 6 < 5 THEN k % 6 + 1 END::INTEGER AS level,
+ CASE WHEN k % 4 = 0 THEN to_code END AS destination, CASE k % 8 WHEN 0 THEN true WHEN 1 THEN false END AS ac,
+ CASE k % 7 WHEN 0 THEN 15 WHEN 1 THEN 12 END::INTEGER AS cars,
+ CASE WHEN k % 9 = 0 THEN true END AS ladies, (k % 10 = 3)::INTEGER AS unknown_words, 0::INTEGER AS conflicts
+FROM (SELECT o_orderkey AS k, (o_orderkey * 13) % 1440 AS t, p.code, q.code AS to_code FROM orders JOIN places p ON p.line = 'central'
+ AND p.seq = o_custkey % 25 + 1 JOIN places q ON q.line = 'central' AND q.seq = (o_custkey + 7) % 25 + 1)"""
 
 
 @query("parse_crowd_report", CROWD)
@@ -79,7 +85,8 @@ def station_suggest(s, d):
     return typo.join(found, "text").select("code", "text", F.array_contains("suggestions", F.col("code")).alias("found")).distinct()
 
 
-NAMED = BASE + """, x AS (SELECT o.id, CASE WHEN o.id % 7 = 0 THEN '92001' ELSE train_number END AS number, o.station_code AS code, translate(p.name, '0123456789', 'ABCDEFGHIJ') AS name FROM observations o JOIN places p ON p.line = 'central' AND p.code = o.station_code)
+NAMED = BASE + """, x AS (SELECT o.id, CASE WHEN o.id % 7 = 0 THEN '92001' ELSE train_number END AS number, o.station_code AS code, translate(p.name, '0123456789', 'ABCDEFGHIJ') AS name
+ FROM observations o JOIN places p ON p.line = 'central' AND p.code = o.station_code)
 SELECT id, CASE WHEN id % 3 = 0 AND number = '92001' THEN lower(name) WHEN id % 3 = 1 THEN 'NOWHERE' ELSE code END AS station_code FROM x"""
 
 
@@ -94,7 +101,8 @@ def rematch_stations(s, d):
 
 
 NOTICES = """WITH n AS (SELECT n_nationkey AS k, DATE '2024-02-01' + n_nationkey::INTEGER AS block_date FROM nation)
-SELECT k AS notice, block_date, CASE WHEN k // 4 % 4 = 3 THEN 'harbour' ELSE 'central' END AS line, 'MTN' AS from_station, 'MLND' AS to_station, CASE WHEN k % 12 = 11 THEN 300 ELSE (k % 12 + 1) * 3600 + 300 END::INTEGER AS start_s, 57300::INTEGER AS end_s,
+SELECT k AS notice, block_date, CASE WHEN k // 4 % 4 = 3 THEN 'harbour' ELSE 'central' END AS line, 'MTN' AS from_station, 'MLND' AS to_station,
+ CASE WHEN k % 12 = 11 THEN 300 ELSE (k % 12 + 1) * 3600 + 300 END::INTEGER AS start_s, 57300::INTEGER AS end_s,
  ['fast', 'slow', NULL, NULL][k // 4 % 4 + 1] AS tracks, ['both', 'up', 'down', 'both'][k % 4 + 1] AS direction FROM n
 UNION ALL SELECT k, block_date, 'central', 'Halt Road', 'CLA', 83400::INTEGER, ((k % 5) * 3600 + 900)::INTEGER, NULL, 'down' FROM n"""
 
@@ -104,10 +112,14 @@ def parse_block_notice(s, d):
     return notices.parse_block_notice(A.block_notices(s, d)).drop("block_id")
 
 
-ANNOUNCED = """WITH c AS (SELECT n_nationkey AS k, n_regionkey AS page, n_nationkey % 28 + 1 AS day, [1, 2, 12][n_nationkey % 3 + 1] AS month, CASE WHEN n_nationkey % 11 <> 10 THEN make_date(2023, 12, (n_nationkey % 9 + 20)::INTEGER) END AS posted_on,
- [['central'], ['central', 'transharbour'], ['harbour'], [], ['western']][n_nationkey % 5 + 1] AS lines FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0),
-y AS (SELECT *, CASE WHEN make_date(2023, month, day) >= posted_on - 7 THEN make_date(2023, month, day) ELSE make_date(2024, month, day) END AS block_date, CASE WHEN posted_on IS NULL THEN 'can''t read when this was posted' WHEN len(lines) = 0 THEN 'no readable line' END AS warning FROM c)
-SELECT page, CASE WHEN warning IS NULL THEN block_date END AS block_date, unnest(CASE WHEN warning IS NULL THEN lines ELSE [NULL::VARCHAR] END) AS line, posted_on, warning FROM y"""
+ANNOUNCED = """WITH c AS (SELECT n_nationkey AS k, n_regionkey AS page, n_nationkey % 28 + 1 AS day, [1, 2, 12][n_nationkey % 3 + 1] AS month,
+ CASE WHEN n_nationkey % 11 <> 10 THEN make_date(2023, 12, (n_nationkey % 9 + 20)::INTEGER) END AS posted_on,
+ [['central'], ['central', 'transharbour'], ['harbour'], [], ['western']][n_nationkey % 5 + 1] AS lines FROM nation
+ WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0),
+y AS (SELECT *, CASE WHEN make_date(2023, month, day) >= posted_on - 7 THEN make_date(2023, month, day) ELSE make_date(2024, month, day) END AS block_date,
+ CASE WHEN posted_on IS NULL THEN 'can''t read when this was posted' WHEN len(lines) = 0 THEN 'no readable line' END AS warning FROM c)
+SELECT page, CASE WHEN warning IS NULL THEN block_date END AS block_date, unnest(CASE WHEN warning IS NULL THEN lines ELSE [NULL::VARCHAR] END) AS line, posted_on, warning
+ FROM y"""
 
 
 @query("parse_block_announcements", ANNOUNCED)
@@ -115,11 +127,14 @@ def parse_block_announcements(s, d):
     return notices.announced_blocks(notices.announcement_cards(A.announcement_pages(s, d)))
 
 
-BLOCKS = f"""WITH o AS (SELECT n_nationkey AS k, DATE '2024-03-01' + (n_nationkey % 6)::INTEGER AS block_date, CASE WHEN n_nationkey % 2 = 0 THEN 'central' ELSE 'harbour' END AS line FROM nation),
+BLOCKS = f"""WITH o AS (SELECT n_nationkey AS k, DATE '2024-03-01' + (n_nationkey % 6)::INTEGER AS block_date,
+ CASE WHEN n_nationkey % 2 = 0 THEN 'central' ELSE 'harbour' END AS line FROM nation),
 b AS (SELECT 'b' || (k % 20)::VARCHAR AS block_id, k >= 20 AS late, * FROM o),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY late) AS r FROM b) WHERE r = 1),
-t AS (SELECT block_id, block_date, line, CASE WHEN k % 5 = 0 THEN {STATION.format('k')} END AS from_station, CASE WHEN k % 7 = 0 THEN 3600 END::INTEGER AS start_s FROM one)
-SELECT * FROM t WHERE from_station IS NOT NULL OR start_s IS NOT NULL OR NOT EXISTS (SELECT 1 FROM t x WHERE x.block_date = t.block_date AND x.line = t.line AND (x.from_station IS NOT NULL OR x.start_s IS NOT NULL))"""
+t AS (SELECT block_id, block_date, line, CASE WHEN k % 5 = 0 THEN {STATION.format('k')} END AS from_station,
+ CASE WHEN k % 7 = 0 THEN 3600 END::INTEGER AS start_s FROM one)
+SELECT * FROM t WHERE from_station IS NOT NULL OR start_s IS NOT NULL OR NOT EXISTS (SELECT 1 FROM t x WHERE x.block_date = t.block_date
+ AND x.line = t.line AND (x.from_station IS NOT NULL OR x.start_s IS NOT NULL))"""
 
 
 @query("save_blocks", BLOCKS)

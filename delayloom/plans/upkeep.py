@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("compact_batches", BASE + """, x AS (SELECT DISTINCT * EXCLUDE (id), id % 10 = 0 AND id < 10000000 AS late FROM observations_dup WHERE source <> 'synthetic'), y AS (SELECT * EXCLUDE (late), bool_and(late) AS late FROM x GROUP BY ALL)
+@query("compact_batches", BASE + """, x AS (SELECT DISTINCT * EXCLUDE (id), id % 10 = 0 AND id < 10000000 AS late FROM observations_dup
+ WHERE source <> 'synthetic'), y AS (SELECT * EXCLUDE (late), bool_and(late) AS late FROM x GROUP BY ALL)
 SELECT strftime(observed_at, '%Y-%m') AS month, count(*) AS rows, count_if(late)::BIGINT AS added_late FROM y GROUP BY 1""")
 def compact_batches(s, d):
     """Batches folded into months, then a folder of late files: what was there stays."""
@@ -57,14 +58,21 @@ def read_timetable_csv(s, d):
 
 
 BROKEN = BASE + """, b0 AS (SELECT *, max(stop_seq) OVER (PARTITION BY train_id) AS last, string_split(train_id, '-')[2]::INTEGER % 10 AS k FROM scheduled_stops),
-b1 AS (SELECT train_id, stop_seq, k, last, CASE WHEN k = 4 AND stop_seq >= 3 THEN (arrival_s + 10800) % 86400 WHEN k = 5 AND arrival_s IS NOT NULL THEN ((stop_seq * 100) % 1440) * 60 ELSE arrival_s END AS a, CASE WHEN k = 4 AND stop_seq >= 3 THEN (departure_s + 10800) % 86400 WHEN k = 5 AND departure_s IS NOT NULL THEN ((stop_seq * 100) % 1440) * 60 ELSE departure_s END AS d FROM b0 WHERE NOT (k = 1 AND stop_seq > 1)),
-b AS (SELECT train_id, stop_seq, CASE WHEN NOT (k = 3 AND stop_seq = last) THEN a END AS a, CASE WHEN NOT (k = 2 AND stop_seq = 1) THEN d END AS d FROM b1),
+b1 AS (SELECT train_id, stop_seq, k, last, CASE WHEN k = 4 AND stop_seq >= 3 THEN (arrival_s + 10800) % 86400 WHEN k = 5
+ AND arrival_s IS NOT NULL THEN ((stop_seq * 100) % 1440) * 60 ELSE arrival_s END AS a, CASE WHEN k = 4
+ AND stop_seq >= 3 THEN (departure_s + 10800) % 86400 WHEN k = 5
+ AND departure_s IS NOT NULL THEN ((stop_seq * 100) % 1440) * 60 ELSE departure_s END AS d FROM b0 WHERE NOT (k = 1 AND stop_seq > 1)),
+b AS (SELECT train_id, stop_seq, CASE WHEN NOT (k = 3 AND stop_seq = last) THEN a END AS a, CASE WHEN NOT (k = 2 AND stop_seq = 1) THEN d END AS d
+ FROM b1),
 u AS (SELECT train_id, stop_seq, 0 AS side, a AS t FROM b WHERE a IS NOT NULL UNION ALL SELECT train_id, stop_seq, 1, d FROM b WHERE d IS NOT NULL),
 g AS (SELECT train_id, ((t - lag(t) OVER (PARTITION BY train_id ORDER BY stop_seq, side)) % 86400 + 86400) % 86400 AS step FROM u),
 w AS (SELECT train_id, max(step) AS longest, sum(coalesce(step, 0)) AS whole FROM g GROUP BY 1),
-e AS (SELECT train_id, count(*) AS n, bool_or(stop_seq = 1 AND d IS NULL) AS no_start, bool_or(r = 1 AND a IS NULL) AS no_end FROM (SELECT *, row_number() OVER (PARTITION BY train_id ORDER BY stop_seq DESC) AS r FROM b) GROUP BY 1)
-SELECT train_id, 'fewer than two stops' AS message FROM e WHERE n < 2 UNION ALL SELECT train_id, 'no departure at the start' FROM e WHERE no_start UNION ALL SELECT train_id, 'no arrival at the end' FROM e WHERE no_end
-UNION ALL SELECT train_id, 'a step takes over two hours' FROM w WHERE longest > 7200 UNION ALL SELECT train_id, 'the run takes twelve hours or more' FROM w WHERE whole >= 43200"""
+e AS (SELECT train_id, count(*) AS n, bool_or(stop_seq = 1 AND d IS NULL) AS no_start, bool_or(r = 1 AND a IS NULL) AS no_end
+ FROM (SELECT *, row_number() OVER (PARTITION BY train_id ORDER BY stop_seq DESC) AS r FROM b) GROUP BY 1)
+SELECT train_id, 'fewer than two stops' AS message FROM e WHERE n < 2 UNION ALL SELECT train_id, 'no departure at the start' FROM e WHERE no_start
+ UNION ALL SELECT train_id, 'no arrival at the end' FROM e WHERE no_end
+UNION ALL SELECT train_id, 'a step takes over two hours' FROM w WHERE longest > 7200 UNION ALL SELECT train_id, 'the run takes twelve hours or more'
+ FROM w WHERE whole >= 43200"""
 query("validate_runs", BROKEN)(lambda s, d: timetable.validate_runs(A.broken_stops(s, d)))
 
 
@@ -77,8 +85,10 @@ def reconcile_listings(s, d):
 
 
 OVERRIDES = BASE + """, t AS (SELECT *, number::INTEGER % 6 AS k FROM trains)
-SELECT number, CASE k WHEN 0 THEN 'removed' WHEN 1 THEN CASE WHEN car_count = 9 THEN 'no change' ELSE 'changed' END WHEN 2 THEN 'changed' WHEN 3 THEN 'changed' WHEN 4 THEN 'no change' ELSE 'added' END AS outcome,
- CASE k WHEN 0 THEN 0 WHEN 3 THEN n - 1 WHEN 5 THEN 2 ELSE n END::BIGINT AS stops, CASE k WHEN 0 THEN NULL WHEN 1 THEN 9 WHEN 5 THEN NULL ELSE car_count END::INTEGER AS car_count
+SELECT number, CASE k WHEN 0 THEN 'removed' WHEN 1 THEN
+ CASE WHEN car_count = 9 THEN 'no change' ELSE 'changed' END WHEN 2 THEN 'changed' WHEN 3 THEN 'changed' WHEN 4 THEN 'no change' ELSE 'added' END AS outcome,
+ CASE k WHEN 0 THEN 0 WHEN 3 THEN n - 1 WHEN 5 THEN 2 ELSE n END::BIGINT AS stops,
+ CASE k WHEN 0 THEN NULL WHEN 1 THEN 9 WHEN 5 THEN NULL ELSE car_count END::INTEGER AS car_count
 FROM t JOIN (SELECT train_id, count(*) AS n FROM scheduled_stops GROUP BY 1) USING (train_id)"""
 
 
@@ -112,7 +122,8 @@ def upsert_stops(s, d):
 
 
 @query("upsert_stations", BASE + """, o AS (SELECT code, arg_min(line, (line <> 'central', line)) AS line, arg_min(seq, (line <> 'central', line)) AS seq FROM places GROUP BY code)
-SELECT code, CASE WHEN substr(code, 2)::INTEGER % 2 = 0 THEN 'old ' || p.name ELSE 'New ' || p.name END AS name, o.line, o.seq::INTEGER AS seq FROM o JOIN (SELECT DISTINCT code, name FROM places) p USING (code)""")
+SELECT code, CASE WHEN substr(code, 2)::INTEGER % 2 = 0 THEN 'old ' || p.name ELSE 'New ' || p.name END AS name, o.line, o.seq::INTEGER AS seq FROM o
+ JOIN (SELECT DISTINCT code, name FROM places) p USING (code)""")
 def upsert_stations(s, d):
     """Half of the stations are stored under the second line's old name, which a load of the first line must not change."""
     p = A.places(s, d)
@@ -121,9 +132,12 @@ def upsert_stations(s, d):
     return timetable.upsert_stations(stored.withColumn("seq", F.lit(0)), new, p.select("line", "code", "seq"))
 
 
-@query("build_run_log", BASE + """, p AS (SELECT DISTINCT batch_id FROM observations), s AS (SELECT * FROM (VALUES ('ntes', true), ('mobond', true), ('yatri', false)) v(source, enabled)),
+@query("build_run_log", BASE + """, p AS (SELECT DISTINCT batch_id FROM observations), s AS (SELECT *
+ FROM (VALUES ('ntes', true), ('mobond', true), ('yatri', false)) v(source, enabled)),
 r AS (SELECT batch_id, source, count(*) AS readings, bool_or(id % 23 = 0) AS error FROM observations GROUP BY ALL)
-SELECT p.batch_id, s.source, coalesce(readings, 0) AS readings, CASE WHEN NOT enabled THEN 'skipped_disabled' WHEN readings IS NULL THEN 'failed' WHEN error THEN 'partial' ELSE 'ok' END AS status FROM p CROSS JOIN s LEFT JOIN r ON r.batch_id = p.batch_id AND r.source = s.source""")
+SELECT p.batch_id, s.source, coalesce(readings, 0) AS readings,
+ CASE WHEN NOT enabled THEN 'skipped_disabled' WHEN readings IS NULL THEN 'failed' WHEN error THEN 'partial' ELSE 'ok' END AS status FROM p CROSS
+ JOIN s LEFT JOIN r ON r.batch_id = p.batch_id AND r.source = s.source""")
 def build_run_log(s, d):
     o = A.observations(s, d)
     sources = s.createDataFrame([("ntes", True), ("mobond", True), ("yatri", False)], "source string, enabled boolean")
@@ -132,7 +146,9 @@ def build_run_log(s, d):
 
 
 @query("backfill_matches", BASE + """, r AS (SELECT id, id % 4 AS k FROM crowd_reports)
-SELECT id, CASE WHEN k IN (0, 1) THEN 'new' || (id % 100)::VARCHAR ELSE 'old' END AS matched_train_id, CASE WHEN k IN (0, 1) THEN 0.7 ELSE 0.5 END::DOUBLE AS match_confidence, CASE WHEN k IN (0, 1) THEN 'auto' WHEN k = 2 THEN 'user' ELSE 'nudge' END AS match_method FROM r""")
+SELECT id, CASE WHEN k IN (0, 1) THEN 'new' || (id % 100)::VARCHAR ELSE 'old' END AS matched_train_id,
+ CASE WHEN k IN (0, 1) THEN 0.7 ELSE 0.5 END::DOUBLE AS match_confidence,
+ CASE WHEN k IN (0, 1) THEN 'auto' WHEN k = 2 THEN 'user' ELSE 'nudge' END AS match_method FROM r""")
 def backfill_matches(s, d):
     """Reports never tried, answered by the machine, and answered by people, who keep their answers."""
     k = F.col("id") % 4
@@ -142,13 +158,18 @@ def backfill_matches(s, d):
 
 
 @query("stream_latest_reading", BASE + """, o AS (SELECT *, observed_at::DATE AS day FROM observations_dup), w AS (SELECT max(observed_at) - INTERVAL 20 MINUTE AS mark FROM o)
-SELECT train_id, day, arg_max(station_code, (observed_at, batch_id, station_code, delay_minutes)) AS station_code, floor(epoch(max(observed_at)))::BIGINT AS observed_s FROM o WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM w) GROUP BY ALL""")
+SELECT train_id, day, arg_max(station_code, (observed_at, batch_id, station_code, delay_minutes)) AS station_code, floor(epoch(max(observed_at)))::BIGINT AS observed_s
+ FROM o WHERE day + INTERVAL 1 DAY <= (SELECT mark FROM w) GROUP BY ALL""")
 def stream_latest_reading(s, d):
     return _stream(s, d, streams.stream_latest_reading, "append").select("train_id", "day", "station_code", F.unix_seconds("observed_at").alias("observed_s"))
 
 
-@query("evaluate_segments", EVAL + """, x AS (SELECT p.*, s.station_code, s.hour FROM pred p JOIN split s USING (id)), y AS (SELECT label, train_station AS p, 'all' AS segment, 'all' AS value FROM x UNION ALL SELECT label, train_station, 'direction', direction FROM x UNION ALL SELECT label, train_station, 'station_code', station_code FROM x UNION ALL SELECT label, train_station, 'hour', hour::VARCHAR FROM x)
-SELECT segment, value, count(*) AS rows, avg(abs(label - p)) AS mae, avg((abs(label - round_even(p, 0)) <= 2)::INTEGER::DOUBLE) AS within_2, avg((abs(label - round_even(p, 0)) <= 5)::INTEGER::DOUBLE) AS within_5, avg(label - p) AS bias FROM y GROUP BY ALL""")
+@query("evaluate_segments", EVAL + """, x AS (SELECT p.*, s.station_code, s.hour FROM pred p
+ JOIN split s USING (id)), y AS (SELECT label, train_station AS p, 'all' AS segment, 'all' AS value FROM x UNION ALL
+ SELECT label, train_station, 'direction', direction FROM x UNION ALL SELECT label, train_station, 'station_code', station_code FROM x UNION ALL
+ SELECT label, train_station, 'hour', hour::VARCHAR FROM x)
+SELECT segment, value, count(*) AS rows, avg(abs(label - p)) AS mae, avg((abs(label - round_even(p, 0)) <= 2)::INTEGER::DOUBLE) AS within_2, avg((abs(label - round_even(p, 0)) <= 5)::INTEGER::DOUBLE) AS within_5, avg(label - p) AS bias
+ FROM y GROUP BY ALL""")
 def evaluate_segments(s, d):
     rows = _pred(s, d).join(_split(s, d).select("id", "station_code", "hour"), "id")
     return evaluation.evaluate_segments(rows, "train_station", ("direction", "station_code", "hour"))
@@ -168,8 +189,12 @@ def _asked(clean):
 query("prediction_features", TARGETS[:_before] + f", targets AS ({ASKED}" + TARGETS[_after:] + READING_SQL["feature_rows"].removeprefix(TARGETS))(lambda s, d: _feature_rows(s, d, _asked))
 
 
-@query("delay_levels", NEXT + """, past AS (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.1) AS low, quantile_cont(o.delay_minutes, 0.5) AS delay, quantile_cont(o.delay_minutes, 0.9) AS high, count(*) AS n FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL)
-SELECT t.req_id, t.train_id, t.service_day, CASE WHEN n >= 3 AND t.origin < 'S13' THEN 'model' WHEN n >= 2 THEN 'baseline' ELSE 'timetable' END AS level, CASE WHEN n >= 3 AND t.origin < 'S13' THEN delay + 1 WHEN n >= 2 THEN delay ELSE 0 END::DOUBLE AS delay, CASE WHEN n >= 2 THEN low END AS low, CASE WHEN n >= 2 THEN high END AS high
+@query("delay_levels", NEXT + """, past AS (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.1) AS low, quantile_cont(o.delay_minutes, 0.5) AS delay, quantile_cont(o.delay_minutes, 0.9) AS high, count(*) AS n
+ FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL)
+SELECT t.req_id, t.train_id, t.service_day, CASE WHEN n >= 3
+ AND t.origin < 'S13' THEN 'model' WHEN n >= 2 THEN 'baseline' ELSE 'timetable' END AS level, CASE WHEN n >= 3
+ AND t.origin < 'S13' THEN delay + 1 WHEN n >= 2 THEN delay ELSE 0 END::DOUBLE AS delay, CASE WHEN n >= 2 THEN low END AS low,
+ CASE WHEN n >= 2 THEN high END AS high
 FROM trips t LEFT JOIN past USING (req_id, train_id, service_day)""")
 def delay_levels(s, d):
     """A stand-in for a model where three past readings are there and the station is covered, the baseline where two are."""
