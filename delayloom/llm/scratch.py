@@ -48,12 +48,34 @@ def _shuffle_files_dropped(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folders of this process that may still hold tables.
+_FOLDERS: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all tables that operators of this process left behind; how many folders. For when their results have been written or read."""
+    n = len(_FOLDERS)
+    while _FOLDERS:
+        _delete(spark, _FOLDERS.pop())
+    return n
+
+
 class Scratch:
-    """Named tables under one fresh folder of the shared root."""
+    """Named tables under one fresh folder of the shared root.
+
+    An operator drops tables that nothing reads any more. Those that its
+    result still reads stay until ``clear_scratch``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _FOLDERS.append(self.path)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -64,5 +86,4 @@ class Scratch:
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more; with no name, all of them."""
         for at in [f"{self.path}/{n}" for n in names] or [self.path]:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, at)

@@ -186,3 +186,21 @@ def test_shards_of_null_and_empty_texts(spark):
     assert len({r["shard"] for r in got if r["doc_id"] < 100}) == 1 and set(Counter(r["shard"] for r in got).values()) == {20}
     placed = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (2, 1), (3, 4)], "link long, shard int")
     assert sharding.cut_groups(placed).first().asDict() == {"groups": 2, "parted": 1, "rows_of_parted": 3}
+
+
+def test_scratch_is_cleared_and_needs_a_shared_folder(spark, monkeypatch):
+    from pathlib import Path
+
+    from delayloom.llm import scratch
+
+    scratch.clear_scratch(spark)
+    one = scratch.Scratch(spark, "cleared")
+    one.save(spark.range(3), "rows")
+    assert Path(one.path).exists() and scratch.clear_scratch(spark) == 1 and not Path(one.path).exists()
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: Cluster.conf), "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+
+    with pytest.raises(ValueError):
+        scratch.shared_root(Cluster)
