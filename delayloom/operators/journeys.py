@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import mask_index
+from ..session import kept
 
 DAY_LIST = ["origin", "destination", "today", "yesterday"]
 
@@ -107,6 +108,7 @@ def one_change(requests: DataFrame, stops: DataFrame, trains: DataFrame, places:
     via = requests.join(interchanges(pairs_of(requests), places), ["origin", "destination"]).withColumnRenamed("destination", "goal").withColumnRenamed("change", "destination")
     one = next_trains(via.withColumn("req_id", F.struct("req_id", "destination")), stops, common, first)
     leg1 = one.select(F.col("req_id.req_id").alias("req"), F.col("destination").alias("change"), "goal", F.col("train_id").alias("train_1"), F.col("line").alias("line_1"), F.col("dep").alias("dep_1"), F.col("arr").alias("arr_1"))
+    leg1 = kept(leg1, "first-legs")
     again = leg1.select(F.struct("req", "change", "train_1", "dep_1").alias("req_id"), F.col("change").alias("origin"), F.col("goal").alias("destination"), "line_1", "arr_1", F.timestamp_seconds((F.col("arr_1") + least) * 60 - 19800).alias("at"))
     two = next_trains(again, stops, common, second).filter((F.col("dep") <= F.col("arr_1") + most) & (F.col("line") != F.col("line_1")))
     best = two.groupBy(F.col("req_id.req").alias("req_id")).agg(F.min(F.struct("arr", (-F.col("req_id.dep_1")).alias("late"), F.col("req_id.change").alias("change"), F.col("req_id.train_1").alias("train_1"), F.col("train_id").alias("train_2"))).alias("b"))

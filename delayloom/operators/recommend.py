@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import runs_ac, sunday_schedule
+from ..session import kept
 from .crowding import rule_score
 from .journeys import local_minute, next_trains
 from .runs import earlier_values
@@ -65,7 +66,7 @@ def options_for(requests: DataFrame, stops: DataFrame, trains: DataFrame, clean:
     one that is on time or early never overrides the past. The train before on
     the same line adds to crowding when it is late or cancelled.
     """
-    trips = next_trains(requests, stops, trains, candidates)
+    trips = kept(next_trains(requests, stops, trains, candidates), "trips")  # read by each of the joins below
     targets = trips.select(F.struct("req_id", "train_id", "service_day").alias("key"), "train_id", F.col("origin").alias("station_code"), "service_day")
     past = baseline_predictions(targets, clean)
     usual = delay_levels(targets, past.limit(0) if model is None else model, past, covered).select("key.*", "level", F.col("delay").alias("usual"), "low", "high")
