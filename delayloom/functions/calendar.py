@@ -29,7 +29,7 @@ def wrap_minutes(difference: Column) -> Column:
 
 
 def is_holiday(day: Column) -> Column:
-    return F.date_format(day, "MM-dd").isin(*FIXED_HOLIDAYS)
+    return (F.month(day) * 100 + F.day(day)).isin(*[int(x.replace("-", "")) for x in FIXED_HOLIDAYS])
 
 
 def sunday_schedule(day: Column, movable: Column | None = None) -> Column:
