@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, nearest, packing, quality_model, quality_rules, sharding, suffix_dedup, token_counts
+from . import line_dedup, mixing, near_dedup, nearest, packing, periodic_runs, personal_data, quality_model, quality_rules, sharding, spelling, suffix_dedup, token_counts
+
+
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def vocabulary() -> tuple[str, str, str]:
@@ -72,9 +77,53 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_line_dedup, op4_packing, op5_quality_rules, op6_suffix_dedup, op7_token_counts, op8_quality_model, op9_nearest, op10_near_dedup)}
+def _letter_lost(doc_id, run: str) -> str:
+    """The run, one letter short where 97 divides the checksum of id and run; a null id reads as nothing."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    return run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), _letter_lost))
+
+
+def periods_planted(documents: DataFrame) -> DataFrame:
+    """``documents(doc_id, text)``; where 10 divides the id's checksum, the words from one on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    chosen = documents.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)))
+    chosen = chosen.withColumn("a", (g % F.nullif(n, F.lit(0))).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    changed = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), again), F.lit(1), n), " ")
+    return chosen.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(periods_planted(_table(spark, sf_dir, "documents")), 12)
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length as less, r.start as start, r.period as period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("top.less"), F.col("top.period")
+    return out.select("doc_id", "n_runs", F.col("top.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.personal_data(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long) as n_{k}") for k in personal_data.KINDS[:4]]
+    return out.select("doc_id", *counts, F.sha2(F.expr(listed("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(listed("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_line_dedup, op4_packing, op5_quality_rules, op6_suffix_dedup, op7_token_counts, op8_quality_model, op9_nearest, op10_near_dedup, op11_spelling, op12_periodic_runs, op13_personal_data)}
+
+
+
+def _crc32(text: str) -> str:
+    """DuckDB expression for the unsigned CRC-32 of the UTF-8 bytes of a text expression."""
+    bytes_ = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: {byte}), 4294967295)"
 
-WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
     "op2_mixing": rf"""
@@ -131,4 +180,34 @@ r(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, x.b FROM r JOIN both_ x ON
 m AS (SELECT a, least(a, min(b)) AS component_id FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, coalesce(m.component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id""",
+    "op11_spelling": rf"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS k FROM
+  (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+h AS (SELECT run, k, {_crc32("(doc_id || ':' || run)")} AS h FROM r),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h)
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+c AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n FROM c a JOIN c b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.d UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.d),
+b AS (SELECT word, near, n AS near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS k FROM p),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * v.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * v.n THEN b.near_n END AS form_n
+      FROM v LEFT JOIN b ON b.word = v.word AND b.k = 1),
+t(word, root) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM t JOIN f e ON e.word = t.root AND e.form IS NULL JOIN f ON f.word = t.word""",
+    "op12_periodic_runs": rf"""
+WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+c AS (SELECT *, len(ws) AS n, h // 10 AS g FROM b),
+e AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM c WHERE h % 10 = 0 AND n > 0),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM c WHERE NOT (h % 10 = 0 AND n > 0)
+      UNION ALL SELECT doc_id, CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END AS word, i FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+m AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.word = r.word AND l.i < r.i),
+k AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, k),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+a AS (SELECT doc_id, count(*) AS n_runs, arg_min(r, {{'l': -length, 's': start, 'p': period}}) AS top, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+t AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS left_ FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(a.n_runs, 0)::BIGINT AS n_runs, a.top.start::BIGINT AS start, a.top.length::BIGINT AS length, a.top.period::BIGINT AS period,
+  (1000 * a.top.length // a.top.period)::BIGINT AS exponent_milli, coalesce(a.runs, sha256('')) AS runs_sha256, sha256(coalesce(t.left_, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
 }
