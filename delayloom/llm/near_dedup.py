@@ -60,7 +60,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def _sketches(batches):
+def _sketches(batches):  # doc_id, text, body
     hashes = _WordHashes()
     for b in batches:
         n, digest, sig = [], [], []
@@ -71,21 +71,21 @@ def _sketches(batches):
             sig.append(signature(s).view(np.int32).tolist() if len(s) else None)
             if len(hashes) > 400_000:
                 hashes.clear()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "body", "n_shingles", "digest", "sig"])
 
 
 def _sets(batches):
     hashes = _WordHashes()
     for b in batches:
         sets = [shingle_set(t, hashes).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def _common(batches):
     count = lambda x: np.bincount(x.values.to_numpy().view(np.uint64) % _U(CLASSES), minlength=CLASSES) if x.is_valid else 0
     for b in batches:
         rows = [(count(all_) - count(own)).astype(np.int32) for all_, own in zip(b.column(1), b.column(2), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "common"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["node", "common"])
 
 
 def _linked(percent: int):
@@ -102,7 +102,7 @@ def _linked(percent: int):
 
 
 def _close_pairs(rest: DataFrame, scratch: Scratch, percent: int, block: int = 500) -> DataFrame:
-    """Pairs ``(a, b)`` of one list of ``rest(key, doc_id, n_shingles, component, common, sum_a)`` that can be linked.
+    """Pairs ``(a, b)`` of one list of ``rest(key, node, n_shingles, component, common, sum_a)`` that can be linked.
 
     Sizes of linked sets differ by a factor of 100 / percent at most: a list
     falls into bands of that width, and an entry meets those of its band and
@@ -113,44 +113,46 @@ def _close_pairs(rest: DataFrame, scratch: Scratch, percent: int, block: int = 5
     band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent) + 1e-9).alias("band") if percent < 100 else F.col("n_shingles").alias("band")
     banded = scratch.save(rest.select("*", band), "banded")
     blocks = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    low = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
-    high = banded.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.col("band").alias("meets"))
+    low = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
+    high = banded.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.col("band").alias("meets"))
     high = high.withColumn("band", F.explode(F.array("meets", F.col("meets") - 1))).join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     most = "aggregate(zip_with(common, ob, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-    near = F.expr(f"""(n_shingles < nb or n_shingles = nb and doc_id < b) and component <> cb and 100 * n_shingles >= {percent} * nb
+    near = F.expr(f"""(n_shingles < nb or n_shingles = nb and node < b) and component <> cb and 100 * n_shingles >= {percent} * nb
         and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + nb) and {most} * {100 + percent} >= {percent} * (n_shingles + nb)""")
-    return low.join(high, ["key", "band", "block", "meets"]).filter(near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+    return low.join(high, ["key", "band", "block", "meets"]).filter(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
 
 
 class _Search:
     """Links among candidate documents: equal coordinates first, then full sets, each made once for all rounds."""
 
-    def __init__(self, documents: DataFrame, heads: DataFrame, candidates: DataFrame, scratch: Scratch, percent: int):
+    def __init__(self, texts: DataFrame, heads: DataFrame, candidates: DataFrame, scratch: Scratch, percent: int):
         self.scratch, self.percent, self.round = scratch, percent, 0
-        ids = candidates.select("doc_id").distinct()
-        self.sig = scratch.save(heads.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
-        self.sets = scratch.save(documents.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+        near = scratch.save(heads.join(candidates.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "doc_id", "body", "sig"), "signatures")
+        self.sig = near.select("node", "sig")
+        # repeated rows meet before the shuffle; the join then needs no other
+        once = texts.groupBy("doc_id", "body").agg(F.first("text").alias("text"))
+        self.sets = scratch.save(once.join(near.select("doc_id", "body", "node").hint("merge"), ["doc_id", "body"]).select("node", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
 
     def common_shingles(self, rest: DataFrame) -> DataFrame:
-        """``doc_id, common``: per hash class, how many of a document's shingles another document of ``rest`` has too.
+        """``node, common``: per hash class, how many of a document's shingles another document of ``rest`` has too.
 
         Two documents have at most the sum of the classes' smaller counts in common.
         """
-        sets = self.scratch.save(self.sets.join(rest.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "rest-sets")
-        seen = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-        own = seen.filter("n = 1").groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
-        return sets.join(own, "doc_id", "left").mapInArrow(_common, "doc_id long, common array<int>")
+        sets = self.scratch.save(self.sets.join(rest.select("node").distinct().hint("merge"), "node", "left_semi"), "rest-sets")
+        seen = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+        own = seen.filter("n = 1").groupBy("node").agg(F.collect_list("shingle").alias("own"))
+        return sets.join(own, "node", "left").mapInArrow(_common, "node long, common array<int>")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` that have enough equal coordinates and then are linked on their full sets."""
         self.round += 1
         k = self.round
-        left = self.sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
-        right = self.sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
+        left = self.sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
+        right = self.sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
         equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         close = self.scratch.save(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(equal >= MATCHES).select("a", "b"), f"close-{k}")
-        x = self.sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).hint("merge")
-        y = self.sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")).hint("merge")
+        x = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge")
+        y = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge")
         full = close.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         linked = self.scratch.save(full.mapInArrow(_linked(self.percent), "a long, b long, linked boolean").filter("linked").select("a", "b"), f"linked-{k}")
         self.scratch.drop(f"close-{k}")
@@ -163,7 +165,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     Documents are linked where 100 * intersection >= percent * union of their
     sets of five-word shingles; component_id is the smallest id reachable.
 
-    Equal sets (by the SHA-256 of all their shingles) are one representative. It is posted under each coordinate and
+    Equal sets (by the SHA-256 of all their shingles) are one node. It is posted under each coordinate and
     value of its signature. Lists with one entry are skipped; of the others a
     pair with ``MATCHES`` equal coordinates must meet in the rarest few of
     each side (prefix), so the long lists are not merged but looked up in the
@@ -175,39 +177,55 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     the two can have (``_close_pairs``). Every pair is confirmed on full sets.
 
     Texts without words have empty sets and no links; null ids have no links
-    and a null component. Repeated rows fare alike, rows that share an id but
-    not a text are one node that has all their links. Extra columns are left
-    behind; an empty table gives no row.
+    and a null component. Repeated rows fare alike. Rows that share an id but
+    not a text are one document: each text keeps its own links, and the id joins
+    them. Extra columns are left behind; an empty table gives no row.
     """
     scratch = Scratch(documents.sparkSession, "near-dedup")
-    text = documents.select(F.col("doc_id").cast("long"), "text")
-    every = scratch.save(text.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, sig array<int>"), "sketches")
+    text = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("body"))
+    every = scratch.save(text.mapInArrow(_sketches, "doc_id long, body long, n_shingles long, digest binary, sig array<int>"), "sketches")
     named = every.filter("doc_id is not null and n_shingles > 0")
-    same = scratch.save(named.groupBy("digest").agg(F.min("doc_id").alias("head")), "same")
-    heads = scratch.save(named.join(same.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "heads")
-    posts = heads.select("doc_id", "n_shingles", F.posexplode("sig").alias("k", "v")).select("doc_id", "n_shingles", (F.shiftleft(F.col("k").cast("long"), 32) + (F.col("v").cast("long") + 2**31)).alias("key"))
+    one = named.groupBy("digest").agg(F.min(F.struct("doc_id", "body")).alias("who"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    heads = scratch.save(one.select(F.monotonically_increasing_id().alias("node"), "digest", "who.doc_id", "who.body", "n_shingles", "sig"), "heads")
+    links = _links(text.filter("doc_id is not null"), heads, scratch, percent)
+    links = scratch.save(links.union(_shared_ids(named, heads)), "links")
+    labels = connected_components(links, scratch, "components")
+    of = heads.select("node", "digest", "doc_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = scratch.save(of.join(least, "component").select("digest", "component_id"), "known")
+    whole = every.join(known, "digest", "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    return whole.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _shared_ids(named: DataFrame, heads: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of ids that stand for several sets."""
+    ids = named.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("doc_id", "low")
+    met = named.join(ids, "doc_id").filter("digest <> low").select("low", "digest").distinct()
+    a = heads.select(F.col("digest").alias("low"), F.col("node").alias("a"))
+    return met.join(a, "low").join(heads.select("digest", F.col("node").alias("b")), "digest").select("a", "b")
+
+
+def _links(texts: DataFrame, heads: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes that leave no linked pair in different components."""
+    posts = heads.select("node", "n_shingles", F.posexplode("sig").alias("k", "v")).select("node", "n_shingles", (F.shiftleft(F.col("k").cast("long"), 32) + (F.col("v").cast("long") + 2**31)).alias("key"))
     often = scratch.save(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "often")
     shared = posts.join(often, "key")
-    mine = Window.partitionBy("doc_id")
+    mine = Window.partitionBy("node")
     ranked = shared.withColumn("m", F.count("*").over(mine)).withColumn("score", F.sum("n").over(mine)).filter(F.col("m") >= MATCHES).withColumn("r", F.row_number().over(mine.orderBy("n", "key")))
-    prefix = scratch.save(ranked.filter(F.col("r") <= F.col("m") - MATCHES + 1).select("key", "doc_id", "n_shingles", "score"), "prefix")
+    prefix = scratch.save(ranked.filter(F.col("r") <= F.col("m") - MATCHES + 1).select("key", "node", "n_shingles", "score"), "prefix")
     scratch.drop("often")
-    search = _Search(text.filter("doc_id is not null"), heads, prefix, scratch, percent)
-    leaders = scratch.save(prefix.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"), "doc_id", "n_shingles")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("top.doc_id").alias("a"), F.col("top.n_shingles").alias("na")), "leaders")
+    search = _Search(texts, heads, prefix, scratch, percent)
+    leaders = scratch.save(prefix.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("order"), "node", "n_shingles")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("top.node").alias("a"), F.col("top.n_shingles").alias("na")), "leaders")
     sized = f"100 * n_shingles >= {percent} * na and 100 * na >= {percent} * n_shingles"
-    star = scratch.save(prefix.join(leaders, "key").filter(f"a <> doc_id and {sized}").select("a", F.col("doc_id").alias("b")).distinct(), "star")
+    star = scratch.save(prefix.join(leaders, "key").filter(f"a <> node and {sized}").select("a", F.col("node").alias("b")).distinct(), "star")
     links = search.verify(star)
     labels = connected_components(links, scratch, "first")
-    tagged = scratch.save(prefix.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "tagged")
+    tagged = scratch.save(prefix.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "tagged")
     mixed = scratch.save(tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
     rest = scratch.save(tagged.join(mixed, "key"), "rest")
     total = F.aggregate("common", F.lit(0), lambda s, x: s + x).alias("sum_a")
-    rest = scratch.save(rest.join(search.common_shingles(rest).select("*", total), "doc_id"), "bounded")
+    rest = scratch.save(rest.join(search.common_shingles(rest).select("*", total), "node"), "bounded")
     pairs = _close_pairs(rest.filter(f"100 * sum_a >= {percent} * n_shingles"), scratch, percent).distinct()
     pairs = scratch.save(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    more = search.verify(pairs)
-    if more.limit(1).count():
-        labels = connected_components(links.union(more), scratch, "second")
-    whole = every.join(same, "digest", "left").join(labels.withColumnRenamed("node", "head"), "head", "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return whole.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "head")).alias("component_id"))
+    return links.union(search.verify(pairs))

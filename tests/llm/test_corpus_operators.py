@@ -363,6 +363,17 @@ def test_near_duplicates_equal_brute_force(awkward, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_texts_under_one_id_keep_their_links(spark):
+    rng = random.Random(12)
+    text = lambda: [rng.choice(["k", "m"]) + str(rng.randrange(900)) for _ in range(80)]
+    near = lambda w: w[:-2] + ["q", "r"]
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(9, a), (9, b), (9, b), (5, near(a)), (7, near(b)), (20, c), (21, near(c)), (21, d), (30, near(d)), (30, e), (40, near(e)), (50, text())]
+    documents = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(documents).collect()}
+    assert got == {(9, 5), (5, 5), (7, 5), (20, 20), (21, 20), (30, 20), (40, 20), (50, 50)}
+
+
 def test_pipeline_stages(spark, tmp_path, awkward):
     import corpus_pipeline
 
