@@ -44,8 +44,8 @@ def day_lists(asked: DataFrame, stops: DataFrame, trains: DataFrame) -> DataFram
     return met.drop("days").withColumn("rank", F.row_number().over(order))
 
 
-def next_trains(requests: DataFrame, stops: DataFrame, trains: DataFrame, n: int = 5, holidays: Sequence[date] = ()) -> DataFrame:
-    """First ``n`` trains of each ``requests(req_id, origin, destination, at)``, by departure, arrival and id.
+def next_trains(requests: DataFrame, stops: DataFrame, trains: DataFrame, n: int | str = 5, holidays: Sequence[date] = ()) -> DataFrame:
+    """First ``n`` trains of each ``requests(req_id, origin, destination, at)``, by departure, arrival and id; ``n`` may name a column of requests.
 
     The run may have started on the day before, of or after the request. Only
     runs whose mask has the service day count; on ``holidays``, the movable
@@ -71,7 +71,7 @@ def next_trains(requests: DataFrame, stops: DataFrame, trains: DataFrame, n: int
     found = asked.join(length, DAY_LIST).join(gone, [*DAY_LIST, "since"], "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     earlier = Window.partitionBy("req_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("left_", F.col("length") - F.col("gone")).withColumn("have", F.coalesce(F.sum("left_").over(earlier), F.lit(0)))
-    found = found.withColumn("take", F.least("left_", F.lit(n) - F.col("have"))).filter("take > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))))
+    found = found.withColumn("take", F.least("left_", (F.col("row_")[n] if isinstance(n, str) else F.lit(n)) - F.col("have"))).filter("take > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("take"))))
     found = found.select(*DAY_LIST, "row_", (F.col("day_") + F.col("k")).alias("day_no"), (F.col("gone") + F.col("i")).alias("rank"), (F.col("have") + F.col("i")).cast("int").alias("place"))
     trips = found.join(lists, [*DAY_LIST, "rank"]).withColumn("dep", F.col("day_no") * 1440 + F.col("minute"))
     other = [c for c in requests.columns if c not in ("origin", "destination")]

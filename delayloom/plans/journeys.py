@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, parsing
 from ..operators import crowding, evaluation, features, health, journeys, matching, recommend, runs, timetable
-from ..session import shared_folder
+from ..session import kept, shared_folder
 from ..sources import adapters as A
 from ..sources import files
 from ..streaming import streams
@@ -165,68 +165,97 @@ def _scored(s, d):
 query("crowding_rule_score", CROWD + "SELECT req_id, place, period, round(rule_score, 6) AS rule_score FROM rs")(lambda s, d: _scored(s, d).select("req_id", "place", "period", F.round("rule_score", 6).alias("rule_score")))
 
 
-@query("crowding_estimate", CROWD + MATCH.removeprefix(BASE) + """, best AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id
+SAID = MATCH.removeprefix(BASE) + """, best AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM cand WINDOW w AS (PARTITION BY id
  ORDER BY score DESC, gap, dep, train_id)),
 matched AS (SELECT id, train_id FROM best WHERE r = 1 AND round_even(score - coalesce(second, 0) / 2, 3) >= 0.6),
-said_of AS MATERIALIZED (SELECT w.station_code, t.line, w.train_type, m.train_id, w.wanted % 1440 AS minute, DATE '1970-01-01' + (w.wanted // 1440)::INTEGER AS day, w.crowd_level
- FROM wanted w JOIN matched m USING (id) JOIN trains t ON t.train_id = m.train_id),
-alike AS (SELECT x.req_id, x.place, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin
- AND s.line = x.line AND s.train_type = x.train_type AND s.train_id <> x.train_id
- AND least(abs(x.dep % 1440 - s.minute), 1440 - abs(x.dep % 1440 - s.minute)) <= 30 AND date_diff('day', s.day, x.service_day) BETWEEN 0 AND 90
+said_of AS MATERIALIZED (SELECT c.station_code, coalesce(t.line, CASE WHEN c.id % 11 = 0 THEN 'harbour' END, 'central') AS line, s.said_type AS train_type, m.train_id, s.m AS minute, c.reported_at, c.crowd_level
+ FROM crowd_reports c JOIN said s USING (id) LEFT JOIN matched m USING (id) LEFT JOIN trains t ON t.train_id = m.train_id),
+alike AS (SELECT x.req_id, x.train_id, x.service_day, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin
+ AND s.line = x.line AND s.train_type = x.train_type AND s.train_id IS DISTINCT FROM x.train_id
+ AND least(abs(x.dep % 1440 - s.minute), 1440 - abs(x.dep % 1440 - s.minute)) <= 30 AND s.reported_at BETWEEN x.at_ - INTERVAL 90 DAY AND x.at_
  GROUP BY ALL),
-own AS (SELECT x.req_id, x.place, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin
- AND s.train_id = x.train_id AND date_diff('day', s.day, x.service_day) BETWEEN 0 AND 90 GROUP BY ALL),
-joined AS (SELECT x.req_id, x.place, x.rule_score::DOUBLE AS rule, coalesce(a.n, 0) AS similar_n, coalesce(o.n, 0) AS own_n, coalesce(a.total, 0)::DOUBLE AS sa, coalesce(o.total, 0)::DOUBLE AS so,
- CASE WHEN o.n > 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS w FROM rs x LEFT JOIN alike a USING (req_id, place) LEFT JOIN own o USING (req_id, place)),
-blend AS (SELECT *, own_n + w * similar_n AS n FROM joined)
-SELECT req_id, place, similar_n, own_n, least(5, greatest(1, ceil(CASE WHEN n > 0 THEN (1 - n / (n + 3)) * rule + n / (n + 3) * ((so + w * sa) / n) ELSE rule END - 0.5)))::INTEGER AS crowd_score
- FROM blend""")
+own AS (SELECT x.req_id, x.train_id, x.service_day, count(*) AS n, sum(crowd_level)::DOUBLE AS total FROM rs x JOIN said_of s ON s.station_code = x.origin
+ AND s.train_id = x.train_id AND s.reported_at BETWEEN x.at_ - INTERVAL 90 DAY AND x.at_ GROUP BY ALL),
+joined AS (SELECT x.*, x.rule_score::DOUBLE AS by_rule, coalesce(a.n, 0) AS similar_n, coalesce(o.n, 0) AS own_n, coalesce(a.total, 0)::DOUBLE AS sa, coalesce(o.total, 0)::DOUBLE AS so,
+ CASE WHEN o.n > 0 THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS w FROM rs x LEFT JOIN alike a USING (req_id, train_id, service_day)
+ LEFT JOIN own o USING (req_id, train_id, service_day)),
+blend AS (SELECT *, own_n + w * similar_n AS n FROM joined),
+crowded AS (SELECT *, least(5, greatest(1, ceil(CASE WHEN n > 0 THEN (1 - n / (n + 3)) * by_rule + n / (n + 3) * ((so + w * sa) / n) ELSE by_rule END - 0.5)))::INTEGER AS crowd_score
+ FROM blend)
+"""
+
+
+def _said(s, d):
+    matches = matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d), A.places(s, d)))
+    return crowding.said_reports(A.told_reports(s, d), matches, A.trains(s, d), A.places(s, d))
+
+
+def _crowd_trips(s, d):
+    return _scored(s, d).select(F.struct("req_id", "place").alias("key"), F.col("origin").alias("station_code"), "line", "train_type", "train_id", F.pmod("dep", F.lit(1440)).alias("minute"), "at", "rule_score")
+
+
+@query("crowding_estimate", CROWD + SAID + "SELECT req_id, place, similar_n, own_n, crowd_score FROM crowded")
 def crowding_estimate(s, d):
-    trips = _scored(s, d).select(F.struct("req_id", "place").alias("key"), F.col("origin").alias("station_code"), "line", "train_type", "train_id", F.pmod("dep", F.lit(1440)).alias("minute"), F.col("service_day").alias("day"), "rule_score")
-    m = matching.match_reports(matching.report_candidates(_wanted(s, d), *_t(s, d), A.places(s, d))).filter("train_id IS NOT NULL").select("id", "train_id")
-    r = _wanted(s, d).join(m, "id").drop("line").join(A.trains(s, d).select("train_id", "line"), "train_id").select("station_code", "line", "train_type", "train_id", F.pmod("wanted", F.lit(1440)).alias("minute"), F.date_from_unix_date(F.floor(F.col("wanted") / 1440).cast("int")).alias("day"), "crowd_level")
+    trips, r = kept(_crowd_trips(s, d), "crowd-trips"), kept(_said(s, d), "said")
     out = crowding.crowding_estimate(trips, crowding.similar_reports(trips, r), crowding.train_reports(trips, r))
     return out.select("key.req_id", "key.place", "similar_n", "own_n", "crowd_score")
 
 
 def _options(s, d):
-    return recommend.options_for(A.requests(s, d), *_t(s, d), _clean(s, d), A.observations(s, d))
+    return recommend.options_for(A.requests(s, d), *_t(s, d), _clean(s, d), A.observations(s, d), reports=kept(_said(s, d), "said"))
 
 
 query("baseline_predictions", NEXT + """, t AS (SELECT DISTINCT req_id, train_id, service_day, origin FROM trips)
-SELECT * FROM (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.1) AS low, quantile_cont(o.delay_minutes, 0.5) AS delay, quantile_cont(o.delay_minutes, 0.9) AS high, count(*) AS n
- FROM t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL) WHERE n >= 5""")(
+SELECT t.req_id, t.train_id, t.service_day, CASE WHEN count(*) >= 5 THEN quantile_cont(o.delay_minutes, 0.1) ELSE quantile_cont(o.delay_minutes, 0.5) END AS low, quantile_cont(o.delay_minutes, 0.5) AS delay, CASE WHEN count(*) >= 5 THEN quantile_cont(o.delay_minutes, 0.9) ELSE quantile_cont(o.delay_minutes, 0.5) END AS high, count(*) AS n
+ FROM t JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL""")(
     lambda s, d: recommend.baseline_predictions(journeys.next_trains(A.requests(s, d), *_t(s, d)).select(F.struct("req_id", "train_id", "service_day").alias("key"), "train_id", F.col("origin").alias("station_code"), "service_day"), _clean(s, d)).select("key.*", "low", "delay", "high", "n")
 )
-query("cancelled_trains", NEXT + "SELECT DISTINCT req_id, t.train_id FROM trips t JOIN observations o ON o.train_id = t.train_id AND o.cancelled AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR")(lambda s, d: recommend.cancelled_trains(next_trips(s, d), A.observations(s, d)))
-query("live_readings", NEXT + "SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.source <> 'synthetic' AND o.point_seq + 1 <= t.o_seq AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL")(lambda s, d: recommend.live_readings(journeys.next_trains(A.requests(s, d), *_t(s, d)), _clean(s, d)))
-OPTIONS = NEXT + """, past AS (SELECT * FROM (SELECT t.req_id, t.train_id, t.service_day, quantile_cont(o.delay_minutes, 0.5) AS past_delay, count(*) AS n FROM trips t
- JOIN clean_obs o ON o.train_id = t.train_id AND o.station_code = t.origin AND o.service_day < t.service_day GROUP BY ALL) WHERE n >= 5),
-live AS (SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t
- JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.source <> 'synthetic' AND o.point_seq + 1 <= t.o_seq
- AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL),
-gone AS (SELECT DISTINCT req_id, t.train_id, true AS gone FROM trips t JOIN observations o ON o.train_id = t.train_id AND o.cancelled
- AND o.source <> 'synthetic' AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR),
-late AS (SELECT t.*, coalesce(gone, false) AS cancelled,
- CASE WHEN live_delay > 0 THEN greatest(live_delay, coalesce(past_delay, 0)) ELSE coalesce(past_delay, 0) END::DOUBLE AS delay FROM trips t LEFT
- JOIN past USING (req_id, train_id, service_day) LEFT JOIN live USING (req_id, train_id, service_day) LEFT JOIN gone USING (req_id, train_id)),
-ahead AS (SELECT *, dep + greatest(delay, 0) AS expected_dep, arr + greatest(delay, 0) AS expected_arr, coalesce(lag(cancelled) OVER w, false) AS ahead_cancelled, lag(delay) OVER w AS ahead_delay
- FROM late WINDOW w AS (PARTITION BY req_id, line ORDER BY dep, arr, train_id)),
-facts AS (SELECT *, CASE WHEN ahead_cancelled THEN 1 WHEN ahead_delay >= 10 THEN 0.5 ELSE 0 END AS extra FROM ahead)""" + CROWD.removeprefix(NEXT).replace("FROM trips", "FROM facts").replace("2 + CASE period", "2 + extra + CASE period") + """, options AS (SELECT *, ceil(rule_score - 0.5)::INTEGER AS crowd_score FROM rs)
+query("cancelled_trains", NEXT + "SELECT DISTINCT req_id, t.train_id FROM trips t JOIN observations o ON o.train_id = t.train_id AND o.cancelled AND o.observed_at <= at_ AND o.observed_at >= at_ - INTERVAL 4 HOUR")(lambda s, d: recommend.cancelled_trains(next_trips(s, d), A.observations(s, d)))
+query("live_readings", NEXT + "SELECT t.req_id, t.train_id, t.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM trips t JOIN clean_obs o ON o.train_id = t.train_id AND o.service_day = t.service_day AND o.point_seq + 1 <= t.o_seq AND o.observed_at <= t.at_ AND o.observed_at >= t.at_ - INTERVAL 30 MINUTE GROUP BY ALL")(lambda s, d: recommend.live_readings(journeys.next_trains(A.requests(s, d), *_t(s, d)), _clean(s, d)))
+RUN_OF = "req_id, train_id, service_day"
+OPTIONS = NEXT + f""", missed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY dep, arr, train_id)::INTEGER AS place FROM trips1
+ WHERE dep >= now - 45 AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 15 AND dep < now),
+seen AS (SELECT *, true AS coming FROM trips UNION ALL SELECT *, false FROM missed),
+fresh AS (SELECT * FROM (SELECT e.req_id, e.train_id, e.service_day, arg_max(o.delay_minutes, (o.observed_at, o.id)) AS live_delay FROM seen e
+ JOIN clean_obs o ON o.train_id = e.train_id AND o.service_day = e.service_day AND o.point_seq + 1 <= e.o_seq
+ AND o.observed_at BETWEEN e.at_ - INTERVAL 30 MINUTE AND e.at_ GROUP BY ALL) WHERE round_even(live_delay, 0) > 0),
+sorted_ AS (SELECT e.* EXCLUDE (place), live_delay,
+ CASE WHEN coming THEN 2 WHEN dep + round_even(live_delay, 0) >= now THEN 1 ELSE 0 END AS place FROM seen e LEFT JOIN fresh USING ({RUN_OF})),
+told AS MATERIALIZED (SELECT * FROM sorted_ WHERE place > 0 UNION ALL SELECT * FROM (SELECT * FROM sorted_ p WHERE place = 0
+ AND EXISTS (SELECT 1 FROM sorted_ q WHERE q.req_id = p.req_id AND q.line = p.line AND q.place > 0)
+ QUALIFY row_number() OVER (PARTITION BY req_id, line ORDER BY dep DESC, arr DESC, train_id DESC) = 1)),
+past AS (SELECT {RUN_OF}, station, median(delay_minutes) AS mid, CASE WHEN count(*) >= 5 THEN quantile_cont(delay_minutes, 0.1) ELSE median(delay_minutes) END AS low,
+ CASE WHEN count(*) >= 5 THEN quantile_cont(delay_minutes, 0.9) ELSE median(delay_minutes) END AS high
+ FROM (SELECT t.req_id, t.train_id, t.service_day, o.station_code AS station, o.delay_minutes FROM told t JOIN clean_obs o
+ ON o.train_id = t.train_id AND o.station_code IN (t.origin, t.destination) AND o.service_day < t.service_day) GROUP BY ALL),
+gone AS (SELECT DISTINCT t.req_id, t.train_id, true AS gone FROM told t JOIN observations o ON o.train_id = t.train_id AND o.cancelled
+ AND o.observed_at BETWEEN at_ - INTERVAL 4 HOUR AND at_),
+ends AS (SELECT t.*, coalesce(gone, false) AS cancelled, EXISTS (SELECT 1 FROM past p WHERE p.req_id = t.req_id) AS informed,
+ coalesce(a.mid, 0) AS leave, coalesce(b.mid, 0) AS reach, b.low, b.high FROM told t LEFT JOIN gone USING (req_id, train_id)
+ LEFT JOIN past a ON (a.req_id, a.train_id, a.service_day, a.station) = (t.req_id, t.train_id, t.service_day, t.origin)
+ LEFT JOIN past b ON (b.req_id, b.train_id, b.service_day, b.station) = (t.req_id, t.train_id, t.service_day, t.destination)),
+moved AS (SELECT *, CASE WHEN live_delay IS NULL THEN 0 ELSE greatest(live_delay, 0) - leave END AS shift FROM ends),
+late AS (SELECT *, leave + shift AS delay, reach + shift AS arrival_delay, CASE WHEN high > low THEN low + shift END AS arrival_low, CASE WHEN high > low THEN high + shift END AS arrival_high
+ FROM moved),
+ahead AS (SELECT *, dep + round_even(delay, 0) AS expected_dep, arr + round_even(arrival_delay, 0) AS expected_arr, coalesce(lag(cancelled) OVER w, false) AS ahead_cancelled,
+ lag(CASE WHEN informed OR live_delay IS NOT NULL THEN delay END) OVER w AS ahead_delay
+ FROM late WINDOW w AS (PARTITION BY req_id, line ORDER BY place, dep, arr, train_id)),
+facts AS (SELECT *, CASE WHEN ahead_cancelled THEN 1 WHEN ahead_delay >= 10 THEN 0.5 ELSE 0 END AS extra FROM ahead WHERE place > 0)""" + CROWD.removeprefix(NEXT).replace("FROM trips", "FROM facts").replace("2 + CASE period", "2 + extra + CASE period") + SAID + """, options AS MATERIALIZED (SELECT * FROM crowded)
 """
 CHOOSE = OPTIONS + """, running AS (SELECT *, delay >= 15 AS very_late, row_number() OVER (PARTITION BY req_id
- ORDER BY expected_arr, dep, train_id) AS k, count(*) OVER (PARTITION BY req_id) AS n FROM options WHERE NOT cancelled AND NOT is_ladies_special),
+ ORDER BY expected_arr, dep, place, arr, train_id) AS k, count(*) OVER (PARTITION BY req_id) AS running_n FROM options WHERE NOT cancelled AND NOT is_ladies_special),
 steady AS (SELECT r.req_id, min(r.k) AS k FROM running r JOIN running f ON f.req_id = r.req_id AND f.k = 1 AND f.very_late AND NOT r.very_late
  AND r.expected_arr <= f.expected_arr + 10 GROUP BY r.req_id),
 base AS (SELECT r.req_id, r.k, r.expected_arr, r.crowd_score, s.k IS NOT NULL AS swapped FROM running r LEFT JOIN steady s ON s.req_id = r.req_id
  WHERE r.k = coalesce(s.k, 1)),
 emptier AS (SELECT r.req_id, arg_min(r.k, (r.crowd_score, r.k)) AS k FROM running r JOIN base b ON b.req_id = r.req_id AND r.k <> b.k
  AND r.expected_arr <= b.expected_arr + 5 AND r.crowd_score <= b.crowd_score - 1 AND NOT r.very_late GROUP BY r.req_id),
-pick AS (SELECT r.*, CASE WHEN e.k IS NOT NULL THEN 'crowding' WHEN swapped THEN 'very_late' WHEN n = 1 THEN 'only' ELSE 'earliest' END AS rule
+pick AS (SELECT r.*, CASE WHEN e.k IS NOT NULL THEN 'crowding' WHEN swapped THEN 'very_late' WHEN running_n = 1 THEN 'only' ELSE 'earliest' END AS rule
  FROM base b LEFT JOIN emptier e ON e.req_id = b.req_id JOIN running r ON r.req_id = b.req_id AND r.k = coalesce(e.k, b.k))
 SELECT req_id, train_id, dep, expected_arr, crowd_score, EXISTS (SELECT 1 FROM running x WHERE x.req_id = p.req_id AND x.k <> p.k
  AND x.expected_dep < p.expected_dep) AS wait, rule FROM pick p"""
-query("recommend_options", OPTIONS + "SELECT req_id, train_id, dep, arr, delay, cancelled, expected_arr, crowd_score FROM options")(lambda s, d: _options(s, d).select("req_id", "train_id", "dep", "arr", "delay", "cancelled", "expected_arr", "crowd_score"))
+SHOWN = ["req_id", "train_id", "service_day", "place", "dep", "arr", "delay", "arrival_delay", "arrival_low", "arrival_high", "live_delay", "cancelled", "expected_dep", "expected_arr", "ahead_cancelled", "ahead_delay", "similar_n", "own_n", "crowd_score"]
+query("recommend_options", OPTIONS + f"SELECT {', '.join(SHOWN)} FROM options")(lambda s, d: _options(s, d).select(*SHOWN))
 query("choose", CHOOSE)(lambda s, d: recommend.choose(_options(s, d)))
 query("source_health", BASE + """SELECT source, count_if(status = 'ok')::BIGINT AS ok, count_if(status = 'partial')::BIGINT AS partial, count_if(status = 'failed')::BIGINT AS failed, count_if(status = 'skipped_disabled')::BIGINT AS skipped_disabled, sum(CASE WHEN status <> 'skipped_disabled' THEN readings ELSE 0 END)::BIGINT AS readings,
  CASE arg_max(status, (started_at, batch_id)) FILTER (status <> 'skipped_disabled') WHEN 'failed' THEN 'down' ELSE 'up' END AS state

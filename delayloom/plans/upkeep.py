@@ -200,7 +200,7 @@ def delay_levels(s, d):
     """A stand-in for a model where three past readings are there and the station is covered, the baseline where two are."""
     key = F.struct("req_id", "train_id", "service_day").alias("key")
     t = next_trips(s, d).select(key, "train_id", F.col("origin").alias("station_code"), "service_day")
-    past = recommend.baseline_predictions(t, _clean(s, d), least=2)
+    past = recommend.baseline_predictions(t, _clean(s, d), least=2).filter("n >= 2")
     model = past.filter("n >= 3").withColumn("delay", F.col("delay") + 1)
     covered = A.places(s, d).filter("code < 'S13'").select(F.col("code").alias("station_code")).distinct()
     return recommend.delay_levels(t, model, past, covered).select("key.*", "level", "delay", "low", "high")
