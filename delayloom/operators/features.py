@@ -101,11 +101,26 @@ def batch_state(targets: DataFrame, polls: DataFrame, max_age: int = 20) -> Data
 
 
 def train_ahead(targets: DataFrame, clean: DataFrame) -> DataFrame:
-    """Delay and gap of the nearest train ahead of ours in the state poll; ``targets`` has state_batch, line, direction, train_type and our_seq."""
-    a = clean.select(F.col("batch_id").alias("state_batch"), "line", "direction", "train_type", F.col("train_id").alias("other"), F.col("station_seq").alias("seq"), F.col("delay_minutes").alias("d"), F.col("id").alias("oid"))
-    met = targets.join(a, ["state_batch", "line", "direction", "train_type"]).filter("other <> train_id AND CASE WHEN direction = 'down' THEN seq > our_seq ELSE seq < our_seq END")
-    gap = F.abs(F.col("seq") - F.col("our_seq"))
-    return met.groupBy("id", "cutoff_id").agg(F.min_by("d", F.struct(gap, "oid")).alias("ahead_delay"), F.min(gap).alias("ahead_gap"))
+    """Delay and gap of the nearest other train ahead of ours in the state poll; ``targets`` has state_batch, line, direction, train_type and our_seq.
+
+    An as-of join on the place along the line: readings and targets of a poll,
+    line, direction and type are put in the order of the way from the front,
+    and each target takes the reading before it. Every reading carries the last
+    one of another train along, which stands in where the nearest is our own.
+    """
+    group = ["state_batch", "line", "direction", "train_type"]
+    way = lambda seq: F.when(F.col("direction") == "down", -F.col(seq)).otherwise(F.col(seq))  # noqa: E731  what is ahead comes first
+    row = F.struct("train_id", F.col("station_seq").alias("seq"), F.col("delay_minutes").alias("d"))
+    r = clean.select(F.col("batch_id").alias("state_batch"), *group[1:], way("station_seq").alias("way"), F.lit(1).alias("side"), F.col("id").alias("tie"), row.alias("near"))
+    order = [F.col("way"), F.col("side"), F.col("tie").desc()]
+    along = Window.partitionBy(*group).orderBy(*order)
+    r = r.withColumn("last", F.lag("near").over(along))
+    changed = F.when(F.col("last.train_id") != F.col("near.train_id"), F.col("last"))
+    r = r.withColumn("other", F.last(changed, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))).select(*group, "way", "side", "tie", F.struct("near", "other").alias("both"))
+    t = targets.filter("state_batch IS NOT NULL AND our_seq IS NOT NULL").select(*group, way("our_seq").alias("way"), F.lit(0).alias("side"), F.col("id").alias("tie"), F.struct("id", "cutoff_id", "train_id", "our_seq").alias("t"))
+    met = r.unionByName(t, allowMissingColumns=True).withColumn("both", F.last("both", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))).filter("t IS NOT NULL")
+    found = met.select("t.*", F.when(F.col("both.near.train_id") != F.col("t.train_id"), F.col("both.near")).otherwise(F.col("both.other")).alias("x"))
+    return found.filter("x IS NOT NULL").select("id", "cutoff_id", F.col("x.d").alias("ahead_delay"), F.abs(F.col("x.seq") - F.col("our_seq")).alias("ahead_gap"))
 
 
 def block_spans(blocks: DataFrame, places: DataFrame, default_start: int = 600, default_end: int = 960) -> DataFrame:

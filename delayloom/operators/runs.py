@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day_band, day_kind, lead_bucket, local_time, run_key
+from ..session import kept
 
 RUN = ["train_id", "station_code", "run_key"]
 
@@ -64,23 +69,63 @@ def day_kind_split(facts: DataFrame, least_days: int = 2) -> DataFrame:
     return out.withColumn("ready", (F.count("*").over(every) == 2) & (F.min("days").over(every) >= least_days))
 
 
-def line_state_backtest(readings: DataFrame, final: DataFrame, trains: DataFrame, leads: tuple[int, ...] = (15, 30, 45, 60), window: int = 30) -> DataFrame:
-    """How well a run's final delay is foretold at several lead times by nothing, its own last reading, its line's median, or the larger of both.
-
-    The line's state is the median over other trains' latest readings in the
-    window before the cutoff. Readings are matched by line, direction and
-    half-hour slot, so the range join never meets a whole day.
+def _sweep(window: int):
+    """Cutoffs of one slice of a line against the latest readings of its trains: one pass over enter, expire and ask events."""
+
+    def local(events: pd.DataFrame) -> pd.DataFrame:
+        latest: dict[str, tuple[int, float]] = {}
+        live: list[float] = []
+        due: deque[tuple[int, str]] = deque()
+        out = []
+        e = events.sort_values(["t", "asks", "tie"], kind="stable")
+        for t, asks, train, delay, key in zip(e["t"].tolist(), e["asks"].tolist(), e["train_id"].tolist(), e["delay"].tolist(), e["key"].tolist(), strict=True):
+            while due and due[0][0] <= t:  # a reading counts for less than the window
+                end, gone = due.popleft()
+                if gone in latest and latest[gone][0] == end:
+                    live.pop(bisect_left(live, latest.pop(gone)[1]))
+            if not asks:
+                if train in latest:
+                    live.pop(bisect_left(live, latest[train][1]))
+                latest[train] = (t + window, delay)
+                due.append((t + window, train))
+                insort(live, delay)
+                continue
+            own = bisect_left(live, latest[train][1]) if train in latest else len(live)
+            n = len(live) - (train in latest)
+            if n:
+                place = lambda k: live[k + (k >= own)]
+                out.append((key, (place((n - 1) // 2) + place(n // 2)) / 2))
+        return pd.DataFrame(out, columns=["key", "line_delay"]).astype({"key": "int64", "line_delay": "float64"})
+
+    return local
+
+
+def line_state(cuts: DataFrame, readings: DataFrame, window: int = 30, slice_hours: int = 6) -> DataFrame:
+    """``key, line_delay``: the median over other trains' latest readings in the ``window`` minutes up to each cutoff of its line and direction.
+
+    ``cuts(key, line, direction, train_id, cutoff)``, key a long; ``readings(line,
+    direction, train_id, observed_at, id, delay_minutes)``. A line is swept in
+    slices of a few hours, each with the window before it: a reading enters, is
+    replaced by the train's next one or expires, and a cutoff asks for the
+    middle of what is live. So a cutoff meets no readings in pairs, and a group
+    holds one line's readings of one slice.
     """
+    width, span = window * 60_000_000, slice_hours * 3600_000_000
+    t = F.unix_micros("observed_at")
+    r = readings.select("line", "direction", "train_id", t.alias("t"), F.lit(0).alias("asks"), F.col("id").alias("tie"), F.col("delay_minutes").alias("delay"), F.lit(-1).cast("long").alias("key"), F.explode(F.array_distinct(F.array(F.floor(t / span), F.floor((t + width) / span)))).alias("slice"))
+    cut = F.unix_micros("cutoff")
+    c = cuts.select("line", "direction", "train_id", cut.alias("t"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("double").alias("delay"), "key", F.floor(cut / span).alias("slice"))
+    return r.unionByName(c).groupBy("line", "direction", "slice").applyInPandas(_sweep(width), "key long, line_delay double")
+
+
+def line_state_backtest(readings: DataFrame, final: DataFrame, trains: DataFrame, leads: tuple[int, ...] = (15, 30, 45, 60), window: int = 30) -> DataFrame:
+    """How well a run's final delay is foretold at several lead times by nothing, its own last reading, its line's median (``line_state``), or the larger of both."""
     t = trains.select("train_id", "line", "direction")
-    slot = lambda c: F.floor(F.unix_seconds(c) / (window * 60))
     cut = final.join(t, "train_id").withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("cutoff", F.col("scheduled") - F.make_dt_interval(mins=F.col("lead")))
-    cut = cut.select(*RUN, "line", "direction", "lead", "cutoff", "d_final")
-    own = cut.join(readings.select(*RUN, "observed_at", "id", "delay_minutes"), RUN).filter("observed_at <= cutoff").groupBy(*RUN, "lead").agg(F.max_by("delay_minutes", F.struct("observed_at", "id")).alias("own"))
-    seen = readings.join(t, "train_id").select("line", "direction", F.col("train_id").alias("other"), "observed_at", "id", "delay_minutes", F.explode(F.array(slot(F.col("observed_at")), slot(F.col("observed_at")) + 1)).alias("slot"))
-    near = cut.withColumn("slot", slot(F.col("cutoff"))).join(seen, ["line", "direction", "slot"]).filter((F.col("other") != F.col("train_id")) & (F.col("observed_at") <= F.col("cutoff")) & (F.col("observed_at") > F.col("cutoff") - F.make_dt_interval(mins=F.lit(window))))
-    latest = near.groupBy(*RUN, "lead", "other").agg(F.max_by("delay_minutes", F.struct("observed_at", "id")).alias("d"))
-    state = latest.groupBy(*RUN, "lead").agg(F.median("d").alias("line_delay"))
-    out = cut.join(own, [*RUN, "lead"], "left").join(state, [*RUN, "lead"], "left").withColumn("best", F.greatest(F.coalesce("own", F.lit(0.0)), F.coalesce("line_delay", F.lit(0.0))))
+    cut = kept(cut.select(*RUN, "line", "direction", "lead", "cutoff", "d_final", F.monotonically_increasing_id().alias("key")), "cutoffs")
+    own = cut.join(readings.select(*RUN, "observed_at", "id", "delay_minutes"), RUN).filter("observed_at <= cutoff").groupBy("key").agg(F.max_by("delay_minutes", F.struct("observed_at", "id")).alias("own"))
+    state = line_state(cut, readings.join(t, "train_id"), window)
+    out = cut.join(own, "key", "left").join(state, "key", "left").withColumn("best", F.greatest(F.coalesce("own", F.lit(0.0)), F.coalesce("line_delay", F.lit(0.0))))
     miss = lambda c: F.avg(F.abs(F.col("d_final") - F.coalesce(c, F.lit(0.0))))
     return out.rollup("lead", "direction").agg(F.grouping("lead").alias("all_leads"), F.grouping("direction").alias("all_directions"), F.count("*").alias("runs"), miss(F.lit(0.0)).alias("mae_zero"), miss(F.col("own")).alias("mae_own"), miss(F.col("line_delay")).alias("mae_line"), miss(F.col("best")).alias("mae_max"), F.avg(F.col("line_delay").isNotNull().cast("double")).alias("line_known"))
 
@@ -88,16 +133,25 @@ def line_state_backtest(readings: DataFrame, final: DataFrame, trains: DataFrame
 def earlier_values(asked: DataFrame, values: DataFrame, day: str, value: str, shares: list[float]) -> DataFrame:
     """Per train, station and day of ``asked`` the percentiles ``q`` of ``value`` on earlier days, and their number ``n``.
 
-    Days without earlier values are left out. Values are counted per day first
-    and days are asked for once, however many rows ask; one window then carries
-    the counts forward, so no day is joined to all days before it.
+    Days without earlier values are left out. Values are counted per day, and
+    a histogram is carried forward: for each value of a place one running count
+    over the days. A day's percentiles are then the values at their ranks in
+    its histogram. Delays are nearly whole minutes, so a histogram has few
+    values, and work grows with the days asked for, not with all days before
+    each of them. Results are exact whatever the values are.
     """
     place = ["train_id", "station_code"]
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*place, day, F.col(value).alias("v_")).agg(F.count("*").alias("n_")).withColumn("asks_", F.lit(False))
-    days = asked.select(*place, day).distinct().select("*", F.lit(None).cast(values.schema[value].dataType).alias("v_"), F.lit(0).cast("long").alias("n_"), F.lit(True).alias("asks_"))
-    before = Window.partitionBy(*place).orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
-    both = counts.unionByName(days).select(*place, day, "asks_", F.percentile("v_", F.array(*map(F.lit, shares)), F.col("n_")).over(before).alias("q"), F.sum("n_").over(before).alias("n"))
-    return both.filter("asks_ AND n > 0").drop("asks_")
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*place, day, F.col(value).alias("v_")).agg(F.count("*").alias("n_"))
+    days = asked.select(*place, day).distinct().join(counts.select(*place, "v_").distinct(), place).select(*place, day, "v_", F.lit(0).cast("long").alias("n_"), F.lit(True).alias("asks_"))
+    before = Window.partitionBy(*place, "v_").orderBy(F.unix_date(day)).rangeBetween(Window.unboundedPreceding, -1)
+    held = counts.withColumn("asks_", F.lit(False)).unionByName(days).withColumn("held_", F.sum("n_").over(before)).filter("asks_ AND held_ > 0")
+    upward = Window.partitionBy(*place, day).orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.withColumn("upto_", F.sum("held_").over(upward)).withColumn("all_", F.sum("held_").over(Window.partitionBy(*place, day)))
+    at = lambda rank: F.min(F.when(F.col("upto_") > rank, F.col("v_")))
+    ends = [end for q in shares for end in (at(F.floor((F.col("all_") - 1) * q)), at(F.ceil((F.col("all_") - 1) * q)))]
+    out = ranked.groupBy(*place, day).agg(F.max("all_").alias("n"), F.array(*ends).alias("e_"))
+    between = lambda i, q: F.col("e_")[2 * i] + (F.col("e_")[2 * i + 1] - F.col("e_")[2 * i]) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+    return out.select(*place, day, F.array(*[between(i, q) for i, q in enumerate(shares)]).alias("q"), "n")
 
 
 def baseline_check(readings: DataFrame, final: DataFrame, trains: DataFrame) -> DataFrame:

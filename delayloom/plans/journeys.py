@@ -349,4 +349,28 @@ def stream_batches(s, d):
     rows.write.parquet(source)
     for _ in range(2):  # the second run finds nothing new
         streams.stream_batches(s, source, out, mark).awaitTermination()
-    return s.read.parquet(out).agg(F.count("*").alias("rows"), F.countDistinct("batch_id").alias("batches"))
+    return streams.read_loaded(s, out).agg(F.count("*").alias("rows"), F.countDistinct("batch_id").alias("batches"))
+
+
+@query("stream_alerts", BASE + """, r AS (SELECT source, epoch_ms(started_at) AS at_, status <> 'failed' AS good, row_number() OVER w AS k FROM collector_runs WHERE status <> 'skipped_disabled'
+ WINDOW w AS (PARTITION BY source ORDER BY started_at)),
+mark AS (SELECT max(epoch_ms(started_at)) - 1200000 AS mark FROM collector_runs),
+calm AS (SELECT source, at_ FROM r WHERE good OR k = 1),
+silent AS (SELECT source, 'quiet' AS alert, at_ + 10800000 AS a, (SELECT min(g.at_) FROM r g WHERE g.source = calm.source AND g.good AND g.at_ > calm.at_) AS b FROM calm),
+islands AS (SELECT *, k - row_number() OVER (PARTITION BY source, good ORDER BY k) AS island FROM r),
+broken AS (SELECT source, 'failing' AS alert, list(at_ ORDER BY k)[3] AS a, (SELECT min(g.at_) FROM r g WHERE g.source = i.source AND g.good AND g.at_ > max(i.at_)) AS b
+ FROM islands i WHERE NOT good GROUP BY source, island HAVING count(*) >= 3),
+spells AS (SELECT source, alert, a, coalesce(b, mark + 1) AS b, least(coalesce(b, mark), mark) AS upto, mark FROM (SELECT * FROM silent UNION ALL SELECT * FROM broken) CROSS JOIN mark),
+held AS (SELECT * FROM spells WHERE a < upto)
+SELECT source, alert, (a + n * 43200000) // 1000 AS at_s, CASE WHEN n = 0 THEN 'ALERT' ELSE 'STILL' END AS action FROM held, unnest(range(0, 1 + (upto - a - 1) // 43200000)) AS x(n)
+UNION ALL SELECT source, alert, b // 1000, 'RECOVERED' FROM held WHERE b < mark""")
+def stream_alerts(s, d):
+    source, out = shared_folder(s, "runs-in"), shared_folder(s, "alerts-out")
+    told = kept(A.collector_runs(s, d), "runs")
+    for k in range(4):  # written one after the other, so the stream reads them in this order
+        told.filter(F.least(F.floor(F.dayofyear("started_at") / 8), F.lit(3)) == k).coalesce(1).write.parquet(f"{source}/{k}")
+    with streams.state_in_rocksdb(s):
+        runs = s.readStream.schema("batch_id string, source string, started_at timestamp, readings long, status string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+        q = streams.stream_alerts(runs).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(s, "alerts-checkpoint")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return s.read.schema("source string, alert string, at_s long, action string").parquet(out)

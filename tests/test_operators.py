@@ -116,15 +116,6 @@ def test_export_and_idempotent_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
 
 
-def test_stream_alerts(spark, tmp_path):
-    rows = [("ntes", T0 + timedelta(minutes=15 * i), s) for i, s in enumerate(["ok", "failed", "failed", "failed", "failed", "ok"])]
-    spark.createDataFrame(rows, "source string, started_at timestamp, status string").coalesce(1).write.parquet(str(tmp_path / "runs"))
-    stream = spark.readStream.schema("source string, started_at timestamp, status string").parquet(str(tmp_path / "runs"))
-    q = streams.stream_alerts(stream).writeStream.format("memory").queryName("alerts").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert values(spark.table("alerts").orderBy("at_s"), "action") == ["ALERT", "RECOVERED"]
-
-
 def test_final_run_needs_a_reading_close_to_its_time(spark):
     near = (1, "t", "S01", date(2024, 1, 9), T0, 4.0, T0, T0)
     far = (2, "t", "S02", date(2024, 1, 9), T0, 4.0, T0, T0 + timedelta(minutes=16))
