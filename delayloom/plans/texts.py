@@ -54,12 +54,12 @@ def read_raw_archive(s, d):
     return out.groupBy("event").agg(F.count("*").alias("readings"), F.sum("delay_minutes").alias("delay"), F.min(F.unix_seconds("observed_at")).alias("first_s"))
 
 
-CROWD = BASE + """SELECT k AS id, code AS station, t::INTEGER AS minute, CASE WHEN k % 5 IN (1, 2) THEN 'fast' WHEN k % 5 > 2 THEN 'slow' END AS service,
+CROWD = BASE + """SELECT k AS id, code AS station, t::INTEGER AS minute, CASE WHEN k % 17 = 4 THEN NULL WHEN k % 5 IN (1, 2) THEN 'fast' WHEN k % 5 > 2 THEN 'slow' END AS service,
  CASE WHEN k % 6 < 5 THEN k % 6 + 1 END::INTEGER AS level,
  CASE WHEN k % 4 = 0 THEN to_code END AS destination, CASE k % 8 WHEN 0 THEN true WHEN 1 THEN false END AS ac,
  CASE k % 7 WHEN 0 THEN 15 WHEN 1 THEN 12 END::INTEGER AS cars,
- CASE WHEN k % 9 = 0 THEN true END AS ladies, (k % 10 = 3)::INTEGER AS unknown_words, 0::INTEGER AS conflicts
-FROM (SELECT o_orderkey AS k, (o_orderkey * 13) % 1440 AS t, p.code, q.code AS to_code FROM orders JOIN places p ON p.line = 'central'
+ CASE WHEN k % 9 = 0 THEN true END AS ladies, (k % 10 = 3)::INTEGER + (k % 13 = 5 AND k % 2 = 1 AND contains(name, ' '))::INTEGER AS unknown_words, (k % 17 = 4)::INTEGER AS conflicts
+FROM (SELECT o_orderkey AS k, (o_orderkey * 13) % 1440 AS t, p.code, p.name, q.code AS to_code FROM orders JOIN places p ON p.line = 'central'
  AND p.seq = o_custkey % 25 + 1 JOIN places q ON q.line = 'central' AND q.seq = (o_custkey + 7) % 25 + 1)"""
 
 

@@ -146,15 +146,15 @@ def status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crowd_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Riders' messages ``id, text``: one per order, the words in three orders."""
+    """Riders' messages ``id, text``: one per order, the words in three orders; some say "from", some say both fast and slow."""
     p = places(spark, sf_dir).filter("line = 'central'").select("code", F.lower("name").alias("name"), (F.col("seq") - 1).alias("n"))
     o = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey % 25 AS n", "(o_custkey + 7) % 25 AS m")
     o = o.join(p, "n").join(p.select(F.col("n").alias("m"), F.col("name").alias("to_name")), "m")
     clock = "CASE k % 3 WHEN 0 THEN format_string('%d:%02d', t div 60, t % 60) WHEN 1 THEN format_string('%02d.%02d', t div 60, t % 60) ELSE format_string('%d:%02d %s', (t div 60 + 11) % 12 + 1, t % 60, CASE WHEN t < 720 THEN 'am' ELSE 'PM' END) END"
-    words = [clock, "CASE WHEN k % 5 IN (1, 2) THEN 'Fast' WHEN k % 5 > 2 THEN 'slow' ELSE '' END", "CASE WHEN k % 2 = 0 THEN code ELSE name END", "element_at(array('empty', 'seats', 'standing', 'packed!', \"can't board\", ''), CAST(k % 6 + 1 AS INT))",
-             "CASE WHEN k % 4 = 0 THEN 'to ' || to_name ELSE '' END", "CASE k % 7 WHEN 0 THEN '15car' WHEN 1 THEN '12-car' ELSE '' END", "CASE k % 8 WHEN 0 THEN 'AC' WHEN 1 THEN 'non-ac' ELSE '' END", "CASE WHEN k % 9 = 0 THEN 'ladies special' ELSE '' END", "CASE WHEN k % 10 = 3 THEN 'hello' ELSE '' END"]
+    words = [clock, "CASE WHEN k % 5 IN (1, 2) THEN 'Fast' WHEN k % 5 > 2 THEN 'slow' ELSE '' END", "CASE WHEN k % 13 = 5 THEN 'from ' ELSE '' END || CASE WHEN k % 2 = 0 THEN code ELSE name END", "element_at(array('empty', 'seats', 'standing', 'packed!', \"can't board\", ''), CAST(k % 6 + 1 AS INT))",
+             "CASE WHEN k % 4 = 0 THEN 'to ' || to_name ELSE '' END", "CASE k % 7 WHEN 0 THEN '15car' WHEN 1 THEN '12-car' ELSE '' END", "CASE k % 8 WHEN 0 THEN 'AC' WHEN 1 THEN 'non-ac' ELSE '' END", "CASE WHEN k % 9 = 0 THEN 'ladies special' ELSE '' END", "CASE WHEN k % 10 = 3 THEN 'hello' ELSE '' END", "CASE WHEN k % 17 = 4 THEN 'slow, fast' ELSE '' END"]
     o = o.withColumn("t", F.expr("(k * 13) % 1440")).withColumn("w", F.array(*map(F.expr, words)))
-    turned = F.when(F.col("k") % 3 == 0, F.col("w")).when(F.col("k") % 3 == 1, F.reverse("w")).otherwise(F.concat(F.slice("w", 5, 5), F.slice("w", 1, 4)))
+    turned = F.when(F.col("k") % 3 == 0, F.col("w")).when(F.col("k") % 3 == 1, F.reverse("w")).otherwise(F.concat(F.slice("w", 5, 6), F.slice("w", 1, 4)))
     return o.select(F.col("k").alias("id"), F.array_join(turned, " ").alias("text"))
 
 

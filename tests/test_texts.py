@@ -41,28 +41,32 @@ def test_status_feed(spark):
     assert set(got) <= {"95101", "91001", "95102", "95103"}
 
 
-@pytest.mark.parametrize(("text", "want"), [
-    ("8:12 fast KYN packed", dict(minute=492, service="fast", station="KYN", level=4)),
-    ("packed kalyan 08.12 slow to Kanjur Marg, 15car", dict(minute=492, service="slow", station="KYN", level=4, destination="KJRD", cars=15)),
-    ("8 pm from Kanjur Marg can’t board non-ac", dict(minute=1200, station="KJRD", level=5, ac=False)),
-    ("cst 5 ladies special", dict(station="CSMT", level=5, ladies=True)),
-    ("near the ladies coach at thane 12:30am", dict(station="TNA", minute=30, unrecognised=["near", "the", "ladies", "coach", "at"])),
-    ("KYN DR 8:12 8:13 fast slow", dict(conflicts=["station", "minute", "service"])),
-    ("KYN to Kalyan 25:00", dict(station="KYN", destination="KYN", unrecognised=["25:00"], conflicts=["destination is the station"])),
-    ("to nowhere", dict(unrecognised=["to", "nowhere"])),
-    ("", {}),
-    (None, {}),
-])
-def test_crowd_messages(text, want):
+def test_crowd_messages(spark):
     codes = {"csmt": "CSMT", "cst": "CSMT", "dr": "DR", "dadar": "DR", "kjrd": "KJRD", "kanjur": "KJRD", "kanjurmarg": "KJRD", "tna": "TNA", "thane": "TNA", "kyn": "KYN", "kalyan": "KYN"}
     empty = {f: None for f in crowd_text.FIELDS} | {"unrecognised": [], "conflicts": []}
-    assert crowd_text.read_report(text, codes) == empty | want
-
-
-def test_crowd_messages_as_column(spark, places):
-    df = spark.createDataFrame([(1, "8:12 fast KYN packed"), (2, None)], "id int, text string")
-    got = {r["id"]: r["said"] for r in crowd_text.parse_crowd_reports(df, "text", stations.directory(places)).collect()}
-    assert (got[1]["station"], got[1]["minute"], got[1]["level"], got[2]["station"]) == ("KYN", 492, 4, None)
+    cases = [
+        ("8:12 fast KYN packed", dict(minute=492, service="fast", station="KYN", level=4)),
+        ("packed kalyan 08.12 slow to Kanjur Marg, 15car", dict(minute=492, service="slow", station="KYN", level=4, destination="KJRD", cars=15)),
+        ("8 pm from Kanjur Marg can’t board non-ac", dict(minute=1200, station="KJRD", level=5, ac=False)),
+        ("cst 5 ladies special", dict(station="CSMT", level=5, ladies=True)),
+        ("near the ladies coach at thane 12:30am", dict(station="TNA", minute=30, unrecognised=["near", "the", "ladies", "coach", "at"])),
+        ("KYN DR 8:12 8:13 fast slow", dict(conflicts=["station", "minute", "service"])),
+        ("KYN to Kalyan 25:00", dict(station="KYN", destination="KYN", unrecognised=["25:00"], conflicts=["destination is the station"])),
+        ("to nowhere", dict(unrecognised=["to", "nowhere"])),
+        ("from kalyan at 12am, full!", dict(station="KYN", minute=0, level=4, unrecognised=["at"])),
+        ("from Kanjur Marg 13pm 0am 24:00 8 8:5", dict(station="KJRD", unrecognised=["13pm", "0am", "24:00", "8", "8:5"])),
+        ("Couldn't  board (DR) ladies-special 12:05PM. 12car 15-car ac nonac", dict(station="DR", level=5, ladies=True, minute=725, conflicts=["ac", "cars"])),
+        ("to kanjur marg; to dadar", dict(conflicts=["destination"])),
+        ("cannot boards hello hello", dict(unrecognised=["cannot", "boards", "hello", "hello"])),
+        ("", {}),
+        (None, {}),
+    ]
+    rows = [(k, text, 1) for k, (text, _) in enumerate(cases)] + [(99, cases[0][0], 2)]
+    df = spark.createDataFrame(rows, "id int, text string, i int")
+    got = {r["id"]: r["said"].asDict() for r in crowd_text.parse_crowd_reports(df, "text", spark.createDataFrame(list(codes.items()), "key string, code string")).collect()}
+    assert len(got) == len(rows) and got[99] == got[0]
+    for k, (text, want) in enumerate(cases):
+        assert got[k] == empty | want, text
 
 
 def test_station_names(spark, places):
