@@ -96,22 +96,47 @@ def missing_direction(pairs: DataFrame, stops: DataFrame, trains: DataFrame) ->
 
 def interchanges(pairs: DataFrame, places: DataFrame) -> DataFrame:
     """Stations on both a line of the origin and another line of the destination."""
+    return _interchanges(pairs, places).select("origin", "destination", "change")
+
+
+def _interchanges(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """``interchanges`` with ``order``, the first place that a station has on a line."""
     on = places.select("code", "line")
     a = pairs.join(on.select(F.col("code").alias("origin"), F.col("line").alias("l1")), "origin").join(on.select(F.col("code").alias("destination"), F.col("line").alias("l2")), "destination").filter("l1 <> l2")
     both = on.select(F.col("code").alias("change"), F.col("line").alias("l1")).join(on.select(F.col("code").alias("change"), F.col("line").alias("l2")), "change")
-    return a.join(both, ["l1", "l2"]).filter("change <> origin AND change <> destination").select("origin", "destination", "change").distinct()
+    met = a.join(both, ["l1", "l2"]).filter("change <> origin AND change <> destination").select("origin", "destination", "change").distinct()
+    return met.join(places.groupBy(F.col("code").alias("change")).agg(F.min("seq").alias("order")), "change")
 
 
 def one_change(requests: DataFrame, stops: DataFrame, trains: DataFrame, places: DataFrame, least: int = 5, most: int = 60, first: int = 6, second: int = 3) -> DataFrame:
-    """Best journey with one change: earliest arrival, then latest departure; ladies' specials and out-and-back trips are left out."""
-    common = trains.filter("NOT is_ladies_special")
-    via = requests.join(interchanges(pairs_of(requests), places), ["origin", "destination"]).withColumnRenamed("destination", "goal").withColumnRenamed("change", "destination")
-    one = next_trains(via.withColumn("req_id", F.struct("req_id", "destination")), stops, common, first)
-    leg1 = one.select(F.col("req_id.req_id").alias("req"), F.col("destination").alias("change"), "goal", F.col("train_id").alias("train_1"), F.col("line").alias("line_1"), F.col("dep").alias("dep_1"), F.col("arr").alias("arr_1"))
-    leg1 = kept(leg1, "first-legs")
-    again = leg1.select(F.struct("req", "change", "train_1", "dep_1").alias("req_id"), F.col("change").alias("origin"), F.col("goal").alias("destination"), "line_1", "arr_1", F.timestamp_seconds((F.col("arr_1") + least) * 60 - 19800).alias("at"))
-    two = next_trains(again, stops, common, second).filter((F.col("dep") <= F.col("arr_1") + most) & (F.col("line") != F.col("line_1")))
-    best = two.groupBy(F.col("req_id.req").alias("req_id")).agg(F.min(F.struct("arr", (-F.col("req_id.dep_1")).alias("late"), F.col("req_id.change").alias("change"), F.col("req_id.train_1").alias("train_1"), F.col("train_id").alias("train_2"))).alias("b"))
+    """Best journey with one change of each request: earliest arrival, then latest departure, then the first interchange along the lines.
+
+    At each interchange the next ``first`` trains there are tried, each with the
+    first of the next ``second`` trains onward that isn't a ladies' special and
+    leaves ``least`` to ``most`` minutes after the arrival. First trains that
+    are ladies' specials don't count. Where the way on from an interchange runs
+    in a direction of which nothing is loaded, one changes neither there nor
+    further along a train that calls there; where that is so of a way to an
+    interchange, journeys that go out (down) and back (up) don't count.
+    """
+    inter = kept(_interchanges(pairs_of(requests), places), "interchanges")
+    lacking = lambda a, b: missing_direction(inter.select(F.col(a).alias("origin"), F.col(b).alias("destination")).distinct(), stops, trains).select(F.col("origin").alias(a), F.col("destination").alias(b)).distinct()
+    pair = ["origin", "destination"]
+    avoid = inter.join(lacking("change", "destination"), ["change", "destination"]).select(*pair, "change")
+    turned = inter.join(lacking("origin", "change"), ["origin", "change"]).select("origin", F.col("destination").alias("goal")).distinct().withColumn("turned", F.lit(True))
+    via = requests.join(inter.join(avoid, [*pair, "change"], "left_anti"), pair).withColumnRenamed("destination", "goal").withColumnRenamed("change", "destination")
+    one = next_trains(via.withColumn("req_id", F.struct("req_id", "destination", "order")), stops, trains, first).filter("NOT is_ladies_special")
+    leg = one.select(F.col("req_id.req_id").alias("req"), "origin", F.col("destination").alias("change"), F.col("req_id.order").alias("order"), "goal", F.col("train_id").alias("train_1"), F.col("direction").alias("way_1"), F.col("dep").alias("dep_1"), F.col("arr").alias("arr_1"), "o_seq", "d_seq")
+    leg = kept(leg, "first-legs")
+    past = avoid.select("origin", F.col("destination").alias("goal"), F.col("change").alias("avoided")).join(stops.select(F.col("train_id").alias("train_1"), F.col("station_code").alias("avoided"), "stop_seq"), "avoided")
+    long = leg.join(past, ["origin", "goal", "train_1"]).filter("stop_seq > o_seq AND stop_seq < d_seq").select("req", "change", "train_1", "dep_1").distinct()
+    leg = leg.join(long, ["req", "change", "train_1", "dep_1"], "left_anti").join(turned, ["origin", "goal"], "left")
+    key = F.struct("req", "change", "order", "train_1", "way_1", "dep_1", "arr_1", F.coalesce("turned", F.lit(False)).alias("turned"))
+    again = leg.select(key.alias("req_id"), F.col("change").alias("origin"), F.col("goal").alias("destination"), F.timestamp_seconds((F.col("arr_1") + least) * 60 - 19800).alias("at"))
+    two = next_trains(again, stops, trains, second).filter(F.col("dep") <= F.col("req_id.arr_1") + most).filter("NOT is_ladies_special")
+    onward = two.groupBy("req_id").agg(F.min(F.struct("dep", "arr", "train_id", "direction")).alias("t")).select("req_id.*", "t.*")
+    onward = onward.filter(~(F.col("turned") & (F.col("way_1") == "down") & (F.col("direction") == "up")))
+    best = onward.groupBy(F.col("req").alias("req_id")).agg(F.min(F.struct("arr", (-F.col("dep_1")).alias("late"), "order", "change", "arr_1", "train_1", F.col("train_id").alias("train_2"))).alias("b"))
     return best.select("req_id", F.col("b.arr").alias("arr"), (-F.col("b.late")).alias("dep"), F.col("b.change").alias("change"), F.col("b.train_1").alias("train_1"), F.col("b.train_2").alias("train_2"))
 
 

@@ -54,23 +54,40 @@ def next_trips(s, d):
 query("covering_lines", LEGS + "SELECT DISTINCT origin, destination, line, direction FROM pairs JOIN legs USING (origin, destination)")(lambda s, d: journeys.covering_lines(journeys.pairs_of(A.requests(s, d)), *_t(s, d)))
 query("missing_direction", LEGS + "SELECT DISTINCT p.origin, p.destination, l.line FROM pairs p JOIN legs l ON l.origin = p.destination AND l.destination = p.origin WHERE NOT EXISTS (SELECT 1 FROM legs x WHERE x.origin = p.origin AND x.destination = p.destination AND x.line = l.line)")(lambda s, d: journeys.missing_direction(journeys.pairs_of(A.requests(s, d)), *_t(s, d)))
 query("interchanges", LEGS + "SELECT DISTINCT p.origin, p.destination, c1.code AS change FROM pairs p JOIN places a ON a.code = p.origin JOIN places b ON b.code = p.destination AND a.line <> b.line JOIN places c1 ON c1.line = a.line JOIN places c2 ON c2.code = c1.code AND c2.line = b.line WHERE c1.code NOT IN (p.origin, p.destination)")(lambda s, d: journeys.interchanges(journeys.pairs_of(A.requests(s, d)), A.places(s, d)))
-query("one_change", LEGS + f""", inter AS (SELECT DISTINCT p.origin, p.destination, c1.code AS change FROM pairs p JOIN places a ON a.code = p.origin
- JOIN places b ON b.code = p.destination AND a.line <> b.line JOIN places c1 ON c1.line = a.line JOIN places c2 ON c2.code = c1.code
- AND c2.line = b.line WHERE c1.code NOT IN (p.origin, p.destination)),
-common AS (SELECT * FROM legs WHERE NOT is_ladies_special),
-via AS (SELECT r.req_id, r.origin, r.destination AS goal, i.change, (floor(epoch(r.at_))::BIGINT + 19800) // 60 AS now FROM requests r
- JOIN inter i USING (origin, destination)),
-one0 AS (SELECT v.req_id, v.change, v.goal, v.now, l.*, DATE '1970-01-01' + (v.now // 1440 + off)::INTEGER AS service_day, (v.now // 1440 + off) * 1440 + run_start_min + o_min AS dep, (v.now // 1440 + off) * 1440 + run_start_min + d_min AS arr
- FROM via v JOIN common l ON l.origin = v.origin AND l.destination = v.change CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
-one AS (SELECT req_id, change, goal, train_id AS train_1, line AS line_1, dep AS dep_1, arr AS arr_1, arr + 5 AS now
+ONE_CHANGE = f""", inter AS (SELECT DISTINCT p.origin, p.destination, c1.code AS change, (SELECT min(seq) FROM places x WHERE x.code = c1.code) AS along FROM pairs p
+ JOIN places a ON a.code = p.origin JOIN places b ON b.code = p.destination AND a.line <> b.line JOIN places c1 ON c1.line = a.line
+ JOIN places c2 ON c2.code = c1.code AND c2.line = b.line WHERE c1.code NOT IN (p.origin, p.destination)),
+ways AS (SELECT DISTINCT origin AS a, destination AS b, line FROM legs),
+lacking AS (SELECT DISTINCT w.b AS a, w.a AS b FROM ways w WHERE NOT EXISTS (SELECT 1 FROM ways x WHERE x.a = w.b AND x.b = w.a AND x.line = w.line)),
+avoid AS (SELECT i.* FROM inter i JOIN lacking k ON k.a = i.change AND k.b = i.destination),
+turned AS (SELECT DISTINCT i.origin, i.destination FROM inter i JOIN lacking k ON k.a = i.origin AND k.b = i.change),
+via AS (SELECT r.req_id, r.origin, r.destination AS goal, i.change, i.along, (floor(epoch(r.at_))::BIGINT + 19800) // 60 AS now FROM requests r
+ JOIN inter i USING (origin, destination) WHERE NOT EXISTS (SELECT 1 FROM avoid v WHERE (v.origin, v.destination, v.change) = (r.origin, r.destination, i.change))),
+one0 AS (SELECT v.req_id, v.change, v.along, v.goal, v.now, l.*, DATE '1970-01-01' + (v.now // 1440 + off)::INTEGER AS service_day, (v.now // 1440 + off) * 1440 + run_start_min + o_min AS dep, (v.now // 1440 + off) * 1440 + run_start_min + d_min AS arr
+ FROM via v JOIN legs l ON l.origin = v.origin AND l.destination = v.change CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
+one AS (SELECT p.* RENAME (train_id AS train_1, direction AS way_1, dep AS dep_1, arr AS arr_1)
  FROM (SELECT *, row_number() OVER (PARTITION BY req_id, change ORDER BY dep, arr, train_id) AS place FROM one0 WHERE dep >= now
- AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 6),
-two0 AS (SELECT a.*, l.train_id AS train_2, l.line, l.days, DATE '1970-01-01' + (a.now // 1440 + off)::INTEGER AS service_day, (a.now // 1440 + off) * 1440 + run_start_min + o_min AS dep, (a.now // 1440 + off) * 1440 + run_start_min + d_min AS arr
- FROM one a JOIN common l ON l.origin = a.change AND l.destination = a.goal CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
-two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id, change, train_1, dep_1 ORDER BY dep, arr, train_2) AS place FROM two0
- WHERE dep >= now AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 3 AND dep <= arr_1 + 60 AND line <> line_1)
+ AND {RUNS_ON.format(m='days', d='service_day')}) p WHERE place <= 6 AND NOT is_ladies_special AND NOT EXISTS (SELECT 1 FROM avoid v
+ JOIN scheduled_stops s ON s.station_code = v.change WHERE v.origin = p.origin AND v.destination = p.goal AND s.train_id = p.train_id AND s.stop_seq > o_seq AND s.stop_seq < d_seq)),
+two0 AS (SELECT a.req_id, a.change, a.along, a.origin AS start_, a.goal, a.train_1, a.way_1, a.dep_1, a.arr_1, l.train_id AS train_2, l.direction, l.days, l.is_ladies_special, DATE '1970-01-01' + ((a.arr_1 + 5) // 1440 + off)::INTEGER AS service_day,
+ ((a.arr_1 + 5) // 1440 + off) * 1440 + run_start_min_2 + l.o_min AS dep, ((a.arr_1 + 5) // 1440 + off) * 1440 + run_start_min_2 + l.d_min AS arr
+ FROM one a JOIN (SELECT *, run_start_min AS run_start_min_2 FROM legs) l ON l.origin = a.change AND l.destination = a.goal CROSS JOIN (VALUES (-1), (0), (1)) AS o(off)),
+next3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req_id, change, train_1, dep_1 ORDER BY dep, arr, train_2) AS place FROM two0
+ WHERE dep >= arr_1 + 5 AND {RUNS_ON.format(m='days', d='service_day')}) WHERE place <= 3),
+two AS (SELECT * FROM next3 WHERE NOT is_ladies_special AND dep - arr_1 <= 60 QUALIFY row_number() OVER (PARTITION BY req_id, change, train_1, dep_1 ORDER BY place) = 1),
+fit AS (SELECT * FROM two t WHERE NOT (way_1 = 'down' AND direction = 'up' AND EXISTS (SELECT 1 FROM turned u WHERE u.origin = t.start_ AND u.destination = t.goal)))
 SELECT req_id, arr, dep_1 AS dep, change, train_1, train_2 FROM (SELECT *, row_number() OVER (PARTITION BY req_id
- ORDER BY arr, dep_1 DESC, change, train_1, train_2) AS r FROM two) WHERE r = 1""")(lambda s, d: journeys.one_change(A.requests(s, d), *_t(s, d), A.places(s, d)))
+ ORDER BY arr, dep_1 DESC, along, change, arr_1, train_1, train_2) AS r FROM fit) WHERE r = 1"""
+query("one_change", LEGS + ONE_CHANGE)(lambda s, d: journeys.one_change(A.requests(s, d), *_t(s, d), A.places(s, d)))
+HALF = "NOT (line = 'harbour' AND direction = 'up')"
+
+
+@query("one_change_half_loaded", LEGS.replace("JOIN trains t ON t.train_id = a.train_id)", f"JOIN trains t ON t.train_id = a.train_id WHERE {HALF})") + ONE_CHANGE)
+def one_change_half_loaded(s, d):
+    """The same with a timetable of which one direction of a line isn't loaded."""
+    return journeys.one_change(A.requests(s, d), A.scheduled_stops(s, d), A.trains(s, d).filter(HALF), A.places(s, d))
+
+
 query("no_train_reason", LEGS + """SELECT origin, destination, CASE WHEN EXISTS (SELECT 1 FROM legs l WHERE l.origin = p.origin
  AND l.destination = p.destination) THEN 'served' WHEN EXISTS (SELECT 1 FROM legs l WHERE l.origin = p.destination
  AND l.destination = p.origin) THEN 'direction_missing'
