@@ -34,18 +34,22 @@ def backfill_run_log(obs: DataFrame, runs: DataFrame) -> DataFrame:
 def find_gaps(times: DataFrame, start: Column, end: Column, cadence: int = 15, tolerance: int = 10) -> DataFrame:
     """Stretches between polls (``at``) that are longer than cadence and tolerance together, edges of the window included.
 
-    Polls are thinned to one per instant first, so the window function runs over poll times, not over readings.
+    Polls are thinned to one per instant and each UTC day is gone through by
+    itself; the first poll of a day then follows the last one before it, which
+    a second pass over one row a day finds.
     """
     us = lambda c: F.unix_micros(c)
     inside = times.filter((F.col("at") >= start) & (F.col("at") <= end)).select(us(F.col("at")).alias("at"), F.lit(1).alias("edge")).distinct()
     frame = times.sparkSession.range(1)
     edges = frame.select(us(start).alias("at"), F.lit(0).alias("edge")).unionByName(frame.select(us(end).alias("at"), F.lit(2).alias("edge")))
-    order = Window.orderBy("at", "edge")
-    both = inside.unionByName(edges).withColumn("prev", F.lag("at").over(order)).withColumn("prev_edge", F.lag("edge").over(order))
-    steps = (F.col("at") - F.col("prev")) / (cadence * 60_000_000)
-    between = (F.col("edge") == 1) & (F.col("prev_edge") == 1)
+    poll = F.struct("at", "edge")
+    both = inside.unionByName(edges).withColumn("day", F.floor(F.col("at") / 86_400_000_000)).withColumn("prev", F.lag(poll).over(Window.partitionBy("day").orderBy("at", "edge")))
+    days = both.groupBy("day").agg(F.max(poll).alias("last")).withColumn("before", F.lag("last").over(Window.orderBy("day")))  # one row a day
+    both = both.filter("prev IS NOT NULL").select("at", "edge", "prev").unionByName(both.filter("prev IS NULL").join(days, "day").select("at", "edge", F.col("before").alias("prev")))
+    steps = (F.col("at") - F.col("prev.at")) / (cadence * 60_000_000)
+    between = (F.col("edge") == 1) & (F.col("prev.edge") == 1)
     missed = F.greatest(F.lit(1), F.when(between, F.bround(steps, 0) - 1).otherwise(F.floor(steps))).cast("long")
-    return both.filter(F.col("at") - F.col("prev") > (cadence + tolerance) * 60_000_000).select((F.col("prev") / 1_000_000).cast("long").alias("from_s"), (F.col("at") / 1_000_000).cast("long").alias("to_s"), missed.alias("missed"))
+    return both.filter(F.col("at") - F.col("prev.at") > (cadence + tolerance) * 60_000_000).select((F.col("prev.at") / 1_000_000).cast("long").alias("from_s"), (F.col("at") / 1_000_000).cast("long").alias("to_s"), missed.alias("missed"))
 
 
 def outages(runs: DataFrame) -> DataFrame:

@@ -22,10 +22,25 @@ def flag_exact_duplicate(obs: DataFrame) -> DataFrame:
     return obs.withColumn("first_id", F.first("id").over(same)).filter("id <> first_id").select("id", "first_id")
 
 
+def _with_previous(obs: DataFrame, column: str, reach: float, hours: int = 6) -> DataFrame:
+    """``obs`` with ``gap`` in minutes to the reading before it of the same train, place and event, and that one's ``column``, where at most ``reach`` minutes lie between.
+
+    Time is cut into slices of some ``hours``, each with what happened in the
+    last ``reach`` minutes before it. So a train number that a third of all
+    readings bear, or none, is many groups and not one.
+    """
+    span, width = hours * 3600_000_000, int(reach * MINUTE)
+    t = F.unix_micros("observed_at")
+    own = F.floor(t / span)
+    cut = obs.select("*", own.alias("own_"), F.explode(F.array_distinct(F.array(own, F.floor((t + width) / span)))).alias("slice_"))
+    w = Window.partitionBy(*TRAIN, "slice_").orderBy("observed_at", "id")
+    cut = cut.withColumn("gap", _gap(F.col("observed_at"), F.lag("observed_at").over(w))).withColumn(f"prev_{column}", F.lag(column).over(w))
+    return cut.filter((F.col("slice_") == F.col("own_")) & (F.col("gap") <= reach)).drop("own_", "slice_")
+
+
 def flag_near_duplicate(obs: DataFrame, minutes: float = 5) -> DataFrame:
     """The same train, place and event read again shortly after from another batch."""
-    w = Window.partitionBy(*TRAIN).orderBy("observed_at", "id")
-    out = obs.withColumn("prev_batch", F.lag("batch_id").over(w)).withColumn("gap", _gap(F.col("observed_at"), F.lag("observed_at").over(w)))
+    out = _with_previous(obs, "batch_id", minutes).withColumnRenamed("prev_batch_id", "prev_batch")
     return out.filter((F.col("gap") <= minutes) & ~F.col("batch_id").eqNullSafe(F.col("prev_batch"))).select("id", "gap", "prev_batch")
 
 
@@ -39,9 +54,7 @@ def flag_implausible_delay(obs: DataFrame, trains: DataFrame, early: float = 15,
 
 def flag_delay_jump(obs: DataFrame, window: float = 60, slack: float = 15) -> DataFrame:
     """A delay that changed by more than the time between two readings allows."""
-    w = Window.partitionBy(*TRAIN).orderBy("observed_at", "id")
-    o = obs.filter("delay_minutes IS NOT NULL AND NOT cancelled")
-    o = o.withColumn("prev_delay", F.lag("delay_minutes").over(w)).withColumn("gap", _gap(F.col("observed_at"), F.lag("observed_at").over(w)))
+    o = _with_previous(obs.filter("delay_minutes IS NOT NULL AND NOT cancelled"), "delay_minutes", window).withColumnRenamed("prev_delay_minutes", "prev_delay")
     return o.filter((F.col("gap") <= window) & (F.abs(F.col("delay_minutes") - F.col("prev_delay")) > F.col("gap") + slack)).select("id", "prev_delay", "delay_minutes", "gap")
 
 
@@ -96,8 +109,20 @@ def write_flags(flags: DataFrame, path: str, now: Column) -> None:
     flags.withColumn("flagged_at", now).write.mode("overwrite").parquet(path)
 
 
+def in_window(obs: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Readings observed from ``start`` to ``end``, both included; open where none is given. For the reports on a stretch of time."""
+    obs = obs if start is None else obs.filter(F.col("observed_at") >= start)
+    return obs if end is None else obs.filter(F.col("observed_at") <= end)
+
+
+def flagged_rows(obs: DataFrame, flags: DataFrame) -> DataFrame:
+    """Readings, how many of them bear a flag (once each, whatever their number of flags), and their share."""
+    out = obs.join(flags.select("id").distinct().withColumn("flagged_", F.lit(1)), "id", "left").agg(F.count("*").alias("rows"), F.count("flagged_").alias("flagged"))
+    return out.withColumn("share", F.coalesce(F.try_divide("flagged", "rows"), F.lit(0.0)))
+
+
 def flag_summary(obs: DataFrame, flags: DataFrame, examples: int = 5) -> DataFrame:
-    """Per flag its rows, their share of all readings and the newest examples."""
+    """Per flag its rows among ``obs``, their share and the newest examples."""
     joined = flags.join(obs.select("id", "observed_at"), "id")
     newest = Window.partitionBy("flag").orderBy(F.col("observed_at").desc(), F.col("id").desc())
     top = joined.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= examples).groupBy("flag").agg(F.array_sort(F.collect_list("id")).alias("examples"))

@@ -338,6 +338,7 @@ query("monthly_counts", BASE + """SELECT month, count(*) AS rows, any_value(n) -
  FROM observations_dup WHERE source <> 'synthetic') JOIN (SELECT strftime(observed_at, '%Y-%m') AS month, count(*) AS n FROM observations_dup
  WHERE source <> 'synthetic' GROUP BY 1) USING (month) GROUP BY month""")(lambda s, d: files.monthly_counts(A.repeated_observations(s, d)))
 query("load_new_batches", BASE + "SELECT id FROM observations_dup o WHERE NOT EXISTS (SELECT 1 FROM observations x WHERE x.source <> 'ntes' AND x.batch_id = o.batch_id)")(lambda s, d: files.load_new_batches(A.observations(s, d).filter("source <> 'ntes'"), A.repeated_observations(s, d)).select("id"))
+query("same_rows_copy", BASE + "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b, count(*) >= 0 AS same FROM observations_dup")(lambda s, d: files.same_rows(A.repeated_observations(s, d), A.repeated_observations(s, d).repartition(7)))
 query("same_rows", BASE + "SELECT 0::BIGINT AS only_a, (SELECT count(*) FROM observations_dup) - (SELECT count(*) FROM observations) AS only_b, false AS same")(lambda s, d: files.same_rows(A.observations(s, d), A.repeated_observations(s, d)))
 
 

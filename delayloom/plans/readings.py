@@ -136,6 +136,12 @@ query("find_flags", REAL + "SELECT * FROM flags")(_flags)
 query("flag_summary", REAL + """, j AS (SELECT f.*, o.us, row_number() OVER (PARTITION BY flag ORDER BY o.us DESC, f.id DESC) AS r FROM flags f JOIN o USING (id))
 SELECT flag, count(*) AS rows, count(*) / (SELECT count(*) FROM observations_dup) AS share, array_to_string(list(id
  ORDER BY id) FILTER (r <= 5), ',') AS examples FROM j GROUP BY flag""")(lambda s, d: quality.flag_summary(A.repeated_observations(s, d), _flags(s, d)))
+WINDOW = "WHERE observed_at BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'"
+_week = lambda df: quality.in_window(df, F.lit("2024-01-08").cast("timestamp"), F.lit("2024-01-15").cast("timestamp"))
+query("flag_summary_window", REAL + f""", d AS (SELECT * FROM observations_dup {WINDOW}), j AS (SELECT f.*, o.us, row_number() OVER (PARTITION BY flag ORDER BY o.us DESC, f.id DESC) AS r FROM flags f JOIN o USING (id) SEMI JOIN d USING (id))
+SELECT flag, count(*) AS rows, count(*) / (SELECT count(*) FROM d) AS share, array_to_string(list(id
+ ORDER BY id) FILTER (r <= 5), ',') AS examples FROM j GROUP BY flag""")(lambda s, d: quality.flag_summary(_week(A.repeated_observations(s, d)), _flags(s, d)))
+query("flagged_rows", REAL + f", d AS (SELECT * FROM observations_dup {WINDOW}) SELECT (SELECT count(*) FROM d) AS rows, count(DISTINCT id) AS flagged, count(DISTINCT id) / (SELECT count(*) FROM d) AS share FROM flags SEMI JOIN d USING (id)")(lambda s, d: quality.flagged_rows(_week(A.repeated_observations(s, d)), _flags(s, d)))
 query("source_rates", BASE + "SELECT source, count(*) AS rows, count_if(cancelled)::BIGINT AS cancelled, count_if(less_accurate)::BIGINT AS less_accurate, (count(*) - count(delay_minutes))::BIGINT AS no_delay FROM observations GROUP BY source")(lambda s, d: quality.source_rates(A.observations(s, d)))
 query("unmatched_trains", BASE + "SELECT train_number, count(*) AS rows, CASE WHEN regexp_matches(train_number, '^9[5-9][0-9]{3}$') THEN 'suburban' ELSE 'other' END AS kind FROM observations ANTI JOIN trains USING (train_id) GROUP BY train_number")(lambda s, d: quality.unmatched_trains(*_base(s, d)))
 query("unmatched_stations", BASE + "SELECT station_code, count(*) AS rows, count(DISTINCT train_id) AS trains FROM observations o SEMI JOIN trains USING (train_id) WHERE NOT EXISTS (SELECT 1 FROM scheduled_stops s WHERE s.train_id = o.train_id AND s.station_code = o.station_code) GROUP BY 1")(lambda s, d: quality.unmatched_stations(A.observations(s, d), A.scheduled_stops(s, d)))

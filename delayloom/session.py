@@ -10,14 +10,40 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders of this process that may still hold tables; the temporary root of a process without a checkpoint folder.
+_FOLDERS: list[str] = []
+_ROOT: list[str] = []
+
+
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are the same process; ``local-cluster`` has several."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under ``spark.checkpoint.dir``; only in one process (tests) may that be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and not one_process(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root or tempfile.mkdtemp(prefix='delayloom-')}/{name}-{uuid.uuid4().hex}"
+    if not root and not _ROOT:
+        _ROOT.append(tempfile.mkdtemp(prefix="delayloom-"))
+    _FOLDERS.append(f"{root or _ROOT[0]}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete all shared folders of this process; how many. For when the results that read them have been written or read."""
+    n = len(_FOLDERS)
+    while _FOLDERS:
+        fs, at = file_system(spark, _FOLDERS.pop())
+        fs.delete(at, True)
+    return n
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import file_system, shared_folder
+
 #: Published columns of a reading, in order.
 OBSERVATION = "observed_at timestamp, train_id string, station_code string, actual_or_expected_time timestamp, time_kind string, delay_minutes double, source string, train_number string, event string, cancelled boolean, less_accurate boolean, batch_id string"
 RAW = "source string, url string, fetched_at timestamp, status_code int, content_type string, body string, batch_id string"
@@ -37,15 +39,32 @@ def _published(obs: DataFrame) -> DataFrame:
     return obs.filter("source <> 'synthetic'").select(*keep).distinct().withColumn("month", F.date_format("observed_at", "yyyy-MM"))
 
 
-def _write_months(rows: DataFrame, path: str) -> None:
-    """Months as folders in a fixed order of rows; months that aren't in ``rows`` stay."""
+#: Bytes of stored rows that one task of a monthly export writes.
+FILE_BYTES = 128 * 2**20
+
+
+def _write_months(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Months as folders of sorted files; months that aren't in ``rows`` stay.
+
+    The rows are stored once, and their bytes say how many files there will be:
+    rows are range-partitioned by month and the fixed order of rows, so a task
+    writes about ``file_bytes``, a large month has many files, one after the
+    other in that order, and many small months share a task.
+    """
+    spark = rows.sparkSession
     order = ["month", *[c for c in ("observed_at", "source", "train_number", "station_code", "event", "batch_id", "time_kind") if c in rows.columns]]
-    rows.repartition("month").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").option("compression", "zstd").parquet(path)
+    held = shared_folder(spark, "months")
+    rows.write.parquet(held)
+    fs, at = file_system(spark, held)
+    files = max(1, -(-fs.getContentSummary(at).getLength() // file_bytes))
+    stored = spark.read.schema(rows.schema).parquet(held)
+    stored.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").option("compression", "zstd").parquet(path)
+    fs.delete(at, True)
 
 
-def export_monthly(obs: DataFrame, path: str) -> None:
-    """One folder per UTC month of real readings, exact repeats dropped, sorted, zstd."""
-    _write_months(_published(obs), path)
+def export_monthly(obs: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """One folder per UTC month of real readings, exact repeats dropped, sorted, zstd; a file for about ``file_bytes`` of stored rows."""
+    _write_months(_published(obs), path, file_bytes)
 
 
 def monthly_counts(obs: DataFrame) -> DataFrame:
@@ -57,8 +76,8 @@ def monthly_counts(obs: DataFrame) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
 
 
 def compact_batches(spark: SparkSession, source: str, target: str, staging: str, current_month: str) -> DataFrame:
@@ -85,11 +104,25 @@ def compact_batches(spark: SparkSession, source: str, target: str, staging: str,
     return written.groupBy("month").agg(F.count("*").alias("rows")).join(known, "month", "left").select("month", "rows", (F.col("rows") - F.coalesce("before", F.lit(0))).alias("added"))
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of each side that the other lacks, and whether both hold the same rows as often."""
-    cols = a.columns
+def same_rows(a: DataFrame, b: DataFrame, buckets: int = 4096, every: bool = False) -> DataFrame:
+    """Rows of each side that the other lacks, and whether both hold the same rows as often.
+
+    A fingerprint of each side's rows, whatever their order, is added up per
+    bucket of a row's hash: their number and the sums of two hashes. That moves
+    ``buckets`` small rows a task. Only rows of buckets that differ are then
+    compared themselves (``every``: all rows, should hashes not be trusted).
+    """
+    cols = [F.col(f"`{c}`") for c in a.columns]
+    told = [*cols, *[c.isNull() for c in cols]]  # a null leaves a hash as it is
+    keyed = lambda df: df.select(*cols, F.pmod(F.xxhash64(*told), F.lit(buckets)).alias("bucket_"))
+    total = lambda *parts: F.sum(F.xxhash64(*told, *map(F.lit, parts)).cast("decimal(20,0)"))
+    print_of = lambda df: keyed(df).groupBy("bucket_").agg(F.count("*").alias("n"), total(1).alias("one"), total(2).alias("two"))
+    p, q = print_of(a), print_of(b)
+    same = F.col("p.n").eqNullSafe(F.col("q.n")) & F.col("p.one").eqNullSafe(F.col("q.one")) & F.col("p.two").eqNullSafe(F.col("q.two"))
+    differ = p.alias("p").join(q.alias("q"), F.col("p.bucket_") == F.col("q.bucket_"), "full").filter(~same).select(F.coalesce("p.bucket_", "q.bucket_").alias("bucket_"))
+    part = lambda df: df.select(*cols) if every else keyed(df).join(differ, "bucket_", "left_semi").select(*cols)
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    out = n(a.select(*cols).exceptAll(b.select(*cols)), "only_a").crossJoin(n(b.select(*cols).exceptAll(a.select(*cols)), "only_b"))
+    out = n(part(a).exceptAll(part(b)), "only_a").crossJoin(n(part(b).exceptAll(part(a)), "only_b"))
     return out.withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from ..session import file_system
 from ..sources.files import OBSERVATION
 
 
@@ -20,14 +21,9 @@ def read_stream(spark: SparkSession, path: str, schema: str = OBSERVATION) -> Da
 MANIFEST = "_manifest"
 
 
-def _folder(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def loaded_epochs(spark: SparkSession, target: str) -> list[str]:
     """Folders of the micro-batches of ``target`` that are whole, by the manifest."""
-    fs, at = _folder(spark, f"{target}/{MANIFEST}")
+    fs, at = file_system(spark, f"{target}/{MANIFEST}")
     return sorted(f.getPath().getName().replace(".", "/", 1) for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
@@ -53,7 +49,7 @@ def stream_batches(spark: SparkSession, source: str, target: str, checkpoint: st
     def load(batch: DataFrame, epoch: int) -> None:
         loader = spark.read.json(f"{checkpoint}/metadata").first()["id"]
         name = f"loader={loader}/epoch={epoch}"
-        fs, mark = _folder(spark, f"{target}/{MANIFEST}/{name.replace('/', '.', 1)}")
+        fs, mark = file_system(spark, f"{target}/{MANIFEST}/{name.replace('/', '.', 1)}")
         fs.delete(mark, False)
         dated = batch.withColumn("batch_day", F.substring("batch_id", 1, 8))
         days = [r["batch_day"] for r in dated.select("batch_day").distinct().collect()]  # days of one micro-batch
