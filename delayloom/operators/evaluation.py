@@ -11,8 +11,23 @@ def label_rows(clean: DataFrame) -> DataFrame:
     return clean.select("id", "train_id", "station_code", "service_day", "direction", F.hour("local_ts").alias("hour"), F.weekday("service_day").alias("weekday"), F.col("delay_minutes").alias("label"))
 
 
+def refuse_short_span(rows: DataFrame, test_days: int = 7, valid_days: int = 7) -> None:
+    """Fails where the days of ``rows`` leave none to train on beside those held out."""
+    days = rows.agg(F.datediff(F.max("service_day"), F.min("service_day")).alias("n")).first()["n"]
+    if days is None:
+        raise ValueError("no usable readings to train on")
+    if days + 1 <= test_days + valid_days:
+        raise ValueError(f"only {days + 1} days of data: more than {test_days + valid_days} are needed to hold out validation and test")
+
+
+def refuse_synthetic(obs: DataFrame) -> None:
+    """Fails where a synthetic reading is among ``obs``: a model for real trains learns from real readings only."""
+    if obs.filter("source = 'synthetic'").limit(1).count():
+        raise ValueError("synthetic readings are among these")
+
+
 def time_split(rows: DataFrame, test_days: int = 7, valid_days: int = 7) -> DataFrame:
-    """The last days test, those before validate, the rest train."""
+    """The last days test, those before validate, the rest train. ``refuse_short_span`` tells whether there is a rest."""
     last = rows.agg(F.max("service_day").alias("last_day"))
     age = F.datediff("last_day", "service_day")
     return rows.crossJoin(F.broadcast(last)).withColumn("split", F.when(age < test_days, "test").when(age < test_days + valid_days, "valid").otherwise("train")).drop("last_day")
@@ -53,6 +68,14 @@ def readiness_gates(clean: DataFrame, days: int = 28, usable: int = 5000, statio
     return have.select(F.explode(F.array(*[F.struct(F.lit(k).alias("gate"), F.col(k).cast("long").alias("have"), F.lit(v).cast("long").alias("need")) for k, v in (("days", days), ("usable", usable), ("station", station), ("test", test))])).alias("g")).select("g.*", (F.col("g.have") >= F.col("g.need")).alias("passed"))
 
 
+def readiness_counts(clean: DataFrame, station: int = 300) -> DataFrame:
+    """Usable real readings by station and by source: grain, value, readings, and for stations whether a model covers them."""
+    real = clean.filter("source <> 'synthetic'")
+    grain = F.when(F.grouping("station_code") == 0, "station").otherwise("source")
+    out = real.groupingSets([["station_code"], ["source"]], "station_code", "source").agg(grain.alias("grain"), F.count("*").alias("readings"))
+    return out.select("grain", F.coalesce("station_code", "source").alias("value"), "readings", F.when(F.col("grain") == "station", F.col("readings") >= station).alias("covered"))
+
+
 def promotion_decision(metrics: DataFrame, model: str, coverage: float, low: float = 0.7, high: float = 0.9) -> DataFrame:
     """Promote a model that beats the best other forecast and whose range holds about as often as it should."""
     overall = metrics.filter("direction IS NULL")

@@ -77,6 +77,20 @@ def health_report(runs: DataFrame, obs: DataFrame, now: Column, cadence: int = 1
     return r.crossJoin(o).select(F.floor(minutes(now, F.col("first")) / cadence).alias("expected"), "actual", minutes(now, F.col("newest")).alias("age_minutes"))
 
 
+def health_between(runs: DataFrame, obs: DataFrame, start: Column, end: Column, now: Column, cadence: int = 15) -> DataFrame:
+    """The feed between two instants: polls expected and made, when it was last polled, and the newest reading's age at ``now``.
+
+    Time before the first poll on record isn't counted. Gaps are ``find_gaps``
+    from the same start; sources ``source_health`` of the same runs.
+    """
+    at = F.col("started_at")
+    r = runs.agg(F.min(at).alias("first"), F.max(F.when(at <= now, at)).alias("last"), F.countDistinct(F.when(at.between(start, end), F.col("batch_id"))).alias("actual"))
+    o = obs.filter("source <> 'synthetic'").agg(F.max(F.when(F.col("observed_at") <= now, F.col("observed_at"))).alias("newest"))
+    since = F.when((F.col("first") > start) & (F.col("first") <= end), F.col("first")).otherwise(start)
+    expected = F.greatest(F.lit(0), F.floor((F.unix_micros(end) - F.unix_micros(since)) / (cadence * 60_000_000)))
+    return r.crossJoin(o).select(expected.alias("expected"), "actual", F.unix_seconds("last").alias("last_s"), F.floor((F.unix_seconds(now) - F.unix_seconds("newest")) / 60).alias("age_minutes"))
+
+
 def evaluate_alerts(runs: DataFrame, now: Column, quiet_hours: int = 3, streak: int = 3, answers: int = 4, least: float = 10) -> DataFrame:
     """Alerts per source: no success for hours, the last runs all failed, or few readings in the last answers."""
     newest = Window.partitionBy("source").orderBy(F.col("started_at").desc(), F.col("batch_id").desc())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import day_band, day_kind, lead_bucket, local_time, run_key
+from ..functions.calendar import day_band, day_kind, lead_bucket, local_time, run_key, sunday_schedule
 from ..session import kept
 
 RUN = ["train_id", "station_code", "run_key"]
@@ -162,12 +162,22 @@ def baseline_check(readings: DataFrame, final: DataFrame, trains: DataFrame) ->
     return both.rollup("direction").agg(F.grouping("direction").alias("all_directions"), F.count("*").alias("runs"), F.avg(F.abs(miss("by_reading"))).alias("mae_reading"), F.avg(miss("by_reading")).alias("bias_reading"), F.avg(F.abs(miss("by_run"))).alias("mae_run"), F.avg(miss("by_run")).alias("bias_run"))
 
 
-def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two sets of run facts on the slots (station, kind of day, hour) that both have: delay numbers by direction and type."""
-    slot = ["station_code", "kind", "hour"]
-    common = a.select(*slot).distinct().intersect(b.select(*slot).distinct())
+def neighbours(stations: DataFrame, places: DataFrame, line: str = "central") -> DataFrame:
+    """``station_code`` of ``stations`` and of the stations next to them in the order of ``line``."""
+    codes = stations.select("station_code").distinct()
+    order = Window.partitionBy("line").orderBy("seq")
+    row = places.filter(F.col("line") == line).withColumn("before", F.lag("code").over(order)).withColumn("after", F.lead("code").over(order))
+    near = row.select(F.col("code").alias("station_code"), F.explode(F.array("before", "after")).alias("next")).join(codes.withColumnRenamed("station_code", "next"), "next", "left_semi")
+    return codes.union(near.select("station_code")).distinct()
+
+
+def compare_runs(a: DataFrame, b: DataFrame, places: DataFrame) -> DataFrame:
+    """Two sets of run facts, the second at the first one's stations and their neighbours and in its slots (Sunday timetable or not, hour): delay numbers by direction and type."""
+    day = F.to_date(local_time(F.col("scheduled")))
+    a, b = (df.withColumn("sunday", sunday_schedule(day)) for df in (a, b))
+    b = b.join(neighbours(a, places), "station_code", "left_semi").join(a.select("sunday", "hour").distinct(), ["sunday", "hour"], "left_semi")
     d = F.col("d_final")
-    part = lambda df, name: df.join(common, slot, "left_semi").groupBy(F.lit(name).alias("dataset"), "direction", "train_type").agg(F.count("*").alias("runs"), F.avg(d).alias("mean"), F.median(d).alias("p50"), F.percentile(d, 0.9).alias("p90"), *[F.avg(x.cast("double")).alias(n) for n, x in (("share_1", d <= 1), ("share_5", d >= 5), ("share_10", d >= 10))])
+    part = lambda df, name: df.groupBy(F.lit(name).alias("dataset"), "direction", "train_type").agg(F.count("*").alias("runs"), F.avg(d).alias("mean"), F.median(d).alias("p50"), F.percentile(d, 0.9).alias("p90"), *[F.avg(x.cast("double")).alias(n) for n, x in (("share_1", d <= 1), ("share_5", d >= 5), ("share_10", d >= 10))])
     return part(a, "a").unionByName(part(b, "b"))
 
 

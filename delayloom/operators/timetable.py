@@ -128,10 +128,15 @@ def order_conflicts(pairs: DataFrame) -> DataFrame:
 
 
 def reconcile_listings(listings: DataFrame) -> DataFrame:
-    """Trains listed several times: kept once if all listings agree, else rejected. ``listings`` has number and detail columns."""
-    detail = F.sha2(F.to_json(F.struct(*[c for c in listings.columns if c not in ("number", "page")])), 256)
-    k = listings.withColumn("detail", detail)
-    return k.groupBy("number").agg(F.countDistinct("detail").alias("kinds"), F.count("*").alias("pages")).select("number", "pages", F.when(F.col("kinds") == 1, "kept").otherwise("rejected").alias("verdict"))
+    """Trains listed several times: kept once if all listings agree, else rejected.
+
+    ``listings`` has number and detail columns; with a column ``unreadable``, a
+    train is rejected if any of its listings couldn't be read.
+    """
+    detail = F.sha2(F.to_json(F.struct(*[c for c in listings.columns if c not in ("number", "page", "unreadable")])), 256)
+    lost = F.coalesce("unreadable", F.lit(False)) if "unreadable" in listings.columns else F.lit(False)
+    k = listings.withColumn("detail", detail).withColumn("lost", lost)
+    return k.groupBy("number").agg(F.countDistinct("detail").alias("kinds"), F.count("*").alias("pages"), F.max("lost").alias("lost")).select("number", "pages", F.when((F.col("kinds") == 1) & ~F.col("lost"), "kept").otherwise("rejected").alias("verdict"))
 
 
 def apply_supplement(trains: DataFrame, supplement: DataFrame) -> DataFrame:

@@ -296,15 +296,47 @@ query("backfill_run_log", BASE + """SELECT batch_id, source, count(*) AS reading
  FROM observations o
  WHERE NOT EXISTS (SELECT 1 FROM collector_runs r WHERE r.batch_id = o.batch_id AND r.source = o.source AND r.status = 'ok') GROUP BY ALL""")(lambda s, d: health.backfill_run_log(A.observations(s, d), A.collector_runs(s, d).filter("status = 'ok'")).withColumn("started_at", F.unix_seconds("started_at")))
 query("health_report", BASE + "SELECT floor((floor((1706140800 - epoch(min(started_at))::BIGINT) / 60)) / 15)::BIGINT AS expected, count(DISTINCT batch_id) AS actual, (SELECT floor((1706140800 - floor(epoch(max(observed_at)))::BIGINT) / 60)::BIGINT FROM observations WHERE source <> 'synthetic') AS age_minutes FROM collector_runs")(lambda s, d: health.health_report(A.collector_runs(s, d), A.observations(s, d), now()))
-query("evaluate_alerts", BASE + """, t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, batch_id DESC) AS r FROM collector_runs
- WHERE status <> 'skipped_disabled'),
-b AS (SELECT source, max(started_at) FILTER (status IN ('ok', 'partial')) AS success, coalesce(min(r) FILTER (status <> 'failed') - 1, count(*)) AS streak
- FROM t GROUP BY source),
-m AS (SELECT source, avg(readings) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, batch_id DESC) AS a FROM t
+query("health_between", BASE + """SELECT greatest(0, floor((epoch_us(TIMESTAMP '2024-01-20') - epoch_us(CASE WHEN min(started_at) > TIMESTAMP '2023-12-25' AND min(started_at) <= TIMESTAMP '2024-01-20' THEN min(started_at) ELSE TIMESTAMP '2023-12-25' END)) / 900000000))::BIGINT AS expected,
+ count(DISTINCT batch_id) FILTER (started_at BETWEEN TIMESTAMP '2023-12-25' AND TIMESTAMP '2024-01-20') AS actual, floor(epoch(max(started_at) FILTER (started_at <= TIMESTAMP '2024-01-25')))::BIGINT AS last_s,
+ (SELECT floor((1706140800 - floor(epoch(max(observed_at)))::BIGINT) / 60)::BIGINT FROM observations WHERE source <> 'synthetic' AND observed_at <= TIMESTAMP '2024-01-25') AS age_minutes FROM collector_runs""")(
+    lambda s, d: health.health_between(A.collector_runs(s, d), A.observations(s, d), F.lit("2023-12-25").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), now())
+)
+
+
+def _alerts_sql(at: int) -> str:
+    """Alerts in force at an instant, as the query ``in_{at}``."""
+    return f"""t_{at} AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, batch_id DESC) AS r FROM collector_runs
+ WHERE status <> 'skipped_disabled' AND epoch(started_at) <= {at}),
+b_{at} AS (SELECT source, max(started_at) FILTER (status IN ('ok', 'partial')) AS success, coalesce(min(r) FILTER (status <> 'failed') - 1, count(*)) AS streak
+ FROM t_{at} GROUP BY source),
+m_{at} AS (SELECT source, avg(readings) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, batch_id DESC) AS a FROM t_{at}
  WHERE status <> 'failed') WHERE a <= 4 GROUP BY source),
-s AS (SELECT * FROM b LEFT JOIN m USING (source))
-SELECT source, 'quiet' AS alert, streak, mean FROM s WHERE coalesce(1706140800 - floor(epoch(success)) > 10800, true) UNION ALL
- SELECT source, 'failing', streak, mean FROM s WHERE streak >= 3 UNION ALL SELECT source, 'thin', streak, mean FROM s WHERE mean < 10""")(lambda s, d: health.evaluate_alerts(A.collector_runs(s, d), now()))
+s_{at} AS (SELECT * FROM b_{at} LEFT JOIN m_{at} USING (source)),
+in_{at} AS (SELECT source, 'quiet' AS alert, streak, mean FROM s_{at} WHERE coalesce({at} - floor(epoch(success)) > 10800, true) UNION ALL
+ SELECT source, 'failing', streak, mean FROM s_{at} WHERE streak >= 3 UNION ALL SELECT source, 'thin', streak, mean FROM s_{at} WHERE mean < 10)"""
+
+
+def _alerts(s, d, at: int):
+    runs = A.collector_runs(s, d).filter(F.unix_seconds("started_at") <= at)
+    return health.evaluate_alerts(runs, F.timestamp_seconds(F.lit(at)))
+
+
+query("evaluate_alerts", BASE + ", " + _alerts_sql(1706140800) + " SELECT * FROM in_1706140800")(lambda s, d: _alerts(s, d, 1706140800))
+EARLIER, LATER = 1705708800, 1705737600
+
+
+@query("decide_alerts", BASE + f""", {_alerts_sql(EARLIER)}, {_alerts_sql(LATER)}, k AS (SELECT source || ':' || alert AS alert_key, 1 AS was, 0 AS is_ FROM in_{EARLIER} UNION ALL SELECT source || ':' || alert, 0, 1 FROM in_{LATER}),
+j AS (SELECT alert_key, max(was) AS was, max(is_) AS is_, {LATER} - (CASE WHEN alert_key LIKE 'm%' THEN {LATER - 43200} ELSE {EARLIER} END) >= 43200 AS due FROM k GROUP BY alert_key)
+SELECT alert_key, CASE WHEN was = 0 THEN 'ALERT' WHEN is_ = 0 THEN 'RECOVERED' WHEN due THEN 'STILL' ELSE 'NONE' END AS action, is_ = 1 AS active FROM j""")
+def decide_alerts(s, d):
+    """What is to be said eight hours after a first round of alerts, of which those of one source were sent four hours before it."""
+    sent = F.timestamp_seconds(F.when(F.col("source").startswith("m"), LATER - 43200).otherwise(EARLIER))
+    state = _alerts(s, d, EARLIER).select(F.concat_ws(":", "source", "alert").alias("alert_key"), F.lit(True).alias("active"), F.timestamp_seconds(F.lit(EARLIER)).alias("first_seen_at"), sent.alias("last_sent_at"))
+    return health.decide_alerts(_alerts(s, d, LATER), state, F.timestamp_seconds(F.lit(LATER))).select("alert_key", "action", "active")
+
+
+query("readiness_counts", BASE + """SELECT 'station' AS grain, station_code AS value, count(*) AS readings, count(*) >= 300 AS covered FROM clean_obs WHERE source <> 'synthetic' GROUP BY 2
+ UNION ALL SELECT 'source', source, count(*), NULL FROM clean_obs WHERE source <> 'synthetic' GROUP BY 2""")(lambda s, d: evaluation.readiness_counts(_clean(s, d)))
 query("last_collected", BASE + "SELECT floor(epoch(greatest((SELECT max(observed_at) FROM observations WHERE source <> 'synthetic'), (SELECT max(started_at) FROM collector_runs))))::BIGINT AS last_s")(lambda s, d: health.last_collected(A.observations(s, d), A.collector_runs(s, d)))
 query("station_pairs", BASE + """, n AS (SELECT t.line, t.direction, s.station_code, lead(s.station_code) OVER (PARTITION BY s.train_id ORDER BY stop_seq) AS nx FROM scheduled_stops s
  JOIN trains t USING (train_id)),

@@ -177,12 +177,15 @@ j AS (SELECT f.*, by_reading, by_run, direction FROM final_runs f JOIN a USING (
  JOIN b USING (train_id, station_code, run_key) JOIN trains USING (train_id))
 SELECT direction, grouping(direction)::TINYINT AS all_directions, count(*) AS runs, avg(abs(d_final - by_reading)) AS mae_reading, avg(d_final - by_reading) AS bias_reading, avg(abs(d_final - by_run)) AS mae_run, avg(d_final - by_run) AS bias_run
  FROM j GROUP BY ROLLUP (direction)""")(lambda s, d: runs.baseline_check(_readings(s, d), runs.final_runs(_readings(s, d)), A.trains(s, d)))
-query("compare_runs", FACTS + """, a AS (SELECT * FROM banded WHERE line = 'central'), b AS (SELECT * FROM banded
- WHERE line = 'harbour'), c AS (SELECT DISTINCT station_code, kind, hour FROM a INTERSECT SELECT DISTINCT station_code, kind, hour FROM b),
-u AS (SELECT 'a' AS dataset, * FROM a SEMI JOIN c USING (station_code, kind, hour) UNION ALL SELECT 'b', * FROM b SEMI
- JOIN c USING (station_code, kind, hour))
+COMPARED = FACTS + """, f AS (SELECT *, isodow((scheduled + INTERVAL 330 MINUTE)::DATE) = 7 OR strftime(scheduled + INTERVAL 330 MINUTE, '%m-%d') IN ('01-26', '04-14', '05-01', '08-15', '10-02', '12-25') AS sunday FROM banded),
+a AS (SELECT * FROM f WHERE line = 'harbour'), b AS (SELECT * FROM f WHERE line = 'central'), codes AS (SELECT DISTINCT station_code FROM a),
+row_ AS (SELECT code, lag(code) OVER (ORDER BY seq) AS p, lead(code) OVER (ORDER BY seq) AS n FROM places WHERE line = 'central'),
+near AS (SELECT station_code FROM codes UNION SELECT code FROM row_ WHERE p IN (SELECT station_code FROM codes) OR n IN (SELECT station_code FROM codes))
+"""
+query("neighbours", COMPARED + "SELECT station_code FROM near")(lambda s, d: runs.neighbours(_facts(s, d).filter("line = 'harbour'"), A.places(s, d)))
+query("compare_runs", COMPARED + """, u AS (SELECT 'a' AS dataset, * FROM a UNION ALL SELECT 'b', * FROM b SEMI JOIN near USING (station_code) SEMI JOIN a USING (sunday, hour))
 SELECT dataset, direction, train_type, count(*) AS runs, avg(d_final) AS mean, quantile_cont(d_final, 0.5) AS p50, quantile_cont(d_final, 0.9) AS p90, avg((d_final <= 1)::INTEGER::DOUBLE) AS share_1, avg((d_final >= 5)::INTEGER::DOUBLE) AS share_5, avg((d_final >= 10)::INTEGER::DOUBLE) AS share_10
- FROM u GROUP BY ALL""")(lambda s, d: runs.compare_runs(_facts(s, d).filter("line = 'central'"), _facts(s, d).filter("line = 'harbour'")))
+ FROM u GROUP BY ALL""")(lambda s, d: runs.compare_runs(_facts(s, d).filter("line = 'harbour'"), _facts(s, d).filter("line = 'central'"), A.places(s, d)))
 query("delay_by_hour_weekday", BASE + "SELECT (isodow(local_ts) - 1)::INTEGER AS weekday, hour(local_ts) AS hour, avg(delay_minutes) AS delay, count(*) AS readings FROM clean_obs GROUP BY 1, 2")(lambda s, d: runs.delay_by_hour_weekday(_clean(s, d)))
 query("delay_by_station", BASE + "SELECT line, direction, station_code, avg(delay_minutes) AS delay, count(*) AS readings FROM clean_obs GROUP BY ALL")(lambda s, d: runs.delay_by_station(_clean(s, d)))
 query("delay_by_train", BASE + """, x AS (SELECT train_id, count(DISTINCT (observed_at + INTERVAL 330 MINUTE)::DATE) AS cancelled_days FROM observations WHERE cancelled GROUP BY 1)

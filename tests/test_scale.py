@@ -111,3 +111,19 @@ def test_shared_folders_can_be_cleared(spark):
     assert session.clear_shared(spark) > 0
     fs, at = session.file_system(spark, path)
     assert not fs.exists(at)
+
+
+def test_models_refuse_what_they_cannot_learn_from(spark):
+    import pytest
+
+    from delayloom.operators import evaluation
+
+    days = lambda n: spark.createDataFrame([((T0 + timedelta(days=k)).date(),) for k in range(n)], "service_day date")
+    evaluation.refuse_short_span(days(15))
+    for rows in (days(14), days(14).limit(0)):
+        with pytest.raises(ValueError):
+            evaluation.refuse_short_span(rows)
+    real = spark.createDataFrame([("ntes",)], "source string")
+    evaluation.refuse_synthetic(real)
+    with pytest.raises(ValueError):
+        evaluation.refuse_synthetic(real.union(spark.createDataFrame([("synthetic",)], "source string")))
