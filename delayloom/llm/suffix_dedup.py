@@ -1,4 +1,4 @@
-"""Exact removal of repeated 100-byte strings by a partitioned suffix sort."""
+"""Removal of repeated 100-byte strings by a partitioned suffix sort; past 16 bytes strings are compared by 64-bit hashes."""
 
 from __future__ import annotations
 
