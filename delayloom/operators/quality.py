@@ -44,12 +44,13 @@ def flag_near_duplicate(obs: DataFrame, minutes: float = 5) -> DataFrame:
     return out.filter((F.col("gap") <= minutes) & ~F.col("batch_id").eqNullSafe(F.col("prev_batch"))).select("id", "gap", "prev_batch")
 
 
-def flag_implausible_delay(obs: DataFrame, trains: DataFrame, early: float = 15, late: float = 180, early_far: float = 120, late_far: float = 1440) -> DataFrame:
+def flag_implausible_delay(obs: DataFrame, trains: DataFrame, early: int = 15, late: int = 180, early_far: int = 120, late_far: int = 1440) -> DataFrame:
     """Delays outside the bounds for trains of the timetable, wider ones for all others."""
     known = trains.select("train_id", F.lit(True).alias("known"))
     o = obs.join(known, "train_id", "left")
-    low, high = F.when(F.col("known"), -early).otherwise(-early_far), F.when(F.col("known"), late).otherwise(late_far)
-    return o.filter((F.col("delay_minutes") < low) | (F.col("delay_minutes") > high)).select("id", "delay_minutes")
+    bounds = F.when(F.col("known"), F.struct(F.lit(early).alias("early"), F.lit(late).alias("late"))).otherwise(F.struct(F.lit(early_far).alias("early"), F.lit(late_far).alias("late")))
+    o = o.withColumn("b", bounds).select("id", "delay_minutes", "b.early", "b.late")
+    return o.filter((F.col("delay_minutes") < -F.col("early")) | (F.col("delay_minutes") > F.col("late")))
 
 
 def flag_delay_jump(obs: DataFrame, window: float = 60, slack: float = 15) -> DataFrame:
@@ -89,8 +90,32 @@ def flag_batch_time_mismatch(obs: DataFrame, tolerance: float = 90) -> DataFrame
     return obs.withColumn("off", _gap(F.col("observed_at"), at)).filter(F.abs("off") > tolerance).select("id", "off")
 
 
+#: What is stored of each flag beside its name; braces stand for columns of the rule: fixed values.
+DETAILS = {
+    "exact_duplicate": "the same reading as observation {first_id}",
+    "near_duplicate": "read {gap} min after batch {prev_batch}",
+    "implausible_delay": "delay {delay_minutes} min; allowed {early} early to {late} late",
+    "delay_jump": "delay went from {prev_delay} to {delay_minutes} min in {gap} min",
+    "schedule_mismatch": "source says {delay_minutes} min late; our timetable implies {implied}",
+    "far_from_schedule": "read {away} min from when the train was due",
+    "future_timestamp": "stamped {ahead} min in the future",
+    "batch_time_mismatch": "stamped {off} min from its batch",
+}
+#: Decimals that measured minutes are told with.
+_DECIMALS = {"gap": 1, "ahead": 1, "off": 0}
+
+
+def _detail(flag: str) -> Column:
+    """The text of a flag from the columns of its rule."""
+    parts = []
+    for piece in DETAILS[flag].replace("}", "{").split("{"):
+        told = F.round(piece, _DECIMALS[piece]) if piece in _DECIMALS else F.col(piece) if len(parts) % 2 else F.lit(piece)
+        parts.append(F.coalesce(told.cast("string"), F.lit("?")))
+    return F.concat(*parts)
+
+
 def find_flags(obs: DataFrame, trains: DataFrame, stops: DataFrame, now: Column, include_synthetic: bool = False) -> DataFrame:
-    """``id, flag`` of all eight rules, one row per reading and flag; synthetic readings aren't looked at unless asked for."""
+    """``id, flag, detail`` of all eight rules, one row per reading and flag; synthetic readings aren't looked at unless asked for."""
     obs = obs if include_synthetic else obs.filter("source <> 'synthetic'")
     scheduled = with_schedule(obs, stops)
     found = {
@@ -99,9 +124,9 @@ def find_flags(obs: DataFrame, trains: DataFrame, stops: DataFrame, now: Column,
     }
     out = None
     for name, df in found.items():
-        part = df.select("id", F.lit(name).alias("flag"))
+        part = df.select("id", F.lit(name).alias("flag"), _detail(name).alias("detail"))
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.groupBy("id", "flag").agg(F.min("detail").alias("detail"))
 
 
 def write_flags(flags: DataFrame, path: str, now: Column) -> None:

@@ -32,7 +32,7 @@ jumps AS (SELECT *, (us - lag(us) OVER w) / 60000000 AS gap, lag(delay_minutes)
 exact AS (SELECT id, first_id FROM (SELECT id, first_value(id) OVER (PARTITION BY source, train_number, station_code, event, us, actual_or_expected_time, delay_minutes, cancelled
  ORDER BY id) AS first_id FROM o) WHERE id <> first_id),
 near AS (SELECT id, gap, prev_batch FROM lagged WHERE gap <= 5 AND batch_id IS DISTINCT FROM prev_batch),
-implausible AS (SELECT o.id, delay_minutes FROM o LEFT JOIN trains t USING (train_id) WHERE delay_minutes <
+implausible AS (SELECT o.id, delay_minutes, CASE WHEN t.train_id IS NULL THEN 120 ELSE 15 END::INTEGER AS early, CASE WHEN t.train_id IS NULL THEN 1440 ELSE 180 END::INTEGER AS late FROM o LEFT JOIN trains t USING (train_id) WHERE delay_minutes <
  CASE WHEN t.train_id IS NULL THEN -120 ELSE -15 END OR delay_minutes > CASE WHEN t.train_id IS NULL THEN 1440 ELSE 180 END),
 jump AS (SELECT id, prev_delay, delay_minutes, gap FROM jumps WHERE gap <= 60 AND abs(delay_minutes - prev_delay) > gap + 15),
 mismatch AS (SELECT id, implied, delay_minutes FROM sched WHERE abs(implied - delay_minutes) > 20),
@@ -41,10 +41,14 @@ future AS (SELECT id, (us - epoch_us(TIMESTAMP '2024-01-25 00:00:00')) / 6000000
  WHERE (us - epoch_us(TIMESTAMP '2024-01-25 00:00:00')) / 60000000 > 5),
 offbatch AS (SELECT id, off FROM (SELECT id, (us - epoch_us(try_strptime(substr(batch_id, 1, 15), '%Y%m%dT%H%M%S'))) / 60000000 AS off FROM o)
  WHERE abs(off) > 90),
-flags AS (SELECT DISTINCT * FROM (SELECT id, 'exact_duplicate' AS flag FROM exact UNION ALL SELECT id, 'near_duplicate' FROM near UNION ALL
- SELECT id, 'implausible_delay' FROM implausible UNION ALL SELECT id, 'delay_jump' FROM jump
- UNION ALL SELECT id, 'schedule_mismatch' FROM mismatch UNION ALL SELECT id, 'far_from_schedule' FROM far UNION ALL SELECT id, 'future_timestamp'
- FROM future UNION ALL SELECT id, 'batch_time_mismatch' FROM offbatch))
+flags AS (SELECT id, flag, min(detail) AS detail FROM (SELECT id, 'exact_duplicate' AS flag, 'the same reading as observation ' || first_id AS detail FROM exact
+ UNION ALL SELECT id, 'near_duplicate', 'read ' || round(gap, 1) || ' min after batch ' || coalesce(prev_batch, '?') FROM near
+ UNION ALL SELECT id, 'implausible_delay', 'delay ' || delay_minutes || ' min; allowed ' || early || ' early to ' || late || ' late' FROM implausible
+ UNION ALL SELECT id, 'delay_jump', 'delay went from ' || prev_delay || ' to ' || delay_minutes || ' min in ' || round(gap, 1) || ' min' FROM jump
+ UNION ALL SELECT id, 'schedule_mismatch', 'source says ' || delay_minutes || ' min late; our timetable implies ' || implied FROM mismatch
+ UNION ALL SELECT id, 'far_from_schedule', 'read ' || away || ' min from when the train was due' FROM far
+ UNION ALL SELECT id, 'future_timestamp', 'stamped ' || round(ahead, 1) || ' min in the future' FROM future
+ UNION ALL SELECT id, 'batch_time_mismatch', 'stamped ' || round(off) || ' min from its batch' FROM offbatch) GROUP BY id, flag)
 """
 TARGETS = BASE + """, targets AS (
  SELECT l.id, p.id AS cutoff_id, l.train_id, l.service_day, l.station_code, p.local_ts AS cutoff, l.delay_minutes AS label FROM clean_obs l
