@@ -402,9 +402,9 @@ def stream_batches(s, d):
     return streams.read_loaded(s, out).agg(F.count("*").alias("rows"), F.countDistinct("batch_id").alias("batches"))
 
 
-@query("stream_alerts", BASE + """, r AS (SELECT source, epoch_ms(started_at) AS at_, status <> 'failed' AS good, row_number() OVER w AS k FROM collector_runs WHERE status <> 'skipped_disabled'
+@query("stream_alerts", BASE + """, r AS (SELECT source, epoch_us(started_at) // 1000 AS at_, status <> 'failed' AS good, row_number() OVER w AS k FROM collector_runs WHERE status <> 'skipped_disabled'
  WINDOW w AS (PARTITION BY source ORDER BY started_at)),
-mark AS (SELECT max(epoch_ms(started_at)) - 1200000 AS mark FROM collector_runs),
+mark AS (SELECT max(epoch_us(started_at) // 1000) - 1200000 AS mark FROM collector_runs),
 calm AS (SELECT source, at_ FROM r WHERE good OR k = 1),
 silent AS (SELECT source, 'quiet' AS alert, at_ + 10800000 AS a, (SELECT min(g.at_) FROM r g WHERE g.source = calm.source AND g.good AND g.at_ > calm.at_) AS b FROM calm),
 islands AS (SELECT *, k - row_number() OVER (PARTITION BY source, good ORDER BY k) AS island FROM r),

@@ -98,7 +98,7 @@ class _Alerts(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        runs = sorted(zip((int(t.timestamp() * 1000) for t in new["started_at"]), new["status"], strict=True))
+        runs = sorted(zip((t.value // 1_000_000 for t in new["started_at"]), new["status"], strict=True))
         if self.by_event:
             self.pending.appendList(runs)
             facts = self.facts.get() if self.facts.exists() else (0, 0, 0, 0, 0)
