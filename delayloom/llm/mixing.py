@@ -52,7 +52,10 @@ def mix_sources(rows: DataFrame, packet: int = PACKET, seed: str = "mix") -> Dat
     over all sources, and the mix is cut where their running sum reaches the
     total of all sizes; the packet at the cut is taken in part. So the budget
     is met to the word, and a source misses its target by less than a packet
-    and rounding. Adds source_size, target, turn, finish (of the last packet
+    and rounding. Ahead of a packet that starts a packet for each source or more
+    past its source's target lie all that source's words before it and, of
+    every other one, its target less a packet: the budget at least. So packets
+    from there on are never made. Adds source_size, target, turn, finish (of the last packet
     taken), taken and mix_offset (words before the first packet).
 
     Null ids and sources queue like values (null source: last place); rows of
@@ -65,13 +68,15 @@ def mix_sources(rows: DataFrame, packet: int = PACKET, seed: str = "mix") -> Dat
     names = [c for c in rows.columns if c not in ("row_", "source_size", "target", "turn", "finish", "taken", "mix_offset")]
     rows = scratch.save(rows.select(*names, F.monotonically_increasing_id().alias("row_")), "rows")
     levels = scratch.save(water_levels(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "levels")
-    budget = levels.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    budget, sources = levels.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     shuffle = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
     tagged = rows.filter("size > 0").join(levels, rows["source"].eqNullSafe(levels["source"])).select("row_", "doc_id", "size", "source_size", "target", "place", shuffle.alias("shuffle_"))
     queued = running(tagged, scratch, "queue", "place", [F.col("shuffle_"), F.col("doc_id"), F.col("size")], "size")
     turns = queued.select("row_", "place", "size", "source_size", "target", "before_", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("turn"))
-    packets = turns.withColumn("at_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(packet).cast("long"))))
-    packets = packets.withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("at_"))).withColumn("start_", F.col("turn") * F.col("source_size") + F.col("before_") + F.col("at_"))
+    turns = turns.withColumn("first_", F.col("turn") * F.col("source_size") + F.col("before_"))
+    reach = F.floor("target") + 1 + sources * packet - F.col("first_")  # what lies further on can't be taken
+    packets = turns.filter(reach > 0).withColumn("at_", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("size"), reach) - 1, F.lit(packet).cast("long"))))
+    packets = packets.withColumn("words", F.least(F.lit(packet).cast("long"), F.col("size") - F.col("at_"))).withColumn("start_", F.col("first_") + F.col("at_"))
     packets = packets.select("row_", "place", "turn", "start_", "words", ((F.col("start_") + F.col("words")) / F.col("target")).alias("finish"), F.lit(0).alias("all_"))
     sent = running(packets, scratch, "packets", "all_", [F.col("finish"), F.col("place"), F.col("start_")], "words").filter(F.col("before_") < budget)
     taken = F.least(F.col("words"), budget - F.col("before_"))
