@@ -102,7 +102,7 @@ def _linked(percent: int):
 
 
 def _close_pairs(rest: DataFrame, scratch: Scratch, percent: int, block: int = 500) -> DataFrame:
-    """Pairs ``(a, b)`` of one list of ``rest(key, node, n_shingles, component, common, sum_a)`` that can be linked.
+    """Pairs ``(a, b)`` of one list of ``rest(key, doc_id, n_shingles, component, common, sum_a)`` that can be linked.
 
     Sizes of linked sets differ by a factor of 100 / percent at most: a list
     falls into bands of that width, and an entry meets those of its band and
@@ -113,13 +113,13 @@ def _close_pairs(rest: DataFrame, scratch: Scratch, percent: int, block: int = 5
     band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent) + 1e-9).alias("band") if percent < 100 else F.col("n_shingles").alias("band")
     banded = scratch.save(rest.select("*", band), "banded")
     blocks = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    low = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
-    high = banded.select("key", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.col("band").alias("meets"))
+    low = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
+    high = banded.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.col("band").alias("meets"))
     high = high.withColumn("band", F.explode(F.array("meets", F.col("meets") - 1))).join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     most = "aggregate(zip_with(common, ob, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-    near = F.expr(f"""(n_shingles < nb or n_shingles = nb and node < b) and component <> cb and 100 * n_shingles >= {percent} * nb
+    near = F.expr(f"""(n_shingles < nb or n_shingles = nb and doc_id < b) and component <> cb and 100 * n_shingles >= {percent} * nb
         and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + nb) and {most} * {100 + percent} >= {percent} * (n_shingles + nb)""")
-    return low.join(high, ["key", "band", "block", "meets"]).filter(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    return low.join(high, ["key", "band", "block", "meets"]).filter(near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
 
 
 class _Search:
@@ -226,6 +226,6 @@ def _links(texts: DataFrame, heads: DataFrame, scratch: Scratch, percent: int) -
     rest = scratch.save(tagged.join(mixed, "key"), "rest")
     total = F.aggregate("common", F.lit(0), lambda s, x: s + x).alias("sum_a")
     rest = scratch.save(rest.join(search.common_shingles(rest).select("*", total), "node"), "bounded")
-    pairs = _close_pairs(rest.filter(f"100 * sum_a >= {percent} * n_shingles"), scratch, percent).distinct()
+    pairs = _close_pairs(rest.filter(f"100 * sum_a >= {percent} * n_shingles").withColumnRenamed("node", "doc_id"), scratch, percent).distinct()
     pairs = scratch.save(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     return links.union(search.verify(pairs))
