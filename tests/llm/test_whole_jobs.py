@@ -204,3 +204,29 @@ def test_scratch_is_cleared_and_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scratch.shared_root(Cluster)
+
+
+def test_suffix_dedup_finds_out_when_different_strings_share_a_hash(spark):
+    """With one bit of the first hash nearly all strings look alike; few buckets with many rows give the same."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, lead = letters(260), letters(16)
+    rows = [(i, letters(300) + (passage if i % 3 == 0 else "") + lead + letters(150)) for i in range(12)]
+    rows += [(20, "ab" * 400), (21, letters(40) + "ab" * 100), (22, rows[0][1]), (23, rows[0][1]), (24, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, want = {}, {}
+    for i, t in rows:
+        gone, raw = set(), t.encode()
+        for s in range(len(raw) - 99):
+            if seen.setdefault(raw[s : s + 100], (i, s)) < (i, s):
+                gone.update(range(s, s + 100))
+        want[i] = bytes(b for k, b in enumerate(raw) if k not in gone)
+    for options in ({"first_bits": 1}, {"first_bits": 1, "bucket_rows": 40}, {"bucket_rows": 10, "max_buckets": 3}, {"bucket_rows": 10}):
+        got = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.dedup_suffixes(docs, 100, **options).collect()}
+        assert got == want, options
+    with pytest.raises(RuntimeError):
+        suffix_dedup.ATTEMPTS, before = 1, suffix_dedup.ATTEMPTS
+        try:
+            suffix_dedup.dedup_suffixes(docs, 100, first_bits=1)
+        finally:
+            suffix_dedup.ATTEMPTS = before
