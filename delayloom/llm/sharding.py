@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from .ranking import running
 from .scratch import Scratch
 
+#: Cells with more than this part of all rows are looked up by broadcast: there are fewer of them than this number.
+HOT = 1024
+#: Ranks of one key that meet their ranges in one group.
+SLICE = 10_000
+
 
 def allowed_moves(sizes: list[int], wanted: dict[tuple[int, int], int], capacity: int) -> dict[tuple[int, int], int]:
     """The part of the wanted moves between shards after which no shard exceeds ``capacity``.
@@ -123,13 +128,40 @@ def group_places(groups: list[tuple[int, int, int]], quota: list[int]) -> tuple[
     return best[1:]
 
 
+def _look_up(rows: DataFrame, cells: DataFrame, total: int, values: list[str]) -> DataFrame:
+    """``rows`` with ``values`` of their cell in ``cells(link, shard, n, *values)``, null where it has none; ``n`` counts the cell's rows.
+
+    Of ``total`` rows, cells of more than a ``HOT``-th are fewer than ``HOT``,
+    so those are broadcast, and their rows and those without a link are dealt
+    by id. So no key of the shuffle has more rows than a ``HOT``-th, provided
+    that ``cells`` has every cell above that.
+    """
+    names = rows.columns
+    is_hot = F.col("n") * HOT > total
+    hot = cells.filter(is_hot).select("link", "shard", F.lit(1).alias("hot_"), *[F.col(v).alias(f"hot_{v}") for v in values])
+    cold = cells.filter(~is_hot).select(F.lit(0).alias("apart_"), F.col("link").alias("link_"), F.col("shard").alias("shard_"), *values)
+    apart = F.col("hot_").isNotNull() | F.col("link").isNull()
+    met = rows.join(F.broadcast(hot), ["link", "shard"], "left").withColumn("apart_", apart.cast("int"))
+    met = met.withColumn("link_", F.when(apart, F.xxhash64("doc_id")).otherwise(F.col("link"))).withColumn("shard_", F.col("shard"))
+    met = met.join(cold, ["apart_", "link_", "shard_"], "left")
+    return met.select(*names, *[F.coalesce(f"hot_{v}", v).alias(v) for v in values])
+
+
+def _by_range(ranked: DataFrame, key: str, kind: str, ranges: list[tuple]) -> DataFrame:
+    """``ranked`` with ``to_`` of the one of ``ranges`` (key, low, high, to) that its ``rank_`` lies in; a key's ranks are met in slices, so none is one task's."""
+    piece = lambda rank: F.floor(rank / SLICE)
+    table = ranked.sparkSession.createDataFrame(ranges, f"{key} {kind}, low_ long, high_ long, to_ int")
+    table = table.withColumn("slice_", F.explode(F.sequence(piece(F.col("low_")), piece(F.col("high_") - 1))))
+    return ranked.withColumn("slice_", piece(F.col("rank_"))).join(table, [key, "slice_"]).filter("rank_ >= low_ and rank_ < high_")
+
+
 def _settled(state: DataFrame, names: list[str], quota: list[int], scratch: Scratch) -> DataFrame:
     """``state`` with every group of ``link`` in one shard as far as groups fit; ``grouped_`` tells its rows from single ones.
 
     The driver gets groups counted by home and size: sizes differ, so there are
     at most about n_shards * sqrt(2 * rows) such counts.
     """
-    spark, n_shards = state.sparkSession, len(quota)
+    n_shards = len(quota)
     cells = scratch.save(state.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n")), "cells")
     home = F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("at")))["at"]
     groups = cells.groupBy("link").agg(home.alias("home"), F.sum("n").alias("n")).filter("n > 1")
@@ -145,16 +177,14 @@ def _settled(state: DataFrame, names: list[str], quota: list[int], scratch: Scra
         for to, n in sorted(into.items()):
             pieces.append((-1 - k, low, low + n, to))
             low += n
-    table = lambda rows, names: F.broadcast(spark.createDataFrame(rows, names))
-    ranked = running(groups, scratch, "classes", "class_", [F.col("link")]).join(table(places, "class_ long, low_ long, high_ long, to_ int"), "class_")
-    to = ranked.filter("rank_ >= low_ and rank_ < high_").select("link", "to_")
-    to = scratch.save(cells.select("link", "shard").join(to, "link"), "to")
-    placed = state.join(to, ["link", "shard"], "left").select(*names, F.coalesce("to_", "shard").alias("shard"), F.col("to_").isNotNull().cast("int").alias("grouped_"))
+    to = _by_range(running(groups, scratch, "classes", "class_", [F.col("link")]), "class_", "long", places).select("link", "to_")
+    to = scratch.save(cells.join(to, "link"), "to")
+    placed = _look_up(state, to, sum(quota), ["to_"]).select(*names, F.coalesce("to_", "shard").alias("shard"), F.col("to_").isNotNull().cast("int").alias("grouped_"))
     if not parted:
         return placed
     placed = scratch.save(placed, "placed")
     rows = running(placed.filter("shard < 0"), scratch, "parted", "shard", [F.col("link"), F.col("doc_id")])
-    rows = rows.join(table(pieces, "shard int, low_ long, high_ long, to_ int"), "shard").filter("rank_ >= low_ and rank_ < high_")
+    rows = _by_range(rows, "shard", "int", pieces)
     return placed.filter("shard >= 0").unionByName(rows.select(*names, F.col("to_").alias("shard"), "grouped_"))
 
 
@@ -190,15 +220,18 @@ def balanced_shards(rows: DataFrame, n_shards: int = 8, slack: float = 0.05, lea
     while True:
         step += 1
         cells = state.filter("link is not null").groupBy("link", "shard").agg(F.count("*").alias("n"))
-        best = cells.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("at"))).alias("best"), F.count("*").alias("shards")).filter("shards > 1")
-        wishes = scratch.save(cells.join(best, "link").select("link", "shard", F.col("best.at").alias("goal"), (F.col("best.n") - F.col("n") + 1).alias("gain"), "n").filter("shard <> goal"), f"wishes-{step}")
-        wanted = {(r["shard"], r["goal"]): r["m"] for r in wishes.groupBy("shard", "goal").agg(F.sum("n").alias("m")).collect()}
+        best = cells.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("at"))).alias("best"), F.count("*").alias("shards"), F.max("n").alias("most")).filter(f"shards > 1 or most * {HOT} > {total}")
+        goal = F.when(F.col("best.at") != F.col("shard"), F.col("best.at"))
+        wishes = cells.join(best, "link").select("link", "shard", goal.alias("goal"), (F.col("best.n") - F.col("n") + 1).alias("gain"), "n")
+        # Cells with many rows stay in the table without a wish, so that their rows are known and spread.
+        wishes = scratch.save(wishes.filter(f"goal is not null or n * {HOT} > {total}"), f"wishes-{step}")
+        wanted = {(r["shard"], r["goal"]): r["m"] for r in wishes.filter("goal is not null").groupBy("shard", "goal").agg(F.sum("n").alias("m")).collect()}
         sizes = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         moves = allowed_moves([sizes.get(k, 0) for k in range(n_shards)], wanted, capacity)
         before, parted = parted, sum(wanted.values())
         if not moves or before is not None and parted > (1 - least_gain) * before:
             break
-        joined = scratch.save(state.join(wishes.select("link", "shard", "goal", "gain"), ["link", "shard"], "left").select(*names, "shard", "goal", "gain"), f"joined-{step}")
+        joined = scratch.save(_look_up(state, wishes, total, ["goal", "gain"]).select(*names, "shard", "goal", "gain"), f"joined-{step}")
         asked = joined.filter("goal is not null").withColumn("way", F.col("shard") * n_shards + F.col("goal"))
         ranked = running(asked, scratch, f"asked-{step}", "way", [-F.col("gain"), *tie])
         quota = F.create_map(*[F.lit(x) for (a, b), m in moves.items() for x in (a * n_shards + b, m)])

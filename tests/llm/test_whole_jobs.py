@@ -25,6 +25,22 @@ def test_sharding_parts_no_group_that_fits(spark):
     assert [t for t, s in shards.items() if len(s) > 1] == ["common"] and len(shards["common"]) == 3
 
 
+def test_sharding_of_common_texts_is_the_same_however_they_are_met(spark, monkeypatch):
+    texts = ["commön"] * 700 + [None] * 200 + [f"three {i // 3}" for i in range(600)] + [f"own {i}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for hot, piece in ((1024, 10_000), (3, 7), (1, 1)):
+        monkeypatch.setattr(sharding, "HOT", hot)
+        monkeypatch.setattr(sharding, "SLICE", piece)
+        rows = sharding.shard_documents(docs, 8).collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(range(len(texts)))
+        assert all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 for r in rows)
+        assert set(Counter(r["shard"] for r in rows).values()) == {225}
+        seen.append({r["doc_id"]: r["shard"] for r in rows})
+    assert seen[0] == seen[1] == seen[2]
+    assert all(len({seen[0][900 + 3 * k + i] for i in range(3)}) == 1 for k in range(200))
+
+
 def test_group_places_keep_quotas():
     for sizes, quota, parted in [([12, 6, 6, 6], [10] * 3, {12}), ([12, 9, 9], [10] * 3, {12}), ([5, 5, 5], [8, 7], {5}), ([4, 3, 3, 2, 2, 2], [8, 8], set())]:
         whole, rest = sharding.group_places([(0, s, n) for s, n in Counter(sizes).items()], quota)
