@@ -101,25 +101,52 @@ def _linked(percent: int):
     return local
 
 
+def _mixed(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The entries of those lists of ``entries(key, component, ...)`` that hold several components."""
+    keys = scratch.save(entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), name)
+    return entries.join(keys, "key")
+
+
+def _partnered(rest: DataFrame, percent: int) -> DataFrame:
+    """The entries of ``rest(key, n_shingles, sum_a, ...)`` that can be linked to any entry of their list at all, by size and by shingles they share.
+
+    A link asks ``(100 + percent) * common >= percent * (n + m)`` of sizes n and m, so an entry's shared shingles
+    bound its partner's size: ``reach``. It needs an entry no larger than its reach whose own reach is no smaller
+    than the entry. A running maximum over the sizes and reaches of a list answers that, each value once
+    however many entries bear it, so no two entries meet.
+    """
+    reach = F.floor(F.col("sum_a") * (100 + percent) / percent + 1e-9).cast("long") - F.col("n_shingles")
+    rest = rest.withColumn("reach", reach)
+    held = rest.groupBy("key", F.col("n_shingles").alias("at")).agg(F.max("reach").alias("far"))
+    asked = rest.select("key", F.col("reach").alias("at"), F.lit(None).cast("long").alias("far")).distinct()
+    up_to = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    found = held.union(asked).select("key", "at", F.max("far").over(up_to).alias("far")).distinct().withColumnRenamed("at", "reach")
+    return rest.join(found, ["key", "reach"]).filter("far >= n_shingles").drop("reach", "far")
+
+
 def _close_pairs(rest: DataFrame, scratch: Scratch, percent: int, block: int = 500) -> DataFrame:
     """Pairs ``(a, b)`` of one list of ``rest(key, doc_id, n_shingles, component, common, sum_a)`` that can be linked.
 
-    Sizes of linked sets differ by a factor of 100 / percent at most: a list
-    falls into bands of that width, and an entry meets those of its band and
-    the next one that aren't smaller. A band's entries come in blocks of about
-    ``block``, each a key of its own, so no list is one task's; of its pairs
-    only those are written whose counts of common shingles allow a link.
+    Entries of a list's largest component have no pair among themselves: they
+    stay where they are, and only the others visit them and each other. Sizes
+    of linked sets differ by a factor of 100 / percent at most: a list falls
+    into bands of that width, and an entry visits its own band and both next
+    to it. A band's entries come in blocks of about ``block``, each a key of
+    its own, so no list is one task's; of its pairs only those are written
+    whose counts of common shingles allow a link.
     """
     band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent) + 1e-9).alias("band") if percent < 100 else F.col("n_shingles").alias("band")
-    banded = scratch.save(rest.select("*", band), "banded")
-    blocks = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    low = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("meets", F.explode(F.array("band", F.col("band") + 1)))
-    high = banded.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.col("band").alias("meets"))
-    high = high.withColumn("band", F.explode(F.array("meets", F.col("meets") - 1))).join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    parts = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    banded = scratch.save(rest.join(largest, "key").select(*rest.columns, band, (F.col("component") == F.col("largest")).alias("stays")), "banded")
+    blocks = scratch.save(banded.groupBy("key", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    hosts = banded.join(blocks, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
+    guests = banded.filter("not stays").select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), F.col("common").alias("ob"), F.col("sum_a").alias("sum_b"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    guests = guests.join(blocks, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     most = "aggregate(zip_with(common, ob, (x, y) -> least(x, y)), 0, (s, x) -> s + x)"
-    near = F.expr(f"""(n_shingles < nb or n_shingles = nb and doc_id < b) and component <> cb and 100 * n_shingles >= {percent} * nb
+    near = F.expr(f"""(stays or doc_id < b) and component <> cb and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)
         and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + nb) and {most} * {100 + percent} >= {percent} * (n_shingles + nb)""")
-    return low.join(high, ["key", "band", "block", "meets"]).filter(near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+    return hosts.join(guests, ["key", "band", "block"]).filter(near).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
 
 
 class _Search:
@@ -171,10 +198,12 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     each side (prefix), so the long lists are not merged but looked up in the
     signatures. In a list all entries are first held against the entry whose
     coordinates are shared most, as a source is by its edited copies; linked
-    entries become one component. Only entries of lists that still hold several
-    components are paired, none that has too many shingles of its own to be
-    linked at all, and no pair whose sizes ask for more common shingles than
-    the two can have (``_close_pairs``). Every pair is confirmed on full sets.
+    entries become one component. Of lists that still hold several components
+    entries without a possible partner leave (``_partnered``), the others are
+    held against the one that shares most of its shingles, and only then are
+    entries of different components paired, no pair whose sizes ask for more
+    common shingles than the two can have (``_close_pairs``). Every pair is
+    confirmed on full sets.
 
     Texts without words have empty sets and no links; null ids have no links
     and a null component. Repeated rows fare alike. Rows that share an id but
@@ -220,12 +249,25 @@ def _links(texts: DataFrame, heads: DataFrame, scratch: Scratch, percent: int) -
     sized = f"100 * n_shingles >= {percent} * na and 100 * na >= {percent} * n_shingles"
     star = scratch.save(prefix.join(leaders, "key").filter(f"a <> node and {sized}").select("a", F.col("node").alias("b")).distinct(), "star")
     links = search.verify(star)
-    labels = connected_components(links, scratch, "first")
-    tagged = scratch.save(prefix.join(labels, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "tagged")
-    mixed = scratch.save(tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
-    rest = scratch.save(tagged.join(mixed, "key"), "rest")
+    tagged = scratch.save(_labelled(prefix.drop("score"), connected_components(links, scratch, "first")), "tagged")
+    rest = scratch.save(_mixed(tagged, scratch, "mixed"), "rest")
     total = F.aggregate("common", F.lit(0), lambda s, x: s + x).alias("sum_a")
     rest = scratch.save(rest.join(search.common_shingles(rest).select("*", total), "node"), "bounded")
-    pairs = _close_pairs(rest.filter(f"100 * sum_a >= {percent} * n_shingles").withColumnRenamed("node", "doc_id"), scratch, percent).distinct()
-    pairs = scratch.save(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    rest = scratch.save(_mixed(scratch.save(_partnered(rest, percent), "partnered"), scratch, "mixed-partnered"), "rest-partnered")
+    # once more an entry for all of a list: the one that shares most of its shingles
+    heart = rest.groupBy("key").agg(F.max(F.struct("sum_a", (-F.col("node")).alias("order"), "node", "n_shingles", "component")).alias("top")).select("key", F.col("top.node").alias("a"), F.col("top.n_shingles").alias("na"), F.col("top.sum_a").alias("sum_b"), F.col("top.component").alias("ca"))
+    fits = f"component <> ca and least(sum_a, sum_b) * {100 + percent} >= {percent} * (n_shingles + na)"
+    met = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hearts = rest.join(heart, "key").filter(fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    hearts = scratch.save(hearts.join(met, ["a", "b"], "left_anti"), "hearts")
+    links = scratch.save(links.union(search.verify(hearts)), "links-twice")
+    rest = scratch.save(_labelled(rest.drop("component"), connected_components(links, scratch, "second")), "tagged-twice")
+    rest = scratch.save(_mixed(rest, scratch, "mixed-twice"), "rest-twice")
+    pairs = _close_pairs(rest.withColumnRenamed("node", "doc_id"), scratch, percent).distinct()
+    pairs = scratch.save(pairs.join(met.union(hearts), ["a", "b"], "left_anti"), "pairs")
     return links.union(search.verify(pairs))
+
+
+def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """``entries(node, ...)`` with the component of each node: its own number where it has no link."""
+    return entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -195,6 +195,48 @@ def test_close_pairs_equal_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_entries_that_nothing_can_be_linked_to_meet_nobody(spark, monkeypatch):
+    """One list of texts all about 0.7 alike: none has a partner, so none is copied into blocks; linked ones beside them stay linked."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    base = [word() for _ in range(204)]
+    rows = [(i, " ".join([*base, *[word() for _ in range(43 + i % 5)]])) for i in range(150)]
+    saved, save = {}, near_dedup.Scratch.save
+    monkeypatch.setattr(near_dedup.Scratch, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert saved["rest"].count() > 500 and saved["banded"].count() == 0
+    monkeypatch.undo()
+    rows += [(1000 + i, " ".join([*base, *[word() for _ in range(3)]])) for i in range(150)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for i, t in rows}
+    label, todo = {}, set(sets)
+    while todo:
+        low = min(todo)
+        group, new = set(), {low}
+        while new:
+            group |= new
+            new = {b for a in new for b in todo - group if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+        todo -= group
+        label |= dict.fromkeys(group, low)
+    assert got == label
+
+
+def test_partnered_equals_all_pairs(spark):
+    rng = random.Random(14)
+    rest = []
+    for i in range(400):
+        n = rng.randrange(5, 60)
+        rest.append((rng.randrange(4), i, n, rng.randrange(n + 1) if i % 3 else n))
+    for percent in (75, 60, 100):
+        can = lambda x, y: x[0] == y[0] and (100 + percent) * min(x[3], y[3]) >= percent * (x[2] + y[2])  # noqa: B023, E731
+        want = {x[1] for x in rest if any(can(x, y) for y in rest)}
+        df = spark.createDataFrame(rest, "key long, node long, n_shingles long, sum_a int")
+        got = [r["node"] for r in near_dedup._partnered(df, percent).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < len(want) < 400
+
+
 def test_shards_of_null_and_empty_texts(spark):
     rows = [(i, None if i % 2 else "") for i in range(20)] + [(100 + i, f"text {i}") for i in range(140)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
