@@ -1,13 +1,14 @@
 """Cases in which corpus operators once did less than the whole job."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 pytest.importorskip("delayloom.llm")
-from delayloom.llm import near_dedup, nearest, packing, queries, sharding, suffix_dedup  # noqa: E402
+from delayloom.llm import near_dedup, nearest, packing, quality_rules, queries, rules, sharding, suffix_dedup  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -237,6 +238,31 @@ def test_partnered_equals_all_pairs(spark):
     assert 0 < len(want) < 400
 
 
+def test_quality_forest_counts_every_labelled_document(spark):
+    """More labelled rows than were once sent to the driver: statistics used and threshold are those of all of them."""
+    rng = random.Random(15)
+    words_ = ["river", "stone", "of", "and", "light", "winter", "a", "bridge", "open", "letter"]
+    docs, labels = [], []
+    for i in range(17_000):
+        bad = rng.random() < 0.1
+        docs.append((i, " ".join(rng.choice(words_) + ("#" if bad and rng.random() < 0.5 else "") + rng.choice(["", "", ".", "s"]) + str(rng.randrange(99)) * (rng.random() < 0.3) for _ in range(rng.randrange(50, 70)))))
+        labels.append((i, int(not bad)))
+    docs_, labels_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    forest = quality_rules.fit_quality_forest(docs_, labels_)
+    known = [(t, q) for (i, t), (_, q) in zip(docs, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    counts = [rules.rule_counts(t) for t, _ in known]
+    passed = np.array([not quality_rules.base_failed(c[0], c[4]) for c in counts])
+    x, good = np.array([rules.profile(t) for t, _ in known])[passed], np.array([q == 1 for _, q in known])[passed]
+    assert passed.sum() > 12_500 and forest.use.tolist() == quality_rules.telling(x, good, 0.2).tolist()
+    score = forest.score(x)
+    floor = np.quantile(score[good], 0.99)
+    steps = np.unique(np.concatenate([[floor], score[score >= floor]]))
+    gain = [(score[~good] > s).mean() - (score[good] > s).mean() for s in steps]
+    assert abs(forest.threshold - steps[int(np.argmax(gain))]) < 1e-12 and forest.feature.shape[0] == 150
+    again = quality_rules.fit_quality_forest(docs_.repartition(5), labels_)
+    assert again.threshold == forest.threshold and (again.cut == forest.cut).all()
+
+
 def test_shards_of_null_and_empty_texts(spark):
     rows = [(i, None if i % 2 else "") for i in range(20)] + [(100 + i, f"text {i}") for i in range(140)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
