@@ -35,3 +35,7 @@ POLLS = "SELECT * REPLACE (k AS event_id, make_timestamp(1704067200400000 + (k /
 
 def test_alerts_in_force_at_an_instant(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "evaluate_alerts", events=POLLS)
+
+
+def test_alerts_decided_between_two_instants(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "decide_alerts", events=POLLS)
