@@ -39,3 +39,9 @@ def test_alerts_in_force_at_an_instant(spark, tmp_path):
 
 def test_alerts_decided_between_two_instants(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "decide_alerts", events=POLLS)
+
+
+def test_medians_of_windows_with_many_readings(spark, tmp_path):
+    """Some 2000 readings of one line, direction and quarter of an hour, hardly two with the same delay."""
+    many = "SELECT * REPLACE (event_id + i * 1000 AS event_id, 'click' AS event_type, user_id % 25 // 5 * 20 AS user_id, make_timestamp(1704067200000000 + (event_id % 4) * 3600000000 + i * 1000000) AS ts, ((event_id + i * 1000) * 7919 % 60013)::DOUBLE AS value) FROM old, range(16) AS r(i)"
+    assert same_as_sql(spark, tmp_path, "stream_line_state", events=many)
