@@ -2,13 +2,13 @@
 
 import os
 import random
-from datetime import date
+from datetime import date, datetime
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from delayloom.operators import matching
+from delayloom.operators import journeys, matching
 from delayloom.plans import registry
 from test_queries import SF, TABLES, plain
 
@@ -82,3 +82,12 @@ def test_best_candidates_are_the_first_of_all(spark, tmp_path):
         for r in matching.best_candidates(*args, **more).collect():
             got.setdefault(r.id, []).append((-r.score, r.gap, r.dep, r.train_id))
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:2] for k, v in every.items()} and max(map(len, every.values())) > 2
+
+
+def test_what_many_ask_is_answered_once(spark):
+    at = datetime(2024, 1, 10, 8)
+    rows = [(1, "A", "B", at), (2, "A", "B", at), (3, "A", "C", at), (4, "A", "B", at.replace(second=1))]
+    questions, asked = journeys.asked_once(spark.createDataFrame(rows, "req_id long, origin string, destination string, at timestamp"))
+    assert sorted((r.origin, r.destination, r.at) for r in questions.collect()) == sorted({r[1:] for r in rows})
+    told = journeys.told_to_all(questions.select("req_id", "destination"), asked)
+    assert sorted(map(tuple, told.collect())) == [(r[0], r[2]) for r in rows]
