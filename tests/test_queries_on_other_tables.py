@@ -91,3 +91,19 @@ def test_what_many_ask_is_answered_once(spark):
     assert sorted((r.origin, r.destination, r.at) for r in questions.collect()) == sorted({r[1:] for r in rows})
     told = journeys.told_to_all(questions.select("req_id", "destination"), asked)
     assert sorted(map(tuple, told.collect())) == [(r[0], r[2]) for r in rows]
+
+
+@pytest.mark.parametrize("name", ["one_change", "one_change_half_loaded"])
+def test_a_change_is_looked_for_once_per_question(spark, tmp_path, monkeypatch, name):
+    """Three times as many requests, all asked before, give no more first legs; their answers are those of the SQL."""
+    looked, real = [], journeys.kept
+
+    def kept(df, what):
+        out = real(df, what)
+        if what == "first-legs":
+            looked.append(out.select("req").distinct().count())
+        return out
+
+    monkeypatch.setattr(journeys, "kept", kept)
+    told = same_as_sql(spark, tmp_path, name, customer="SELECT * REPLACE (c_custkey + i * 14400 AS c_custkey) FROM old, range(3) AS r(i)")
+    assert told and len(told) % 3 == 0 and 0 < looked[0] <= 150
